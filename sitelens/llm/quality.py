@@ -1,9 +1,10 @@
 """Quality by compression: zstandard dictionaries of good and of bad labelled text.
 
-A text is cut into blocks, each compressed once with either dictionary; the difference of the two sizes, divided by
-the plain size, is calibrated to a probability by logistic regression on labelled rows that the dictionaries have not seen.
+A text is cut into blocks, each compressed once with either dictionary; the difference and the mean of the two sizes,
+divided by the plain size, are calibrated to a probability by logistic regression on labelled rows that the
+dictionaries have not seen.
 
-Edge cases: null and empty texts have difference 0 and score the calibrated value of 0; unlabelled rows are scored like
+Edge cases: null and empty texts score as an average text does; unlabelled rows are scored like
 others; without labelled rows of both classes every score is 0.5; a label given twice for an id counts by its maximum.
 """
 
@@ -20,13 +21,14 @@ from pyspark.sql import types as T
 SAMPLE_PER_CLASS = 1500
 #: Bound on the bytes of a sampled document that enter a dictionary (scores always use whole texts).
 SAMPLE_BYTES = 4096
-DICTIONARY_BYTES = 64 << 10
-BLOCK_BYTES = 2048
-LEVEL = 3
+DICTIONARY_BYTES = 256 << 10
+EXCERPT_BYTES = 512
+BLOCK_BYTES = 512
+LEVEL = 6
 
 
-class SizeDifference:
-    """(size with the bad dictionary - size with the good one) / size of a text, over all its blocks."""
+class CompressedSizes:
+    """Per byte of a text, over all its blocks: (size with the bad dictionary - size with the good one, mean of both)."""
 
     def __init__(self, good: bytes, bad: bytes, level: int = LEVEL, block: int = BLOCK_BYTES):
         self.block = block
@@ -36,44 +38,43 @@ class SizeDifference:
             held.precompute_compress(level=level)
             self.of.append(zstandard.ZstdCompressor(level=level, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-    def __call__(self, text: bytes) -> float:
+    def __call__(self, text: bytes) -> tuple[float, float]:
         if not text:
-            return 0.0
-        total = 0
+            return 0.0, 0.0
+        with_good = with_bad = 0
         good, bad = self.of
         for at in range(0, len(text), self.block):
             part = text[at : at + self.block]
-            total += len(bad.compress(part)) - len(good.compress(part))
-        return total / len(text)
+            with_good += len(good.compress(part))
+            with_bad += len(bad.compress(part))
+        return (with_bad - with_good) / len(text), (with_bad + with_good) / (2 * len(text))
+
+
+def excerpt(text: bytes, size: int = EXCERPT_BYTES) -> bytes:
+    """The middle of a sample text, for a dictionary."""
+    at = max(0, (len(text) - size) // 2)
+    return text[at : at + size]
 
 
 def dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """Dictionary content from sample texts: trained where the sample suffices, else their plain end to end text."""
-    plain = b"\n".join(texts)
-    if len(texts) >= 16 and len(plain) >= 8 * 1024:
-        try:
-            return zstandard.train_dictionary(min(size, max(1024, len(plain) // 8)), texts, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return plain[-size:] or b"\0" * 8
-
-
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic fit of y on scaled x with equal class weights: (slope, intercept, scale)."""
-    scale = float(np.std(x)) or 1.0
-    z = np.clip(x / scale, -20, 20)
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    a = b = 0.0
+    """Dictionary content: excerpts of many samples end to end, longer ones where there are few samples."""
+    each = max(EXCERPT_BYTES, min(4 * EXCERPT_BYTES, size // max(1, len(texts))))
+    return b"\n".join(excerpt(t, each) for t in texts)[:size].ljust(8, b"\0")
+
+
+def calibrate(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Logistic regression by Newton steps: coefficients of the standardised columns, then the intercept."""
+    design = np.column_stack([x, np.ones(len(x))])
+    beta, ridge = np.zeros(design.shape[1]), np.array([1e-3] * x.shape[1] + [1e-9]) * len(x)
     for _ in range(60):
-        p = 1 / (1 + np.exp(-(a * z + b)))
-        w = weight * p * (1 - p)
-        grad = np.array([(weight * (p - y) * z).sum() + 1e-3 * a, (weight * (p - y)).sum()])
-        hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-9]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        gradient = design.T @ (p - y) + ridge * beta
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge)
+        step = np.linalg.solve(hessian, gradient)
+        beta -= step
         if abs(step).max() < 1e-9:
             break
-    return float(a), float(b), scale
+    return [float(v) for v in beta]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int) -> DataFrame:
@@ -91,17 +92,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = SAMPLE_PER_CLASS) -> dict:
     """Dictionaries and calibration from a bounded labelled sample (2 x per_class texts, SAMPLE_BYTES of each)."""
+    known = labels.filter(usable & F.col("quality").isin(0, 1)).agg(F.avg("quality").alias("share"), F.count("*").alias("n")).first()
     sample = labelled_sample(docs, labels, "quality", usable, per_class)
     # repeated ids may match several rows: one text for each id keeps the sample bounded
     rows = sample.groupBy("doc_id").agg(F.min(F.substring("text", 1, SAMPLE_BYTES)).alias("text"), F.max("y").alias("y"), (F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string"))) % 2).alias("half")).orderBy("doc_id").collect()
     texts = [(r["text"].encode(), r["y"], r["half"]) for r in rows if r["text"]]
     if len({y for _, y, _ in texts}) < 2:
-        return {"good": b"\0" * 8, "bad": b"\0" * 8, "slope": 0.0, "intercept": 0.0, "scale": 1.0}
+        return {"good": b"\0" * 8, "bad": b"\0" * 8, "beta": [0.0, 0.0, 0.0], "centre": [0.0, 0.0], "scale": [1.0, 1.0]}
     good, bad = (dictionary([t for t, y, h in texts if y == want and h == 0]) for want in (1, 0))
-    measure = SizeDifference(good, bad)
+    measure = CompressedSizes(good, bad)
     held = [(measure(t), y) for t, y, h in texts if h == 1] or [(measure(t), y) for t, y, _ in texts]
-    slope, intercept, scale = calibrate(np.array([x for x, _ in held]), np.array([y for _, y in held]))
-    return {"good": good, "bad": bad, "slope": slope, "intercept": intercept, "scale": scale}
+    x, y = np.array([v for v, _ in held]), np.array([v for _, v in held])
+    centre, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    beta = calibrate((x - centre) / scale, y)
+    # the sample is balanced by class: move the intercept to the share of good rows among all labels
+    share, drawn = min(max(float(known["share"]), 1e-6), 1 - 1e-6), min(max(float(y.mean()), 1e-6), 1 - 1e-6)
+    beta[-1] += float(np.log(share / (1 - share)) - np.log(drawn / (1 - drawn)))
+    return {"good": good, "bad": bad, "beta": beta, "centre": centre.tolist(), "scale": scale.tolist()}
 
 
 def score_quality(docs: DataFrame, model: dict) -> DataFrame:
@@ -115,11 +122,11 @@ def score_quality(docs: DataFrame, model: dict) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        measure = SizeDifference(model["good"], model["bad"])
+        measure, beta = CompressedSizes(model["good"], model["bad"]), np.array(model["beta"])
+        centre, scale = np.array(model["centre"]), np.array(model["scale"])
         for batch in batches:
-            d = np.array([measure(t) if t else 0.0 for t in batch.column(at).cast(pa.binary()).to_pylist()])
-            z = np.clip(d / model["scale"], -20, 20)
-            score = 1 / (1 + np.exp(-(model["slope"] * z + model["intercept"])))
+            x = np.array([measure(t) if t else centre for t in batch.column(at).cast(pa.binary()).to_pylist()]).reshape(-1, 2)
+            score = 1 / (1 + np.exp(-np.clip((x - centre) / scale @ beta[:2] + beta[2], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=names)
 
     return docs.mapInArrow(run, schema)

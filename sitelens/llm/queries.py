@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, quality
+from . import bpe, fingerprints, mixing, quality
 from .common import fold, table
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file, which every machine has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+    return made.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
@@ -34,6 +51,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_bpe_round_trip,
         op4_quality_classifier,
         op8_mix_sources,
         op10_fingerprints,
