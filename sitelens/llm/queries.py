@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard_join, mixing, quality, secrets, toxicity
+from . import bpe, fingerprints, jaccard_join, mixing, nn_descent, quality, secrets, toxicity
 from .common import fold, table
 
 
@@ -51,6 +51,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_bpe_round_trip,
         op2_toxicity,
         op4_quality_classifier,
+        op5_nn_descent,
         op7_secret_scan,
         op8_mix_sources,
         op9_jaccard_join,
