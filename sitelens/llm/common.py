@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows are handed to Python in batches of about so many bytes.
 ARROW_BYTES = 8 << 20
+WORK = "sitelens-"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read back, so lost executors cost nothing done so far."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sitelens-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{WORK}{uuid.uuid4().hex}"
     df.write.parquet(path)
     # The plan just written is done with: let the JVM drop its shuffle files now, not at some later collection.
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table made by written() that nothing will read again."""
+    jvm, hadoop = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/{WORK}" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of an id as text, modulo a number of folds; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard_join, mixing, nn_descent, quality, secrets, toxicity
+from . import bpe, fingerprints, jaccard_join, mixing, nn_descent, quality, secrets, suffix_dedup, toxicity
 from .common import fold, table
 
 
@@ -39,6 +39,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n_bytes",
+        suffix_dedup.removed_bytes(F.col("spans")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
@@ -83,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_bpe_round_trip,
         op2_toxicity,
+        op3_suffix_dedup,
         op4_quality_classifier,
         op5_nn_descent,
         op7_secret_scan,
