@@ -111,14 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = SAM
     return {"good": good, "bad": bad, "beta": beta, "centre": centre.tolist(), "scale": scale.tolist()}
 
 
-def score_quality(docs: DataFrame, model: dict) -> DataFrame:
-    """Adds `score` (0 to 1, higher: good) to documents; every other column is kept as it is.
-
-    The input may have columns of any name; one called `score` is replaced.
-    """
-    docs = docs.drop("score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    names = [*docs.columns, "score"]
+def score_quality(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """Adds `score` (0 to 1, higher: good), or as named, to documents; every other column is kept as it is."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    names = [*docs.columns, name]
     at = docs.columns.index("text")
 
     def run(batches):

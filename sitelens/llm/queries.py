@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard_join, mixing, nn_descent, quality, secrets, suffix_dedup, toxicity
+from . import bpe, fingerprints, jaccard_join, mixing, nn_descent, quality, secrets, suffix_dedup, toxicity, training_order
 from .common import fold, table
 
 
@@ -66,6 +66,19 @@ def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each shard row: its place in the training order and a digest of its records."""
+    _, shards = training_order.training_order(table(spark, sf_dir, "documents"))
+    return shards.select(
+        "shard",
+        "first_slot",
+        "records",
+        (F.pmod("first_slot", F.lit(training_order.PER_SHARD)) * 2 * training_order.LENGTH).alias("byte_offset"),
+        F.octet_length("payload").cast("long").alias("n_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+    )
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -97,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_suffix_dedup,
         op4_quality_classifier,
         op5_nn_descent,
+        op6_training_order,
         op7_secret_scan,
         op8_mix_sources,
         op9_jaccard_join,

@@ -118,8 +118,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int =
     return {"ratio": [a - b for a, b in zip(*log_p, strict=True)]}
 
 
-def scan(docs: DataFrame, model: dict | None, least_ratio: float = LEAST_RATIO, least_rate: float = LEAST_RATE) -> DataFrame:
-    """All columns of docs, then base_spans and spans: arrays of (start, end, kind, text) by start, then kind as listed.
+def scan(docs: DataFrame, model: dict | None, least_ratio: float = LEAST_RATIO, least_rate: float = LEAST_RATE, names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
+    """All columns of docs, then base_spans and spans (or as named): arrays of (start, end, kind, text) by start, then kind as listed.
 
     spans are the base spans and those the models add (kind 'markov') where no base span overlaps.
     """
@@ -140,7 +140,7 @@ def scan(docs: DataFrame, model: dict | None, least_ratio: float = LEAST_RATIO,
         apart = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         random = lambda s: _log_ratio(model, s["text"]) >= F.greatest(F.lit(least_ratio), least_rate * (F.length(s["text"]) - 1))
         out = out.withColumn("__added", F.filter("__added", lambda s: apart(s) & random(s)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], ordered(F.col("__base")).alias("base_spans"), ordered(F.concat("__base", "__added")).alias("spans"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], ordered(F.col("__base")).alias(names[0]), ordered(F.concat("__base", "__added")).alias(names[1]))
 
 
 def listed(spans: Column) -> Column:
@@ -158,8 +158,8 @@ def redact(docs: DataFrame, model: dict | None, mask: str = "[SECRET]") -> DataF
         piece = F.concat(held["out"], F.when(inside, F.lit("")).otherwise(F.concat(F.substr(text, held["at"] + 1, s["start"] - held["at"]), F.lit(mask))))
         return F.struct(piece.alias("out"), F.greatest(held["at"], s["end"]).alias("at"))
 
-    clean = F.aggregate("spans", zero, step, lambda held: F.concat(held["out"], F.substr(text, held["at"] + 1, F.length(text))))
-    out = scan(docs, model).withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text))
+    clean = F.aggregate("__spans", zero, step, lambda held: F.concat(held["out"], F.substr(text, held["at"] + 1, F.length(text))))
+    out = scan(docs, model, names=("__base_spans", "__spans")).withColumn("text", F.when(F.size("__spans") > 0, clean).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
