@@ -48,6 +48,10 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, tuple[bytes, bytes]] = {}
+        trial = ["thing", "thing.", "Thing,", "q"]
+        direct = [[t.id for w in pair for t in self.tokenizer.model.tokenize(w)] for pair in (["thing"], ["thing", "."], ["thing", ","], ["q"])]
+        #: Whether the file lower-cases and keeps letters apart from marks, so both steps may be skipped for plain words.
+        self.plain_words = [e.ids for e in self.tokenizer.encode_batch(trial, add_special_tokens=False)] == direct
 
     def learn(self, chunks: set[bytes]) -> None:
         new = [c for c in chunks if c not in self.memo]
@@ -56,9 +60,20 @@ class ChunkEncoder:
         if len(self.memo) + len(new) > MEMO:
             self.memo = {}
             new = list(chunks)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)]
-        texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for c, i, t in zip(new, ids, texts, strict=True):
+        ids: dict[bytes, list[int]] = {}
+        if self.plain_words:
+            # a word of lower-case ASCII letters passes the normaliser and pre-tokenizer as it is, a mark after it by itself
+            word = self.tokenizer.model.tokenize
+            for c in new:
+                if c.isalpha() and c.islower():
+                    ids[c] = [t.id for t in word(c.decode())]
+                elif c[-1:] in (b",", b".") and c[:-1].isalpha() and c.islower():
+                    ids[c] = [t.id for t in word(c[:-1].decode())] + [t.id for t in word(c[-1:].decode())]
+        others = [c for c in new if c not in ids]
+        for c, e in zip(others, self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False), strict=True):
+            ids[c] = e.ids
+        texts = self.tokenizer.decode_batch(list(ids.values()), skip_special_tokens=False)
+        for (c, i), t in zip(ids.items(), texts, strict=True):
             self.memo[c] = (np.asarray(i, dtype="<u4").tobytes(), t.encode())
 
     def encode(self, chunks: list[bytes]) -> tuple[bytes, bytes]:
@@ -71,7 +86,8 @@ class ChunkEncoder:
         held: list[list[bytes]] = []
         seen: set[bytes] = set()
         for text in texts:
-            chunks = text.split()
+            # lower case makes more chunks equal; not where a special token may be written
+            chunks = (text.lower() if self.plain_words and b"<|" not in text else text).split()
             if held and len(seen) + len(chunks) > MEMO // 4:
                 self.learn(seen)
                 yield from map(self.encode, held)
