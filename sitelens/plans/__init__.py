@@ -1,0 +1 @@
+"""Registered queries of the library's own operators."""
