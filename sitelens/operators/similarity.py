@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from . import scoring
@@ -21,11 +22,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _joined(words: Column, n: int) -> Callable[[Column], Column]:
+    return lambda i: F.array_join(F.slice(words, i, n), " ")
+
+
 def ngrams(words: Column, low: int, high: int) -> Column:
     parts = [words] if low == 1 else []
     for n in range(max(2, low), high + 1):
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
+        parts.append(F.transform(starts, _joined(words, n)))
     return F.concat(*parts)
 
 
@@ -139,7 +144,7 @@ def shares_group(a: Column, b: Column, synonyms: dict[str, list[str]]) -> Column
     return F.when(hit, 0.4).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two names; no built-in function has this measure."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
