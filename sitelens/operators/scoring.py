@@ -62,9 +62,9 @@ def polarity(text: Column, positive: list[str] = L.POSITIVE, negative: list[str]
     return F.when(p > n, verdict("O", F.least(0.8 + 0.1 * p, F.lit(0.95)), "")).when(n > p, verdict("X", F.least(0.8 + 0.1 * n, F.lit(0.95)), "")).otherwise(verdict("△", 0.6, ""))
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Tokens of b that are tokens of a too, if at least half of b's are."""
-    both = F.array_intersect(T.words(b), T.words(a))
+def overlap(a: Column, b: Column, tokens: Column | None = None) -> Column:
+    """Tokens of b that are tokens of a too, if at least half of b's are.  `tokens`: a's, where they are there already."""
+    both = F.array_intersect(T.words(b), T.words(a) if tokens is None else tokens)
     return F.when(F.size(both) >= 0.5 * F.size(F.array_distinct(T.words(b))), both).otherwise(F.array().cast("array<string>"))
 
 
@@ -72,25 +72,35 @@ def first_phrase(low: Column, phrases: list[str]) -> Column:
     return F.coalesce(*[F.when(low.contains(p), F.lit(p)) for p in phrases])
 
 
-def keyword_support(keyword: Column, low: Column, negative: list[str] = L.KEYWORD_NEGATIVE) -> Column:
+def keyword_support(keyword: Column, low: Column, negative: list[str] = L.KEYWORD_NEGATIVE, tokens: Column | None = None) -> Column:
     """Exact substring, most words of a phrase, shared tokens, a negative phrase, else unsupported.  `low`: lower-cased text."""
     k = F.lower(keyword)
     parts = T.words(k)
-    found = F.filter(parts, lambda w: low.contains(w))
-    shared = overlap(low, k)
-    return (
-        F.when(low.contains(k), verdict("O", 0.9, keyword))
-        .when((F.size(parts) > 1) & (F.size(found) >= 0.7 * F.size(parts)), verdict("△", 0.7, F.array_join(found, ", ")))
-        .when((F.size(shared) > 0), verdict("△", 0.6, F.array_join(F.slice(F.array_sort(shared), 1, 3), ", ")))
-        .when(first_phrase(low, negative).isNotNull(), verdict("X", 0.8, first_phrase(low, negative)))
-        .otherwise(verdict("X", 0.5, ""))
-    )
+    known = F.struct(F.filter(parts, lambda w: low.contains(w)).alias("found"), overlap(low, k, tokens).alias("shared"))
+
+    def judge(x: Column) -> Column:
+        found, shared = x["found"], x["shared"]
+        return (
+            F.when((F.size(parts) > 1) & (F.size(found) >= 0.7 * F.size(parts)), verdict("△", 0.7, F.array_join(found, ", ")))
+            .when(F.size(shared) > 0, verdict("△", 0.6, F.array_join(F.slice(F.array_sort(shared), 1, 3), ", ")))
+            .when(first_phrase(low, negative).isNotNull(), verdict("X", 0.8, first_phrase(low, negative)))
+            .otherwise(verdict("X", 0.5, ""))
+        )
+
+    # an array of one binds what was found to a variable, and only where the keyword itself is not there
+    return F.when(low.contains(k), verdict("O", 0.9, keyword)).otherwise(F.get(F.transform(F.array(known), judge), F.lit(0)))
+
+
+def with_tokens(pages: DataFrame) -> DataFrame:
+    """pages (content) with __low and __tokens, made once for all keywords."""
+    return pages.withColumn("__low", F.lower("content")).withColumn("__tokens", F.array_distinct(T.words(F.col("__low"))))
 
 
 def analyse_pages(pages: DataFrame, keywords: DataFrame) -> DataFrame:
     """Every page with every keyword of its project: the verdict row.  Keywords are a broadcast dimension."""
-    low = pages.withColumn("__low", F.lower("content"))
-    return low.join(F.broadcast(keywords.filter(F.length(F.trim("keyword")) > 0)), "project_id").withColumn("v", keyword_support(F.col("keyword"), F.col("__low"))).select("page_id", "keyword_id", "keyword", "v.*")
+    asked = with_tokens(pages).join(F.broadcast(keywords.filter(F.length(F.trim("keyword")) > 0)), "project_id")
+    v = keyword_support(F.col("keyword"), F.col("__low"), tokens=F.col("__tokens"))
+    return asked.withColumn("v", v).select("page_id", "keyword_id", "keyword", "v.*")
 
 
 def in_context(text: Column, feature: Column, compat: bool = False) -> Column:
