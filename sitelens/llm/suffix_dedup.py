@@ -184,7 +184,10 @@ def repeated_windows(docs: DataFrame, length: int, kgram: int, small: int = SIDE
     near = written(surroundings(docs, wanted, length, kgram))
     parts = side_by_side(near.filter(F.col("m") <= small), length, kgram).unionByName(by_position(near.filter(F.col("m") > small), length, kgram))
     runs = whole.unionByName(parts).distinct()
-    return written(runs.groupBy("d1", "d2").agg(F.collect_list(F.struct("first", "last")).alias("starts")))
+    starts = written(runs.groupBy("d1", "d2").agg(F.collect_list(F.struct("first", "last")).alias("starts")))
+    for done in (left, groups, near):
+        discard(done)
+    return starts
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int | None = None) -> DataFrame:
