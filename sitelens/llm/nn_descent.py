@@ -2,9 +2,13 @@
 
 Vectors start with neighbours from the order of random projections, then each node's neighbours are compared with one
 another (neighbours of neighbours), and every node keeps its best list, until few lists change.  Links at the
-threshold give components.  A list may be saturated, with more links than it has room for; so within each component
-the lists are enlarged to all members, compared block against block, and links are counted rather than listed.
-An audit compares a bounded sample with all rows by brute force; where recall is short, more projections are added.
+threshold give components.  A list may be saturated, with more links than it has room for.  A link in neither end's
+list has two saturated ends; so saturated nodes search again among themselves, with a list for the best neighbours outside
+their own component beside that for those inside, and components that link are merged, until no list of outside neighbours is
+saturated (each turn merges every component that has such a list).  Then within each component all
+members are compared, block against block, and links are counted rather than listed.
+An audit compares a bounded sample of all rows with all rows by brute force, counting links and counting rows; while recall
+is short, more projections are added, and the query fails rather than give a result whose recall stays short.
 
 Edge cases: vectors that are null, zero, of null or non-finite components, or without a label link with nothing and are
 their own component; equal vectors (copies) form one node; different lengths are never compared; a repeated or null
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import components, written
 
 THRESHOLD = 0.98
+EDGES = "node long, other long, cosine double, same boolean"
 #: Length of a node's list, projections at the start, rows compared ahead in each, rounds, and the share of changes to stop at.
 NEIGHBOURS = 8
 PROJECTIONS = 8
@@ -31,19 +36,21 @@ AHEAD = 16
 ROUNDS = 4
 SETTLED = 0.01
 BLOCK = 256
-#: Audit: sampled nodes, the recall asked for, and how often projections are added.
-AUDIT = 128
+#: Audit: nodes sampled among all rows and among linked ones, the recall asked for, and how often projections are added before failing.
+AUDIT = 512
+AUDIT_LINKED = 128
 LEAST_RECALL = 0.97
-EXTRA = 3
+EXTRA = 12
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """Distinct usable vectors: (node, first_id, copies, part: label and length, v: the vector's floats)."""
+    """Distinct usable vectors: (node, first_id, copies, part: label and length, v: the vector's floats, label, own: the node itself)."""
     e = F.col("embedding")
     usable = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
     good = rows.filter(F.coalesce(usable, F.lit(False))).withColumn("embedding", e.cast("array<float>"))
     merged = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
-    return written(merged.select(F.monotonically_increasing_id().alias("node"), "first_id", "copies", F.concat_ws(":", F.col("label").cast("string"), F.size("embedding")).alias("part"), F.col("embedding").alias("v"), "label"))
+    made = written(merged.select(F.monotonically_increasing_id().alias("node"), "first_id", "copies", F.concat_ws(":", F.col("label").cast("string"), F.size("embedding")).alias("part"), F.col("embedding").alias("v"), "label"))
+    return made.withColumn("own", F.col("node"))
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -64,7 +71,11 @@ def _by_length(batch: pa.RecordBatch, name: str):
 
 
 def first_graph(nodes: DataFrame, n: int, seeds: list[int], k: int, ahead: int) -> DataFrame:
-    """(node, other, cosine): the best neighbours among the rows ahead in the order of each random projection."""
+    """(node, other, cosine, same): the best neighbours among the rows ahead in the order of each random projection.
+
+    `same` tells whether both are of one component (`own`).  Of a run of one component only both ends are compared ahead.
+    """
+    edge = max(1, ahead // 4)
     bits = max(1, math.ceil(math.log2(max(2, n) / 64))) if n > 64 else 1
 
     def place(batches):
@@ -76,8 +87,8 @@ def first_graph(nodes: DataFrame, n: int, seeds: list[int], k: int, ahead: int)
                     code = (side[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
                     at = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("node").take(at), batch.column("part").take(at), pa.array(np.full(len(rows), seed, dtype=np.int32)), pa.array(code), pa.array(side[:, bits]), batch.column("v").take(at)],
-                        names=["node", "part", "seed", "code", "at", "v"],
+                        [batch.column("node").take(at), batch.column("own").take(at), batch.column("part").take(at), pa.array(np.full(len(rows), seed, dtype=np.int32)), pa.array(code), pa.array(side[:, bits]), batch.column("v").take(at)],
+                        names=["node", "own", "part", "seed", "code", "at", "v"],
                     )
 
     def compare(batches):
@@ -85,47 +96,63 @@ def first_graph(nodes: DataFrame, n: int, seeds: list[int], k: int, ahead: int)
         for batch in batches:
             table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             fresh = 0 if held is None else held.num_rows
-            node = table.column("node").to_numpy()
+            own = table.column("own").to_numpy()
             group = pa.array(table.column("part")).dictionary_encode().indices.to_numpy(), table.column("seed").to_numpy(), table.column("code").to_numpy()
+            keep = ends_of_runs([own, *group], edge)
+            if not keep.all():
+                fresh, table, own, group = int(keep[:fresh].sum()), table.filter(pa.array(keep)), own[keep], tuple(g[keep] for g in group)
+            node = table.column("node").to_numpy()
             out: list[tuple] = []
             for rows, x in _by_length(table, "v"):
                 for lag in range(1, min(ahead, len(rows) - 1) + 1):
                     a, b = rows[:-lag], rows[lag:]
                     same = np.logical_and.reduce([g[a] == g[b] for g in group]) & (b >= fresh)
                     cosine = np.einsum("ij,ij->i", x[:-lag][same], x[lag:][same])
-                    out.append((node[a][same], node[b][same], cosine))
+                    out.append((node[a][same], node[b][same], cosine, (own[a] == own[b])[same]))
             if out:
-                a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-                a, b, c = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([c, c])
-                yield _best(a, b, c, k)
+                a, b, c, s = (np.concatenate(z) for z in zip(*out, strict=True))
+                a, b, c, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([c, c]), np.concatenate([s, s])
+                yield _best(a, b, c, s, k)
             held = table.slice(max(0, table.num_rows - ahead))
 
-    placed = nodes.select("node", "part", "v").mapInArrow(place, "node long, part string, seed int, code long, at double, v array<float>")
+    placed = nodes.select("node", "own", "part", "v").mapInArrow(place, "node long, own long, part string, seed int, code long, at double, v array<float>")
     ordered = placed.repartition("part", "seed", "code").sortWithinPartitions("part", "seed", "code", "at", "node")
-    return ordered.mapInArrow(compare, "node long, other long, cosine double")
-
-
-def _best(a: np.ndarray, b: np.ndarray, c: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k highest of each a."""
-    order = np.lexsort((b, -c, a))
-    a, b, c = a[order], b[order], c[order]
-    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, dtype=np.int64)
+    return ordered.mapInArrow(compare, EDGES)
+
+
+def ends_of_runs(keys: list[np.ndarray], edge: int) -> np.ndarray:
+    """Marks all rows but those more than `edge` rows inside a run of equal keys."""
+    n = len(keys[0])
+    start = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([g[1:] != g[:-1] for g in keys])])) if n else np.zeros(0, dtype=np.int64)
+    length = np.diff(np.append(start, n))
+    place = np.arange(n) - np.repeat(start, length)
+    return (place < edge) | (np.repeat(length, length) - place <= edge)
+
+
+def _best(a: np.ndarray, b: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k highest of each a, for those of its own component (s) and for others; a pair met several times counts once."""
+    order = np.lexsort((b, a))
+    first = order[np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])] if len(a) else order
+    a, b, c, s = a[first], b[first], c[first], s[first]
+    order = np.lexsort((b, -c, s, a))
+    a, b, c, s = a[order], b[order], c[order], s[order]
+    start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])])) if len(a) else np.zeros(0, dtype=np.int64)
     rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
     keep = rank < k
-    return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(c[keep])], names=["node", "other", "cosine"])
+    return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(c[keep]), pa.array(s[keep])], names=["node", "other", "cosine", "same"])
 
 
 def top(edges: DataFrame, k: int) -> DataFrame:
-    """The k best distinct neighbours of each node; partial aggregation removes repeats first."""
-    once = edges.groupBy("node", "other").agg(F.max("cosine").alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("cosine"), "other"))
+    """The k best distinct neighbours of each node inside and outside its component; partial aggregation removes repeats first."""
+    once = edges.groupBy("node", "other", "same").agg(F.max("cosine").alias("cosine"))
+    rank = F.row_number().over(Window.partitionBy("node", "same").orderBy(F.desc("cosine"), "other"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
 def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """One round: every node's neighbours, in both directions, are compared with one another."""
-    both = top(graph.unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "cosine")), 2 * k)
-    lists = both.join(nodes.select(F.col("node").alias("other"), "v"), "other").select("node", "other", "v")
+    both = top(graph.unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "cosine", "same")), 2 * k)
+    lists = both.join(nodes.select(F.col("node").alias("other"), "own", "v"), "other").select("node", "other", "own", "v")
 
     def compare(batches):
         held: pa.Table | None = None
@@ -141,10 +168,10 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     def local(table: pa.Table):
         if not table.num_rows:
             return
-        node, other = table.column("node").to_numpy(), table.column("other").to_numpy()
+        node, other, own = table.column("node").to_numpy(), table.column("other").to_numpy(), table.column("own").to_numpy()
         x = _unit(table.column("v").combine_chunks()) if len(set(table.column("v").combine_chunks().value_lengths().to_pylist())) == 1 else None
         cuts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
-        a, b, c = [], [], []
+        a, b, c, same = [], [], [], []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             if e - s < 2:
                 continue
@@ -154,10 +181,11 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             a.append(other[s:e][i])
             b.append(other[s:e][j])
             c.append(sim[i, j])
+            same.append(own[s:e][i] == own[s:e][j])
         if a:
-            yield _best(np.concatenate(a), np.concatenate(b), np.concatenate(c), k)
+            yield _best(np.concatenate(a), np.concatenate(b), np.concatenate(c), np.concatenate(same), k)
 
-    found = lists.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "node long, other long, cosine double")
+    found = lists.repartition("node").sortWithinPartitions("node").mapInArrow(compare, EDGES)
     return top(graph.unionByName(found), k)
 
 
@@ -195,12 +223,39 @@ def count_links(nodes: DataFrame, labels: DataFrame, threshold: float, block: in
     return counted.groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def audit_recall(nodes: DataFrame, labels: DataFrame, n: int, threshold: float, sample: int = AUDIT) -> float:
-    """Share of a bounded sample's true links, by brute force against all rows, whose ends are in one component."""
-    part = max(1, n // sample)
-    drawn = nodes.join(labels.withColumnRenamed("id", "node"), "node").filter(F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(max(1, part // 16))) == 0).orderBy(F.xxhash64("node")).limit(sample).unionByName(
-        nodes.withColumn("component", F.lit(None).cast("long")).orderBy(F.xxhash64(F.lit(1), "node")).limit(sample)
-    ).select("node", "part", "v").distinct().collect()
+def link_components(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, seed: int) -> DataFrame:
+    """(id, component) of the links at the threshold, those that saturated lists have no room for included."""
+    linked = graph.filter((F.col("cosine") >= threshold) & (F.col("node") != F.col("other")))
+    labels = components(linked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    while True:
+        full = written(linked.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("node"))
+        n = full.count()
+        if not n:
+            return labels
+        own = written(full.join(labels.select(F.col("id").alias("node"), F.col("component").alias("own")), "node"))
+        among = nodes.drop("own").join(own, "node")
+        known = graph.drop("same").join(own, "node").join(own.select(F.col("node").alias("other"), F.col("own").alias("its")), "other")
+        known = known.select("node", "other", "cosine", (F.col("own") == F.col("its")).alias("same"))
+        seeds = list(range(seed, seed + PROJECTIONS))
+        seed += PROJECTIONS
+        graph = written(top(known.unionByName(first_graph(among, n, seeds, k, AHEAD)), k))
+        graph = descend(graph, among, n, k, ROUNDS)
+        # the best neighbour outside is listed, so every component with such a link is merged
+        linked = graph.filter(~F.col("same") & (F.col("cosine") >= threshold))
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(linked.select(F.col("node").alias("a"), F.col("other").alias("b"))))
+
+
+def audit_recall(nodes: DataFrame, labels: DataFrame, threshold: float, sample: int = AUDIT, linked: int = AUDIT_LINKED) -> float:
+    """The least share of true links, by brute force against all rows, whose ends are in one component.
+
+    It is taken over a bounded sample of all rows and over one of linked rows, of their links and, so that large groups do not
+    hide small ones, as the mean over the rows that have links.
+    """
+    every = nodes.orderBy(F.xxhash64(F.lit(1), "node")).limit(sample).select("node", "part", "v", F.lit(0).alias("draw"))
+    some = labels.orderBy(F.xxhash64(F.lit(5), "id")).limit(linked).select(F.col("id").alias("node"))
+    drawn = every.unionByName(nodes.join(F.broadcast(some), "node").select("node", "part", "v", F.lit(1).alias("draw"))).collect()
+    draws = {d: {r["node"] for r in drawn if r["draw"] == d} for d in (0, 1)}
+    drawn = list({r["node"]: r for r in drawn}.values())
     queries = [(r["node"], r["part"], np.asarray(r["v"], dtype=np.float64)) for r in drawn]
     by_part: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for p in {q[1] for q in queries}:
@@ -222,8 +277,13 @@ def audit_recall(nodes: DataFrame, labels: DataFrame, n: int, threshold: float,
 
     true = nodes.select("node", "part", "v").mapInArrow(search, "a long, b long")
     of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"component_{c}"))
-    got = true.join(of("a"), "a", "left").join(of("b"), "b", "left").agg(F.count("*").alias("n"), F.count_if(F.col("component_a") == F.col("component_b")).alias("found")).first()
-    return got["found"] / got["n"] if got["n"] else 1.0
+    got = true.join(of("a"), "a", "left").join(of("b"), "b", "left").groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("component_a") == F.col("component_b")).alias("found")).collect()
+    shares = [1.0]
+    for held in draws.values():
+        own = [(r["found"], r["n"]) for r in got if r["a"] in held]
+        if own:
+            shares += [sum(f for f, _ in own) / sum(n for _, n in own), sum(f / n for f, n in own) / len(own)]
+    return min(shares)
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
@@ -235,10 +295,12 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
     graph = written(top(first_graph(nodes, n, seeds, k, AHEAD), k))
     for extra in range(EXTRA + 1):
         graph = descend(graph, nodes, n, k, ROUNDS)
-        links = graph.filter((F.col("cosine") >= threshold) & (F.col("node") != F.col("other"))).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        labels = components(links)
-        if extra == EXTRA or audit_recall(nodes, labels, n, threshold) >= LEAST_RECALL:
+        labels = link_components(graph, nodes, k, threshold, (extra + 1) << 16)
+        recall = audit_recall(nodes, labels, threshold)
+        if recall >= LEAST_RECALL:
             break
+        if extra == EXTRA:
+            raise RuntimeError(f"recall of near duplicates stays at {recall:.3f} after {PROJECTIONS * (extra + 1)} projections")
         more = [PROJECTIONS * (extra + 1) + s for s in range(PROJECTIONS)]
         graph = written(top(graph.unionByName(first_graph(nodes, n, more, k, AHEAD)), k))
 

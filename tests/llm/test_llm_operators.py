@@ -113,6 +113,26 @@ def test_nn_descent_equals_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 904, 905))
 
 
+@pytest.mark.parametrize("size, groups", [(20, 2), (40, 5)])
+def test_nn_descent_links_groups_larger_than_lists(spark, size, groups):
+    """Tight groups, each linked as a whole to the next: lists have room for members of the own group only."""
+    rng = np.random.default_rng(11)
+    centres = [np.eye(16)[0]]
+    for g in range(1, groups):
+        centres.append(0.985 * centres[-1] + np.sqrt(1 - 0.985**2) * np.eye(16)[g])
+    x = np.concatenate([c + rng.standard_normal((size, 16)) * 0.0008 for c in centres] + [rng.standard_normal((60, 16))])
+    x = np.float32(x[rng.permutation(len(x))])
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    root = list(range(len(x)))
+    for _ in range(groups + 1):
+        root = [min([root[i], *(root[j] for j in np.flatnonzero(near[i]))]) for i in range(len(x))]
+    rows = spark.createDataFrame([(i, [float(f) for f in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nn_descent.near_duplicates(rows).collect()}
+    assert got == {i: (int(near[i].sum()), root[i], root[i] == i) for i in range(len(x))}
+    assert max(n for n, _, _ in got.values()) >= 2 * size - 1
+
+
 def test_training_order_is_a_permutation(spark, docs, empty):
     for n in (1, 2, 7, 1000, 4097):
         assert sorted(training_order.feistel(np.arange(n), n).tolist()) == list(range(n))
