@@ -10,6 +10,8 @@ others; without labelled rows of both classes every score is 0.5; a label given
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -17,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 #: Bound on the labelled documents of a class that are fitted on; half make dictionaries, half calibrate.
 SAMPLE_PER_CLASS = 1500
-#: Bound on the bytes of a sampled document that enter a dictionary (scores always use whole texts).
-SAMPLE_BYTES = 4096
+#: Bytes of a dictionary, shared among all its sampled texts, and the most of one text that enters it.
 DICTIONARY_BYTES = 256 << 10
-EXCERPT_BYTES = 512
+EXCERPT_BYTES = 2048
 BLOCK_BYTES = 512
 LEVEL = 6
 
@@ -50,16 +53,25 @@ class CompressedSizes:
         return (with_bad - with_good) / len(text), (with_bad + with_good) / (2 * len(text))
 
 
-def excerpt(text: bytes, size: int = EXCERPT_BYTES) -> bytes:
-    """The middle of a sample text, for a dictionary."""
-    at = max(0, (len(text) - size) // 2)
-    return text[at : at + size]
+def share(n: int, size: int = DICTIONARY_BYTES) -> int:
+    """Bytes that each of n texts may put into a dictionary, so that all of them fit with the line ends between."""
+    return max(1, min(EXCERPT_BYTES, size // max(1, n) - 1))
+
 
+def excerpt(text: bytes, size: int) -> bytes:
+    """A whole text, or one piece of either half at places seeded by the text, for a dictionary."""
+    if len(text) <= size:
+        return text
+    places = np.random.default_rng(zlib.crc32(text))
+    middle, first = len(text) // 2, size // 2
+    a = int(places.integers(0, middle - first + 1))
+    b = int(places.integers(middle, len(text) - (size - first) + 1))
+    return text[a : a + first] + text[b : b + size - first]
 
-def dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """Dictionary content: excerpts of many samples end to end, longer ones where there are few samples."""
-    each = max(EXCERPT_BYTES, min(4 * EXCERPT_BYTES, size // max(1, len(texts))))
-    return b"\n".join(excerpt(t, each) for t in texts)[:size].ljust(8, b"\0")
+
+def dictionary(excerpts: list[bytes]) -> bytes:
+    """Dictionary content: the excerpts of all samples end to end."""
+    return b"\n".join(excerpts).ljust(8, b"\0")
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -91,23 +103,43 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = SAMPLE_PER_CLASS) -> dict:
-    """Dictionaries and calibration from a bounded labelled sample (2 x per_class texts, SAMPLE_BYTES of each)."""
+    """Dictionaries and calibration from a bounded labelled sample of 2 x per_class whole texts.
+
+    Tasks cut the excerpts and measure the calibration rows; the driver gets the dictionaries' bytes and two numbers a row.
+    """
     known = labels.filter(usable & F.col("quality").isin(0, 1)).agg(F.avg("quality").alias("share"), F.count("*").alias("n")).first()
     sample = labelled_sample(docs, labels, "quality", usable, per_class)
     # repeated ids may match several rows: one text for each id keeps the sample bounded
-    rows = sample.groupBy("doc_id").agg(F.min(F.substring("text", 1, SAMPLE_BYTES)).alias("text"), F.max("y").alias("y"), (F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string"))) % 2).alias("half")).orderBy("doc_id").collect()
-    texts = [(r["text"].encode(), r["y"], r["half"]) for r in rows if r["text"]]
-    if len({y for _, y, _ in texts}) < 2:
+    once = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"), (F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string"))) % 2).alias("half"))
+    texts = written(once.filter(F.octet_length("text") > 0))
+    counts = {(r["y"], r["half"]): r["count"] for r in texts.groupBy("y", "half").count().collect()}
+    if len({y for y, _ in counts}) < 2:
         return {"good": b"\0" * 8, "bad": b"\0" * 8, "beta": [0.0, 0.0, 0.0], "centre": [0.0, 0.0], "scale": [1.0, 1.0]}
-    good, bad = (dictionary([t for t, y, h in texts if y == want and h == 0]) for want in (1, 0))
-    measure = CompressedSizes(good, bad)
-    held = [(measure(t), y) for t, y, h in texts if h == 1] or [(measure(t), y) for t, y, _ in texts]
-    x, y = np.array([v for v, _ in held]), np.array([v for _, v in held])
+    shares = {y: share(counts.get((y, 0), 0)) for y in (0, 1)}
+
+    def cut(batches):
+        for batch in batches:
+            pieces = [excerpt(t, shares[y]) for t, y in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(pieces, pa.binary())], names=["doc_id", "y", "piece"])
+
+    kinds = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, y int"
+    pieces = texts.filter("half = 0").select("doc_id", "y", "text").mapInArrow(cut, f"{kinds}, piece binary").orderBy("doc_id").collect()
+    good, bad = (dictionary([bytes(r["piece"]) for r in pieces if r["y"] == want]) for want in (1, 0))
+
+    def measured(batches):
+        measure = CompressedSizes(good, bad)
+        for batch in batches:
+            x = np.array([measure(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["doc_id", "y", "apart", "mean"])
+
+    unseen = texts.filter("half = 1") if any(half == 1 for _, half in counts) else texts
+    held = unseen.select("doc_id", "y", "text").mapInArrow(measured, f"{kinds}, apart double, mean double").orderBy("doc_id").collect()
+    x, y = np.array([(r["apart"], r["mean"]) for r in held]), np.array([r["y"] for r in held])
     centre, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     beta = calibrate((x - centre) / scale, y)
     # the sample is balanced by class: move the intercept to the share of good rows among all labels
-    share, drawn = min(max(float(known["share"]), 1e-6), 1 - 1e-6), min(max(float(y.mean()), 1e-6), 1 - 1e-6)
-    beta[-1] += float(np.log(share / (1 - share)) - np.log(drawn / (1 - drawn)))
+    among, drawn = min(max(float(known["share"]), 1e-6), 1 - 1e-6), min(max(float(y.mean()), 1e-6), 1 - 1e-6)
+    beta[-1] += float(np.log(among / (1 - among)) - np.log(drawn / (1 - drawn)))
     return {"good": good, "bad": bad, "beta": beta, "centre": centre.tolist(), "scale": scale.tolist()}
 
 

@@ -70,6 +70,20 @@ def test_classifiers_without_labels_or_texts(spark, docs, empty):
     assert {r.score for r in toxicity.score_toxicity(docs.select("doc_id", "text"), toxicity.fit(docs, none, F.lit(True))).collect()} == {0.0}
 
 
+def test_quality_learns_from_whole_texts(spark):
+    """Good and bad texts differ only after their first 6,000 characters; every sampled text enters its dictionary."""
+    random.seed(4)
+    words = {y: ["".join(random.choice("abcdefghij" if y == 1 else "klmnopqrst") for _ in range(7)) for _ in range(40)] for y in (0, 1)}
+    same = ["".join(random.choice("uvwxyz") for _ in range(7)) for _ in range(40)]
+    made = [(i, " ".join(random.choices(same, k=750) + random.choices(words[i % 2], k=750))) for i in range(80)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    got = quality.score_quality(docs, quality.fit(docs, labels, F.col("doc_id") < 60)).collect()
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in got)
+    size, n = quality.DICTIONARY_BYTES, 1500
+    assert n * (quality.share(n) + 1) <= size and len(quality.excerpt(bytes(9000), quality.share(n))) == quality.share(n)
+
+
 def brute_repeats(texts, length):
     seen = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
     out = []
