@@ -1,36 +1,44 @@
 """BPE encoding and decoding of whole texts with a public tokenizer file.
 
 Chunks between ASCII white space encode independently of each other (white space starts no token, composes with
-nothing and is dropped), so a task keeps a bounded memo of chunks.  A very long chunk without white space is
-encoded by tree concatenation: leaves of it are encoded in parallel tasks, then joined in pairs; at each join a
-window of tokens is encoded anew, doubling until its first token is again the left side's and its last the right
-side's.  A token sequence in which every adjacent pair is what the pair's own text encodes to is the encoding of
-the whole, so this agreement makes the result exact.
+nothing and is dropped), so a task encodes each distinct chunk of a batch once and keeps a bounded memo of them.
 
-Edge cases: null and empty texts have no tokens and decode to ''; ids may be null or repeat; an empty table gives no rows.
+Long texts are encoded by tree concatenation.  A text is halved, at any code point, until its leaves are small; leaves are
+encoded in parallel tasks and joined in pairs.  At each join a window of chunks on either side is encoded anew, doubling
+until its first chunk is again what the left side has and its last what the right side has: outside of it nothing can
+differ.  A very long chunk without white space is joined in the same way by tokens: a token sequence in which
+every adjacent pair is what the pair's own text encodes to is the encoding of the whole, so agreement makes it exact.
+
+Edge cases: null and empty texts have no tokens and decode to ''; ids may be null or repeat, each row gives a row; of equal
+long texts one is encoded; columns of other names are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import tidy, written
 
-#: Runs without ASCII white space of at least so many bytes are encoded by tree concatenation.
-LONG_RUN = 16384
-#: Characters of a leaf of the tree.
-LEAF = 4096
-#: Tokens on either side of a join that are encoded anew at first.
+#: Texts of at least so many bytes are halved until no leaf has more than LEAF bytes.
+LONG_TEXT = 32768
+LEAF = 8192
+#: Tokens, or chunks, on either side of a join that are encoded anew at first.
 WINDOW = 8
+WINDOW_CHUNKS = 1
+#: Chunks that a joined part keeps apart at either end for later windows.
+EDGE = 4
 #: Bound on the chunks that a worker remembers.
-MEMO = 300_000
-#: Bound on the characters of the other rows that a long text is split into.
-PIECE = 32768
+MEMO = 200_000
 
 _loaded: dict[str, ChunkEncoder] = {}
 
@@ -53,58 +61,140 @@ class ChunkEncoder:
         #: Whether the file lower-cases and keeps letters apart from marks, so both steps may be skipped for plain words.
         self.plain_words = [e.ids for e in self.tokenizer.encode_batch(trial, add_special_tokens=False)] == direct
 
-    def learn(self, chunks: set[bytes]) -> None:
+    def learn(self, chunks: list[bytes]) -> None:
+        """Puts distinct chunks into the memo."""
         new = [c for c in chunks if c not in self.memo]
         if not new:
             return
         if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = list(chunks)
-        ids: dict[bytes, list[int]] = {}
+            self.memo, new = {}, chunks
+        order, ids, others = [], [], []
         if self.plain_words:
             # a word of lower-case ASCII letters passes the normaliser and pre-tokenizer as it is, a mark after it by itself
             word = self.tokenizer.model.tokenize
             for c in new:
-                if c.isalpha() and c.islower():
-                    ids[c] = [t.id for t in word(c.decode())]
-                elif c[-1:] in (b",", b".") and c[:-1].isalpha() and c.islower():
-                    ids[c] = [t.id for t in word(c[:-1].decode())] + [t.id for t in word(c[-1:].decode())]
-        others = [c for c in new if c not in ids]
-        for c, e in zip(others, self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False), strict=True):
-            ids[c] = e.ids
-        texts = self.tokenizer.decode_batch(list(ids.values()), skip_special_tokens=False)
-        for (c, i), t in zip(ids.items(), texts, strict=True):
-            self.memo[c] = (np.asarray(i, dtype="<u4").tobytes(), t.encode())
-
-    def encode(self, chunks: list[bytes]) -> tuple[bytes, bytes]:
-        """ids and decoded text of chunks that were learnt."""
-        got = [self.memo[c] for c in chunks]
-        return b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[0]])
-
-    def encode_texts(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Texts in runs whose distinct chunks fit the memo."""
-        held: list[list[bytes]] = []
-        seen: set[bytes] = set()
-        for text in texts:
-            # lower case makes more chunks equal; not where a special token may be written
-            chunks = (text.lower() if self.plain_words and b"<|" not in text else text).split()
-            if held and len(seen) + len(chunks) > MEMO // 4:
-                self.learn(seen)
-                yield from map(self.encode, held)
-                held, seen = [], set()
-            held.append(chunks)
-            seen.update(chunks)
-        self.learn(seen)
-        yield from map(self.encode, held)
+                letters = c[:-1] if c[-1:] in (b",", b".") else c
+                if letters.isalpha() and letters.islower() and letters.isascii():
+                    order.append(c)
+                    ids.append([t.id for t in word(letters.decode())])
+                    if letters is not c:
+                        ids[-1].append(word(c[-1:].decode())[0].id)
+                else:
+                    others.append(c)
+        else:
+            others = new
+        ids += [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)]
+        flat = np.fromiter((i for one in ids for i in one), dtype="<u4").tobytes()
+        at = 0
+        for c, one, text in zip(order + others, ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False), strict=True):
+            self.memo[c] = (flat[at : at + 4 * len(one)], text.encode())
+            at += 4 * len(one)
+
+    def chunks(self, texts: pa.Array) -> pa.ListArray:
+        """The chunks of each text.  Lower case makes more of them equal; not where a special token may be written."""
+        if self.plain_words:
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        flat = split.flatten()
+        full = pc.not_equal(pc.binary_length(flat), 0)  # white space at either end leaves an empty one
+        before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+        offsets = np.asarray(split.offsets) - np.asarray(split.offsets)[0]
+        return pa.ListArray.from_arrays(pa.array(before[offsets], pa.int32()), flat.filter(full))
+
+    def encode_lists(self, chunks: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+        """Binary arrays: the ids and the decoded text of each list of chunks."""
+        coded = chunks.values.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        ids, texts = [], []
+        for a in range(0, len(distinct), MEMO // 2):
+            part = distinct[a : a + MEMO // 2]
+            self.learn(part)
+            got = [self.memo[c] for c in part]
+            ids += [g[0] for g in got]
+            texts += [g[1] for g in got]
+        of_ids, of_texts, index = pa.array(ids, pa.binary()), pa.array(texts, pa.binary()), coded.indices
+        joined = pc.binary_join(pa.ListArray.from_arrays(chunks.offsets, of_ids.take(index)), b"")
+        if any(not i for i in ids):  # a chunk without tokens leaves no space
+            full = pc.not_equal(pc.binary_length(of_ids.take(index)), 0)
+            before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+            return joined, pc.binary_join(pa.ListArray.from_arrays(pa.array(before[np.asarray(chunks.offsets)], pa.int32()), of_texts.take(index.filter(full))), b" ")
+        return joined, pc.binary_join(pa.ListArray.from_arrays(chunks.offsets, of_texts.take(index)), b" ")
+
+    def encode_texts(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        return self.encode_lists(self.chunks(texts))
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each worker process and file."""
+    """One encoder for each worker process and file, without what an earlier task remembered."""
     if path not in _loaded:
         _loaded[path] = ChunkEncoder(path)
+    _loaded[path].memo = {}
     return _loaded[path]
 
 
+def forgetful(run):
+    """A map function that drops the memos of its worker when the task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for held in _loaded.values():
+                held.memo = {}
+
+    return tidy(wrapped)
+
+
+class TextTree:
+    """Joins the encodings of adjacent parts of a text.
+
+    A part is a list of items (chunk, ids, decoded) in order.  The first and last EDGE items are single chunks; those between
+    are packed into one item without a chunk, so that a part of any length has few items.
+    """
+
+    def __init__(self, held: ChunkEncoder):
+        self.held = held
+
+    def items(self, chunks: list[bytes]) -> list[tuple]:
+        self.held.learn(list(dict.fromkeys(chunks)))
+        return [(c, *self.held.memo[c]) for c in chunks]
+
+    @staticmethod
+    def pack(items: list[tuple]) -> list[tuple]:
+        if len(items) <= 2 * EDGE + 1:
+            return items
+        middle = items[EDGE:-EDGE]
+        return [*items[:EDGE], (None, b"".join(i for _, i, _ in middle), b" ".join(t for _, i, t in middle if i)), *items[-EDGE:]]
+
+    def leaf(self, text: bytes) -> list[tuple]:
+        (chunks,) = self.held.chunks(pa.array([text.decode()], pa.string())).to_pylist()
+        return self.pack(self.items([c.encode() for c in chunks]))
+
+    def join(self, left: list[tuple], right: list[tuple], cut_chunk: bool) -> list[tuple]:
+        """cut_chunk: the cut went through a chunk, so the last of the left and the first of the right are one."""
+        if not left or not right:
+            return left or right
+        window = WINDOW_CHUNKS
+        while True:
+            a, b = min(window, len(left)), min(window, len(right))
+            before, after = [x[0] for x in left[len(left) - a :]], [x[0] for x in right[:b]]
+            if None in before or None in after:
+                raise RuntimeError("windows of a join met no agreement")
+            seam = [before[-1] + after[0]] if cut_chunk else [before[-1], after[0]]
+            anew = self.items([*before[:-1], *seam, *after[1:]])
+            if (a == len(left) or anew[0] == left[-a]) and (b == len(right) or anew[-1] == right[b - 1]):
+                return self.pack([*left[: len(left) - a], *anew, *right[b:]])
+            window *= 2
+
+    def tree(self, leaves: list[list[tuple]], cuts: list[bool]) -> list[tuple]:
+        """Leaves in order; cuts[i] tells whether the cut after leaf i went through a chunk."""
+        while len(leaves) > 1:
+            n = len(leaves)
+            leaves, cuts = [self.join(leaves[i], leaves[i + 1], cuts[i]) if i + 1 < n else leaves[i] for i in range(0, n, 2)], [cuts[i + 1] for i in range(0, n - 2, 2)]
+        return leaves[0] if leaves else []
+
+
 class TreeConcatenation:
     """Joins the encodings of adjacent parts of one word.  Parts and tokens are strings over the byte alphabet."""
 
@@ -155,97 +245,100 @@ def tree_of(path: str) -> TreeConcatenation:
     return _trees[path]
 
 
-def pieces_of(text: bytes, path: str, long_run: int, leaf: int) -> Iterator[tuple[int, str]]:
-    """Pieces of a text in order: ('plain' text), a special token, whole words, or the leaves of one long word."""
+#: Kinds of pieces: half of a text before a cut between chunks or through one, special token, whole words, leaves of a word.
+HALF, HALF_CUT, SPECIAL, WORDS, LEAF_OF_WORD, LAST_LEAF = range(6)
+
+
+def halves(text: bytes, leaf: int) -> Iterator[bytes]:
+    """Leaves of a text, in order: it is cut in half at a code point until no leaf is too long."""
+    if len(text) <= leaf:
+        yield text
+        return
+    middle = len(text) // 2
+    while middle > 0 and text[middle] & 0xC0 == 0x80:
+        middle -= 1
+    yield from halves(text[:middle], leaf)
+    yield from halves(text[middle:], leaf)
+
+
+def pieces_of(text: bytes, path: str, leaf: int) -> Iterator[tuple[int, str]]:
+    """Pieces of a text in order: leaves of text; and for chunks longer than a leaf special tokens, words and leaves of one long word."""
+    at = 0
+    for run in re.finditer(rb"[^\x20\x09-\x0D]{%d,}" % (leaf + 1), text):
+        yield from _halved(text[at : run.start()], leaf)
+        yield from _long_chunk(run[0].decode(), path, leaf)
+        at = run.end()
+    yield from _halved(text[at:], leaf)
+
+
+def _halved(text: bytes, leaf: int) -> Iterator[tuple[int, str]]:
+    leaves = list(halves(text.strip(b" \t\n\r\x0b\f"), leaf))
+    for i, part in enumerate(leaves):
+        cut = i + 1 < len(leaves) and not part[-1:].isspace() and not leaves[i + 1][:1].isspace()
+        yield HALF_CUT if cut else HALF, part.decode()
+
+
+def _long_chunk(chunk: str, path: str, leaf: int) -> Iterator[tuple[int, str]]:
     tokenizer = encoder(path).tokenizer
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-    plain: list[str] = []
-    size = 0
-
-    def flush():
-        nonlocal plain, size
-        if plain:
-            yield PLAIN, " ".join(plain)
-        plain, size = [], 0
-
-    for chunk in text.split():
-        if len(chunk) < long_run:
-            plain.append(chunk.decode())
-            size += len(chunk)
-            if size > PIECE:
-                yield from flush()
+    for part in cut.split(chunk) if cut else [chunk]:
+        if part in special:
+            yield SPECIAL, part
             continue
-        yield from flush()
-        for part in cut.split(chunk.decode()) if cut else [chunk.decode()]:
-            if part in special:
-                yield SPECIAL, part
-                continue
-            words: list[str] = []
-            size = 0
-            for word, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(part)):
-                if len(word) <= leaf or size > PIECE:
-                    words.append(word)
-                    size += len(word)
-                    if len(word) <= leaf and size <= PIECE:
-                        continue
-                    if len(word) > leaf:
-                        words.pop()
-                if words:
-                    yield WORDS, " ".join(words)
-                    words, size = [], 0
-                if len(word) > leaf:
-                    cuts = range(0, len(word), leaf)
-                    for i in cuts:
-                        yield (LAST_LEAF if i + leaf >= len(word) else LEAF_OF_WORD), word[i : i + leaf]
-            if words:
+        words: list[str] = []
+        size = 0
+        for word, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(part)):
+            if words and size + len(word) > leaf:
                 yield WORDS, " ".join(words)
-            size = 0
-    yield from flush()
-
-
-PLAIN, SPECIAL, WORDS, LEAF_OF_WORD, LAST_LEAF = range(5)
+                words, size = [], 0
+            if len(word) <= leaf:
+                words.append(word)
+                size += len(word)
+                continue
+            for i in range(0, len(word), leaf):
+                yield (LAST_LEAF if i + leaf >= len(word) else LEAF_OF_WORD), word[i : i + leaf]
+        if words:
+            yield WORDS, " ".join(words)
 
 
 def encode_short(docs: DataFrame, path: str) -> DataFrame:
     """All columns of docs, then n_tokens, ids and decoded; a map without a shuffle."""
-    names = [*docs.columns, "n_tokens", "ids", "decoded"]
-    at = docs.columns.index("text")
+    names, at = [*docs.columns, "n_tokens", "ids", "decoded"], docs.columns.index("text")
 
     def run(batches):
         held = encoder(path)
         for batch in batches:
-            got = list(held.encode_texts([t or b"" for t in batch.column(at).cast(pa.large_binary()).to_pylist()]))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([i for i, _ in got], pa.binary()), pa.array([t for _, t in got], pa.binary()).cast(pa.string())],
-                names=names,
-            )
-
-    from pyspark.sql import types as T
+            ids, decoded = held.encode_texts(batch.column(at).cast(pa.string()).fill_null(""))
+            n = pc.divide(pc.binary_length(ids), 4).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, n, ids, decoded.cast(pa.string())], names=names)
 
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(forgetful(run), T.StructType([*docs.schema.fields, *added]))
 
 
-def encode_long(texts: DataFrame, path: str, long_run: int, leaf: int) -> DataFrame:
+def encode_long(texts: DataFrame, path: str, leaf: int) -> DataFrame:
     """Distinct long texts (key, text) to (key, n_tokens, ids, decoded), by tree concatenation over tasks."""
 
     def split(batches):
         for batch in batches:
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
-                rows = list(pieces_of(text, path, long_run, leaf))
+                rows = list(pieces_of(text, path, leaf))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(rows)), pa.array(range(len(rows)), pa.int32()), pa.array([k for k, _ in rows], pa.int32()), pa.array([t for _, t in rows], pa.string())],
+                    [pa.array([key] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array([k for k, _ in rows], pa.int32()), pa.array([t for _, t in rows], pa.string())],
                     names=["key", "piece", "kind", "text"],
                 )
 
+    item = pa.struct([("chunk", pa.binary()), ("ids", pa.binary()), ("decoded", pa.binary())])
+
     def encode(batches):
         held, tree = encoder(path), tree_of(path)
+        halving = TextTree(held)
         for batch in batches:
-            ids = []
+            out = []
             for kind, text in zip(batch.column("kind").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if kind == PLAIN:
-                    ids.append(next(held.encode_texts([text.encode()]))[0])
+                if kind in (HALF, HALF_CUT):
+                    out.append([dict(zip(("chunk", "ids", "decoded"), x, strict=True)) for x in halving.leaf(text.encode())])
                     continue
                 if kind == SPECIAL:
                     got = [held.tokenizer.token_to_id(text)]
@@ -253,40 +346,56 @@ def encode_long(texts: DataFrame, path: str, long_run: int, leaf: int) -> DataFr
                     got = [i for word in text.split(" ") for i in tree.leaf(word, True)]
                 else:
                     got = tree.leaf(text, kind == LAST_LEAF)
-                ids.append(np.asarray(got, dtype="<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("piece"), batch.column("kind"), pa.array(ids, pa.binary())], names=["key", "piece", "kind", "ids"])
+                done = kind in (SPECIAL, WORDS)
+                decoded = held.tokenizer.decode(got, skip_special_tokens=False).encode() if done else b""
+                out.append([{"chunk": None, "ids": np.asarray(got, dtype="<u4").tobytes(), "decoded": decoded}])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("piece"), batch.column("kind"), pa.array(out, pa.list_(item))], names=["key", "piece", "kind", "items"])
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        tree, out, leaves = tree_of(path), [], []
+        held, tree = encoder(path), tree_of(path)
+        halving = TextTree(held)
+        ids, decoded, leaves, cuts, of_word = [], [], [], [], []
+
+        def put(items):
+            ids.extend(i for _, i, _ in items)
+            decoded.extend(t for _, i, t in items if i)
+
         rows = rows.sort_values("piece")
-        for kind, ids in zip(rows["kind"], rows["ids"], strict=True):
-            if kind not in (LEAF_OF_WORD, LAST_LEAF):
-                out.append(ids)
+        for kind, items in zip(rows["kind"], rows["items"], strict=True):
+            items = [(x["chunk"], x["ids"], x["decoded"]) for x in items]
+            if kind in (HALF, HALF_CUT):
+                leaves.append(items)
+                cuts.append(kind == HALF_CUT)
+                continue
+            put(halving.tree(leaves, cuts))  # a long chunk stands between white space: what comes before it is complete
+            leaves, cuts = [], []
+            if kind in (SPECIAL, WORDS):
+                put(items)
                 continue
-            leaves.append(np.frombuffer(ids, dtype="<u4").tolist())
+            of_word.append(np.frombuffer(items[0][1], dtype="<u4").tolist())
             if kind == LAST_LEAF:
-                out.append(np.asarray(tree.tree(leaves), dtype="<u4").tobytes())
-                leaves = []
-        ids = b"".join(out)
-        text = encoder(path).tokenizer.decode(np.frombuffer(ids, dtype="<u4").tolist(), skip_special_tokens=False)
-        return pd.DataFrame({"key": [rows["key"].iloc[0]], "n_tokens": [len(ids) // 4], "ids": [ids], "decoded": [text]})
-
-    pieces = texts.mapInArrow(split, "key string, piece int, kind int, text string").repartition("key", "piece")
-    encoded = pieces.mapInArrow(encode, "key string, piece int, kind int, ids binary")
+                got = tree.tree(of_word)
+                put([(None, np.asarray(got, dtype="<u4").tobytes(), held.tokenizer.decode(got, skip_special_tokens=False).encode())])
+                of_word = []
+        put(halving.tree(leaves, cuts))
+        whole = b"".join(ids)
+        return pd.DataFrame({"key": [rows["key"].iloc[0]], "n_tokens": [len(whole) // 4], "ids": [whole], "decoded": [b" ".join(decoded).decode()]})
+
+    pieces = texts.mapInArrow(forgetful(split), "key string, piece int, kind int, text string").repartition("key", "piece")
+    encoded = pieces.mapInArrow(forgetful(encode), "key string, piece int, kind int, items array<struct<chunk:binary,ids:binary,decoded:binary>>")
     return encoded.groupBy("key").applyInPandas(gather, "key string, n_tokens long, ids binary, decoded string")
 
 
-def encode_documents(docs: DataFrame, path: str, long_run: int = LONG_RUN, leaf: int = LEAF) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, long_text: int = LONG_TEXT, leaf: int = LEAF) -> DataFrame:
     """Documents (doc_id, text) to (doc_id, n_tokens, ids: little-endian unsigned 32-bit, decoded).
 
-    Texts without a long run are encoded where they are read.  Of the others each distinct text is encoded once,
-    its pieces spread over tasks, and joined back to its documents.
+    Short texts are encoded where they are read.  Of the long ones each distinct text is encoded once, its leaves spread
+    over tasks, and joined back to its documents.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    # the regular expression looks at texts that are long enough only
-    has_run = F.when(F.octet_length("text") >= long_run, F.col("text").rlike(rf"[^\x20\x09-\x0D]{{{max(1, long_run // 4)},}}")).otherwise(F.lit(False))
-    short = encode_short(docs.filter(~F.coalesce(has_run, F.lit(False))), path).drop("text")
-    long = docs.filter(has_run).withColumn("key", F.sha2("text", 256))
-    once = long.groupBy("key").agg(F.first("text").alias("text"))
-    made = long.select("doc_id", "key").join(encode_long(once, path, long_run, leaf), "key")
-    return short.unionByName(made.select("doc_id", "n_tokens", "ids", "decoded"))
+    is_long = F.coalesce(F.octet_length("text") >= long_text, F.lit(False))
+    short = encode_short(docs.filter(~is_long), path).drop("text")
+    long = docs.filter(is_long).withColumn("key", F.sha2("text", 256))
+    # written, so that the join can split the rows of a text with very many copies
+    made = written(encode_long(long.groupBy("key").agg(F.first("text").alias("text")), path, leaf))
+    return short.unionByName(long.select("doc_id", "key").join(made, "key").select("doc_id", "n_tokens", "ids", "decoded"))

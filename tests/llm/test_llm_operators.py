@@ -31,7 +31,7 @@ def test_bpe_equals_library(docs):
     for r in docs.collect():
         ids = t.encode(r.text or "", add_special_tokens=False).ids
         want[r.doc_id, len(ids), np.asarray(ids, "<u4").tobytes(), t.decode(ids, skip_special_tokens=False)] += 1
-    got = Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in bpe.encode_documents(docs, FILE, long_run=500, leaf=64).collect())
+    got = Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in bpe.encode_documents(docs, FILE, long_text=500, leaf=64).collect())
     assert got == want
 
 
