@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textblocks
+
 #: Rows are handed to Python in batches of about so many bytes.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 WORK = "sitelens-"
+#: Has Spark drop the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,27 +29,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only in a local session without it."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         have = held.get() if held.isDefined() else None
     if not have:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         have = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(have)
     return have.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared folder as Parquet and read back, so lost executors cost nothing done so far."""
+    """Cut lineage: write to the shared folder as Parquet and read back, so lost executors cost nothing done so far.
+
+    The shuffle files of the plan that was written are dropped with it, so a loop doesn't fill the disks.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{WORK}{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # The plan just written is done with: let the JVM drop its shuffle files now, not at some later collection.
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A map function whose worker gives its memory back when the task ends: workers are kept and serve other operators."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Frees cached tables and the unused memory of the allocators."""
+    textblocks.forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by written() that nothing will read again."""
     jvm, hadoop = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
@@ -50,6 +89,18 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
+def fresh_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, whatever its case."""
+    have, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of an id as text, modulo a number of folds; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
@@ -65,6 +116,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
     both = edges.select(F.col(a).alias("id"), F.col(b).alias("to")).unionByName(edges.select(F.col(b).alias("id"), F.col(a).alias("to")))
     both = written(both.filter(F.col("id") != F.col("to")).distinct())
     labels = written(both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("component")))
+    if labels.isEmpty():
+        discard(both)
+        return labels
     for _ in range(rounds):
         near = (
             both.join(labels.select(F.col("id").alias("to"), "component"), "to")
@@ -81,8 +135,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
             .select("id", F.least("component", F.coalesce("root", "component")).alias("component"), "was")
         )
         jumped = written(jumped)
-        changed = jumped.filter(F.col("component") != F.col("was")).limit(1).count()
+        discard(labels)
         labels = jumped.select("id", "component")
-        if not changed:
+        if jumped.filter(F.col("component") != F.col("was")).isEmpty():
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")

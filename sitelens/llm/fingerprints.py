@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .textblocks import Words, text_blocks
 
 SHINGLE = 5
@@ -147,4 +148,4 @@ def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, fraction: int
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return dealt.select("doc_id", "text", "range", "guest").mapInArrow(run, schema)
+    return dealt.select("doc_id", "text", "range", "guest").mapInArrow(tidy(run), schema)

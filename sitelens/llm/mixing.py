@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .textblocks import Words, text_blocks
 
 WEIGHTS = (5, 2, 1)
@@ -81,7 +81,7 @@ def document_sizes(docs: DataFrame) -> DataFrame:
                 size[first : first + len(offsets) - 1] = Words(data, offsets, lower=False).count
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(size)], names=["doc_id", "source", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(count), schema)
 
 
 def select_blocks(start: np.ndarray, size: np.ndarray, quota: int, block: int, seed: int) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, tidy, written
 
 THRESHOLD = 0.98
 EDGES = "node long, other long, cosine double, same boolean"
@@ -115,9 +115,9 @@ def first_graph(nodes: DataFrame, n: int, seeds: list[int], k: int, ahead: int)
                 yield _best(a, b, c, s, k)
             held = table.slice(max(0, table.num_rows - ahead))
 
-    placed = nodes.select("node", "own", "part", "v").mapInArrow(place, "node long, own long, part string, seed int, code long, at double, v array<float>")
+    placed = nodes.select("node", "own", "part", "v").mapInArrow(tidy(place), "node long, own long, part string, seed int, code long, at double, v array<float>")
     ordered = placed.repartition("part", "seed", "code").sortWithinPartitions("part", "seed", "code", "at", "node")
-    return ordered.mapInArrow(compare, EDGES)
+    return ordered.mapInArrow(tidy(compare), EDGES)
 
 
 def ends_of_runs(keys: list[np.ndarray], edge: int) -> np.ndarray:
@@ -185,7 +185,7 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         if a:
             yield _best(np.concatenate(a), np.concatenate(b), np.concatenate(c), np.concatenate(same), k)
 
-    found = lists.repartition("node").sortWithinPartitions("node").mapInArrow(compare, EDGES)
+    found = lists.repartition("node").sortWithinPartitions("node").mapInArrow(tidy(compare), EDGES)
     return top(graph.unionByName(found), k)
 
 
@@ -275,7 +275,7 @@ def audit_recall(nodes: DataFrame, labels: DataFrame, threshold: float, sample:
                     i, j = i[node[mine[i]] != q[j]], j[node[mine[i]] != q[j]]
                     yield pa.RecordBatch.from_arrays([pa.array(q[j]), pa.array(node[mine[i]])], names=["a", "b"])
 
-    true = nodes.select("node", "part", "v").mapInArrow(search, "a long, b long")
+    true = nodes.select("node", "part", "v").mapInArrow(tidy(search), "a long, b long")
     of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"component_{c}"))
     got = true.join(of("a"), "a", "left").join(of("b"), "b", "left").groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("component_a") == F.col("component_b")).alias("found")).collect()
     shares = [1.0]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import tidy, written
 
 #: Bound on the labelled documents of a class that are fitted on; half make dictionaries, half calibrate.
 SAMPLE_PER_CLASS = 1500
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = SAM
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(pieces, pa.binary())], names=["doc_id", "y", "piece"])
 
     kinds = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, y int"
-    pieces = texts.filter("half = 0").select("doc_id", "y", "text").mapInArrow(cut, f"{kinds}, piece binary").orderBy("doc_id").collect()
+    pieces = texts.filter("half = 0").select("doc_id", "y", "text").mapInArrow(tidy(cut), f"{kinds}, piece binary").orderBy("doc_id").collect()
     good, bad = (dictionary([bytes(r["piece"]) for r in pieces if r["y"] == want]) for want in (1, 0))
 
     def measured(batches):
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = SAM
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["doc_id", "y", "apart", "mean"])
 
     unseen = texts.filter("half = 1") if any(half == 1 for _, half in counts) else texts
-    held = unseen.select("doc_id", "y", "text").mapInArrow(measured, f"{kinds}, apart double, mean double").orderBy("doc_id").collect()
+    held = unseen.select("doc_id", "y", "text").mapInArrow(tidy(measured), f"{kinds}, apart double, mean double").orderBy("doc_id").collect()
     x, y = np.array([(r["apart"], r["mean"]) for r in held]), np.array([r["y"] for r in held])
     centre, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     beta = calibrate((x - centre) / scale, y)
@@ -157,4 +157,4 @@ def score_quality(docs: DataFrame, model: dict, name: str = "score") -> DataFram
             score = 1 / (1 + np.exp(-np.clip((x - centre) / scale @ beta[:2] + beta[2], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, tidy, written
 from .textblocks import RangeHash, as_long, text_blocks
 
 LENGTH = 200
@@ -76,7 +76,7 @@ def segment_table(docs: DataFrame, length: int, kgram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(d1[row + doc]), pa.array(d2[row + doc]), pa.array(as_long(k)), pa.array(as_long(s)), pa.array(at)], names=["d1", "d2", "k", "s", "at"])
 
     long_enough = docs.filter(F.octet_length("text") >= length)
-    return long_enough.select("d1", "d2", "text").mapInArrow(run, "d1 long, d2 long, k long, s long, at long")
+    return long_enough.select("d1", "d2", "text").mapInArrow(tidy(run), "d1 long, d2 long, k long, s long, at long")
 
 
 def surroundings(docs: DataFrame, wanted: DataFrame, length: int, kgram: int) -> DataFrame:
@@ -98,7 +98,7 @@ def surroundings(docs: DataFrame, wanted: DataFrame, length: int, kgram: int) ->
     schema = ", ".join(f"`{c}` {t}" for c, t in wanted.dtypes) + ", left binary, right binary"
     joined = docs.filter(F.octet_length("text") >= length).select("d1", "d2", "text").join(wanted, ["d1", "d2"])
     # copies of a text give equal rows: one is enough
-    return joined.mapInArrow(run, schema).groupBy("k", "s").agg(*[F.first(c).alias(c) for c in [*[c for c in names if c not in ("k", "s")], "left", "right"]])
+    return joined.mapInArrow(tidy(run), schema).groupBy("k", "s").agg(*[F.first(c).alias(c) for c in [*[c for c in names if c not in ("k", "s")], "left", "right"]])
 
 
 def side_by_side(near: DataFrame, length: int, kgram: int) -> DataFrame:
@@ -146,7 +146,7 @@ def side_by_side(near: DataFrame, length: int, kgram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["d1", "d2", "first", "last"])
 
     ordered = near.select("k", "c", "d1", "d2", "at", "left", "right").repartition("k").sortWithinPartitions("k")
-    return ordered.mapInArrow(run, "d1 long, d2 long, first long, last long")
+    return ordered.mapInArrow(tidy(run), "d1 long, d2 long, first long, last long")
 
 
 def by_position(near: DataFrame, length: int, kgram: int) -> DataFrame:
@@ -163,7 +163,7 @@ def by_position(near: DataFrame, length: int, kgram: int) -> DataFrame:
                 arrays = [np.full(n, v, dtype=np.int64) for v in (k, c, d1, d2)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array((packed >> 16) + np.arange(n)), pa.array(as_long(h))], names=["k", "c", "d1", "d2", "first", "h"])
 
-    windows = near.select("k", "c", "d1", "d2", "at", "left", "right").mapInArrow(run, "k long, c long, d1 long, d2 long, first long, h long")
+    windows = near.select("k", "c", "d1", "d2", "at", "left", "right").mapInArrow(tidy(run), "k long, c long, d1 long, d2 long, first long, h long")
     again = windows.groupBy("k", "h").agg(F.count("*").alias("n")).filter("n > 1").select("k", "h")
     return windows.filter("c = 1").join(again, ["k", "h"]).select("d1", "d2", "first", F.col("first").alias("last"))
 
@@ -216,7 +216,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kgram: int | None = No
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     joined = docs.join(found, ["d1", "d2"], "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def removed_bytes(spans: Column) -> Column:

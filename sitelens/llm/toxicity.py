@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality import labelled_sample
+from .common import tidy
 from .textblocks import RangeHash, Words, as_long, text_blocks
 
 #: Bound on the labelled documents of a class that are fitted on.
@@ -137,7 +138,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 kind, h, toxic = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(as_long(h)), pa.array(toxic.astype(np.int64))], names=["kind", "unit", "y"])
 
-    found = sample.select("text", "y").distinct().mapInArrow(units, "kind int, unit long, y long")
+    found = sample.select("text", "y").distinct().mapInArrow(tidy(units), "kind int, unit long, y long")
     n = sample.agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")).first()
     toxic, clean = float(n["toxic"] or 0), float(n["clean"] or 0)
     ratio = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
@@ -161,7 +162,7 @@ def with_features(docs: DataFrame, words: np.ndarray, stems: np.ndarray) -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(len(FEATURES)))], names=names)
 
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(f, T.DoubleType()) for f in FEATURES)])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = SAMPLE_PER_CLASS) -> dict | None:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .textblocks import mix
 
 LENGTH = 2048
@@ -107,12 +107,12 @@ def _laid_out(sized: DataFrame, length: int, per_shard: int, key: int, parts: in
         s, f, n, p = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(f, pa.int64()), pa.array(n, pa.int64()), pa.array(p, pa.binary())], names=["shard", "first_slot", "records", "payload"])
 
-    sequences = numbered.select("doc_id", "text", "first").mapInArrow(cut, "doc_id long, sequence long, n_tokens long, slot long, tokens binary")
+    sequences = numbered.select("doc_id", "text", "first").mapInArrow(tidy(cut), "doc_id long, sequence long, n_tokens long, slot long, tokens binary")
     # a row's records share a partition, so rows don't depend on how slots were dealt
     placed = sequences.withColumn("row", F.floor(F.col("slot") / per_row)).repartitionByRange("row").sortWithinPartitions("slot")
     stride = 2 * length
     index = sequences.select("doc_id", "sequence", "n_tokens", "slot", F.floor(F.col("slot") / per_shard).alias("shard"), (F.pmod("slot", F.lit(per_shard)) * stride).alias("byte_offset"))
-    shards = placed.select("slot", "tokens").mapInArrow(pack, "shard long, first_slot long, records long, payload binary")
+    shards = placed.select("slot", "tokens").mapInArrow(tidy(pack), "shard long, first_slot long, records long, payload binary")
     return index, shards
 
 
