@@ -1,28 +1,38 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Edge cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, ordered last;
-an empty table gives no rows; repeated rows are separate documents; a source without words has target 0.
+Sources get whole blocks of tokens by highest quotients, then hash shards of each source get them in the same way.  Documents
+of a shard lie on one line of tokens in seeded order; a keyed Feistel permutation of its blocks says which of them are
+taken, so nothing is held for a block.  What whole blocks leave of a source's target is one cut block.
+
+Edge cases: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own, ordered last;
+repeated rows are separate documents; null ids are ids like any other; equal quotients go to the earlier source or shard; a
+source without words has target 0; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from collections.abc import Sequence
+from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tidy, written
 from .textblocks import Words, text_blocks
+from .training_order import feistel
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
-BLOCK_TOKENS = 4
+BLOCK_TOKENS = 256
 DOCS_PER_SHARD = 512
-#: Bounds the table of (source, shard) cells that the driver apportions; shards grow beyond it, not the table.
-MAX_SHARDS = 4096
+#: Bounds the table of (source, shard) cells that the driver apportions, one more for each source; shards grow beyond it, not the table.
+MAX_CELLS = 262_144
+#: The table of sources is sent to all executors up to so many; beyond it, it is joined by a shuffle.
+MOST_SENT = 100_000
 SEED = 17
 
 
@@ -45,8 +55,8 @@ def targets(sizes: Sequence[int], weights: Sequence[float], max_repeat: int = MA
 def sainte_lague(votes: Sequence[float], seats: int, caps: Sequence[int]) -> np.ndarray:
     """Seats to the highest quotients votes / (2 * held + 1), none above its cap; ties go to the earlier entry.
 
-    The divisor form of the rule, floor(votes / divisor + 1/2), gives nearly all seats at once; the last ones go
-    one by one to the highest remaining quotient, which is the same result.
+    The divisor form of the rule, floor(votes / divisor + 1/2), gives nearly all seats at once, at a divisor a little too
+    high; the last ones go one by one to the highest quotient left, compared as fractions.
     """
     v, cap = np.asarray(votes, dtype=float), np.asarray(caps, dtype=np.int64)
     cap = np.where(v > 0, cap, 0)
@@ -63,10 +73,15 @@ def sainte_lague(votes: Sequence[float], seats: int, caps: Sequence[int]) -> np.
     for _ in range(200):
         middle = (low + high) / 2
         low, high = (middle, high) if held(middle).sum() > seats else (low, middle)
-    got = held(high)
-    while (left := seats - int(got.sum())) > 0:
-        quotient = np.where(got < cap, v / (2.0 * got + 1), -1.0)
-        got[np.argsort(-quotient, kind="stable")[: min(left, int((quotient > 0).sum()))][:1 if left < 2 else max(1, left // 2)]] += 1
+    got = held(high * (1 + 1e-9))
+    exact = [Fraction(x) for x in votes]
+    queue = [(-exact[i] / (2 * int(got[i]) + 1), i) for i in range(len(v)) if got[i] < cap[i]]
+    heapq.heapify(queue)
+    for _ in range(seats - int(got.sum())):
+        _, i = heapq.heappop(queue)
+        got[i] += 1
+        if got[i] < cap[i]:
+            heapq.heappush(queue, (-exact[i] / (2 * int(got[i]) + 1), i))
     return got
 
 
@@ -84,22 +99,42 @@ def document_sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(count), schema)
 
 
-def select_blocks(start: np.ndarray, size: np.ndarray, quota: int, block: int, seed: int) -> np.ndarray:
-    """Tokens taken of each document when `quota` of the equal blocks of their common line are chosen, whole rounds first."""
-    end, total = start + size, int(size.sum())
-    n = -(-total // block)
-    if not n:
-        return np.zeros(len(size), dtype=np.int64)
-    rounds, rest = divmod(int(quota), n)
-    times = np.full(n, rounds, dtype=np.int64)
-    times[np.random.default_rng(seed).permutation(n)[:rest]] += 1
-    covered = np.concatenate([[0], np.cumsum(times * block)])
+def cell_quotas(sizes: Sequence[int], blocks: int, tokens: int, block: int, max_repeat: int) -> np.ndarray:
+    """Tokens taken of each shard of a source: whole blocks by Sainte-Lague, then the difference to the source's tokens."""
+    size = np.asarray(sizes, dtype=np.int64)
+    most = max_repeat * size
+    quota = np.minimum(sainte_lague(size, blocks, -(-most // block)) * block, most)
+    for more, room in ((1, most - quota), (-1, quota)):
+        left = max(0, more * (tokens - int(quota.sum())))
+        before = np.cumsum(room) - room
+        quota = quota + more * np.clip(left - before, 0, room)
+    return quota
+
 
-    def taken_before(x: np.ndarray) -> np.ndarray:
-        b = x // block
-        return covered[b] + np.append(times, 0)[b] * (x - b * block)
+def blocks_taken(first: int, last: int, total: int, rest: int, block: int, key: int) -> np.ndarray:
+    """Tokens taken of the blocks first to last of a line of `total` tokens of which `rest` are taken.
 
-    return taken_before(end) - taken_before(start)
+    Whole blocks are taken in the order of a keyed permutation, the next of them is cut; an incomplete block at the end is last.
+    """
+    n, b = total // block, np.arange(first, last + 1)
+    out = np.zeros(len(b), dtype=np.int64)
+    whole = b < n
+    if whole.any():
+        slot = feistel(b[whole], n, key)
+        out[whole] = np.where(slot < rest // block, block, np.where(slot == rest // block, rest % block, 0))
+    out[b == n] = max(0, rest - n * block)
+    return out
+
+
+def taken_tokens(start: int, size: np.ndarray, total: int, quota: int, block: int, key: int) -> np.ndarray:
+    """Tokens taken of consecutive documents that begin at `start` of the line: whole rounds of all, and blocks for the rest."""
+    if not total or not len(size):
+        return np.zeros(len(size), dtype=np.int64)
+    rounds, rest = divmod(quota, total)
+    edge = start + np.concatenate([[0], np.cumsum(size)])
+    amount = blocks_taken(int(edge[0]) // block, int(edge[-1]) // block, total, rest, block, key)
+    before, at = np.concatenate([[0], np.cumsum(amount)]), edge // block - int(edge[0]) // block
+    return rounds * size + np.diff(before[at] + np.minimum(edge % block, amount[at]))
 
 
 def mix_sources(
@@ -112,10 +147,8 @@ def mix_sources(
 ) -> DataFrame:
     """Documents (doc_id, text, source) to (doc_id, source, size, source_size, target, taken).
 
-    Each source is cut into seeded hash shards; Sainte-Lague gives every source, then every shard of it, an integer
-    quota of blocks; within a shard the documents lie on one token line in seeded order, and seeded blocks of it
-    are taken.  Only (doc_id, source, size) rows are shuffled.  The driver holds one row per source and shard,
-    at most MAX_SHARDS x sources.
+    Only (doc_id, size) rows are shuffled; a task reads its shards as a stream.  The driver holds one row for each source
+    and one for each cell, at most MAX_CELLS more than there are sources.
     """
     sizes = written(document_sizes(docs))
     by_source = sorted(
@@ -124,32 +157,48 @@ def mix_sources(
     )
     weight = [float(weights[i % len(weights)]) for i in range(len(by_source))]
     target = targets([r["size"] for r in by_source], weight, max_repeat)
-    shards = {r["source"]: int(min(MAX_SHARDS, -(-r["n"] // docs_per_shard))) for r in by_source}
+    per_shard = max(docs_per_shard, -(-sum(r["n"] for r in by_source) // MAX_CELLS))
+    shards = [-(-r["n"] // per_shard) for r in by_source]
+    first_cell = np.cumsum([0, *shards])
     place = sizes.sparkSession.createDataFrame(
-        [(i, r["source"], shards[r["source"]]) for i, r in enumerate(by_source)], "source_no int, source_key string, n_shards int"
+        [(i, r["source"], shards[i], int(first_cell[i])) for i, r in enumerate(by_source)], "source_no int, source_key string, shards int, first_cell int"
     )
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    placed = sizes.join(F.broadcast(place), F.col("source").eqNullSafe(F.col("source_key"))).select(
-        "doc_id", "size", "source_no", F.pmod(order, F.col("n_shards")).cast("int").alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("at")
+    if len(by_source) <= MOST_SENT:
+        place = F.broadcast(place)
+    placed = sizes.join(place, F.col("source").eqNullSafe(F.col("source_key"))).select(
+        "doc_id",
+        "size",
+        F.xxhash64(F.lit(seed + 1), "doc_id").alias("at"),
+        "source_no",
+        (F.col("first_cell") + F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards"))).cast("int").alias("cell"),
     )
-    placed = placed.select("doc_id", "size", "at", (F.col("source_no") * MAX_SHARDS + F.col("shard")).alias("cell"))
-    cells = sorted((r["cell"], r["size"]) for r in placed.groupBy("cell").agg(F.sum("size").alias("size")).collect())
+    of_source = defaultdict(list)
+    for r in placed.groupBy("source_no", "cell").agg(F.sum("size").alias("size")).collect():
+        of_source[r["source_no"]].append((r["cell"], r["size"]))
 
-    blocks = [max_repeat * sum(-(-size // block_tokens) for cell, size in cells if cell // MAX_SHARDS == i) for i in range(len(by_source))]
+    blocks = [sum(-(-max_repeat * size // block_tokens) for _, size in of_source[i]) for i in range(len(by_source))]
     seats = sainte_lague(target, round(sum(target) / block_tokens), blocks)
-    quota: dict[int, int] = {}
+    total, quota = (np.zeros(int(first_cell[-1]), dtype=np.int64) for _ in range(2))
     for i in range(len(by_source)):
-        own = [(cell, size) for cell, size in cells if cell // MAX_SHARDS == i]
-        got = sainte_lague([s for _, s in own], int(seats[i]), [max_repeat * -(-s // block_tokens) for _, s in own])
-        quota |= {cell: int(q) for (cell, _), q in zip(own, got, strict=True)}
-    about = [(r["source"], int(r["size"] or 0), t) for r, t in zip(by_source, target, strict=True)]
-
-    def take(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "doc_id", "size"], kind="stable")
-        size = rows["size"].to_numpy(dtype=np.int64)
-        taken = select_blocks(np.cumsum(size) - size, size, quota[int(key[0])], block_tokens, seed + int(key[0]))
-        source, source_size, goal = about[int(key[0]) // MAX_SHARDS]
-        return pd.DataFrame({"doc_id": rows["doc_id"], "source": pd.Series([source] * len(rows), dtype=object, index=rows.index), "size": size, "source_size": source_size, "target": goal, "taken": taken})
+        cells = np.array(sorted(of_source[i]), dtype=np.int64).reshape(-1, 2)
+        total[cells[:, 0]] = cells[:, 1]
+        quota[cells[:, 0]] = cell_quotas(cells[:, 1], int(seats[i]), round(target[i]), block_tokens, max_repeat)
+    names = pa.array([r["source"] for r in by_source], pa.string())
+    whole, goal = np.array([r["size"] or 0 for r in by_source], dtype=np.int64), np.array(target, dtype=float)
+
+    def take(batches):
+        cell_now, at = -1, 0  # where the line of the last cell goes on
+        for batch in batches:
+            cell, size, number = (batch.column(c).to_numpy() for c in ("cell", "size", "source_no"))
+            taken = np.zeros(len(cell), dtype=np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])) if len(cell) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                c = int(cell[a])
+                at = at if c == cell_now else 0
+                taken[a:b] = taken_tokens(at, size[a:b], int(total[c]), int(quota[c]), block_tokens, seed + c)
+                cell_now, at = c, at + int(size[a:b].sum())
+            columns = [batch.column("doc_id"), names.take(pa.array(number)), batch.column("size"), pa.array(whole[number]), pa.array(goal[number]), pa.array(taken)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "size", "source_size", "target", "taken"])
 
     schema = "doc_id long, source string, size long, source_size long, target double, taken long"
-    return placed.groupBy("cell").applyInPandas(take, schema)
+    return placed.repartition("cell").sortWithinPartitions("cell", "at", "doc_id", "size").mapInArrow(tidy(take), schema)
