@@ -56,6 +56,7 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, tuple[bytes, bytes]] = {}
+        self.decode = True
         trial = ["thing", "thing.", "Thing,", "q"]
         direct = [[t.id for w in pair for t in self.tokenizer.model.tokenize(w)] for pair in (["thing"], ["thing", "."], ["thing", ","], ["q"])]
         #: Whether the file lower-cases and keeps letters apart from marks, so both steps may be skipped for plain words.
@@ -86,7 +87,8 @@ class ChunkEncoder:
         ids += [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)]
         flat = np.fromiter((i for one in ids for i in one), dtype="<u4").tobytes()
         at = 0
-        for c, one, text in zip(order + others, ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False), strict=True):
+        texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False) if self.decode else [""] * len(ids)
+        for c, one, text in zip(order + others, ids, texts, strict=True):
             self.memo[c] = (flat[at : at + 4 * len(one)], text.encode())
             at += 4 * len(one)
 
@@ -114,6 +116,8 @@ class ChunkEncoder:
             texts += [g[1] for g in got]
         of_ids, of_texts, index = pa.array(ids, pa.binary()), pa.array(texts, pa.binary()), coded.indices
         joined = pc.binary_join(pa.ListArray.from_arrays(chunks.offsets, of_ids.take(index)), b"")
+        if not self.decode:
+            return joined, pa.nulls(len(joined), pa.binary())
         if any(not i for i in ids):  # a chunk without tokens leaves no space
             full = pc.not_equal(pc.binary_length(of_ids.take(index)), 0)
             before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
@@ -125,10 +129,9 @@ class ChunkEncoder:
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each worker process and file, without what an earlier task remembered."""
+    """One encoder for each worker process and file."""
     if path not in _loaded:
         _loaded[path] = ChunkEncoder(path)
-    _loaded[path].memo = {}
     return _loaded[path]
 
 
@@ -141,7 +144,7 @@ def forgetful(run):
             yield from run(batches)
         finally:
             for held in _loaded.values():
-                held.memo = {}
+                held.memo, held.decode = {}, True
 
     return tidy(wrapped)
 
@@ -302,12 +305,13 @@ def _long_chunk(chunk: str, path: str, leaf: int) -> Iterator[tuple[int, str]]:
             yield WORDS, " ".join(words)
 
 
-def encode_short(docs: DataFrame, path: str) -> DataFrame:
-    """All columns of docs, then n_tokens, ids and decoded; a map without a shuffle."""
+def encode_short(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
+    """All columns of docs, then n_tokens, ids and decoded (null if not asked for); a map without a shuffle."""
     names, at = [*docs.columns, "n_tokens", "ids", "decoded"], docs.columns.index("text")
 
     def run(batches):
         held = encoder(path)
+        held.decode = decode
         for batch in batches:
             ids, decoded = held.encode_texts(batch.column(at).cast(pa.string()).fill_null(""))
             n = pc.divide(pc.binary_length(ids), 4).cast(pa.int64())
@@ -386,15 +390,17 @@ def encode_long(texts: DataFrame, path: str, leaf: int) -> DataFrame:
     return encoded.groupBy("key").applyInPandas(gather, "key string, n_tokens long, ids binary, decoded string")
 
 
-def encode_documents(docs: DataFrame, path: str, long_text: int = LONG_TEXT, leaf: int = LEAF) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, long_text: int = LONG_TEXT, leaf: int = LEAF, decode: bool = True) -> DataFrame:
     """Documents (doc_id, text) to (doc_id, n_tokens, ids: little-endian unsigned 32-bit, decoded).
 
+    Without decode the decoded texts of short documents are null.
+
     Short texts are encoded where they are read.  Of the long ones each distinct text is encoded once, its leaves spread
     over tasks, and joined back to its documents.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     is_long = F.coalesce(F.octet_length("text") >= long_text, F.lit(False))
-    short = encode_short(docs.filter(~is_long), path).drop("text")
+    short = encode_short(docs.filter(~is_long), path, decode).drop("text")
     long = docs.filter(is_long).withColumn("key", F.sha2("text", 256))
     # written, so that the join can split the rows of a text with very many copies
     made = written(encode_long(long.groupBy("key").agg(F.first("text").alias("text")), path, leaf))

@@ -67,15 +67,15 @@ def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each shard row: its place in the training order and a digest of its records."""
-    _, shards = training_order.training_order(table(spark, sf_dir, "documents"))
-    return shards.select(
-        "shard",
-        "first_slot",
-        "records",
-        (F.pmod("first_slot", F.lit(training_order.PER_SHARD)) * 2 * training_order.LENGTH).alias("byte_offset"),
-        F.octet_length("payload").cast("long").alias("n_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
+    """One row for each sequence: its document, its place in the files written, and the digest of its record read back.
+
+    Null and empty texts have no row; repeated rows and null ids are rows like any other; an empty table gives no rows.
+    """
+    index, shards, folder = training_order.write_shards(table(spark, sf_dir, "documents"), tokenizer_file())
+    if shards.isEmpty():
+        return index.withColumn("record_sha256", F.lit(None).cast("string"))
+    return index.join(training_order.record_digests(spark, folder), "slot").select(
+        "doc_id", "sequence", "n_tokens", "slot", "shard", "byte_offset", "record_sha256"
     )
 
 

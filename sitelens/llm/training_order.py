@@ -1,31 +1,42 @@
-"""Training-order materialisation: fixed-length token sequences in the order of a keyed permutation.
+"""Training-order materialisation: fixed-length token sequences in the order of a keyed permutation, in binary files.
 
-Documents become sequences of `length` byte tokens; sequences are numbered densely, and a keyed Feistel network with
-cycle-walking maps each number to its own slot of the training order.  Range partitions of slots are written as shards whose
-records all have the same stride, so slot s is at byte (s mod per_shard) * stride of shard s div per_shard and reading
-can resume anywhere.  The permutation needs only the number of sequences and the key: no shuffle table, no sort key.
+Documents are encoded to token ids and cut into sequences of `length`; sequences are numbered densely, and a keyed
+Feistel network with cycle-walking maps each number to its own slot of the training order.  The permutation needs only
+the number of sequences and the key.  Each range of per_shard slots is one file whose records all have the same
+stride, so slot s is at byte (s mod per_shard) * stride of file s div per_shard and reading can resume anywhere.
+
+The numbering depends on the documents alone: they are dealt into a fixed number of buckets by a hash, numbered in order
+of id and content within each, whatever the number of partitions.  A file is written under a name of its task's own and
+then renamed, so a task that runs again leaves the same file.
 
 Edge cases: null and empty texts have no sequence; the last sequence of a text is padded; repeated rows have sequences
-of their own; an empty table gives empty shards; ids may be null.
+of their own; ids may be null; other columns are ignored; an empty table gives no file.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, written
+from . import bpe
+from .common import WORK, shared_dir, tidy, written
 from .textblocks import mix
 
 LENGTH = 2048
-PER_SHARD = 1024
-PER_ROW = 64
+PER_SHARD = 4096
 KEY = 20_240_607
 ROUNDS = 4
-#: Token ids: a byte's value, and PAD after the end of a text.
-PAD = 256
+#: Buckets that documents are numbered in.
+BUCKETS = 4096
+#: Token ids are little-endian unsigned 16-bit; PAD, which no tokenizer file used here has, fills the end of a text's last sequence.
+PAD = 65_535
 
 
 def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -44,87 +55,116 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.n
     return out.astype(np.int64)
 
 
-def training_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> tuple[DataFrame, DataFrame]:
-    """(index, shards) of documents (doc_id, text).
+def sequences_of(docs: DataFrame, path: str, length: int = LENGTH, key: int = KEY) -> tuple[DataFrame, int]:
+    """(doc_id, sequence, n_tokens, slot, tokens) of documents (doc_id, text), and their number.
 
-    index: (doc_id, sequence, n_tokens, slot, shard, byte_offset), one row for each sequence.  shards: (shard, first_slot,
-    records, payload), rows of PER_ROW consecutive records; the payload of a shard's rows laid end to end is the
-    shard: little-endian unsigned 16-bit tokens of fixed stride.  The number of sequences before each document comes from
-    counts of hash shards of documents, of which the driver holds one number for each.
+    The driver holds a number for each of the BUCKETS buckets.
     """
-    spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = F.col("text").cast("string")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter(F.octet_length("text") > 0)
-    sized = sized.withColumn("part", F.pmod(F.xxhash64(F.lit(key), "text", "doc_id"), F.lit(parts)).cast("int")).withColumn("own", F.ceil(F.octet_length("text") / length).cast("long"))
-    return _laid_out(sized, length, per_shard, key, parts)
-
-
-def _laid_out(sized: DataFrame, length: int, per_shard: int, key: int, parts: int, per_row: int = PER_ROW) -> tuple[DataFrame, DataFrame]:
-    assert per_shard % per_row == 0
-    counts = {r["part"]: r["n"] for r in sized.groupBy("part").agg(F.sum("own").alias("n")).collect()}
-    before, total = [], 0
-    for p in range(parts):
-        before.append(total)
-        total += counts.get(p, 0)
-    order = Window.partitionBy("part").orderBy("doc_id", F.xxhash64("text"), "text").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = sized.withColumn("first", F.coalesce(F.sum("own").over(order), F.lit(0)) + F.element_at(F.array(*map(F.lit, before)), F.col("part") + 1))
-    names = ["doc_id", "sequence", "n_tokens", "slot", "tokens"]
+    ids = bpe.encode_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, decode=False).filter("n_tokens > 0")
+    content = ids.select("doc_id", "ids", F.xxhash64("ids").alias("h"))
+    own = F.ceil(F.octet_length("ids") / (4 * length)).cast("long")
+    encoded = written(content.select("doc_id", "ids", "h", F.pmod(F.xxhash64(F.lit(key), "doc_id", "h"), F.lit(BUCKETS)).cast("int").alias("bucket"), own.alias("own")))
+    counts = np.zeros(BUCKETS + 1, dtype=np.int64)
+    for r in encoded.groupBy("bucket").agg(F.sum("own").alias("n")).collect():
+        counts[r["bucket"] + 1] = r["n"]
+    before, total = np.cumsum(counts)[:-1], int(counts.sum())
 
     def cut(batches):
+        bucket_now, number = -1, 0  # where the numbering of the last bucket goes on
         for batch in batches:
-            ids, firsts = batch.column("doc_id").to_pylist(), batch.column("first").to_pylist()
             out: list[tuple] = []
-            for doc_id, first, data in zip(ids, firsts, batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
-                starts = range(0, len(data), length)
-                slots = feistel(first + np.arange(len(starts)), total, key)
-                out += [(doc_id, i, min(length, len(data) - a), int(slots[i]), data[a : a + length]) for i, a in enumerate(starts)]
+            for doc_id, bucket, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "bucket", "ids")), strict=True):
+                tokens = np.frombuffer(data, dtype="<u4")
+                if len(tokens) and tokens.max() >= PAD:
+                    raise ValueError("token ids don't fit 16 bits")
+                tokens = tokens.astype("<u2")
+                number = number if bucket == bucket_now else int(before[bucket])
+                starts = range(0, len(tokens), length)
+                slots = feistel(number + np.arange(len(starts)), total, key)
+                out += [(doc_id, i, min(length, len(tokens) - a), int(slots[i]), tokens[a : a + length].tobytes()) for i, a in enumerate(starts)]
+                bucket_now, number = bucket, number + len(starts)
             if out:
-                columns = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "sequence", "n_tokens", "slot", "tokens"])
+
+    ordered = encoded.select("doc_id", "bucket", "h", "ids").repartition("bucket").sortWithinPartitions("bucket", "doc_id", "h", "ids")
+    return ordered.mapInArrow(tidy(cut), "doc_id long, sequence long, n_tokens long, slot long, tokens binary"), total
 
-    def pack(batches):
-        held_slots, held_tokens = np.zeros(0, dtype=np.int64), []
-        for batch in batches:
-            slots, tokens = np.concatenate([held_slots, batch.column("slot").to_numpy()]), held_tokens + batch.column("tokens").to_pylist()
-            # the last row may go on in the next batch
-            whole = int(np.searchsorted(slots // per_row, slots[-1] // per_row)) if len(slots) else 0
-            yield from rows_of(slots[:whole], tokens[:whole])
-            held_slots, held_tokens = slots[whole:], tokens[whole:]
-        yield from rows_of(held_slots, held_tokens)
-
-    def rows_of(slots: np.ndarray, tokens: list[bytes]):
-        if not len(slots):
-            return
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(slots // per_row) != 0, [True]]))
-        rows = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            payload = np.full((b - a, length), PAD, dtype="<u2")
-            for i in range(a, b):
-                payload[i - a, : len(tokens[i])] = np.frombuffer(tokens[i], dtype=np.uint8)
-            rows.append((int(slots[a]) // per_shard, int(slots[a]), int(b - a), payload.tobytes()))
-        s, f, n, p = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(f, pa.int64()), pa.array(n, pa.int64()), pa.array(p, pa.binary())], names=["shard", "first_slot", "records", "payload"])
-
-    sequences = numbered.select("doc_id", "text", "first").mapInArrow(tidy(cut), "doc_id long, sequence long, n_tokens long, slot long, tokens binary")
-    # a row's records share a partition, so rows don't depend on how slots were dealt
-    placed = sequences.withColumn("row", F.floor(F.col("slot") / per_row)).repartitionByRange("row").sortWithinPartitions("slot")
-    stride = 2 * length
-    index = sequences.select("doc_id", "sequence", "n_tokens", "slot", F.floor(F.col("slot") / per_shard).alias("shard"), (F.pmod("slot", F.lit(per_shard)) * stride).alias("byte_offset"))
-    shards = placed.select("slot", "tokens").mapInArrow(tidy(pack), "shard long, first_slot long, records long, payload binary")
-    return index, shards
 
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:08d}.u16"
 
-def read_records(shards: DataFrame, first_slot: int, n: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """Shard rows that hold slots first_slot to first_slot + n - 1: only their shards are read."""
-    last = first_slot + n - 1
-    return shards.filter(
-        F.col("shard").between(first_slot // per_shard, last // per_shard) & (F.col("first_slot") <= last) & (F.col("first_slot") + F.col("records") > first_slot)
-    ).orderBy("first_slot")
 
+def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> tuple[DataFrame, DataFrame, str]:
+    """(index, shards, folder): writes the files of documents (doc_id, text) into a new folder beside the checkpoints.
+
+    index: (doc_id, sequence, n_tokens, slot, shard, byte_offset), one row for each sequence.
+    shards: (shard, first_slot, records, n_bytes, sha256), one row for each file, as written.
+    """
+    folder = f"{shared_dir(docs.sparkSession)}/{WORK}{uuid.uuid4().hex}-shards"
+    sequences, _ = sequences_of(docs, path, length, key)
+    sequences = written(sequences.withColumn("shard", F.floor(F.col("slot") / per_shard)))
+    names = ["shard", "first_slot", "records", "n_bytes", "sha256"]
 
-def write_shards(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> tuple[DataFrame, DataFrame]:
-    """training_order with the shards written to the shared folder and read back."""
-    index, shards = training_order(docs, length, per_shard, key)
-    return index, written(shards)
+    def pack(batches):
+        files, root = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder)
+        files.create_dir(root, recursive=True)
+        now, at, held = None, "", None
+        done: list[tuple] = []
+
+        def close():
+            held.close()
+            files.move(at, f"{root}/{shard_name(now)}")
+            done.append((now, now * per_shard, records, records * length * 2, digest.hexdigest()))
+
+        for batch in batches:
+            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if shard != now:
+                    if now is not None:
+                        close()
+                    now, at, records, digest = shard, f"{root}/_{uuid.uuid4().hex}", 0, hashlib.sha256()
+                    held = files.open_output_stream(at)
+                record = np.full(length, PAD, dtype="<u2")
+                record[: len(data) // 2] = np.frombuffer(data, dtype="<u2")
+                held.write(record.tobytes())
+                digest.update(record.tobytes())
+                records += 1
+        if now is not None:
+            close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=names)
+
+    placed = sequences.select("shard", "slot", "tokens").repartition("shard").sortWithinPartitions("shard", "slot")
+    shards = written(placed.select("shard", "tokens").mapInArrow(tidy(pack), "shard long, first_slot long, records long, n_bytes long, sha256 string"))
+    index = sequences.select("doc_id", "sequence", "n_tokens", "slot", "shard", (F.pmod("slot", F.lit(per_shard)) * (2 * length)).alias("byte_offset"))
+    return index, shards, folder
+
+
+def record_digests(spark, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """(slot, record_sha256) of every record in the files of a folder, read back by Spark."""
+    stride = 2 * length
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                first = int(name.rsplit("-", 1)[1].split(".")[0]) * per_shard
+                n = len(data) // stride
+                digests = [hashlib.sha256(data[i * stride : (i + 1) * stride]).hexdigest() for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), pa.array(digests, pa.string())], names=["slot", "record_sha256"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.u16").load(folder)
+    return files.select("path", "content").mapInArrow(tidy(run), "slot long, record_sha256 string")
+
+
+def read_records(folder: str, first_slot: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
+    """Records from a slot on, in training order: opens only the files from that slot's on, at its byte."""
+    files, root = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder)
+    slot, stride = first_slot, 2 * length
+    while files.get_file_info(name := f"{root}/{shard_name(slot // per_shard)}").type == pa.fs.FileType.File:
+        with files.open_input_file(name) as held:
+            held.seek(slot % per_shard * stride)
+            while len(data := held.read(stride)) == stride:
+                yield np.frombuffer(data, dtype="<u2")
+                slot += 1
+        if slot % per_shard:
+            return
