@@ -1,11 +1,12 @@
 """Document fingerprints: threshold-scaled sketches of five-word shingles.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range.  A text with few such hashes keeps its
-smallest ones instead and a higher threshold, so short texts have a sketch too.  Two sketches are complete below
-the lower of their thresholds, so they can be merged and compared however unequal their texts are.
+A sketch keeps every shingle hash below a fixed fraction of the hash range, and the least hash of all, whatever the
+size of the text.  The sketch of a union is the union of the sketches (of the values above the threshold only the
+least stays), so sketches can be merged and containment estimated however unequal their texts are.
 
-Edge cases: null and empty texts have the empty sketch, like only each other; null ids order as the smallest;
-repeated rows follow each other; an empty table gives no rows.
+Edge cases: null and empty texts have the empty sketch, like only each other; of texts with no hash below the threshold
+only the least hash is known, and they are like others that have the same one; null ids order as the smallest; repeated
+rows follow each other; a single document follows itself; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,61 +23,48 @@ from .common import tidy
 from .textblocks import Words, text_blocks
 
 SHINGLE = 5
-FRACTION = 8
-SMALLEST = 32
+#: One in so many hashes is kept.
+FRACTION = 2
 _TOP = 1 << 32
 
-Sketch = tuple[int, np.ndarray]
 
+def threshold_of(fraction: int) -> int:
+    return _TOP // fraction
 
-def sketch_of(hashes: np.ndarray, fraction: int = FRACTION, smallest: int = SMALLEST) -> Sketch:
-    """(threshold, ascending values below it) of one document's shingle hashes, on a 32-bit scale."""
+
+def sketch_of(hashes: np.ndarray, fraction: int = FRACTION) -> np.ndarray:
+    """Ascending values of one document's shingle hashes, on a 32-bit scale: those below the threshold, and the least."""
     values = np.unique((hashes >> np.uint64(32)).astype(np.int64))
-    threshold = _TOP // fraction
-    n = int(np.searchsorted(values, threshold))
-    if n >= smallest:
-        return threshold, values[:n]
-    if len(values) <= smallest:
-        return _TOP, values
-    return int(values[smallest - 1]) + 1, values[:smallest]
+    return values[: max(1, int(np.searchsorted(values, threshold_of(fraction))))]
 
 
-def merge(a: Sketch, b: Sketch) -> Sketch:
+def merge(a: np.ndarray, b: np.ndarray, fraction: int = FRACTION) -> np.ndarray:
     """Sketch of the union of two shingle sets."""
-    threshold = min(a[0], b[0])
-    values = np.union1d(a[1], b[1])
-    return threshold, values[values < threshold]
-
-
-def shared(a: Sketch, b: Sketch) -> tuple[int, int, int]:
-    """(values of a, values of b, values in both) below the threshold that both sketches cover."""
-    threshold = min(a[0], b[0])
-    x, y = a[1][: np.searchsorted(a[1], threshold)], b[1][: np.searchsorted(b[1], threshold)]
-    return len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))
+    values = np.union1d(a, b)
+    return values[: max(1, int(np.searchsorted(values, threshold_of(fraction))))]
 
 
-def likeness(a: Sketch, b: Sketch) -> float:
-    """Estimated share of the smaller shingle set that the other contains; two empty sets are alike."""
-    x, y, both = shared(a, b)
-    if not x or not y:
-        return float(not len(a[1]) and not len(b[1]))
-    return both / min(x, y)
+def likeness(a: np.ndarray, b: np.ndarray, fraction: int = FRACTION) -> float:
+    """Estimated share of the smaller shingle set that the other contains; two empty sketches are alike."""
+    x, y = (s[: np.searchsorted(s, threshold_of(fraction))] for s in (a, b))
+    if len(x) and len(y):
+        return len(np.intersect1d(x, y, assume_unique=True)) / min(len(x), len(y))
+    return float(len(a) == len(b) == 0 or (len(a) > 0 and len(b) > 0 and a[0] == b[0]))
 
 
-def as_text(sketch: Sketch) -> str:
-    return f"{sketch[0]:09x}:" + sketch[1].astype(">u4").tobytes().hex()
+def as_text(sketch: np.ndarray, fraction: int = FRACTION) -> str:
+    return f"{fraction}:" + sketch.astype(">u4").tobytes().hex()
 
 
-def from_text(text: str) -> Sketch:
-    threshold, _, values = text.partition(":")
-    return int(threshold, 16), np.frombuffer(bytes.fromhex(values), dtype=">u4").astype(np.int64)
+def from_text(text: str) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex(text.partition(":")[2]), dtype=">u4").astype(np.int64)
 
 
-def sketches(texts: list[str], shingle: int = SHINGLE, fraction: int = FRACTION, smallest: int = SMALLEST) -> list[Sketch]:
-    out: list[Sketch] = []
+def sketches(texts: list[str], shingle: int = SHINGLE, fraction: int = FRACTION) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
     for _, data, offsets in text_blocks(pa.array(texts, pa.string())):
         hashes, at = Words(data, offsets).shingles(shingle)
-        out += [sketch_of(hashes[a:b], fraction, smallest) for a, b in zip(at[:-1], at[1:], strict=True)]
+        out += [sketch_of(hashes[a:b], fraction) for a, b in zip(at[:-1], at[1:], strict=True)]
     return out
 
 
@@ -115,7 +103,7 @@ def with_following(docs: DataFrame, buckets: int) -> tuple[DataFrame, str]:
     return dealt.repartition("range").sortWithinPartitions("range", "guest", F.desc("key"), F.desc("text")), "range"
 
 
-def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, fraction: int = FRACTION, smallest: int = SMALLEST, buckets: int | None = None) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, fraction: int = FRACTION, buckets: int | None = None) -> DataFrame:
     """Documents (doc_id, text) to (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     edited_sha256 is of the text whose last third is replaced by the start of the document next in descending doc_id.
@@ -131,20 +119,20 @@ def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, fraction: int
         held: list = []  # the last row so far: its follower may be in the next batch
         for batch in batches:
             rows = list(zip(batch.column("doc_id").to_pylist(), ("" if t is None else t for t in batch.column("text").to_pylist()), batch.column("range").to_pylist(), batch.column("guest").to_pylist(), strict=True))
-            made = sketches([r[1] for r in rows], shingle, fraction, smallest)
+            made = sketches([r[1] for r in rows], shingle, fraction)
             rows = held + [(*r, s) for r, s in zip(rows, made, strict=True)]
             pairs = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if a[2] == b[2] and not a[3]]
             held = rows[-1:]
             changed = [edited(a[1], b[1]) for a, b in pairs]
-            their = sketches(changed, shingle, fraction, smallest)
+            their = sketches(changed, shingle, fraction)
             columns = [
                 pa.array([a[0] for a, _ in pairs], pa.int64()),
                 pa.array([len(a[1]) for a, _ in pairs], pa.int64()),
                 pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], pa.string()),
-                pa.array([as_text(a[4]) for a, _ in pairs], pa.string()),
-                pa.array([as_text(s) for s in their], pa.string()),
-                pa.array([likeness(a[4], s) for (a, _), s in zip(pairs, their, strict=True)], pa.float64()),
-                pa.array([likeness(a[4], b[4]) for a, b in pairs], pa.float64()),
+                pa.array([as_text(a[4], fraction) for a, _ in pairs], pa.string()),
+                pa.array([as_text(s, fraction) for s in their], pa.string()),
+                pa.array([likeness(a[4], s, fraction) for (a, _), s in zip(pairs, their, strict=True)], pa.float64()),
+                pa.array([likeness(a[4], b[4], fraction) for a, b in pairs], pa.float64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
