@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by prefix doubling over sampled positions.
+"""Removal of repeated byte strings: ranks of sampled positions, compared at growing lengths until unique or decided.
 
 A window is a string of `length` bytes.  Ranks of all positions would be some forty times the input, so positions are
 sampled by content: each window is represented by the smallest hash among its strings of KGRAM bytes (its anchor), which equal
@@ -6,13 +6,16 @@ windows share wherever they are.  Windows of one anchor form a segment, about si
 
  1. Rank by the first KGRAM bytes at the anchor: Spark counts equal ranks and segments of a unique rank leave.
  2. Rank the rest by the longer string that spans all windows of the segment: where two are equal all their windows repeat.
- 3. Segments still unique at that offset may share some of their windows with others of their rank.  In small groups their
+ 3. Segments still unique at that length may share some of their windows with others of their rank.  In small groups their
     surroundings are compared directly; in large ones the window at each position is ranked by itself.
 
-In-block ranks are doubled hashes (1, 2, 4 ... positions); those that meet across documents are 128 bits.
+Ranks are 64-bit hashes; those that decide alone (2.) go with the first (1.), 128 bits in all.  A passage that very many
+texts have is one rank; each table joined on ranks is written first and has no other work in its stage, so that a join may
+split the rows of such a rank.
 
 Edge cases: null and empty texts have nothing removed; texts shorter than a window cannot repeat; matches do not cross
-documents but may overlap themselves; repeated rows repeat wholly; strings are judged on the input.
+documents but may overlap themselves; repeated rows repeat wholly; strings are judged on the input; ids may be null or
+repeat; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -164,14 +167,14 @@ def by_position(near: DataFrame, length: int, kgram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array((packed >> 16) + np.arange(n)), pa.array(as_long(h))], names=["k", "c", "d1", "d2", "first", "h"])
 
     windows = near.select("k", "c", "d1", "d2", "at", "left", "right").mapInArrow(tidy(run), "k long, c long, d1 long, d2 long, first long, h long")
-    again = windows.groupBy("k", "h").agg(F.count("*").alias("n")).filter("n > 1").select("k", "h")
+    again = written(windows.groupBy("k", "h").agg(F.count("*").alias("n")).filter("n > 1").select("k", "h"))
     return windows.filter("c = 1").join(again, ["k", "h"]).select("d1", "d2", "first", F.col("first").alias("last"))
 
 
 def repeated_windows(docs: DataFrame, length: int, kgram: int, small: int = SIDE_BY_SIDE) -> DataFrame:
     """(d1, d2, starts): for each text that has any, the runs (first, last) of starts of windows that occur more than once."""
     all_segments = written(segment_table(docs, length, kgram))
-    ranks = all_segments.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
+    ranks = written(all_segments.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"))
     left = written(all_segments.join(ranks, "k"))
     groups = written(left.groupBy("k", "s").agg(F.count("*").alias("c"), F.min(F.struct("d1", "d2", "at")).alias("where")))
     discard(all_segments)
@@ -180,12 +183,13 @@ def repeated_windows(docs: DataFrame, length: int, kgram: int, small: int = SIDE
         "d1", "d2", F.shiftright("at", 16).alias("first"), (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("last")
     )
     undecided = groups.groupBy("k").agg(F.count("*").alias("m"), F.count_if(F.col("c") == 1).alias("unique")).filter("m > 1 and unique > 0").select("k", "m")
+    undecided = written(undecided)
     wanted = groups.join(undecided, "k").select("k", "s", "c", "m", "where.*")
     near = written(surroundings(docs, wanted, length, kgram))
     parts = side_by_side(near.filter(F.col("m") <= small), length, kgram).unionByName(by_position(near.filter(F.col("m") > small), length, kgram))
     runs = whole.unionByName(parts).distinct()
     starts = written(runs.groupBy("d1", "d2").agg(F.collect_list(F.struct("first", "last")).alias("starts")))
-    for done in (left, groups, near):
+    for done in (ranks, left, groups, undecided, near):
         discard(done)
     return starts
 
