@@ -5,14 +5,14 @@ another (neighbours of neighbours), and every node keeps its best list, until fe
 threshold give components.  A list may be saturated, with more links than it has room for.  A link in neither end's
 list has two saturated ends; so saturated nodes search again among themselves, with a list for the best neighbours outside
 their own component beside that for those inside, and components that link are merged, until no list of outside neighbours is
-saturated (each turn merges every component that has such a list).  Then within each component all
-members are compared, block against block, and links are counted rather than listed.
+saturated (each turn merges every component that has such a list).  The links of a component are then counted: its
+members are compared block against block, and counted rather than listed.
 An audit compares a bounded sample of all rows with all rows by brute force, counting links and counting rows; while recall
-is short, more projections are added, and the query fails rather than give a result whose recall stays short.
+is short, more projections are added.  Where it stays short, the blocks of each label are compared, which is exact.
 
 Edge cases: vectors that are null, zero, of null or non-finite components, or without a label link with nothing and are
 their own component; equal vectors (copies) form one node; different lengths are never compared; a repeated or null
-vec_id is a row like any other; an empty table gives no rows.
+vec_id is a row like any other; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,20 +35,21 @@ PROJECTIONS = 8
 AHEAD = 16
 ROUNDS = 4
 SETTLED = 0.01
-BLOCK = 256
-#: Audit: nodes sampled among all rows and among linked ones, the recall asked for, and how often projections are added before failing.
+BLOCK = 1024
+#: Rows of a block that are multiplied at once.
+SLICE = 256
+#: Audit: nodes sampled among all rows and among linked ones, the recall asked for, and how often projections are added before all blocks are compared.
 AUDIT = 512
 AUDIT_LINKED = 128
 LEAST_RECALL = 0.97
-EXTRA = 12
+EXTRA = 4
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """Distinct usable vectors: (node, first_id, copies, part: label and length, v: the vector's floats, label, own: the node itself)."""
+    """Distinct usable vectors: (node, first_id, copies, part: label and length, v: the vector as given, label, own: the node itself)."""
     e = F.col("embedding")
     usable = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    good = rows.filter(F.coalesce(usable, F.lit(False))).withColumn("embedding", e.cast("array<float>"))
-    merged = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    merged = rows.filter(F.coalesce(usable, F.lit(False))).groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
     made = written(merged.select(F.monotonically_increasing_id().alias("node"), "first_id", "copies", F.concat_ws(":", F.col("label").cast("string"), F.size("embedding")).alias("part"), F.col("embedding").alias("v"), "label"))
     return made.withColumn("own", F.col("node"))
 
@@ -115,7 +116,8 @@ def first_graph(nodes: DataFrame, n: int, seeds: list[int], k: int, ahead: int)
                 yield _best(a, b, c, s, k)
             held = table.slice(max(0, table.num_rows - ahead))
 
-    placed = nodes.select("node", "own", "part", "v").mapInArrow(tidy(place), "node long, own long, part string, seed int, code long, at double, v array<float>")
+    kind = nodes.schema["v"].dataType.simpleString()
+    placed = nodes.select("node", "own", "part", "v").mapInArrow(tidy(place), f"node long, own long, part string, seed int, code long, at double, v {kind}")
     ordered = placed.repartition("part", "seed", "code").sortWithinPartitions("part", "seed", "code", "at", "node")
     return ordered.mapInArrow(tidy(compare), EDGES)
 
@@ -199,28 +201,45 @@ def descend(graph: DataFrame, nodes: DataFrame, n: int, k: int, rounds: int) ->
     return graph
 
 
-def count_links(nodes: DataFrame, labels: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(node, n): the rows linked to each node within its component, other copies of itself left out.
+def compare_blocks(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(node, n, root) of members (group, node, copies, v): links to a node in a pair of blocks, and the least node they join it with.
 
-    A component is dealt into blocks by a hash and compared block against block, so no task holds more than two blocks.
+    A group is dealt into blocks by a hash and compared block against block, so no task holds more than two blocks.  A pair
+    of blocks gives a row for each node that has a link there, however many links it has.
     """
-    sizes = labels.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = labels.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = members.join(sizes, "group").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = pairs.select("component", F.col("id").alias("node"), "i", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"))
-    placed = placed.join(nodes.select("node", "copies", "v"), "node")
+    placed = pairs.select("group", "node", "copies", "v", "i", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
         x = np.array(rows["v"].tolist(), dtype=np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        copies, i = rows["copies"].to_numpy(), rows["i"].to_numpy()
-        near = (x @ x.T >= threshold) & ~np.eye(len(x), dtype=bool)
-        if rows["low"].iloc[0] != rows["high"].iloc[0]:
-            near &= i[:, None] != i[None, :]
-        return pd.DataFrame({"node": rows["node"], "n": near @ copies})
-
-    counted = placed.groupBy("component", "low", "high").applyInPandas(compare, "node long, n long")
-    return counted.groupBy("node").agg(F.sum("n").alias("n"))
+        copies, i, m = rows["copies"].to_numpy(), rows["i"].to_numpy(), len(x)
+        across = rows["low"].iloc[0] != rows["high"].iloc[0]
+        n, root, parts = np.zeros(m, dtype=np.int64), np.arange(m), []
+        for a in range(0, m, SLICE):
+            near = x[a : a + SLICE] @ x.T >= threshold
+            near[np.arange(len(near)), a + np.arange(len(near))] = False
+            if across:
+                near &= i[a : a + SLICE, None] != i[None, :]
+            n[a : a + SLICE] = near @ copies
+            parts.append(np.packbits(near, axis=1))
+        linked = np.vstack(parts)
+        while True:  # the least node reachable: rows are in the order of nodes
+            least = root.copy()
+            for k in np.flatnonzero(n):
+                least[k] = min(root[k], root[np.unpackbits(linked[k], count=m).view(bool)].min())
+            least = least[least]
+            if (least == root).all():
+                break
+            root = least
+        some = n > 0
+        node = rows["node"].to_numpy()
+        return pd.DataFrame({"node": node[some], "n": n[some], "root": node[root[some]]})
+
+    return written(placed.groupBy("group", "low", "high").applyInPandas(compare, "node long, n long, root long"))
 
 
 def link_components(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, seed: int) -> DataFrame:
@@ -286,30 +305,46 @@ def audit_recall(nodes: DataFrame, labels: DataFrame, threshold: float, sample:
     return min(shares)
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
-    """Rows (vec_id, embedding, label) to (vec_id, n_links, component_id, kept)."""
-    rows = rows.select("vec_id", "embedding", "label")
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, least_recall: float = LEAST_RECALL, extra: int = EXTRA) -> DataFrame:
+    """Rows (vec_id, embedding, label) to (vec_id, n_links, component_id, kept, recall).
+
+    recall: what the audit of the links found, the same in all rows; 1 where the blocks of each label were compared.
+    """
+    kind = rows.schema["embedding"].dataType
+    if kind.elementType.typeName() not in ("float", "double"):
+        kind = "array<double>"
+    rows = rows.select("vec_id", F.col("embedding").cast(kind).alias("embedding"), "label")
     nodes = nodes_of(rows)
     n = nodes.count()
     seeds = list(range(PROJECTIONS))
     graph = written(top(first_graph(nodes, n, seeds, k, AHEAD), k))
-    for extra in range(EXTRA + 1):
+    for turn in range(extra + 1):
         graph = descend(graph, nodes, n, k, ROUNDS)
-        labels = link_components(graph, nodes, k, threshold, (extra + 1) << 16)
+        labels = link_components(graph, nodes, k, threshold, (turn + 1) << 16)
         recall = audit_recall(nodes, labels, threshold)
-        if recall >= LEAST_RECALL:
+        if recall >= least_recall:
+            members = labels.select(F.col("component").alias("group"), F.col("id").alias("node")).join(nodes.select("node", "copies", "v"), "node")
+            counts = compare_blocks(members, threshold)
             break
-        if extra == EXTRA:
-            raise RuntimeError(f"recall of near duplicates stays at {recall:.3f} after {PROJECTIONS * (extra + 1)} projections")
-        more = [PROJECTIONS * (extra + 1) + s for s in range(PROJECTIONS)]
-        graph = written(top(graph.unionByName(first_graph(nodes, n, more, k, AHEAD)), k))
-
-    counts = count_links(nodes, labels, threshold)
-    about = nodes.select("node", "label", "v", "first_id", "copies").join(labels.withColumnRenamed("id", "node"), "node", "left").join(counts, "node", "left")
+        if turn < extra:
+            more = [PROJECTIONS * (turn + 1) + s for s in range(PROJECTIONS)]
+            graph = written(top(graph.unionByName(first_graph(nodes, n, more, k, AHEAD)), k))
+    else:
+        counts, recall = compare_blocks(nodes.select(F.col("part").alias("group"), "node", "copies", "v"), threshold), 1.0
+        labels = components(counts.select(F.col("root").alias("a"), F.col("node").alias("b")))
+
+    linked = counts.groupBy("node").agg(F.sum("n").alias("n"))
+    about = nodes.select("node", "label", "v", "first_id", "copies").join(labels.withColumnRenamed("id", "node"), "node", "left").join(linked, "node", "left")
     about = written(about.withColumn("component", F.coalesce("component", "node")))
     least = about.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    about = about.join(least, "component").select("label", F.col("v").alias("embedding"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    cast = rows.withColumn("embedding", F.col("embedding").cast("array<float>"))
-    out = cast.join(about, ["label", "embedding"], "left")
+    # written, so that the join can split the rows of a vector with very many copies
+    about = written(about.join(least, "component").select("label", F.col("v").alias("embedding"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
+    out = rows.join(about, ["label", "embedding"], "left")
     component = F.coalesce("component_id", "vec_id").cast("long")
-    return out.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select(
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+        F.lit(recall).alias("recall"),
+    )
