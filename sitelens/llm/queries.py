@@ -19,6 +19,11 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text, and digests of the ids and of what they decode to.
+
+    Null and empty texts have no tokens and decode to an empty text; repeated rows and null ids are rows like any other; other
+    columns are ignored; an empty table gives no rows.
+    """
     made = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file())
     return made.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -29,6 +34,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated score of every text by trees over dense rates, learnt from the rows that are not held out.
+
+    Null and empty texts have all-zero rates and are scored like others; repeated rows score alike; a null id counts as the
+    empty text in the fold; without labels of both classes every score is 0; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
     return toxicity.score_toxicity(docs, model).select(
@@ -40,6 +50,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 200-byte strings that also start elsewhere.
+
+    Null, empty and short texts lose nothing; repeated rows lose all; null ids are rows like any other; other columns are
+    ignored; an empty table gives no rows.
+    """
     made = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return made.select(
         "doc_id",
@@ -51,6 +66,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated score of every text by its compressed sizes, learnt from the rows that are not held out.
+
+    Null and empty texts score as an average text does; repeated rows score alike; a null id counts as the empty text in the
+    fold; without labels of both classes every score is 0.5; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
     scored = quality.score_quality(docs, model)
@@ -63,6 +83,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector.
+
+    Unusable vectors (null, zero, empty, null or non-finite components) and those without a label link with nothing; copies are
+    linked; a null vec_id is its own component's null; repeated ids are rows of their own; an empty table gives no rows.
+    """
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
@@ -80,6 +105,11 @@ def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text: counts and digest of the base spans, and all spans.
+
+    Null and empty texts have none; repeated rows and null ids are rows like any other; without strings to train on
+    only base spans are found; other columns are ignored; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return secrets.scan(docs, secrets.train(docs)).select(
@@ -91,14 +121,29 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document.
+
+    Null and empty texts have size 0; a null source is a source of its own, the last; repeated rows are documents of their own;
+    an empty table gives no rows.
+    """
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by its four-word shingles.
+
+    Texts without words link with nothing; a text of fewer words is one shingle; a null id is the smallest of its component,
+    which is then null; repeated rows are linked; other columns are ignored; an empty table gives no rows.
+    """
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every text and of its edited text, with their likeness, and that to the next document.
+
+    Null and empty texts have the empty sketch; null ids come last in descending order; repeated rows follow each other; a single
+    document follows itself; other columns are ignored; an empty table gives no rows.
+    """
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
