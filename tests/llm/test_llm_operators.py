@@ -110,22 +110,43 @@ def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch, small):
     assert all(r.n_bytes - sum(s.end - s.start for s in r.spans) == len(r.kept) for r in got)
 
 
-def test_nn_descent_equals_brute_force(spark):
+def brute_links(rows, threshold=0.98):
+    """Rows (vec_id, vector, label) of usable vectors to {place: (n_links, component_id)}."""
+    x = np.array([r[1] for r in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T >= threshold) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    root = np.arange(len(x))
+    while True:
+        least = np.array([min(root[i], root[near[i]].min(initial=root[i])) for i in range(len(x))])
+        if (least == root).all():
+            break
+        root = least
+    first = {}
+    for r, g in zip(rows, root, strict=True):
+        first[g] = min(first.get(g, r[0]), r[0])
+    return [(int(n), first[g]) for n, g in zip(near.sum(axis=1), root, strict=True)]
+
+
+@pytest.mark.parametrize("kind, least_recall", [("float", 0.97), ("double", 0.97), ("float", 1.1)])
+def test_nn_descent_equals_brute_force(spark, kind, least_recall, monkeypatch):
+    """A recall that can't be met leads to the exact way, here in small blocks."""
     rng = np.random.default_rng(3)
+    if least_recall > 1:
+        monkeypatch.setattr(nn_descent.compare_blocks, "__defaults__", (32,))
     rows = []
     for i in range(300):
         base = rng.standard_normal(16) if i % 3 == 0 or not rows else np.array(rows[-1][1]) + rng.standard_normal(16) * 0.02
-        rows.append((i, [float(np.float32(x)) for x in base], i // 150))
-    rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, rows[0][1], 0), (904, rows[0][1], None), (905, [1.0, None] * 8, 1)]
-    got = {r.vec_id: r for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    good = [r for r in rows if r[0] < 904 and r[0] not in (900, 901, 902)]
-    x = np.array([np.float32(r[1]) for r in good], dtype=np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    label = np.array([r[2] for r in good])
-    near = (x @ x.T >= 0.98) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
-    found = sum(got[r[0]].n_links for r in good)
-    assert found >= 0.9 * near.sum() and all(got[r[0]].n_links <= n for r, n in zip(good, near.sum(axis=1), strict=True))
-    assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 904, 905))
+        rows.append((i, [float(np.float32(x) if kind == "float" else x) for x in base], i // 150))
+    rows += [(i + 400, rows[i][1], rows[i][2]) for i in range(0, 300, 9)] + [(3, rows[8][1], 0)]
+    odd = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (904, rows[0][1], None), (905, [1.0, None] * 8, 1), (906, [], 0), (907, [1.0], 0)]
+    frame = spark.createDataFrame([(*r, 1) for r in rows + odd], f"vec_id long, embedding array<{kind}>, label int, n_links int")
+    got = nn_descent.near_duplicates(frame, least_recall=least_recall, extra=0).collect()
+    want = Counter((r[0], n, c) for r, (n, c) in zip(rows, brute_links(rows), strict=True)) + Counter((r[0], 0, r[0]) for r in odd)
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == want
+    assert all(r.kept == (r.vec_id == r.component_id) and r.recall >= 0.97 for r in got)
+    none = nn_descent.near_duplicates(frame.limit(0), extra=0)
+    assert none.count() == 0
 
 
 @pytest.mark.parametrize("size, groups", [(20, 2), (40, 5)])
