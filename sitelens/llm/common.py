@@ -18,6 +18,8 @@ from . import textblocks
 #: Rows are handed to Python in batches of about so many bytes.
 ARROW_BYTES = 4 << 20
 WORK = "sitelens-"
+#: Tasks a core that write a compact table.
+WAVES = 2
 #: Has Spark drop the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -43,12 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     return have.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compact: bool = False) -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read back, so lost executors cost nothing done so far.
 
-    The shuffle files of the plan that was written are dropped with it, so a loop doesn't fill the disks.
+    The shuffle files of the plan that was written are dropped with it, so a loop doesn't fill the disks.  compact: for
+    tables of few columns, whose rows go to WAVES tasks a core at most; each task makes a file, and creating files costs
+    more than such rows do.
     """
     spark = df.sparkSession
+    if compact:
+        df = df.coalesce(WAVES * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{WORK}{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
@@ -114,8 +120,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
     edges is split by map-side aggregation.  Stops when no label changes.  An empty input gives no rows.
     """
     both = edges.select(F.col(a).alias("id"), F.col(b).alias("to")).unionByName(edges.select(F.col(b).alias("id"), F.col(a).alias("to")))
-    both = written(both.filter(F.col("id") != F.col("to")).distinct())
-    labels = written(both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("component")))
+    both = written(both.filter(F.col("id") != F.col("to")).distinct(), True)
+    labels = written(both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("component")), True)
     if labels.isEmpty():
         discard(both)
         return labels
@@ -134,7 +140,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
             lower.join(hooks.select(F.col("id").alias("component"), "root"), "component", "left")
             .select("id", F.least("component", F.coalesce("root", "component")).alias("component"), "was")
         )
-        jumped = written(jumped)
+        jumped = written(jumped, True)
         discard(labels)
         labels = jumped.select("id", "component")
         if jumped.filter(F.col("component") != F.col("was")).isEmpty():

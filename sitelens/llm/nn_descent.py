@@ -193,7 +193,7 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 def descend(graph: DataFrame, nodes: DataFrame, n: int, k: int, rounds: int) -> DataFrame:
     for _ in range(rounds):
-        better = written(refine(graph, nodes, k))
+        better = written(refine(graph, nodes, k), True)
         changed = better.join(graph, ["node", "other"], "left_anti").count()
         graph = better
         if changed <= SETTLED * n * k:
@@ -239,7 +239,7 @@ def compare_blocks(members: DataFrame, threshold: float, block: int = BLOCK) ->
         node = rows["node"].to_numpy()
         return pd.DataFrame({"node": node[some], "n": n[some], "root": node[root[some]]})
 
-    return written(placed.groupBy("group", "low", "high").applyInPandas(compare, "node long, n long, root long"))
+    return written(placed.groupBy("group", "low", "high").applyInPandas(compare, "node long, n long, root long"), True)
 
 
 def link_components(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, seed: int) -> DataFrame:
@@ -247,17 +247,17 @@ def link_components(graph: DataFrame, nodes: DataFrame, k: int, threshold: float
     linked = graph.filter((F.col("cosine") >= threshold) & (F.col("node") != F.col("other")))
     labels = components(linked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
     while True:
-        full = written(linked.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("node"))
+        full = written(linked.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("node"), True)
         n = full.count()
         if not n:
             return labels
-        own = written(full.join(labels.select(F.col("id").alias("node"), F.col("component").alias("own")), "node"))
+        own = written(full.join(labels.select(F.col("id").alias("node"), F.col("component").alias("own")), "node"), True)
         among = nodes.drop("own").join(own, "node")
         known = graph.drop("same").join(own, "node").join(own.select(F.col("node").alias("other"), F.col("own").alias("its")), "other")
         known = known.select("node", "other", "cosine", (F.col("own") == F.col("its")).alias("same"))
         seeds = list(range(seed, seed + PROJECTIONS))
         seed += PROJECTIONS
-        graph = written(top(known.unionByName(first_graph(among, n, seeds, k, AHEAD)), k))
+        graph = written(top(known.unionByName(first_graph(among, n, seeds, k, AHEAD)), k), True)
         graph = descend(graph, among, n, k, ROUNDS)
         # the best neighbour outside is listed, so every component with such a link is merged
         linked = graph.filter(~F.col("same") & (F.col("cosine") >= threshold))
@@ -317,7 +317,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
     nodes = nodes_of(rows)
     n = nodes.count()
     seeds = list(range(PROJECTIONS))
-    graph = written(top(first_graph(nodes, n, seeds, k, AHEAD), k))
+    graph = written(top(first_graph(nodes, n, seeds, k, AHEAD), k), True)
     for turn in range(extra + 1):
         graph = descend(graph, nodes, n, k, ROUNDS)
         labels = link_components(graph, nodes, k, threshold, (turn + 1) << 16)
@@ -328,17 +328,17 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
             break
         if turn < extra:
             more = [PROJECTIONS * (turn + 1) + s for s in range(PROJECTIONS)]
-            graph = written(top(graph.unionByName(first_graph(nodes, n, more, k, AHEAD)), k))
+            graph = written(top(graph.unionByName(first_graph(nodes, n, more, k, AHEAD)), k), True)
     else:
         counts, recall = compare_blocks(nodes.select(F.col("part").alias("group"), "node", "copies", "v"), threshold), 1.0
         labels = components(counts.select(F.col("root").alias("a"), F.col("node").alias("b")))
 
     linked = counts.groupBy("node").agg(F.sum("n").alias("n"))
     about = nodes.select("node", "label", "v", "first_id", "copies").join(labels.withColumnRenamed("id", "node"), "node", "left").join(linked, "node", "left")
-    about = written(about.withColumn("component", F.coalesce("component", "node")))
+    about = written(about.withColumn("component", F.coalesce("component", "node")), True)
     least = about.groupBy("component").agg(F.min("first_id").alias("component_id"))
     # written, so that the join can split the rows of a vector with very many copies
-    about = written(about.join(least, "component").select("label", F.col("v").alias("embedding"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
+    about = written(about.join(least, "component").select("label", F.col("v").alias("embedding"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), True)
     out = rows.join(about, ["label", "embedding"], "left")
     component = F.coalesce("component_id", "vec_id").cast("long")
     return out.select(

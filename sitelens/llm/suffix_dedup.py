@@ -167,14 +167,14 @@ def by_position(near: DataFrame, length: int, kgram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array((packed >> 16) + np.arange(n)), pa.array(as_long(h))], names=["k", "c", "d1", "d2", "first", "h"])
 
     windows = near.select("k", "c", "d1", "d2", "at", "left", "right").mapInArrow(tidy(run), "k long, c long, d1 long, d2 long, first long, h long")
-    again = written(windows.groupBy("k", "h").agg(F.count("*").alias("n")).filter("n > 1").select("k", "h"))
+    again = written(windows.groupBy("k", "h").agg(F.count("*").alias("n")).filter("n > 1").select("k", "h"), True)
     return windows.filter("c = 1").join(again, ["k", "h"]).select("d1", "d2", "first", F.col("first").alias("last"))
 
 
 def repeated_windows(docs: DataFrame, length: int, kgram: int, small: int = SIDE_BY_SIDE) -> DataFrame:
     """(d1, d2, starts): for each text that has any, the runs (first, last) of starts of windows that occur more than once."""
     all_segments = written(segment_table(docs, length, kgram))
-    ranks = written(all_segments.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"))
+    ranks = written(all_segments.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"), True)
     left = written(all_segments.join(ranks, "k"))
     groups = written(left.groupBy("k", "s").agg(F.count("*").alias("c"), F.min(F.struct("d1", "d2", "at")).alias("where")))
     discard(all_segments)
@@ -183,12 +183,12 @@ def repeated_windows(docs: DataFrame, length: int, kgram: int, small: int = SIDE
         "d1", "d2", F.shiftright("at", 16).alias("first"), (F.shiftright("at", 16) + F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("last")
     )
     undecided = groups.groupBy("k").agg(F.count("*").alias("m"), F.count_if(F.col("c") == 1).alias("unique")).filter("m > 1 and unique > 0").select("k", "m")
-    undecided = written(undecided)
+    undecided = written(undecided, True)
     wanted = groups.join(undecided, "k").select("k", "s", "c", "m", "where.*")
-    near = written(surroundings(docs, wanted, length, kgram))
+    near = written(surroundings(docs, wanted, length, kgram), True)
     parts = side_by_side(near.filter(F.col("m") <= small), length, kgram).unionByName(by_position(near.filter(F.col("m") > small), length, kgram))
     runs = whole.unionByName(parts).distinct()
-    starts = written(runs.groupBy("d1", "d2").agg(F.collect_list(F.struct("first", "last")).alias("starts")))
+    starts = written(runs.groupBy("d1", "d2").agg(F.collect_list(F.struct("first", "last")).alias("starts")), True)
     for done in (ranks, left, groups, undecided, near):
         discard(done)
     return starts
