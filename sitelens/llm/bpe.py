@@ -403,5 +403,5 @@ def encode_documents(docs: DataFrame, path: str, long_text: int = LONG_TEXT, lea
     short = encode_short(docs.filter(~is_long), path, decode).drop("text")
     long = docs.filter(is_long).withColumn("key", F.sha2("text", 256))
     # written, so that the join can split the rows of a text with very many copies
-    made = written(encode_long(long.groupBy("key").agg(F.first("text").alias("text")), path, leaf))
+    made = written(encode_long(long.groupBy("key").agg(F.first("text").alias("text")), path, leaf), True)
     return short.unionByName(long.select("doc_id", "key").join(made, "key").select("doc_id", "n_tokens", "ids", "decoded"))

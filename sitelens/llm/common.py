@@ -19,7 +19,7 @@ from . import textblocks
 ARROW_BYTES = 4 << 20
 WORK = "sitelens-"
 #: Tasks a core that write a compact table.
-WAVES = 2
+WAVES = 1
 #: Has Spark drop the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

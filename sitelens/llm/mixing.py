@@ -150,7 +150,7 @@ def mix_sources(
     Only (doc_id, size) rows are shuffled; a task reads its shards as a stream.  The driver holds one row for each source
     and one for each cell, at most MAX_CELLS more than there are sources.
     """
-    sizes = written(document_sizes(docs))
+    sizes = written(document_sizes(docs), True)
     by_source = sorted(
         sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(),
         key=lambda r: (r["source"] is None, r["source"] or ""),

@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = SAM
     sample = labelled_sample(docs, labels, "quality", usable, per_class)
     # repeated ids may match several rows: one text for each id keeps the sample bounded
     once = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"), (F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string"))) % 2).alias("half"))
-    texts = written(once.filter(F.octet_length("text") > 0))
+    texts = written(once.filter(F.octet_length("text") > 0), True)
     counts = {(r["y"], r["half"]): r["count"] for r in texts.groupBy("y", "half").count().collect()}
     if len({y for y, _ in counts}) < 2:
         return {"good": b"\0" * 8, "bad": b"\0" * 8, "beta": [0.0, 0.0, 0.0], "centre": [0.0, 0.0], "scale": [1.0, 1.0]}
