@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,11 +36,15 @@ def same_site(a: Column, b: Column, mode: str = "suffix") -> Column:
 
 
 def matches_glob(url: Column, patterns: list[str]) -> Column:
-    """*x* contains, *x ends with, x* starts with, x contains; one predicate for all patterns."""
+    """*x* contains, *x ends with, x* starts with, x contains; a * inside stands for anything.  One predicate for all patterns."""
     out = F.lit(False)
     for p in patterns:
         body = p.strip("*")
-        if p.startswith("*") and not p.endswith("*"):
+        if "*" in body:
+            inner = ".*".join(re.escape(x) for x in body.split("*"))
+            open_end = p.endswith("*") or not p.startswith("*")
+            out = out | url.rlike(("" if p.startswith("*") or not p.endswith("*") else "^") + inner + ("" if open_end else "$"))
+        elif p.startswith("*") and not p.endswith("*"):
             out = out | url.endswith(body)
         elif p.endswith("*") and not p.startswith("*"):
             out = out | url.startswith(body)
@@ -128,3 +133,13 @@ def sitemap_urls(bodies: DataFrame) -> DataFrame:
 def robots_seeds(bodies: DataFrame) -> DataFrame:
     """Sitemap lines of captured robots files."""
     return bodies.select("url", F.explode(F.regexp_extract_all("body", F.lit(r"(?im)^sitemap:\s*(\S+)"), F.lit(1))).alias("loc"))
+
+
+# Where sitemaps lie by convention.
+SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap/sitemap.xml"]
+
+
+def conventional_sitemaps(urls: DataFrame) -> DataFrame:
+    """(url): the sitemap addresses that each site of the given addresses may have by convention."""
+    origin = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    return urls.select(origin.alias("origin")).filter("origin <> ''").distinct().select(F.explode(F.array(*[F.concat("origin", F.lit(p)) for p in SITEMAP_PATHS])).alias("url"))

@@ -83,6 +83,11 @@ def without_boilerplate(dom: DataFrame, tags: list[str] = L.REMOVED_TAGS, classe
     return without_subtrees(dom, F.col("tag").isin(tags) | F.col("class").rlike(pattern) | F.col("id").rlike(pattern))
 
 
+def without_selectors(dom: DataFrame, tags: list[str] = L.REMOVED_SELECTOR_TAGS, classes: list[str] = L.REMOVED_SELECTOR_CLASSES) -> DataFrame:
+    """Without the elements that CSS selectors name: tags, and whole words of the class."""
+    return without_subtrees(dom, F.col("tag").isin(tags) | F.arrays_overlap(F.split("class", r"\s+"), F.array(*map(F.lit, classes))))
+
+
 def subtree_text(dom: DataFrame) -> DataFrame:
     """(page_id, node_id, tag, class, text): the text of each node with its descendants, in document order."""
     at = dom.filter(F.length("own_text") > 0).select("page_id", F.col("node_id").alias("from"), "own_text", _ancestors().alias("node_id"))
@@ -113,6 +118,15 @@ def meta(dom: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", F.col("name").alias("key")).agg(F.max_by("content", "node_id").alias("value"))
 
 
+def page_meta(pages: DataFrame, dom: DataFrame) -> DataFrame:
+    """(page_id, description, properties, og): each page with its meta tags as maps; og has the keys that begin with og:."""
+    entry = F.struct(F.col("key"), F.col("value"))
+    found = meta(dom).groupBy("page_id").agg(F.map_from_entries(F.collect_list(entry)).alias("properties"))
+    nothing = F.create_map().cast("map<string,string>")
+    out = pages.select("page_id").join(found, "page_id", "left").withColumn("properties", F.coalesce("properties", nothing))
+    return out.select("page_id", F.try_element_at("properties", F.lit("description")).alias("description"), "properties", F.map_filter("properties", lambda k, _: k.startswith("og:")).alias("og"))
+
+
 def sections(dom: DataFrame, texts: DataFrame) -> DataFrame:
     """Containers that hold a heading: the first heading's text and the length of all text."""
     heads = texts.filter(F.col("tag").isin(HEADINGS)).select("page_id", F.col("node_id").alias("head_id"), F.col("text").alias("heading"))
@@ -223,5 +237,4 @@ def whole_sentences(rows: DataFrame, key: str, text: str, room: int = 1500) -> D
         lambda held, s: F.when(held["full"] | (F.length(held["out"]) + F.length(s) + 1 > room), F.struct(held["out"].alias("out"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat(held["out"], s, F.lit(" ")).alias("out"), F.lit(False).alias("full"))),
         lambda held: F.trim(held["out"]),
     )
-    # only sentences that can begin within the room are looked at
-    return rows.select(key, F.substring(text, 1, 4 * room).alias(text)).select(key, fits.alias("content"))
+    return rows.select(key, fits.alias("content"))

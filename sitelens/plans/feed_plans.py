@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import links as K
 from ..sources import files as X
 from ..sources import tables as S
+from ..sources.materialise import written
 from ..streaming import feeds as J
 from .registry import query
 from .scoring_plans import SUPPORT, keywords
@@ -57,22 +58,29 @@ def src7_errors(spark, d):
 
 @query("src8_sitemap_urls", "SELECT page_id, url FROM pages")
 def src8(spark, d):
-    """Captured sitemaps made of the pages' own URLs, one for each host and an index above them."""
+    """Captured sitemaps made of the pages' own URLs: one for each page, an index for each host, and robots files above."""
     p = S.pages(spark, d)
     body = F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("</loc></url></urlset>"))
     leaves = p.select(F.concat(F.lit("map"), "page_id").alias("url"), body.alias("body"))
     index = p.groupBy("host").agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.transform(F.collect_list("page_id"), lambda i: F.concat(F.lit("<sitemap><loc>map"), i.cast("string"), F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("body")).select(F.col("host").alias("url"), "body")
-    locs = K.sitemap_urls(leaves.unionByName(index))
-    found = X.nested_sitemaps(locs, p.select(F.col("host").alias("url")).distinct(), 2)
+    robots = p.groupBy("host").agg(F.concat(F.lit("User-agent: *\nSitemap: "), F.col("host"), F.lit("\n")).alias("body")).select(F.concat("host", F.lit("/robots.txt")).alias("url"), "body")
+    locs = written(K.sitemap_urls(leaves.unionByName(index)))
+    found = X.nested_sitemaps(locs, K.robots_seeds(robots).select(F.col("loc").alias("url")), written)
     return found.join(p.select("page_id", F.col("url").alias("loc")), "loc").select("page_id", F.col("loc").alias("url"))
 
 
-STATE = "SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(event_id, (ts, event_id)) AS event_id, CAST(count(*) AS BIGINT) AS n_events FROM events_v GROUP BY job_id"
+@query("src8_conventional_sitemaps", "SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]+)', 1) || p AS url FROM pages, (VALUES ('/sitemap.xml'), ('/sitemap_index.xml'), ('/sitemap/sitemap.xml')) AS t(p)")
+def src8_conventional(spark, d):
+    return K.conventional_sitemaps(S.pages(spark, d))
+
+
+PROGRESS = "job_id * event_id % 101"
+STATE = f"SELECT job_id, status, progress, CASE WHEN progress < 10 THEN 'init' WHEN progress < 40 THEN 'crawl' WHEN progress < 80 THEN 'analyse' WHEN progress < 90 THEN 'merge' ELSE 'done' END AS step, event_id, n_events FROM (SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max({PROGRESS}, (ts, event_id)) AS progress, arg_max(event_id, (ts, event_id)) AS event_id, CAST(count(*) AS BIGINT) AS n_events FROM events_v GROUP BY job_id)"
 
 
 @query("str1_job_state", STATE)
 def str1(spark, d):
-    return J.drained(J.job_state(stream(spark, d)), "complete")
+    return J.drained(J.job_state(stream(spark, d).withColumn("progress", F.expr(PROGRESS))), "complete")
 
 
 LIFE = "SELECT job_id, event_id, status, before, NOT coalesce(before IN ('completed', 'failed'), false) AS may_cancel, coalesce(before = 'failed', false) AS may_retry FROM (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS before FROM events_v)"
@@ -105,8 +113,7 @@ def str4(spark, d):
 @query("str4_rate_windows", "SELECT domain, epoch_us(date_trunc('second', ts)) AS at, CAST(count(*) AS BIGINT) AS n FROM events_v GROUP BY 1, 2")
 def str4_stream(spark, d):
     """The windowed counts of the stream in full: complete mode, so that none waits for the watermark."""
-    e = stream(spark, d)
-    return J.drained(e.groupBy("domain", F.window("ts", "1 second")).agg(F.count("*").alias("n")), "complete").select("domain", F.unix_micros("window.start").alias("at"), "n")
+    return J.drained(J.rate_windows(stream(spark, d)), "complete").select("domain", F.unix_micros("window.start").alias("at"), "n")
 
 
 @query("str5_moving_latency", "SELECT domain, event_id, CASE WHEN n >= 5 THEN round(a, 6) END AS average FROM (SELECT domain, event_id, count(*) OVER w AS n, avg(latency) OVER w AS a FROM events_v WINDOW w AS (PARTITION BY domain ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))")
@@ -124,6 +131,11 @@ def str6(spark, d):
     return J.limiter_statistics(J.rate_audit(S.job_events(spark, d), rates(spark)), S.job_events(spark, d))
 
 
+@query("str7_dedupe_hour_batch")
+def str7_batch(spark, d):
+    return J.dedupe_hour(S.job_events(spark, d))
+
+
 @query("str7_dedupe_hour")
 def str7(spark, d):
     return J.drained(J.dedupe_hour_stream(stream(spark, d)), "append")

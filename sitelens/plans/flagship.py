@@ -26,11 +26,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src6_table_round_trip", "SELECT keyword_id, project_id, keyword, category FROM keywords_v")
 def src6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords written as a table partitioned by project in the shared folder, and read again."""
-    from ..sources.materialise import shared_folder
+    """Keywords saved as a table partitioned by project in the shared folder, and read again."""
     import uuid
 
-    path = f"{shared_folder(spark)}/keywords-{uuid.uuid4().hex}"
-    rows = S.keywords(spark, sf_dir)
-    rows.repartition("project_id").write.partitionBy("project_id").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path).select("keyword_id", "project_id", "keyword", "category")
+    from ..sources import files
+    from ..sources.materialise import shared_folder
+
+    rows, name = S.keywords(spark, sf_dir), f"keywords_{uuid.uuid4().hex}"
+    files.save_by_project(rows, name, f"{shared_folder(spark)}/{name}")
+    return spark.table(name).select("keyword_id", "project_id", "keyword", "category")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import lexicons as L
 from ..functions import text as T
 from ..operators import links as K
 from ..operators import pages as P
@@ -15,8 +16,8 @@ TAGS = ["script", "style", "nav", "footer", "header", "aside", "form", "button"]
 TERMS = ["the", "data", "bot"]
 
 
-def _stripped(column: str) -> str:
-    for t in TAGS:
+def _stripped(column: str, tags: list[str] = TAGS) -> str:
+    for t in tags:
         column = rf"regexp_replace({column}, '(?is)<{t}\b.*?</{t}>', ' ', 'g')"
     return rf"regexp_replace({column}, '(?s)<!--.*?-->', ' ', 'g')"
 
@@ -40,12 +41,18 @@ def titles(spark, d):
     return pages(spark, d).select("page_id", P.title(F.col("html")).alias("title"))
 
 
+def dom(spark, d):
+    """The node table: pages are parsed once and written, whatever reads it."""
+    return written(P.nodes(pages(spark, d)))
+
+
 def texts(spark, d):
-    return P.subtree_text(P.nodes(pages(spark, d)))
+    return P.subtree_text(dom(spark, d))
 
 
 def clean_texts(spark, d):
-    return P.subtree_text(P.without_boilerplate(P.nodes(pages(spark, d))))
+    """Texts of what is left without boilerplate, written: selectors read them more than once."""
+    return written(P.subtree_text(written(P.without_boilerplate(dom(spark, d)))))
 
 
 @query("src1_captured_pages", "SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars FROM pages")
@@ -63,9 +70,22 @@ def pg2(spark, d):
     return pages(spark, d).select("page_id", P.plain_text(F.col("html"), TAGS).alias("content"))
 
 
+TAGS_14 = _stripped("html", L.REMOVED_TAGS_PLAIN)
+
+
+@query("pg2_plain_tags_removed", rf"SELECT page_id, trim(regexp_replace(regexp_replace({TAGS_14}, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS content FROM pages")
+def pg2_plain(spark, d):
+    return pages(spark, d).select("page_id", P.plain_text(F.col("html"), L.REMOVED_TAGS_PLAIN).alias("content"))
+
+
+@query("pg2_selectors_removed")
+def pg2_selectors(spark, d):
+    return P.without_selectors(dom(spark, d)).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
 @query("pg3_pattern_removed")
 def pg3(spark, d):
-    return P.without_boilerplate(P.nodes(pages(spark, d))).groupBy("page_id").agg(F.count("*").alias("n_nodes"))
+    return P.without_boilerplate(dom(spark, d)).groupBy("page_id").agg(F.count("*").alias("n_nodes"))
 
 
 @query("pg4_non_empty_elements")
@@ -100,7 +120,15 @@ def pg9(spark, d):
 
 @query("pg10_meta")
 def pg10(spark, d):
-    return P.meta(P.nodes(pages(spark, d)))
+    return P.meta(dom(spark, d))
+
+
+@query("pg10_page_meta", "SELECT page_id, nullif(regexp_extract(html, '(?is)<meta name=\"description\" content=\"([^\"]*)\"', 1), '') AS description, '' AS og FROM pages")
+def pg10_page(spark, d):
+    """One row for each page; the tables' pages have no meta tags, fixtures do."""
+    out = P.page_meta(pages(spark, d), dom(spark, d))
+    og = F.array_join(F.transform(F.array_sort(F.map_entries("og")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return out.select("page_id", "description", og.alias("og"))
 
 
 @query("pg11_headings", "SELECT page_id, CAST(ord AS BIGINT) AS ord, CAST(regexp_extract(h, '(?i)<h([1-6])', 1) AS INTEGER) AS level, trim(regexp_extract(h, '>([^<]*)<', 1)) AS text FROM (SELECT page_id, unnest(l) AS h, unnest(range(len(l))) AS ord FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>[^<]*</h[1-6]>') AS l FROM pages)) WHERE length(trim(regexp_extract(h, '>([^<]*)<', 1))) > 0")
@@ -110,14 +138,14 @@ def pg11(spark, d):
 
 @query("pg12_sections")
 def pg12(spark, d):
-    dom = P.nodes(pages(spark, d))
-    return P.sections(dom, P.subtree_text(dom))
+    nodes = dom(spark, d)
+    return P.sections(nodes, written(P.subtree_text(nodes)))
 
 
 @query("pg13_lists")
 def pg13(spark, d):
-    dom = P.nodes(pages(spark, d))
-    return P.lists(dom, P.subtree_text(dom))
+    nodes = dom(spark, d)
+    return P.lists(nodes, P.subtree_text(nodes))
 
 
 @query("pg14_links", f"SELECT page_id, ord, href, text FROM ({LINKS})")
@@ -158,7 +186,7 @@ def pg20(spark, d):
 
 
 @query("pg21_whole_sentences", r"""SELECT doc_id, trim(coalesce(string_agg(s || ' ', '' ORDER BY i) FILTER (run <= 1500), '')) AS content FROM (SELECT doc_id, i, s, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM
-(SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(regexp_replace(substr(text, 1, 6000), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents))) GROUP BY doc_id""")
+(SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents))) GROUP BY doc_id""")
 def pg21(spark, d):
     return P.whole_sentences(S.read(spark, d, "documents"), "doc_id", "text")
 
@@ -189,8 +217,8 @@ def url2(spark, d):
     return pages(spark, d).select("page_id", K.same_site(h, F.lit("a.example.com"), "exact").alias("exact"), K.same_site(h, F.lit("example.com"), "below").alias("below"), K.same_site(h, F.lit("example.com")).alias("suffix"), K.same_site(h, F.lit("example"), "substring").alias("substring"))
 
 
-INCLUDE, EXCLUDE = ["*.html", "*article*", "https://*"], ["*utm_*", "*#top"]
-GLOBS = "(ends_with(url, '.html') OR contains(url, 'article') OR starts_with(url, 'https://')) AND NOT (contains(url, 'utm_') OR ends_with(url, '#top'))"
+INCLUDE, EXCLUDE = ["*.html", "*article*", "https://*", "http://*example*/*-*"], ["*utm_*", "*#top"]
+GLOBS = "(ends_with(url, '.html') OR contains(url, 'article') OR starts_with(url, 'https://') OR regexp_matches(url, '^http://.*example.*/.*-')) AND NOT (contains(url, 'utm_') OR ends_with(url, '#top'))"
 
 
 @query("url3_globs", f"SELECT page_id, url FROM pages WHERE {GLOBS}")
@@ -221,11 +249,16 @@ def url7(spark, d):
     return K.feature_links(links(spark, d), lambda c: T.has_any(c, TERMS)).select("page_id", "ord", "href", "text")
 
 
-@query("url8_reach", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS src, o_orderkey * 7 % 500 AS dst FROM orders WHERE o_custkey % 500 % 3 <> 1 AND o_orderkey % 5 = 0),
-r AS (SELECT 1::BIGINT AS url, 0 AS depth UNION SELECT 2, 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 3) SELECT url, min(depth) AS depth FROM r GROUP BY url""")
+@query("url8_reach", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey * 7 % (SELECT max(c_custkey) FROM customer) + 1 AS dst FROM orders),
+s AS (SELECT c_custkey AS url FROM customer WHERE c_acctbal >= (SELECT max(c_acctbal) - 50 FROM customer)), r AS (SELECT url, 0 AS depth FROM s UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 3) SELECT url, min(depth) AS depth FROM r GROUP BY url""")
 def url8(spark, d):
-    o = S.read(spark, d, "orders").filter("o_orderkey % 5 = 0").select((F.col("o_custkey") % 500).alias("src"), (F.col("o_orderkey") * 7 % 500).alias("dst"))
-    return K.reach(o.filter("src % 3 <> 1").distinct(), spark.createDataFrame([(1,), (2,)], "url long"), 3, written)
+    """Customers as pages, every order as a link: from the richest customers, three steps far."""
+    c = S.read(spark, d, "customer")
+    top = c.agg(F.max("c_custkey").alias("n"), (F.max("c_acctbal") - 50).alias("least"))
+    o = S.read(spark, d, "orders").crossJoin(F.broadcast(top))
+    edges = o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7 % F.col("n") + 1).alias("dst")).distinct()
+    seeds = c.crossJoin(F.broadcast(top)).filter("c_acctbal >= least").select(F.col("c_custkey").alias("url"))
+    return K.reach(written(edges), seeds, 3, written)
 
 
 @query("url9_child_pages", f"WITH l AS (SELECT *, {ABSOLUTE} AS child FROM ({LINKS})) SELECT page_id, child, title || ' - ' || text AS title FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS r FROM l WHERE starts_with(child, regexp_extract(url, '^(https?://[^/?#]+)', 1)) AND child <> url) JOIN (SELECT page_id, {TITLE} AS title FROM pages) USING (page_id) WHERE r <= 10")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,9 @@ def analysis_report(analyses: DataFrame, keywords: DataFrame) -> DataFrame:
     )
 
 
-def save_by_project(rows: DataFrame, table: str) -> None:
-    rows.write.partitionBy("project_id").mode("overwrite").saveAsTable(table)
+def save_by_project(rows: DataFrame, table: str, path: str) -> None:
+    """A table in a folder of its own, a part for each project; rows of a project are dealt together, so a part has few files."""
+    rows.repartition("project_id").write.partitionBy("project_id").mode("overwrite").option("path", path).saveAsTable(table)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int) -> DataFrame:
@@ -68,15 +71,17 @@ def persisted(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parent, parsed.select(key, F.explode("parsed.extracted_features").alias("f")).select("analysis_id", "f.*")
 
 
-def nested_sitemaps(locs: DataFrame, roots: DataFrame, levels: int = 5) -> DataFrame:
-    """Page locations reached from root sitemaps through index files, (url, loc, is_index) rows given."""
-    at, out = roots.select("url"), None
-    for _ in range(levels):
-        found = locs.join(at, "url")
-        pages = found.filter(~F.col("is_index")).select("loc")
-        out = pages if out is None else out.unionByName(pages)
-        at = found.filter("is_index").select(F.col("loc").alias("url")).distinct()
-    return out.distinct()
+def nested_sitemaps(locs: DataFrame, roots: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Page locations reached from root sitemaps through index files, (url, loc, is_index) rows given.
+
+    Goes on until no sitemap is new, so files of any depth, and such that name each other, are read once.  `keep` writes a step.
+    """
+    seen = at = keep(roots.select("url").distinct())
+    while not at.isEmpty():
+        nested = locs.filter("is_index").join(at, "url").select(F.col("loc").alias("url")).distinct()
+        at = keep(nested.join(seen, "url", "left_anti"))
+        seen = keep(seen.unionByName(at))
+    return locs.filter(~F.col("is_index")).join(seen, "url").select("loc").distinct()
 
 
 def numbered(rows: DataFrame, order: str) -> Column:

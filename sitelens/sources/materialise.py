@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset, as in tests."""
+    """spark.checkpoint.dir; a folder of our own only in a local session without it, as in tests."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         have = held.get() if held.isDefined() else None
     if not have:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         have = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(have)
     return have.rstrip("/")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +41,10 @@ def drained(stream: DataFrame, mode: str, trigger: dict | None = None) -> DataFr
 
 
 def job_state(events: DataFrame) -> DataFrame:
-    """The latest status of each job by (time, event)."""
-    latest = F.max_by(F.struct("status", "event_id"), F.struct("ts", "event_id")).alias("latest")
-    return events.groupBy("job_id").agg(latest, F.count("*").alias("n_events")).select("job_id", "latest.status", "latest.event_id", "n_events")
+    """The latest status, progress and step of each job by (time, event)."""
+    latest = F.max_by(F.struct("status", "progress", "event_id"), F.struct("ts", "event_id")).alias("latest")
+    out = events.groupBy("job_id").agg(latest, F.count("*").alias("n_events"))
+    return out.select("job_id", "latest.status", "latest.progress", stage_of(F.col("latest.progress")).alias("step"), "latest.event_id", "n_events")
 
 
 def allowed(action: Column, status: Column) -> Column:
@@ -92,8 +94,11 @@ def rate_audit(events: DataFrame, rates: DataFrame, default_rate: float = 1.0, b
     return at.join(F.broadcast(rates), "domain", "left").select("domain", "event_id", F.round("gap", 6).alias("gap"), F.round(F.greatest(least - F.col("gap"), F.lit(0.0)), 6).alias("delay"), (F.col("in_second") > burst).alias("over_burst"))
 
 
-def rate_windows(events: DataFrame, burst: int = 3) -> DataFrame:
-    """The streaming form: one-second windows with more requests than the burst; late data up to ten seconds."""
+def rate_windows(events: DataFrame, burst: int = 0) -> DataFrame:
+    """The streaming form: one-second windows with more requests than the burst; late data up to ten seconds.
+
+    In append mode a window comes out once the watermark has passed it, and its state is then dropped.
+    """
     return events.withWatermark("ts", "10 seconds").groupBy("domain", F.window("ts", "1 second")).agg(F.count("*").alias("n")).filter(F.col("n") > burst)
 
 
@@ -144,17 +149,32 @@ def request_key(*columns: str) -> Column:
 
 
 def dedupe_hour(events: DataFrame, seconds: int = 3600) -> DataFrame:
-    """Batch twin of the hourly dedupe: an event stays when the last kept one of its key is at least an hour before."""
-    rows = events.withColumn("key", request_key("job_id", "status")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "event_id"))).alias("all"))
-    zero = F.struct(F.lit(-(1 << 60)).alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda held, x: F.when(x["t"] - held["last"] >= seconds * 1_000_000, F.struct(x["t"].alias("last"), F.concat(held["kept"], F.array(x["event_id"])).alias("kept"))).otherwise(held)
-    return rows.select("key", F.explode(F.aggregate("all", zero, step, lambda held: held["kept"])).alias("event_id"))
+    """Batch twin of the hourly dedupe: an event stays when the last kept one of its key is at least an hour before.
+
+    Keys are sorted within partitions and read as a stream, so a key with very many events is never gathered.
+    """
+
+    def run(batches):
+        key_now, last = None, 0
+        for batch in batches:
+            kept = []
+            for key, t in zip(batch.column("key").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                take = key != key_now or t - last >= seconds * 1_000_000
+                key_now, last = key, t if take else last
+                kept.append(take)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(kept, pa.bool_())) for c in ("key", "event_id")], names=["key", "event_id"])
+
+    rows = events.select(request_key("job_id", "status").alias("key"), F.unix_micros("ts").alias("t"), "event_id")
+    return rows.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInArrow(run, "key string, event_id long")
 
 
 def dedupe_hour_stream(events: DataFrame, seconds: int = 3600) -> DataFrame:
-    """The same on a stream: the state of a key is the time of its last kept event."""
+    """The same on a stream: the state of a key is the time of its last kept event, dropped once the watermark is the time to live past it."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         last, kept = (state.get[0] if state.exists else -(1 << 60)), []
         for t, event_id in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["event_id"], strict=True):
@@ -162,10 +182,12 @@ def dedupe_hour_stream(events: DataFrame, seconds: int = 3600) -> DataFrame:
                 last = int(t)
                 kept.append(event_id)
         state.update((last,))
+        # an event after this time is kept whatever the state says
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [key[0]] * len(kept), "event_id": kept})
 
-    keyed = events.withColumn("key", request_key("job_id", "status")).select("key", "event_id", "ts")
-    return keyed.groupBy("key").applyInPandasWithState(step, "key string, event_id long", "last long", "append", "NoTimeout")
+    keyed = events.withColumn("key", request_key("job_id", "status")).select("key", "event_id", "ts").withWatermark("ts", "10 seconds")
+    return keyed.groupBy("key").applyInPandasWithState(step, "key string, event_id long", "last long", "append", "EventTimeTimeout")
 
 
 def analyse_stream(pages: DataFrame, keywords: DataFrame) -> DataFrame:
