@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,11 +78,12 @@ def union_tagged(catalogues: dict[str, DataFrame]) -> DataFrame:
 
 
 def compare_two(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Full comparison of two catalogues of distinct normalised names."""
-    side = lambda rows, n: rows.select("norm", F.col("name").alias(f"name_{n}"), F.col("description").alias(f"description_{n}"))
+    """Full comparison of two catalogues of distinct normalised names: who has each, and what either says of it and where."""
+    side = lambda rows, n: rows.select("norm", *[F.col(c).alias(f"{c}_{n}") for c in ("name", "description", "url")])
     return side(left, 1).join(side(right, 2), "norm", "full_outer").select(
-        "norm", F.col("name_1").isNotNull().alias("in_1"), F.col("name_2").isNotNull().alias("in_2"), F.coalesce("description_1", F.lit("")).alias("description_1"), F.coalesce("description_2", F.lit("")).alias("description_2")
-    )
+        "norm", F.col("name_1").isNotNull().alias("in_1"), F.col("name_2").isNotNull().alias("in_2"), F.coalesce("description_1", F.lit("")).alias("description_1"), F.coalesce("description_2", F.lit("")).alias("description_2"),
+        F.coalesce("url_1", F.lit("")).alias("url_1"), F.coalesce("url_2", F.lit("")).alias("url_2"),
+    )
 
 
 def comparison_counts(compared: DataFrame) -> DataFrame:
@@ -164,12 +167,17 @@ def quality_bucket(n_pages: Column) -> Column:
     return F.when(n_pages == 0, "low").when(n_pages < 5, "medium").otherwise("high")
 
 
-def assemble_corpus(pages: DataFrame, cap: int = 8000, per_page: int = 300) -> DataFrame:
-    """Labelled page blocks of each product in page order, cut to cap.
+def assemble_corpus(pages: DataFrame, cap: int = 8000, per_page: int = 300, links: DataFrame | None = None, n_links: int = 10) -> DataFrame:
+    """Labelled page blocks of each product in page order, cut to cap; with links (ord, place, text) a page's first link texts too.
 
     Only as many first pages as can reach the cap are gathered, so a large product does not meet in one row.
     """
     block = F.concat(F.lit("["), "title", F.lit("] "), F.substring("content", 1, per_page))
+    if links is not None:
+        first = links.withColumn("row_no", F.row_number().over(Window.partitionBy("ord").orderBy("place"))).filter(F.col("row_no") <= n_links)
+        texts = first.groupBy("ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "text"))), lambda s: s["text"]), ", ").alias("link_texts"))
+        pages = pages.join(texts, "ord", "left")
+        block = F.concat(block, F.coalesce(F.concat(F.lit(" links: "), "link_texts"), F.lit("")))
     sized = pages.withColumn("block", block)
     before = F.coalesce(F.sum(F.length("block") + 1).over(Window.partitionBy("product").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = sized.withColumn("before", before).filter(F.col("before") < cap)
@@ -177,10 +185,19 @@ def assemble_corpus(pages: DataFrame, cap: int = 8000, per_page: int = 300) -> D
     return kept.groupBy("product").agg(F.substring(joined, 1, cap).alias("corpus"), F.count("*").alias("n_blocks"))
 
 
-def named_products(rows: DataFrame) -> DataFrame:
-    """Blank product names become product<n> by their place in the (small) list of products."""
-    place = F.row_number().over(Window.orderBy("ord"))
-    return rows.withColumn("product", F.coalesce(F.nullif(F.trim("product"), F.lit("")), F.concat(F.lit("product"), place)))
+def named_products(rows: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Blank product names become product<n> by their place in the order of ord.
+
+    Places are counted within ranges of ord; what comes before a range is a sum over the ranges, of which there are as many as
+    partitions.  `keep` writes the ranges, so that both steps see the same.
+    """
+    place = F.monotonically_increasing_id()
+    ranged = rows.repartitionByRange("ord").sortWithinPartitions("ord")
+    ranged = keep(ranged.withColumns({"__range": F.shiftright(place, 33), "__at": place.bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("n"))
+    before = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    numbered = ranged.join(before, "__range").withColumn("__place", F.col("__before") + F.col("__at") + 1)
+    return numbered.withColumn("product", F.coalesce(F.nullif(F.trim("product"), F.lit("")), F.concat(F.lit("product"), F.col("__place")))).drop("__range", "__at", "__before", "__place")
 
 
 def with_placeholders(products: DataFrame, rows: DataFrame, pages: DataFrame) -> DataFrame:

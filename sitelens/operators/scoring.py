@@ -124,11 +124,11 @@ def in_context(text: Column, feature: Column, compat: bool = False) -> Column:
 def by_synonym(low: Column, feature: Column, synonyms: dict[str, list[str]]) -> Column:
     """The first variant in the text of a synonym entry that contains, or is contained in, the feature; null without one."""
     f = F.lower(feature)
-    tests = [F.when((F.lit(k).contains(f) | f.contains(k)) & low.contains(v.lower()), F.lit(v)) for k, variants in synonyms.items() for v in variants]
+    tests = [F.when((F.lit(k.lower()).contains(f) | f.contains(k.lower())) & low.contains(v.lower()), F.lit(v)) for k, variants in synonyms.items() for v in variants]
     return F.when(F.coalesce(*tests).isNotNull(), verdict("O", 0.85, F.coalesce(*tests)))
 
 
-def feature_support(text: Column, feature: Column, synonyms: dict[str, list[str]] = L.SYNONYMS, similar: Column | None = None) -> Column:
+def feature_support(text: Column, feature: Column, synonyms: dict[str, list[str]] = L.FEATURE_SYNONYMS, similar: Column | None = None) -> Column:
     """Six stages, the earliest that decides wins: substring, synonym, context, similarity, negative phrase, basic feature."""
     low, f = F.lower(text), F.lower(feature)
     stages = [F.when(low.contains(f), verdict("O", 0.95, feature)), by_synonym(low, feature, synonyms), in_context(text, f)]
@@ -171,12 +171,20 @@ def extraction_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("product").agg(F.count("*").alias("total_features"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories")).withColumn("quality", F.when(F.col("total_features") > 0, "medium").otherwise("low"))
 
 
-def product_profile(pages: DataFrame, mobile: list[str], desktop: list[str], business: list[str], developer: list[str]) -> DataFrame:
-    """Product type and audience from any hit on any page."""
+def product_profile(pages: DataFrame, mobile: list[str], desktop: list[str], business: list[str], developer: list[str], features: DataFrame | None = None) -> DataFrame:
+    """Product type and audience from any hit on any page; with features (product, ord, name, category) its first three categories, in
+    ascending order, and the names of its first three features."""
     low = F.lower("content")
     any_of = lambda terms: F.bool_or(T.has_any(low, terms))
     flags = pages.groupBy("product").agg(any_of(mobile).alias("m"), any_of(desktop).alias("d"), any_of(business).alias("b"), any_of(developer).alias("v"))
-    return flags.select("product", F.when(F.col("m"), "mobile").when(F.col("d"), "desktop").otherwise("web").alias("product_type"), F.when(F.col("b"), "business").when(F.col("v"), "developer").otherwise("general").alias("audience"))
+    profile = flags.select("product", F.when(F.col("m"), "mobile").when(F.col("d"), "desktop").otherwise("web").alias("product_type"), F.when(F.col("b"), "business").when(F.col("v"), "developer").otherwise("general").alias("audience"))
+    if features is None:
+        return profile
+    first = features.withColumn("row_no", F.row_number().over(Window.partitionBy("product").orderBy("ord"))).filter("row_no <= 3")
+    names = first.groupBy("product").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "name"))), lambda s: s["name"]), ", ").alias("top_features"))
+    kinds = features.select("product", "category").distinct().withColumn("row_no", F.row_number().over(Window.partitionBy("product").orderBy("category"))).filter("row_no <= 3")
+    kinds = kinds.groupBy("product").agg(F.array_join(F.array_sort(F.collect_list("category")), ", ").alias("top_categories"))
+    return profile.join(names, "product", "left").join(kinds, "product", "left").fillna("", ["top_features", "top_categories"])
 
 
 def keywords_in_context(rows: DataFrame, key: str, text: str, lexicon: DataFrame, around: int = 50, n: int = 10) -> DataFrame:

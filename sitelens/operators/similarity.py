@@ -126,22 +126,67 @@ def keep_first(nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], D
         open_ = keep(open_.join(newly, "id", "left_anti"))
 
 
-def title_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """For each left title (id, title) the right one of highest token Jaccard: O above 0.5, partial above 0.3, else X."""
-    token = lambda rows, n: rows.select(F.col("id").alias(n), F.array_distinct(tokens(F.col("title"))).alias(f"t_{n}"))
-    x, y = token(left, "a"), token(right, "b")
-    shared = x.select("a", F.size("t_a").alias("n_a"), F.explode("t_a").alias("t")).join(y.select("b", F.size("t_b").alias("n_b"), F.explode("t_b").alias("t")), "t")
-    scored = shared.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both")).withColumn("similarity", F.round(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), 6))
-    best = scored.filter(F.col("similarity") > 0.3).groupBy("a").agg(F.max_by(F.struct("b", "similarity"), F.struct("similarity", -F.col("b"))).alias("best"))
-    return x.select("a").join(best, "a", "left").select("a", F.col("best.b").alias("b"), F.coalesce("best.similarity", F.lit(0.0)).alias("similarity"), F.when(F.col("best.similarity") > 0.5, "O").when(F.col("best.similarity") > 0.3, "△").otherwise("X").alias("status"))
+def title_matches(left: DataFrame, right: DataFrame, least: float = 0.3, sure: float = 0.5) -> DataFrame:
+    """For each left title (id, title) the right one of highest token Jaccard: O above 0.5, partial above 0.3, else X.
+
+    Distinct sets of tokens are matched once.  Two sets above the threshold share one of their rarest tokens, so only
+    these are joined: a token that most titles have brings no pairs.
+    """
+    words = F.array_sort(F.array_distinct(tokens(F.col("title"))))
+    x = left.select(F.col("id").alias("a"), words.alias("t_a"))
+    y = right.select("id", words.alias("t_b")).groupBy("t_b").agg(F.min("id").alias("b"))
+    sets = x.select(F.col("t_a").alias("t")).unionByName(y.select(F.col("t_b").alias("t"))).distinct().filter(F.size("t") > 0)
+    ranked = sets.select("t", F.explode("t").alias("w"))
+    ranked = ranked.join(ranked.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("order"))
+    # above the threshold more than least * size tokens are shared, so one of the first size - least * size ones is
+    rare = ranked.select("t", F.explode(F.slice("order", 1, F.size("t") - F.floor(least * F.size("t")).cast("int"))).alias("o")).select("t", F.col("o.w").alias("w"))
+    near = rare.join(y, rare["t"] == y["t_b"], "left_semi").select(F.col("t").alias("t_b"), "w").join(rare.join(x, rare["t"] == x["t_a"], "left_semi").select(F.col("t").alias("t_a"), "w"), "w")
+    near = near.select("t_a", "t_b").distinct().withColumn("similarity", F.round(T.jaccard(F.col("t_a"), F.col("t_b")), 6)).filter(F.col("similarity") > least)
+    best = near.join(y, "t_b").groupBy("t_a").agg(F.max_by(F.struct("b", "similarity"), F.struct("similarity", -F.col("b"))).alias("best"))
+    status = F.when(F.col("best.similarity") > sure, "O").when(F.col("best.similarity") > least, "△").otherwise("X")
+    return x.join(best, "t_a", "left").select("a", F.col("best.b").alias("b"), F.coalesce("best.similarity", F.lit(0.0)).alias("similarity"), status.alias("status"))
+
+
+def groups_of(name: Column, synonyms: dict[str, list[str]]) -> Column:
+    """Places of the synonym groups that a name hits."""
+    return F.array_compact(F.array(*[F.when(T.has_any(name, [word, *variants]), F.lit(i)) for i, (word, variants) in enumerate(synonyms.items())]))
 
 
 def shares_group(a: Column, b: Column, synonyms: dict[str, list[str]]) -> Column:
     """0.4 when both names hit the same synonym group."""
-    hit = F.lit(False)
-    for word, variants in synonyms.items():
-        hit = hit | (T.has_any(a, [word, *variants]) & T.has_any(b, [word, *variants]))
-    return F.when(hit, 0.4).otherwise(0.0)
+    return F.when(F.arrays_overlap(groups_of(a, synonyms), groups_of(b, synonyms)), 0.4).otherwise(0.0)
+
+
+def synonym_pairs(names: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame:
+    """(a, b) with a < b of distinct names (norm) that hit the same group: joined on the group."""
+    hits = names.select("norm", F.explode(groups_of(F.col("norm"), synonyms)).alias("g"))
+    return hits.select(F.col("norm").alias("a"), "g").join(hits.select(F.col("norm").alias("b"), "g"), "g").filter("a < b").select("a", "b").distinct()
+
+
+def candidate_pairs(names: DataFrame, synonyms: dict[str, list[str]], gram: int = 3) -> DataFrame:
+    """(a, b) with a < b of distinct names (norm) that share a token or a group, or of which one contains the other.
+
+    A name that contains another has its first characters somewhere, so containment is joined on these.  Other pairs have
+    no similarity but the sequence ratio's, which is at most its weight.
+    """
+    words = names.select("norm", F.explode(F.array_distinct(F.filter(F.split("norm", r"\s+"), lambda w: w != ""))).alias("w"))
+    by_word = words.select(F.col("norm").alias("a"), "w").join(words.select(F.col("norm").alias("b"), "w"), "w").select("a", "b")
+    begins = names.filter(F.length("norm") > 0).select(F.col("norm").alias("inner"), F.substring("norm", 1, gram).alias("g"))
+    places = F.transform(F.sequence(F.lit(1), F.length("norm")), lambda i: F.array(*[F.substr(F.col("norm"), i, F.lit(n)) for n in range(1, gram + 1)]))
+    grams = names.filter(F.length("norm") > 0).select(F.col("norm").alias("outer"), F.explode(F.array_distinct(F.flatten(places))).alias("g"))
+    inside = begins.join(grams, "g").filter(F.col("outer").contains(F.col("inner"))).select(F.col("inner").alias("a"), F.col("outer").alias("b"))
+    found = by_word.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")
+    return found.unionByName(synonym_pairs(names, synonyms)).distinct()
+
+
+def block_pairs(left: DataFrame, right: DataFrame, blocks: int = 16) -> DataFrame:
+    """All pairs of two tables of distinct names (a) and (b), dealt into blocks x blocks by hashes and joined block by block.
+
+    For measures that no key can bound: every pair is looked at, by equal tasks, and neither side is sent whole.
+    """
+    x = left.select("a", F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
+    y = right.select("b", F.pmod(F.xxhash64("b"), F.lit(blocks)).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"))
+    return x.hint("merge").join(y, [x["i"] == y["i"], x["j"].cast("long") == y["j"]]).select("a", "b")
 
 
 @F.pandas_udf(DoubleType())
@@ -160,15 +205,29 @@ def name_similarity(a: Column, b: Column, synonyms: dict[str, list[str]], ratio_
 
 
 def support_matrix(catalogue: DataFrame, merged: DataFrame, synonyms: dict[str, list[str]], least: float = 0.05, ratio_weight: float = 0.3) -> DataFrame:
-    """(product, feature, status, similarity): each product's best feature for each merged one, by distinct normalised names.
+    """(product, feature, status, similarity, description, source_url, confidence): each product's best feature for each merged one.
 
-    `catalogue` has (product, norm), `merged` (norm); pairs of distinct names are scored once, whatever the number of products.
+    `catalogue` has (product, norm, ord, description, url, confidence), `merged` (norm).  Of features alike the first by ord is
+    best.  Distinct names are scored once, whatever the number of products; without the sequence ratio only candidates are.
     """
-    names = catalogue.select(F.col("norm").alias("own")).distinct()
-    scored = merged.select(F.col("norm").alias("feature")).join(F.broadcast(names), how="cross").withColumn("similarity", name_similarity(F.col("own"), F.col("feature"), synonyms, ratio_weight)).filter(F.col("similarity") > least)
-    best = scored.join(catalogue.select("product", F.col("norm").alias("own")).distinct(), "own").groupBy("product", "feature").agg(F.max_by(F.struct("own", "similarity"), F.struct("similarity", F.negative(F.xxhash64("own")))).alias("best"))
-    cells = merged.select(F.col("norm").alias("feature")).join(F.broadcast(catalogue.select("product").distinct()), how="cross")
-    return cells.join(best, ["product", "feature"], "left").select("product", "feature", F.when(F.col("best").isNotNull(), "O").otherwise("X").alias("status"), F.coalesce("best.similarity", F.lit(0.0)).alias("similarity"))
+    own = catalogue.groupBy("product", "norm").agg(F.min_by(F.struct("ord", "description", "url", "confidence"), "ord").alias("row"))
+    names = own.select("norm").distinct()
+    if ratio_weight:
+        scored = block_pairs(names.select(F.col("norm").alias("a")), merged.select(F.col("norm").alias("b")))
+    else:
+        pairs = candidate_pairs(names.unionByName(merged.select("norm")).distinct(), synonyms)
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.join(names.select(F.col("norm").alias("a")), "a", "left_semi").join(merged.select(F.col("norm").alias("b")), "b", "left_semi")
+        scored = both.select("a", "b").unionByName(names.join(merged, "norm", "left_semi").select(F.col("norm").alias("a"), F.col("norm").alias("b")))
+    scored = scored.withColumn("similarity", name_similarity(F.col("a"), F.col("b"), synonyms, ratio_weight)).filter(F.col("similarity") > least)
+    best = scored.join(own.withColumnRenamed("norm", "a"), "a").groupBy("product", F.col("b").alias("feature")).agg(F.max_by(F.struct("row", "similarity"), F.struct("similarity", F.negative(F.col("row.ord")))).alias("best"))
+    products = catalogue.select("product").distinct()
+    cells = block_pairs(merged.select(F.col("norm").alias("a")), products.select(F.col("product").alias("b"))).select(F.col("a").alias("feature"), F.col("b").alias("product"))
+    found = F.col("best").isNotNull()
+    return cells.join(best, ["product", "feature"], "left").select(
+        "product", "feature", F.when(found, "O").otherwise("X").alias("status"), F.coalesce("best.similarity", F.lit(0.0)).alias("similarity"),
+        F.coalesce("best.row.description", F.lit("")).alias("description"), F.coalesce("best.row.url", F.lit("")).alias("source_url"), F.coalesce("best.row.confidence", F.lit(0.0)).alias("confidence"),
+    )
 
 
 def longest_shared(a: Column, b: Column) -> Column:
@@ -177,6 +236,13 @@ def longest_shared(a: Column, b: Column) -> Column:
     return F.coalesce(F.get(both, F.lit(0))["t"], F.substring(a, 1, 20))
 
 
+def shared_keyword(a: Column, b: Column, terms: list[str]) -> Column:
+    """Longest lexicon term that both texts have, then the smallest; else the first term of either; else a general word."""
+    x, y = T.terms_in(F.lower(a), terms), T.terms_in(F.lower(b), terms)
+    both = F.array_sort(F.transform(F.array_intersect(x, y), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    return F.coalesce(F.get(both, F.lit(0))["t"], F.get(x, F.lit(0)), F.get(y, F.lit(0)), F.lit("기능"))
+
+
 def pair_verdicts(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Both sides' verdict, confidence and cut text."""
     out = pairs.withColumns({"v1": scoring.polarity(F.col(left)), "v2": scoring.polarity(F.col(right))})

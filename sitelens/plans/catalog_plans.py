@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog as C
 from ..sources import tables as S
+from ..sources import files as X
+from ..sources.materialise import written
+from ..operators import pages as P
+from .page_plans import LINKS
 from .registry import query
 
 A, B = "Brand#11", "Brand#22"
@@ -13,7 +17,7 @@ CATEGORIES = ["ECONOMY", "STANDARD"]
 NORM = r"trim(regexp_replace(regexp_replace(lower(name), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))"
 MERGED = f"SELECT product, {NORM} AS norm, count(*) AS n_merged, arg_max(struct_pack(name := name, category := category, description := description, confidence := confidence, ord := ord), (confidence, length(description), -ord)) AS best FROM features_v GROUP BY 1, 2"
 ALL_MERGED = f"SELECT {NORM} AS norm, count(*) AS n_merged, arg_max(struct_pack(product := product, name := name, confidence := confidence), (confidence, length(description), -ord)) AS best FROM features_v GROUP BY 1"
-SIDES = f"SELECT coalesce(a.norm, b.norm) AS norm, a.norm IS NOT NULL AS in_1, b.norm IS NOT NULL AS in_2, coalesce(a.best.description, '') AS description_1, coalesce(b.best.description, '') AS description_2 FROM (SELECT * FROM ({MERGED}) WHERE product = (SELECT min(product) FROM features_v)) a FULL JOIN (SELECT * FROM ({MERGED}) WHERE product = (SELECT max(product) FROM features_v)) b ON a.norm = b.norm"
+SIDES = f"SELECT coalesce(a.norm, b.norm) AS norm, a.norm IS NOT NULL AS in_1, b.norm IS NOT NULL AS in_2, coalesce(a.best.description, '') AS description_1, coalesce(b.best.description, '') AS description_2, coalesce('https://example.com/' || a.best.ord, '') AS url_1, coalesce('https://example.com/' || b.best.ord, '') AS url_2 FROM (SELECT * FROM ({MERGED}) WHERE product = (SELECT min(product) FROM features_v)) a FULL JOIN (SELECT * FROM ({MERGED}) WHERE product = (SELECT max(product) FROM features_v)) b ON a.norm = b.norm"
 CELLS = f"SELECT p.product, n.norm, CASE WHEN h.norm IS NULL THEN 'X' ELSE 'O' END AS status FROM (SELECT DISTINCT norm FROM ({MERGED})) n CROSS JOIN (SELECT DISTINCT product FROM features_v) p LEFT JOIN (SELECT DISTINCT product, norm FROM ({MERGED})) h ON h.product = p.product AND h.norm = n.norm"
 
 
@@ -22,7 +26,7 @@ def merged(spark, d):
 
 
 def two(spark, d):
-    rows = merged(spark, d)
+    rows = merged(spark, d).withColumn("url", F.concat(F.lit("https://example.com/"), "ord"))
     ends = S.features(spark, d).agg(F.min("product").alias("a"), F.max("product").alias("b"))
     side = lambda c: rows.join(F.broadcast(ends.select(F.col(c).alias("product"))), "product", "left_semi")
     return side("a"), side("b")
@@ -108,10 +112,11 @@ def cat9_counts(spark, d):
     return C.comparison_counts(C.compare_two(*two(spark, d)))
 
 
-@query("cat10_category_algebra", "SELECT coalesce(a.category, b.category) AS category, CASE WHEN b.category IS NULL THEN 'left' WHEN a.category IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT DISTINCT category FROM features_v WHERE ord % 40 < 2) a FULL JOIN (SELECT DISTINCT category FROM features_v WHERE ord % 40 BETWEEN 1 AND 2) b ON a.category = b.category")
+@query("cat10_category_algebra", "SELECT coalesce(a.category, b.category) AS category, CASE WHEN b.category IS NULL THEN 'left' WHEN a.category IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT DISTINCT category || ' ' || name AS category FROM features_v WHERE product < 'Brand#3') a FULL JOIN (SELECT DISTINCT category || ' ' || name AS category FROM features_v WHERE product >= 'Brand#3') b ON a.category = b.category")
 def cat10(spark, d):
-    f = S.features(spark, d)
-    return C.category_algebra(f.filter("ord % 40 < 2"), f.filter("ord % 40 BETWEEN 1 AND 2"))
+    """All features in two sides by product; kind and name together are fine categories, so that either side has some of its own."""
+    f = S.features(spark, d).withColumn("category", F.concat_ws(" ", "category", "name"))
+    return C.category_algebra(f.filter("product < 'Brand#3'"), f.filter("product >= 'Brand#3'"))
 
 
 @query("cat11_common_to_all", f"SELECT norm FROM (SELECT DISTINCT product, norm FROM ({MERGED})) GROUP BY norm HAVING count(*) = (SELECT count(DISTINCT product) FROM features_v)")
@@ -182,10 +187,18 @@ def cat21(spark, d):
     return C.assemble_corpus(p)
 
 
+@query("cat21_corpus_with_links", f"WITH l AS ({LINKS}), t AS (SELECT page_id, string_agg(text, ', ' ORDER BY ord) AS link_texts FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS r FROM l) WHERE r <= 10 GROUP BY page_id) SELECT product, substr(string_agg(block, chr(10) ORDER BY ord), 1, 8000) AS corpus, CAST(count(*) AS BIGINT) AS n_blocks FROM (SELECT *, coalesce(sum(length(block) + 1) OVER (PARTITION BY product ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT p.host AS product, p.page_id AS ord, '[' || p.url || '] ' || substr(p.html, 1, 300) || coalesce(' links: ' || link_texts, '') AS block FROM pages_v p LEFT JOIN t USING (page_id))) WHERE before < 8000 GROUP BY product")
+def cat21_links(spark, d):
+    p = S.pages(spark, d)
+    texts = P.links(p).select(F.col("page_id").alias("ord"), F.col("ord").alias("place"), "text")
+    rows = p.select(F.col("host").alias("product"), F.col("page_id").alias("ord"), F.col("url").alias("title"), F.col("html").alias("content"))
+    return C.assemble_corpus(rows, links=texts)
+
+
 @query("cat22_named_products", "SELECT ord, CASE WHEN blank THEN 'product' || r ELSE product END AS product FROM (SELECT CAST(n_nationkey AS BIGINT) AS ord, n_name AS product, n_nationkey % 4 = 1 AS blank, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation)")
 def cat22(spark, d):
     rows = S.projects(spark, d).select(F.col("project_id").alias("ord"), F.when(F.col("project_id") % 4 == 1, F.lit("  ")).otherwise(F.col("project")).alias("product"))
-    return C.named_products(rows)
+    return C.named_products(rows, written)
 
 
 @query("cat23_run_summary", "SELECT (SELECT count(*) FROM pages) AS n_pages, (SELECT count(DISTINCT product) FROM features_v) AS n_products, (SELECT count(DISTINCT lower(trim(name))) FROM features_v) AS n_unique_features, (SELECT CAST(epoch(max(ts)) - epoch(min(ts)) AS DOUBLE) FROM events) AS elapsed_s")
@@ -204,9 +217,12 @@ def cat24(spark, d):
     return C.with_placeholders(products, S.features(spark, d).withColumn("product", where), S.pages(spark, d))
 
 
-@query("cat25_parents_and_children", "SELECT product AS analysis, CAST(count(*) AS BIGINT) AS n_children, min(ord) AS first_child FROM features_v GROUP BY product")
+@query("cat25_parents_and_children", "SELECT product AS analysis, CAST(count(*) AS BIGINT) AS n_features, min(name) AS first_name, max(confidence) AS best FROM features_v GROUP BY product")
 def cat25(spark, d):
-    parent = S.features(spark, d).groupBy("product").agg(F.collect_list(F.struct("ord", "name")).alias("items")).withColumn("analysis_id", F.xxhash64("product"))
-    children = parent.select("analysis_id", F.explode("items").alias("item")).select("analysis_id", "item.*")
-    counted = children.groupBy("analysis_id").agg(F.count("*").alias("n_children"), F.min("ord").alias("first_child"))
-    return parent.join(counted, "analysis_id").select(F.col("product").alias("analysis"), "n_children", "first_child")
+    """A reply of each product with its features, parsed and kept as a parent row and children that its key links."""
+    item = F.struct("name", "category", "description", "confidence", "product")
+    text = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.collect_list(item).alias("extracted_features"))), F.lit("\n```"))
+    replies = S.features(spark, d).groupBy("product").agg(text.alias("text")).withColumnRenamed("product", "reply_id")
+    parents, children = X.persisted(written(X.parse_replies(replies)[0]))
+    first = children.groupBy("analysis_id").agg(F.min("name").alias("first_name"), F.max("confidence").alias("best"))
+    return parents.join(first, "analysis_id").select(F.col("reply_id").alias("analysis"), F.col("n_features").cast("long").alias("n_features"), "first_name", "best")

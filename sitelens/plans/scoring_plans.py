@@ -106,7 +106,8 @@ def lex8(spark, d):
 
 FEATURES = ["file upload", "of the", "chat", "and then", "steel door"]
 FEATURE_ROWS = "(VALUES " + ", ".join(f"('{f}')" for f in FEATURES) + ") AS f(feature)"
-SYNONYM = "coalesce(" + ", ".join(f"CASE WHEN (contains('{k}', feature) OR contains(feature, '{k}')) AND contains(low, '{v}') THEN '{v}' END" for k, vs in L.SYNONYMS.items() for v in vs) + ")"
+NAMES = L.FEATURE_SYNONYMS | L.SAMPLE_FEATURE_SYNONYMS
+SYNONYM = "coalesce(" + ", ".join(f"CASE WHEN (contains('{k.lower()}', feature) OR contains(feature, '{k.lower()}')) AND contains(low, '{v.lower()}') THEN '{v}' END" for k, vs in NAMES.items() for v in vs) + ")"
 HIT_P, HIT_N = count_sql(without_sql("hit", L.NEGATIVE), L.POSITIVE), count_sql("hit", L.NEGATIVE)
 ANY = lambda c, ts: "(" + " OR ".join(f"contains({c}, '{t}')" for t in q(ts)) + ")"
 STAGES = f"""SELECT doc_id, feature, low, syn, hit, CASE WHEN hit IS NULL THEN NULL WHEN {ANY('feature', L.ADVANCED)} THEN CASE WHEN {ANY('hit', L.DENIAL)} THEN 'X' WHEN {ANY('hit', L.SUPPORT)} THEN 'O' ELSE '△' END WHEN {HIT_P} > {HIT_N} THEN 'O' WHEN {HIT_N} > {HIT_P} THEN 'X' ELSE '△' END AS ctx, {first_sql('low', L.NEGATIVE)} AS neg FROM
@@ -119,7 +120,7 @@ def featured(spark, d):
 
 @query("lex9_feature_support", f"SELECT doc_id, feature, CASE WHEN contains(low, feature) OR syn IS NOT NULL THEN 'O' WHEN ctx IS NOT NULL THEN ctx WHEN neg IS NOT NULL THEN 'X' WHEN {ANY('feature', L.BASIC)} THEN 'O' ELSE 'X' END AS status, CASE WHEN contains(low, feature) THEN 0.95 WHEN syn IS NOT NULL THEN 0.85 WHEN ctx IS NOT NULL THEN CASE WHEN {ANY('feature', L.ADVANCED)} THEN CASE ctx WHEN 'O' THEN 0.85 WHEN 'X' THEN 0.9 ELSE 0.6 END ELSE CASE ctx WHEN 'O' THEN 0.75 WHEN 'X' THEN 0.8 ELSE 0.6 END END WHEN neg IS NOT NULL THEN 0.9 WHEN {ANY('feature', L.BASIC)} THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence FROM ({STAGES})")
 def lex9(spark, d):
-    return featured(spark, d).select("doc_id", "feature", C.feature_support(F.col("text"), F.col("feature")).alias("v")).select("doc_id", "feature", "v.status", "v.confidence")
+    return featured(spark, d).select("doc_id", "feature", C.feature_support(F.col("text"), F.col("feature"), NAMES).alias("v")).select("doc_id", "feature", "v.status", "v.confidence")
 
 
 @query("lex10_direct_substring", "SELECT doc_id, feature FROM documents CROSS JOIN " + FEATURE_ROWS + " WHERE contains(lower(text), feature)")
@@ -129,7 +130,7 @@ def lex10(spark, d):
 
 @query("lex11_synonyms", f"SELECT doc_id, feature, syn AS matched FROM ({STAGES}) WHERE syn IS NOT NULL")
 def lex11(spark, d):
-    return featured(spark, d).select("doc_id", "feature", C.by_synonym(F.lower("text"), F.col("feature"), L.SYNONYMS)["matched"].alias("matched")).filter("matched IS NOT NULL")
+    return featured(spark, d).select("doc_id", "feature", C.by_synonym(F.lower("text"), F.col("feature"), NAMES)["matched"].alias("matched")).filter("matched IS NOT NULL")
 
 
 @query("lex12_context", f"SELECT doc_id, feature, ctx AS status, CASE WHEN length(hit) > 100 THEN substr(hit, 1, 100) || '...' ELSE hit END AS evidence FROM ({STAGES}) WHERE ctx IS NOT NULL")
@@ -181,6 +182,12 @@ def lex19(spark, d):
     return C.product_profile(product_pages(spark, d), ["idiot"], ["data"], ["chat"], ["bot"])
 
 
+@query("lex19_profile_with_features", "SELECT product, product_type, audience, coalesce(top_features, '') AS top_features, coalesce(top_categories, '') AS top_categories FROM (SELECT p_brand AS product, CASE WHEN bool_or(contains(lower(p_name), 'steel')) THEN 'mobile' WHEN bool_or(contains(lower(p_name), 'small')) THEN 'desktop' ELSE 'web' END AS product_type, CASE WHEN bool_or(contains(lower(p_name), 'zebra')) THEN 'business' WHEN bool_or(contains(lower(p_name), 'red')) THEN 'developer' ELSE 'general' END AS audience FROM part GROUP BY 1) LEFT JOIN (SELECT product, string_agg(name, ', ' ORDER BY ord) AS top_features FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY ord) AS r FROM features_v) WHERE r <= 3 GROUP BY 1) USING (product) LEFT JOIN (SELECT product, string_agg(category, ', ' ORDER BY category) AS top_categories FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY category) AS r FROM (SELECT DISTINCT product, category FROM features_v)) WHERE r <= 3 GROUP BY 1) USING (product)")
+def lex19_features(spark, d):
+    f = S.features(spark, d)
+    return C.product_profile(f.withColumn("content", F.col("name")), ["steel"], ["small"], ["zebra"], ["red"], f)
+
+
 @query("lex20_keywords_in_context", f"SELECT doc_id, term, trim(substr(text, s, p + length(term) + 50 - s)) AS context, CAST(r AS BIGINT) AS row_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY category_rank, term_rank, term) AS r, greatest(p - 50, 1) AS s FROM (SELECT doc_id, text, term, category_rank, term_rank, strpos(lower(text), term) AS p FROM documents JOIN {LEXICON} ON contains(lower(text), term))) WHERE r <= 10")
 def lex20(spark, d):
     return C.keywords_in_context(docs(spark, d), "doc_id", "text", lexicon(spark))

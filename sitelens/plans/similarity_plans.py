@@ -9,7 +9,8 @@ from ..operators import catalog, pages as P, scoring, similarity as M
 from ..sources import tables as S
 from ..sources.materialise import written
 from .registry import query
-from .scoring_plans import ANY, LEX
+from .scoring_plans import ANY, FEATURES, LEX, count_sql, featured, without_sql
+from .scoring_plans import NAMES as NAMED
 
 VEC = r"""t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
 v AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(DISTINCT doc_id) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term)),
@@ -49,6 +50,16 @@ def sim1_capped(spark, d):
     return v.groupBy("page_id").agg(F.count("*").alias("n_terms"), F.round(F.max("w"), 6).alias("top_weight"))
 
 
+STOPPED = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in L.STOP_WORDS) + "], w))"
+
+
+@query("sim1_tfidf_stopped", "WITH t AS (SELECT doc_id, " + STOPPED + " AS ws FROM documents), g AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM t), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 1000), raw AS (SELECT doc_id, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term)) SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(max(w) / sqrt(sum(w * w)), 6) AS top_weight FROM raw GROUP BY doc_id")
+def sim1_stopped(spark, d):
+    """One and two words without stop words: the form that sections of two products are matched in."""
+    v = M.tfidf(docs(spark, d), "doc_id", "text", 1, 2, stop=L.STOP_WORDS, max_features=1000)
+    return v.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("w"), 6).alias("top_weight"))
+
+
 @query("sim2_near_duplicate_edges", EDGES)
 def sim2_edges(spark, d):
     return edges(spark, d)
@@ -71,7 +82,7 @@ def sections(spark, d):
 
 def section_edges(spark, d, least):
     s = written(sections(spark, d))
-    v = written(M.tfidf(s, "id", "sentence", 1, 2, max_features=1000))
+    v = written(M.tfidf(s, "id", "sentence", 1, 2, stop=L.STOP_WORDS, max_features=1000))
     side = lambda p: v.filter(F.col("id").startswith(p + "#"))
     return s, M.cross_cosine(side("src1"), side("src2"), "id", least)
 
@@ -107,49 +118,68 @@ def sim5(spark, d):
     return M.greedy_pairs(c.join(s, "n").select("a", "b", F.round(1 / (1 + F.abs(F.col("x") - F.col("y"))), 12).alias("cosine")), written)
 
 
-SIDE = r"SELECT p_partkey AS id, list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]{2,}')) AS ts FROM part WHERE p_brand"
+SIDE = r"SELECT p_partkey AS id, list_sort(list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]{2,}'))) AS ts FROM part WHERE p_brand"
+TITLE_SCORE = "round(len(list_intersect(x.ts, y.ts)) / (len(x.ts) + len(y.ts) - len(list_intersect(x.ts, y.ts)))::DOUBLE, 6)"
 
 
-@query("sim6_title_matches", f"WITH x AS ({SIDE} < 'Brand#13'), y AS ({SIDE} > 'Brand#53'), s AS (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.ts, y.ts)) / (len(x.ts) + len(y.ts) - len(list_intersect(x.ts, y.ts)))::DOUBLE, 6) AS similarity FROM x JOIN y ON len(list_intersect(x.ts, y.ts)) > 0), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS r FROM s WHERE similarity > 0.3) WHERE r = 1) SELECT x.id AS a, m.b, coalesce(m.similarity, 0.0) AS similarity, CASE WHEN m.similarity > 0.5 THEN 'O' WHEN m.similarity > 0.3 THEN '△' ELSE 'X' END AS status FROM x LEFT JOIN m ON m.a = x.id")
+@query("sim6_title_matches", f"WITH x AS ({SIDE} < 'Brand#3'), y AS (SELECT ts, min(id) AS id FROM ({SIDE} >= 'Brand#3') GROUP BY ts), s AS (SELECT x.ts, y.id AS b, {TITLE_SCORE} AS similarity FROM (SELECT DISTINCT ts FROM x) x CROSS JOIN y), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY similarity DESC, b) AS r FROM s WHERE similarity > 0.3) WHERE r = 1) SELECT x.id AS a, m.b, coalesce(m.similarity, 0.0) AS similarity, CASE WHEN m.similarity > 0.5 THEN 'O' WHEN m.similarity > 0.3 THEN '△' ELSE 'X' END AS status FROM x LEFT JOIN m ON m.ts = x.ts")
 def sim6(spark, d):
     f = S.features(spark, d).select(F.col("ord").alias("id"), F.col("name").alias("title"), "product")
-    return M.title_matches(f.filter("product < 'Brand#13'"), f.filter("product > 'Brand#53'"))
+    return M.title_matches(f.filter("product < 'Brand#3'"), f.filter("product >= 'Brand#3'"))
 
 
+SYN = L.SYNONYMS | L.SAMPLE_SYNONYMS
 NAMES = "(SELECT DISTINCT lower(p_name) AS n FROM part)"
-GROUP = lambda a, b: "CASE WHEN " + " OR ".join(f"({ANY(a, [k, *v])} AND {ANY(b, [k, *v])})" for k, v in L.SYNONYMS.items()) + " THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END"
+GROUP = lambda a, b: "CASE WHEN " + " OR ".join(f"({ANY(a, [k, *v])} AND {ANY(b, [k, *v])})" for k, v in SYN.items()) + " THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END"
 JAC = "len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(b, ' ')))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' '))))::DOUBLE"
 SIMILAR = f"CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.9 ELSE round(least(0.7::DOUBLE * ({JAC}) + {GROUP('a', 'b')}, 1.0), 6) END::DOUBLE"
 
 
 def names(spark, d):
-    return S.features(spark, d).select(catalog.normalised_name(F.col("name")).alias("norm"), "product").distinct()
-
-
-def name_pairs(spark, d):
-    n = names(spark, d).select("norm").distinct()
-    return n.select(F.col("norm").alias("a")).join(F.broadcast(n.select(F.col("norm").alias("b"))), how="cross").filter("a < b")
+    return S.features(spark, d).select(catalog.normalised_name(F.col("name")).alias("norm")).distinct()
 
 
 @query("sim7_name_similarity", f"SELECT x.n AS a, y.n AS b, similarity FROM (SELECT a AS n, b, {SIMILAR} AS similarity FROM (SELECT x.n AS a, y.n AS b FROM {NAMES} x JOIN {NAMES} y ON x.n < y.n)) x JOIN {NAMES} y ON y.n = x.b WHERE similarity > 0")
 def sim7(spark, d):
-    return name_pairs(spark, d).withColumn("similarity", M.name_similarity(F.col("a"), F.col("b"), L.SYNONYMS, 0)).filter("similarity > 0")
+    pairs = M.candidate_pairs(written(names(spark, d)), SYN)
+    return pairs.withColumn("similarity", M.name_similarity(F.col("a"), F.col("b"), SYN, 0)).filter("similarity > 0")
 
 
 @query("sim7_name_similarity_full")
 def sim7_full(spark, d):
-    return name_pairs(spark, d).withColumn("similarity", M.name_similarity(F.col("a"), F.col("b"), L.SYNONYMS)).filter("similarity > 0.3")
+    """With the sequence ratio: its weight is 0.3, so above 0.3 no pair but the candidates is possible."""
+    pairs = M.candidate_pairs(written(names(spark, d)), SYN)
+    return pairs.withColumn("similarity", M.name_similarity(F.col("a"), F.col("b"), SYN)).filter("similarity > 0.3")
 
 
 @query("sim8_synonym_bonus", f"SELECT a, b, bonus FROM (SELECT a, b, {GROUP('a', 'b')} AS bonus FROM (SELECT x.n AS a, y.n AS b FROM {NAMES} x JOIN {NAMES} y ON x.n < y.n)) WHERE bonus > 0")
 def sim8(spark, d):
-    return name_pairs(spark, d).withColumn("bonus", M.shares_group(F.col("a"), F.col("b"), L.SYNONYMS)).filter("bonus > 0")
+    return M.synonym_pairs(names(spark, d), SYN).withColumn("bonus", F.lit(0.4))
 
 
-@query("sim9_support_matrix", f"WITH c AS (SELECT DISTINCT p_brand AS product, lower(p_name) AS a FROM part), s AS (SELECT product, b AS feature, max(similarity) AS similarity FROM (SELECT product, a, b, {SIMILAR} AS similarity FROM c CROSS JOIN (SELECT n AS b FROM {NAMES})) WHERE similarity > 0.05 GROUP BY 1, 2) SELECT p.product, n.n AS feature, CASE WHEN s.similarity IS NULL THEN 'X' ELSE 'O' END AS status, coalesce(s.similarity, 0.0) AS similarity FROM (SELECT DISTINCT product FROM c) p CROSS JOIN {NAMES} n LEFT JOIN s ON s.product = p.product AND s.feature = n.n")
+def catalogue(spark, d):
+    f = S.features(spark, d)
+    return f.select("product", catalog.normalised_name(F.col("name")).alias("norm"), "ord", "description", F.concat(F.lit("https://example.com/"), "ord").alias("url"), "confidence")
+
+
+MATRIX = f"""WITH c AS (SELECT * FROM (SELECT product, lower(name) AS a, description, 'https://example.com/' || ord AS url, confidence, ord, row_number() OVER (PARTITION BY product, lower(name) ORDER BY ord) AS r FROM features_v) WHERE r = 1),
+t AS (SELECT a, b, {SIMILAR} AS similarity FROM (SELECT DISTINCT a FROM c) CROSS JOIN (SELECT n AS b FROM {NAMES})),
+s AS (SELECT * FROM (SELECT product, b AS feature, similarity, description, url, confidence, row_number() OVER (PARTITION BY product, b ORDER BY similarity DESC, ord) AS r FROM c JOIN t USING (a) WHERE similarity > 0.05) WHERE r = 1)
+SELECT p.product, n.n AS feature, CASE WHEN s.similarity IS NULL THEN 'X' ELSE 'O' END AS status, coalesce(s.similarity, 0.0) AS similarity, coalesce(s.description, '') AS description, coalesce(s.url, '') AS source_url, coalesce(s.confidence, 0.0) AS confidence
+FROM (SELECT DISTINCT product FROM c) p CROSS JOIN {NAMES} n LEFT JOIN s ON s.product = p.product AND s.feature = n.n"""
+
+
+@query("sim9_support_matrix", MATRIX)
 def sim9(spark, d):
-    rows = names(spark, d)
-    return M.support_matrix(rows, rows.select("norm").distinct(), L.SYNONYMS, ratio_weight=0)
+    rows = written(catalogue(spark, d))
+    return M.support_matrix(rows, rows.select("norm").distinct(), SYN, ratio_weight=0)
+
+
+@query("sim9_support_matrix_full")
+def sim9_full(spark, d):
+    """With the sequence ratio, which no SQL has: tests hold it against loops over the same names."""
+    rows = written(catalogue(spark, d))
+    return M.support_matrix(rows, rows.select("norm").distinct(), SYN)
 
 
 @query("sim10_shared_names", r"SELECT p_partkey AS id, coalesce(list_sort(list_transform(list_intersect(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]{2,}'), regexp_extract_all(lower(p_type), '[\p{L}\p{N}_]{2,}')), lambda t: struct_pack(n := -length(t), t := t)))[1].t, substr(p_name, 1, 20)) AS shared FROM part")
@@ -157,6 +187,32 @@ def sim10(spark, d):
     return S.features(spark, d).select(F.col("ord").alias("id"), M.longest_shared(F.col("name"), F.col("category")).alias("shared"))
 
 
+TERMS = [t for ts in LEX.values() for t in ts]
+HELD = "list_filter([{}], lambda t: contains(lower({}), t))"
+X_TERMS, Y_TERMS = (HELD.format(", ".join(f"'{t}'" for t in sorted(TERMS)), c) for c in ("p_name", "p_type"))
+
+
+@query("sim10_shared_keywords", f"SELECT id, coalesce(list_sort(list_transform(list_intersect(x, y), lambda t: struct_pack(n := -length(t), t := t)))[1].t, x[1], y[1], '기능') AS shared FROM (SELECT p_partkey AS id, {X_TERMS} AS x, {Y_TERMS} AS y FROM part)")
+def sim10_keywords(spark, d):
+    return S.features(spark, d).select(F.col("ord").alias("id"), M.shared_keyword(F.col("name"), F.col("category"), TERMS).alias("shared"))
+
+
+SIDES = "SELECT *, CASE WHEN p{i} > n{i} THEN 'O' WHEN n{i} > p{i} THEN 'X' ELSE '△' END AS s{i} FROM ({inner})"
+SCORED = "SELECT a.doc_id AS a, b.doc_id AS b, a.text AS t1, b.text AS t2, {p1} AS p1, {n1} AS n1, {p2} AS p2, {n2} AS n2 FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1".format(
+    **{f"p{i}": count_sql(without_sql(f"lower({c}.text)", L.NEGATIVE), L.POSITIVE) for i, c in ((1, "a"), (2, "b"))}, **{f"n{i}": count_sql(f"lower({c}.text)", L.NEGATIVE) for i, c in ((1, "a"), (2, "b"))}
+)
+SURE = "CASE s{i} WHEN 'O' THEN least(0.8 + 0.1 * p{i}, 0.95) WHEN 'X' THEN least(0.8 + 0.1 * n{i}, 0.95) ELSE 0.6 END::DOUBLE"
+CUT = "CASE WHEN length(t{i}) > 100 THEN substr(t{i}, 1, 100) || '...' ELSE t{i} END"
+
+
+@query("sim11_text_pairs", f"SELECT a, b, s1 AS status_1, s2 AS status_2, {SURE.format(i=1)} AS confidence_1, {SURE.format(i=2)} AS confidence_2, {CUT.format(i=1)} AS text_1, {CUT.format(i=2)} AS text_2 FROM ({SIDES.format(i=2, inner=SIDES.format(i=1, inner=SCORED))})")
+def sim11_texts(spark, d):
+    """Every document with the next one as a matched pair."""
+    t = docs(spark, d)
+    pairs = t.select(F.col("doc_id").alias("a"), F.col("text").alias("t1")).join(t.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("text").alias("t2")), "a")
+    return M.pair_verdicts(pairs.select("a", "b", "t1", "t2"), "t1", "t2")
+
+
 @query("sim11_pair_verdicts")
 def sim11(spark, d):
     s, e = section_edges(spark, d, 0.3)
@@ -165,7 +221,23 @@ def sim11(spark, d):
     return M.pair_verdicts(pairs.join(text.select(F.col("id").alias("a"), F.col("sentence").alias("t1")), "a").join(text.select(F.col("id").alias("b"), F.col("sentence").alias("t2")), "b"), "t1", "t2")
 
 
-@query("lex13_chunk_similarity")
+CHUNKS = r"""SELECT doc_id, i, list_filter(w[i * 500 + 1 : i * 500 + 500], lambda x: true) AS cw, array_to_string(w[i * 500 + 1 : i * 500 + 500], ' ') AS c FROM (SELECT doc_id, w, unnest(range(CAST(ceil(len(w) / 500.0) AS BIGINT))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents))"""
+CHUNK_SIMILARITY = rf"""WITH ch AS (SELECT doc_id, i, c FROM ({CHUNKS}) WHERE length(c) > 50), t AS (SELECT doc_id, i, unnest(regexp_extract_all(lower(c), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM ch), tf AS (SELECT doc_id, i, term, count(*) AS tf FROM t GROUP BY 1, 2, 3), v AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+raw AS (SELECT doc_id, i, term, tf * (ln((1 + (SELECT count(*) FROM ch)) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term)), nn AS (SELECT doc_id, i, sqrt(sum(w * w)) AS norm FROM raw GROUP BY 1, 2),
+f AS (SELECT feature, unnest(ts) AS term, 1 / sqrt(len(ts)) AS u FROM (SELECT feature, list_distinct(regexp_extract_all(feature, '[\p{{L}}\p{{N}}_]{{2,}}')) AS ts FROM (VALUES ('of the'), ('free data'), ('and')) AS x(feature))),
+s AS (SELECT doc_id, i, feature, sum(w / norm * u) AS cosine FROM raw JOIN nn USING (doc_id, i) JOIN f USING (term) GROUP BY 1, 2, 3) SELECT doc_id, feature, round(max(cosine), 6) AS similarity FROM s GROUP BY 1, 2"""
+
+
+@query("lex13_chunk_similarity", CHUNK_SIMILARITY)
 def lex13(spark, d):
     f = spark.createDataFrame([("of the",), ("free data",), ("and",)], "feature string")
     return M.chunk_similarity(docs(spark, d), f, "doc_id", "text")
+
+
+@query("lex9_feature_support_similar")
+def lex9_similar(spark, d):
+    """The cascade with its fourth stage: the best chunk's cosine is joined to each document and feature."""
+    wanted = spark.createDataFrame([(f,) for f in FEATURES], "feature string")
+    near = M.chunk_similarity(docs(spark, d), wanted, "doc_id", "text")
+    rows = featured(spark, d).join(near, ["doc_id", "feature"], "left")
+    return rows.select("doc_id", "feature", scoring.feature_support(F.col("text"), F.col("feature"), NAMED, similar=F.coalesce("similarity", F.lit(0.0))).alias("v")).select("doc_id", "feature", "v.status", F.round("v.confidence", 6).alias("confidence"))
