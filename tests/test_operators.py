@@ -1,10 +1,12 @@
 """Hand-made cases of rules that the tables rarely meet, and loops against sequential models."""
 
+import difflib
 import random
 
 from pyspark.sql import functions as F
 from sitelens import lexicons as L
 from sitelens.operators import catalog, links, pages, scoring, similarity
+from sitelens.operators import pages as P
 from sitelens.sources import files
 from sitelens.sources.materialise import written
 from sitelens.streaming import feeds
@@ -24,7 +26,7 @@ def test_polarity_blanks_out_denials(spark):
 
 
 def test_feature_support_stages(spark):
-    cases = [("a search box", "search", "O", 0.95), ("you can find it", "search", "O", 0.85), ("video calls. we offer video rooms", "video tool", "△", 0.6), ("coming soon", "zzz", "X", 0.9), ("nothing", "chat room", "O", 0.9), ("nothing", "zzz", "X", 0.3)]
+    cases = [("a search box", "search", "O", 0.95), ("we have live chat here", "실시간 채팅", "O", 0.85), ("video calls. we offer video rooms", "video tool", "△", 0.6), ("coming soon", "zzz", "X", 0.9), ("nothing", "chat room", "O", 0.9), ("nothing", "zzz", "X", 0.3)]
     rows = spark.createDataFrame([c[:2] for c in cases], "t string, f string")
     got = [(r.v.status, r.v.confidence) for r in rows.select(scoring.feature_support(F.col("t"), F.col("f")).alias("v")).collect()]
     assert got == [c[2:] for c in cases]
@@ -114,3 +116,118 @@ def test_adaptive_rate():
 
 def test_lexicon_table_drops_repeats(spark):
     assert L.as_table(spark, {"a": ["x", "x", " "], "b": ["x"]}).count() == 2
+
+
+def test_similarity_stage(spark):
+    rows = spark.createDataFrame([("nothing", "zzz", 0.5), ("nothing", "zzz", 0.9), ("nothing", "zzz", 0.2)], "t string, f string, s double")
+    got = [(r.v.status, r.v.confidence) for r in rows.select(scoring.feature_support(F.col("t"), F.col("f"), similar=F.col("s")).alias("v")).collect()]
+    assert got == [("△", 0.5), ("△", 0.7), ("X", 0.3)]
+
+
+def test_page_meta_and_faq(spark):
+    html = """<html><head><title>FAQ</title><meta name="description" content="About us"><meta property="og:title" content="Shop">
+    <meta name="description" content="Later"></head><body><h3>How do I start?</h3><p>Open the page and press the button at the top.</p>
+    <div class="ads big">Buy now</div><h2>Search pages</h2><p>Search finds every page that has the word in it.</p></body></html>"""
+    pages = spark.createDataFrame([(1, "http://a.example.com/", html), (2, "http://a.example.com/2", None)], "page_id long, url string, html string")
+    dom = P.nodes(pages)
+    got = {r.page_id: (r.description, r.og, len(r.properties)) for r in P.page_meta(pages, dom).collect()}
+    assert got == {1: ("Later", {"og:title": "Shop"}, 2), 2: (None, {}, 0)}
+    texts = P.subtree_text(dom)
+    faq = P.faq_pairs(texts, pages.select("page_id", P.title(F.col("html")).alias("title"))).collect()
+    assert [(r.question, r.answer) for r in faq][0] == ("How do I start?", "Open the page and press the button at the top.")
+    assert {r["class"] for r in P.without_selectors(dom).collect()} == {""}
+    assert [(r.title, r.description) for r in P.heading_features(texts, ["search"]).collect()] == [("Search pages", "Search finds every page that has the word in it.")]
+
+
+def test_catalogue_rules_with_rows(spark):
+    """The rules whose queries have no rows on the tables: common features, advantages, recommendations."""
+    cells = [("a", "chat", "O"), ("b", "chat", "O"), ("a", "file", "O"), ("b", "file", "X")]
+    matrix = spark.createDataFrame(cells, "product string, norm string, status string")
+    assert [r.norm for r in catalog.common_to_all(matrix, 2).collect()] == ["chat"]
+    assert [(r.product, r.norm) for r in catalog.advantages(matrix).collect()] == [("a", "file")]
+    advice = {(r.product, r.rule) for r in catalog.recommendations(catalog.comparison_summary(matrix, 2)).collect()}
+    assert advice == {("a", "unique"), ("a", "common"), ("b", "common")}
+
+
+def test_index_expansion(spark):
+    rows = [(1, "http://x.com/", 0, "/guide", "guide"), (1, "http://x.com/", 1, "/b", "other"), (2, "http://x.com/guide", 0, "deep", "deep page")]
+    found = spark.createDataFrame(rows, "page_id long, url string, ord long, href string, text string")
+    got = links.index_expansion(found, F.col("text").contains("guide")).collect()
+    assert [(r.from_page, r.via, r.target, r.text) for r in got] == [(1, "http://x.com/guide", "http://x.com/deep", "deep page")]
+
+
+def test_nested_sitemaps_and_robots(spark):
+    bodies = [(f"m{i}", f"<sitemapindex><sitemap><loc>m{i + 1}</loc></sitemap></sitemapindex>") for i in range(8)]
+    bodies += [("m8", "<sitemapindex><loc>m0</loc><loc>leaf</loc></sitemapindex>"), ("leaf", "<urlset><url><loc>http://x.com/1</loc></url></urlset>"), ("lost", "<urlset><url><loc>http://x.com/2</loc></url></urlset>")]
+    locs = links.sitemap_urls(spark.createDataFrame(bodies, "url string, body string"))
+    robots = spark.createDataFrame([("r", "User-agent: *\nSITEMAP: m0\n")], "url string, body string")
+    seeds = links.robots_seeds(robots).select(F.col("loc").alias("url"))
+    assert [r.loc for r in files.nested_sitemaps(locs, seeds, written).collect()] == ["http://x.com/1"]
+
+
+def test_glob_forms(spark):
+    urls = ["http://x.com/a/b.html", "http://x.com/b", "https://y.com/a/c.html"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string")
+    hit = lambda p: [r.url for r in rows.filter(links.matches_glob(F.col("url"), [p])).collect()]
+    assert hit("*x.com*") == urls[:2] and hit("*.html") == [urls[0], urls[2]] and hit("https*") == [urls[2]]
+    assert hit("http:*a*") == [urls[0]] and hit("*/a/*.html") == [urls[0], urls[2]] and hit("*x*b") == [urls[1]]
+
+
+def test_tables_through_jdbc_and_by_project(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 3, f"k{i}") for i in range(20)], "keyword_id int, project_id int, keyword string")
+    url = "jdbc:derby:memory:sitelens;create=true"
+    rows.write.jdbc(url, "keywords", mode="overwrite")
+    got = files.read_jdbc(spark, url, "keywords", "keyword_id", 0, 20, 4)
+    assert got.rdd.getNumPartitions() == 4 and {tuple(r) for r in got.collect()} == {tuple(r) for r in rows.collect()}
+    files.save_by_project(rows, "kept_keywords", f"{tmp_path}/kept")
+    assert {tuple(r) for r in spark.table("kept_keywords").select(*rows.columns).collect()} == {tuple(r) for r in rows.collect()}
+
+
+def sequential_similarity(a, b):
+    if a == b:
+        return 1.0
+    if a in b or b in a:
+        return 0.9
+    x, y = set(a.split()), set(b.split())
+    groups = [[k, *v] for k, v in L.SYNONYMS.items()]
+    bonus = 0.4 * any(any(w in a for w in g) and any(w in b for w in g) for g in groups)
+    return min(1.0, 0.7 * len(x & y) / len(x | y) + bonus + 0.3 * difflib.SequenceMatcher(None, a, b).ratio())
+
+
+def test_support_matrix_equals_loops(spark):
+    names = ["chat room", "chat", "message board", "file upload", "upload of files", "steel door", "small red door", "zzz"]
+    rows = [("p" + str(i % 3), n, i, f"about {n}", f"http://x/{i}", i / 10) for i, n in enumerate(names)]
+    catalogue = spark.createDataFrame(rows, "product string, norm string, ord int, description string, url string, confidence double")
+    merged = spark.createDataFrame([(n,) for n in names], "norm string")
+    got = {(r.product, r.feature): (r.status, r.description, r.source_url, r.confidence) for r in similarity.support_matrix(catalogue, merged, L.SYNONYMS).collect()}
+    assert len(got) == 24
+    for (product, feature), cell in got.items():
+        scored = [(round(sequential_similarity(n, feature), 6), -i, d, u, c) for p, n, i, d, u, c in rows if p == product]
+        s, _, d, u, c = max(x for x in scored)
+        assert cell == (("O", d, u, c) if s > 0.05 else ("X", "", "", 0.0))
+
+
+def test_candidates_lose_no_similar_pair(spark):
+    names = ["chat room", "chat", "at", "hat", "message board", "upload", "file upload", "uploads", "zzz", "door z"]
+    frame = spark.createDataFrame([(n,) for n in names], "norm string")
+    got = {(r.a, r.b) for r in similarity.candidate_pairs(frame, L.SYNONYMS).collect()}
+    want = {(a, b) for a in names for b in names if a < b and sequential_similarity(a, b) - 0.3 * difflib.SequenceMatcher(None, a, b).ratio() > 1e-9}
+    assert want <= got
+
+
+def test_titles_match_as_in_loops(spark):
+    left = [(i, t) for i, t in enumerate(["red steel door", "red door", "blue window", "red red door", "", "one two three four five"])]
+    right = [(10 + i, t) for i, t in enumerate(["red door", "steel door", "door red", "window", "one two three", "x y"])]
+    frames = [spark.createDataFrame(x, "id long, title string") for x in (left, right)]
+    got = {r.a: (r.b, r.status) for r in similarity.title_matches(*frames).collect()}
+    tokens = lambda t: {w for w in t.split() if len(w) > 1}
+    for i, t in left:
+        scored = [(len(tokens(t) & tokens(u)) / len(tokens(t) | tokens(u)), -j) for j, u in right if tokens(t) | tokens(u)]
+        s, j = max(scored)
+        assert got[i] == ((-j, "O" if s > 0.5 else "△") if s > 0.3 else (None, "X"))
+
+
+def test_products_are_named_by_place(spark):
+    rows = spark.createDataFrame([(i * 7, None if i % 2 else f"n{i}") for i in range(50)], "ord long, product string").repartition(9)
+    got = {r.ord: r.product for r in catalog.named_products(rows, written).collect()}
+    assert got == {i * 7: f"product{i + 1}" if i % 2 else f"n{i}" for i in range(50)}
