@@ -163,5 +163,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+REACH = "r AS (SELECT id, id AS reach FROM n UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reach)"
+
 #: DuckDB SQL where it can express an operator; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_nn_descent": f"""WITH RECURSIVE n AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM n WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.label = y.label AND x.id <> y.id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+{REACH}, c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id), k AS (SELECT a AS id, count(*) AS n_links FROM l GROUP BY a)
+SELECT id AS vec_id, coalesce(n_links, 0) AS n_links, component_id, id = component_id AS kept, 1.0::DOUBLE AS recall FROM c LEFT JOIN k USING (id)""",
+    "op9_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+n AS (SELECT id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS s FROM w),
+e AS (SELECT id, len(s) AS n, unnest(s) AS h FROM n),
+p AS (SELECT x.id AS a, y.id AS b, any_value(x.n) + any_value(y.n) AS total, count(*) AS k FROM e x JOIN e y ON x.h = y.h AND x.id <> y.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (total - k)),
+{REACH}, c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM n JOIN c USING (id)""",
+}
