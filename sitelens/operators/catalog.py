@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.materialise import sized
+
 OTHER = "기타"
 
 
@@ -102,7 +104,7 @@ def support_matrix(rows: DataFrame, products: DataFrame, names: DataFrame) -> Da
     `products` is a small dimension and `names` a catalogue; every pair is a cell of the result.
     """
     has = rows.select("product", "norm").distinct().withColumn("has", F.lit(True))
-    return names.crossJoin(F.broadcast(products)).join(has, ["product", "norm"], "left").select("product", "norm", F.when(F.col("has"), "O").otherwise("X").alias("status"))
+    return names.crossJoin(sized(products)).join(has, ["product", "norm"], "left").select("product", "norm", F.when(F.col("has"), "O").otherwise("X").alias("status"))
 
 
 def common_to_all(matrix: DataFrame, n_products: int) -> DataFrame:

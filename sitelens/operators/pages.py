@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import text as T
+from ..sources.materialise import sized
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 NODE_SCHEMA = "page_id long, node_id int, parent_id int, path string, depth int, sib_ord int, tag string, class string, id string, href string, name string, content string, own_text string"
@@ -166,7 +167,7 @@ def section_blocks(texts: DataFrame, keywords: DataFrame, ahead: int = 5, cap: i
     w = Window.partitionBy("page_id", "parent_id").orderBy("sib_ord").rowsBetween(1, ahead)
     block = F.when(F.col("tag").isin("p", "div", "span"), F.col("text"))
     h = texts.withColumn("block", F.array_join(F.collect_list(block).over(w), " ")).filter(F.col("tag").isin(HEADINGS) & (F.length("block") > 0))
-    hit = h.join(F.broadcast(keywords.select("keyword")), F.lower("text").contains(F.lower("keyword")))
+    hit = h.join(sized(keywords.select("keyword")), F.lower("text").contains(F.lower("keyword")))
     return hit.groupBy("page_id", "keyword").agg(F.min_by(F.substring("block", 1, cap), "node_id").alias("block"))
 
 

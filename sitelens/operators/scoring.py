@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import text as T
+from ..sources.materialise import sized
 
 OTHER = "기타"
 
@@ -23,7 +24,7 @@ def verdict(status: str, confidence: Column | float, matched: Column | str) -> C
 
 def lexicon_hits(rows: DataFrame, text: Column, lexicon: DataFrame) -> DataFrame:
     """rows joined with the lexicon rows whose term the lower-cased text contains."""
-    return rows.withColumn("__lower", F.lower(text)).join(F.broadcast(lexicon), F.col("__lower").contains(F.lower("term"))).drop("__lower")
+    return rows.withColumn("__lower", F.lower(text)).join(sized(lexicon), F.col("__lower").contains(F.lower("term"))).drop("__lower")
 
 
 def keywords_of(rows: DataFrame, key: str, text: Column, lexicon: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def with_tokens(pages: DataFrame) -> DataFrame:
 
 def analyse_pages(pages: DataFrame, keywords: DataFrame) -> DataFrame:
     """Every page with every keyword of its project: the verdict row.  Keywords are a broadcast dimension."""
-    asked = with_tokens(pages).join(F.broadcast(keywords.filter(F.length(F.trim("keyword")) > 0)), "project_id")
+    asked = with_tokens(pages).join(sized(keywords.filter(F.length(F.trim("keyword")) > 0)), "project_id")
     v = keyword_support(F.col("keyword"), F.col("__low"), tokens=F.col("__tokens"))
     return asked.withColumn("v", v).select("page_id", "keyword_id", "keyword", "v.*")
 
@@ -152,7 +153,7 @@ def requested_features(text: str) -> list[str]:
 
 def two_product_support(corpus: DataFrame, features: DataFrame, left: str, right: str) -> DataFrame:
     """Each feature's verdict in both products' corpora, side by side."""
-    both = corpus.filter(F.col("product").isin(left, right)).join(F.broadcast(features), how="cross")
+    both = corpus.filter(F.col("product").isin(left, right)).join(sized(features), how="cross")
     v = both.select("product", "feature", feature_support(F.col("corpus"), F.col("feature")).alias("v"))
     of = lambda p, n: F.max(F.when(F.col("product") == p, F.col(f"v.{n}")))
     return v.groupBy("feature").agg(of(left, "status").alias("status_1"), of(right, "status").alias("status_2"), of(left, "confidence").alias("confidence_1"), of(right, "confidence").alias("confidence_2"))

@@ -46,8 +46,8 @@ def tfidf(docs: DataFrame, key: str, text: str, low: int = 1, high: int = 1, sto
     if max_features is not None:
         vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(max_features)
     raw = tf.join(vocabulary.select("term", "df"), "term").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"), "df")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("w"), "df")
 
 
 def cosine_pairs(vectors: DataFrame, key: str, threshold: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -256,5 +256,5 @@ def chunk_similarity(docs: DataFrame, features: DataFrame, key: str, text: str,
     weights = vectors.select("id", "term", "w")
     wanted = features.select("feature", F.explode(F.array_distinct(tokens(F.col("feature")))).alias("term"))
     unit = F.sqrt(F.count("*").over(Window.partitionBy("feature")))
-    hit = weights.join(F.broadcast(wanted.withColumn("u", 1 / unit)), "term").groupBy("id", "feature").agg(F.sum(F.col("w") * F.col("u")).alias("cosine"))
+    hit = weights.join(wanted.withColumn("u", 1 / unit), "term").groupBy("id", "feature").agg(F.sum(F.col("w") * F.col("u")).alias("cosine"))
     return hit.join(chunks.select("id", key), "id").groupBy(key, "feature").agg(F.round(F.max("cosine"), 6).alias("similarity"))

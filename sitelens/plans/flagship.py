@@ -9,6 +9,7 @@ from ..operators import pages as P
 from ..operators import scoring
 from ..sources import tables as S
 from .page_plans import TAGS, TEXT
+from ..sources.materialise import sized
 from .registry import query
 from .scoring_plans import KEYS, KEYWORDS, SUPPORT, WORDS, keywords
 
@@ -19,7 +20,7 @@ PAGE_SUPPORT = SUPPORT.replace("FROM documents)", f"FROM (SELECT page_id AS doc_
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to text, text to verdicts for each keyword, verdicts to counts by product: one shuffle of small partial counts."""
     text = S.pages(spark, sf_dir).select("page_id", "product", F.lit(0).alias("project_id"), P.plain_text(F.col("html"), TAGS).alias("content"))
-    asked = scoring.with_tokens(text).join(F.broadcast(keywords(spark)), "project_id")
+    asked = scoring.with_tokens(text).join(sized(keywords(spark)), "project_id")
     verdicts = asked.select("product", "keyword", scoring.keyword_support(F.col("keyword"), F.col("__low"), tokens=F.col("__tokens"))["status"].alias("status"))
     return verdicts.groupBy("product", "keyword").agg(F.count_if(F.col("status") == "O").alias("n_supported"), F.count_if(F.col("status") == "△").alias("n_partial"), F.count_if(F.col("status") == "X").alias("n_unsupported"))
 

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join is sent to all executors up to so many rows.
+MOST_SENT = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +31,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """A side of a join: sent to all executors if it is counted to have few rows, else left to Spark, which then splits the join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

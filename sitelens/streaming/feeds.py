@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.scoring import analyse_pages
-from ..sources.materialise import shared_folder
+from ..sources.materialise import shared_folder, sized
 
 STAGES = (("init", 0, 10), ("crawl", 10, 40), ("analyse", 40, 80), ("merge", 80, 90), ("done", 90, 101))
 LATEST = "status string, event_id long"
@@ -91,7 +91,7 @@ def rate_audit(events: DataFrame, rates: DataFrame, default_rate: float = 1.0, b
     in_second = F.count("*").over(Window.partitionBy("domain").orderBy("micros").rangeBetween(-1_000_000, 0))
     at = events.withColumn("micros", F.unix_micros("ts")).withColumns({"gap": (F.col("micros") - F.lag("micros").over(w)) / 1e6, "in_second": in_second})
     least = 1 / F.coalesce("rate", F.lit(default_rate))
-    return at.join(F.broadcast(rates), "domain", "left").select("domain", "event_id", F.round("gap", 6).alias("gap"), F.round(F.greatest(least - F.col("gap"), F.lit(0.0)), 6).alias("delay"), (F.col("in_second") > burst).alias("over_burst"))
+    return at.join(sized(rates), "domain", "left").select("domain", "event_id", F.round("gap", 6).alias("gap"), F.round(F.greatest(least - F.col("gap"), F.lit(0.0)), 6).alias("delay"), (F.col("in_second") > burst).alias("over_burst"))
 
 
 def rate_windows(events: DataFrame, burst: int = 0) -> DataFrame:
