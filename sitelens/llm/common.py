@@ -18,8 +18,8 @@ from . import textblocks
 #: Rows are handed to Python in batches of about so many bytes.
 ARROW_BYTES = 4 << 20
 WORK = "sitelens-"
-#: Tasks a core that write a compact table.
-WAVES = 1
+#: Shuffle partitions that a task of a compact table takes, unless there are cores for more tasks.
+COMPACT = 32
 #: Has Spark drop the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -49,12 +49,12 @@ def written(df: DataFrame, compact: bool = False) -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read back, so lost executors cost nothing done so far.
 
     The shuffle files of the plan that was written are dropped with it, so a loop doesn't fill the disks.  compact: for
-    tables of few columns, whose rows go to WAVES tasks a core at most; each task makes a file, and creating files costs
-    more than such rows do.
+    tables of few columns, which go to one task a core or COMPACT partitions; each task makes a file, and creating files
+    costs more than such rows do.
     """
     spark = df.sparkSession
     if compact:
-        df = df.coalesce(WAVES * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // COMPACT))
     path = f"{shared_dir(spark)}/{WORK}{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
