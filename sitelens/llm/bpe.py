@@ -92,9 +92,9 @@ class ChunkEncoder:
             self.memo[c] = (flat[at : at + 4 * len(one)], text.encode())
             at += 4 * len(one)
 
-    def chunks(self, texts: pa.Array) -> pa.ListArray:
+    def chunks(self, texts: pa.Array, lower: bool = True) -> pa.ListArray:
         """The chunks of each text.  Lower case makes more of them equal; not where a special token may be written."""
-        if self.plain_words:
+        if lower and self.plain_words:
             texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(texts)
         flat = split.flatten()
@@ -171,7 +171,7 @@ class TextTree:
         return [*items[:EDGE], (None, b"".join(i for _, i, _ in middle), b" ".join(t for _, i, t in middle if i)), *items[-EDGE:]]
 
     def leaf(self, text: bytes) -> list[tuple]:
-        (chunks,) = self.held.chunks(pa.array([text.decode()], pa.string())).to_pylist()
+        (chunks,) = self.held.chunks(pa.array([text.decode()], pa.string()), lower=False).to_pylist()
         return self.pack(self.items([c.encode() for c in chunks]))
 
     def join(self, left: list[tuple], right: list[tuple], cut_chunk: bool) -> list[tuple]:
@@ -266,6 +266,8 @@ def halves(text: bytes, leaf: int) -> Iterator[bytes]:
 
 def pieces_of(text: bytes, path: str, leaf: int) -> Iterator[tuple[int, str]]:
     """Pieces of a text in order: leaves of text; and for chunks longer than a leaf special tokens, words and leaves of one long word."""
+    if encoder(path).plain_words and b"<|" not in text:  # for the whole text: a cut may go through a special token
+        text = text.lower()
     at = 0
     for run in re.finditer(rb"[^\x20\x09-\x0D]{%d,}" % (leaf + 1), text):
         yield from _halved(text[at : run.start()], leaf)
