@@ -36,6 +36,29 @@ def test_bpe_equals_library(docs):
     assert got == want
 
 
+def test_halved_texts_equal_library():
+    """Texts cut at any place, also within words, characters of several bytes and special tokens, joined in trees."""
+    rng, t, held = random.Random(9), library(), bpe.encoder(FILE)
+    parts = ["<|endoftext|>", "<|ENDOFtext|>", "<|endof", "text|>", "Über", "naïve", "it's", "IT'S", "don't", "日本語", "e\u0301", "x" * 30, "12,345.67", "...", "word", "\u00a0", "ﬁ", "😀"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice(["", "", " ", "\n", "  "]) for _ in range(rng.randint(0, 40)))
+        tree, leaf = bpe.TextTree(held), rng.choice([12, 20, 64])
+        items, leaves, cuts = [], [], []
+        for kind, piece in [*bpe.pieces_of(text.encode(), FILE, leaf), (None, "")]:
+            if kind in (bpe.HALF, bpe.HALF_CUT):
+                leaves.append(tree.leaf(piece.encode()))
+                cuts.append(kind == bpe.HALF_CUT)
+                continue
+            items += tree.tree(leaves, cuts)
+            leaves, cuts = [], []
+            if kind is not None:
+                break  # a chunk longer than a leaf: joined by tokens, see the next test
+        else:
+            ids = t.encode(text, add_special_tokens=False).ids
+            assert b"".join(i for _, i, _ in items) == np.asarray(ids, "<u4").tobytes()
+            assert b" ".join(d for _, i, d in items if i).decode() == t.decode(ids, skip_special_tokens=False)
+
+
 def test_tree_concatenation_is_exact():
     random.seed(1)
     t, tree = library(), bpe.tree_of(FILE)
