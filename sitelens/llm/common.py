@@ -49,7 +49,7 @@ def written(df: DataFrame, compact: bool = False) -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read back, so lost executors cost nothing done so far.
 
     The shuffle files of the plan that was written are dropped with it, so a loop doesn't fill the disks.  compact: for
-    tables of few columns, which go to one task a core or COMPACT partitions; each task makes a file, and creating files
+    tables of few columns that come from a shuffle (not from a scan, which would be read by few tasks), which go to one task a core or COMPACT partitions; each task makes a file, and creating files
     costs more than such rows do.
     """
     spark = df.sparkSession
