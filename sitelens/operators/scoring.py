@@ -125,8 +125,9 @@ def in_context(text: Column, feature: Column, compat: bool = False) -> Column:
 def by_synonym(low: Column, feature: Column, synonyms: dict[str, list[str]]) -> Column:
     """The first variant in the text of a synonym entry that contains, or is contained in, the feature; null without one."""
     f = F.lower(feature)
-    tests = [F.when((F.lit(k.lower()).contains(f) | f.contains(k.lower())) & low.contains(v.lower()), F.lit(v)) for k, variants in synonyms.items() for v in variants]
-    return F.when(F.coalesce(*tests).isNotNull(), verdict("O", 0.85, F.coalesce(*tests)))
+    names = F.array(*[F.struct(F.lit(k.lower()).alias("k"), F.lit(v.lower()).alias("low"), F.lit(v).alias("v")) for k, variants in synonyms.items() for v in variants])
+    hit = F.filter(names, lambda x: (F.contains(x["k"], f) | F.contains(f, x["k"])) & F.contains(low, x["low"]))
+    return F.get(F.transform(F.slice(hit, 1, 1), lambda x: verdict("O", 0.85, x["v"])), F.lit(0))
 
 
 def feature_support(text: Column, feature: Column, synonyms: dict[str, list[str]] = L.FEATURE_SYNONYMS, similar: Column | None = None) -> Column:
