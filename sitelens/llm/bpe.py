@@ -128,11 +128,20 @@ class ChunkEncoder:
         return self.encode_lists(self.chunks(texts))
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each worker process and file."""
+def encoder(path: str, decode: bool = True) -> ChunkEncoder:
+    """One encoder for each worker process and file; what it remembers goes when decoded texts are (not) asked for anew."""
     if path not in _loaded:
         _loaded[path] = ChunkEncoder(path)
-    return _loaded[path]
+    held = _loaded[path]
+    if held.decode != decode:
+        held.memo, held.decode = {}, decode
+    return held
+
+
+def forget() -> None:
+    """Drops what the encoders of this process remember."""
+    for held in _loaded.values():
+        held.memo = {}
 
 
 def forgetful(run):
@@ -143,8 +152,7 @@ def forgetful(run):
         try:
             yield from run(batches)
         finally:
-            for held in _loaded.values():
-                held.memo, held.decode = {}, True
+            forget()  # by name: a function sent to a worker takes a copy of the module's dictionaries with it
 
     return tidy(wrapped)
 
@@ -312,8 +320,7 @@ def encode_short(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
     names, at = [*docs.columns, "n_tokens", "ids", "decoded"], docs.columns.index("text")
 
     def run(batches):
-        held = encoder(path)
-        held.decode = decode
+        held = encoder(path, decode)
         for batch in batches:
             ids, decoded = held.encode_texts(batch.column(at).cast(pa.string()).fill_null(""))
             n = pc.divide(pc.binary_length(ids), 4).cast(pa.int64())
