@@ -36,6 +36,15 @@ def test_bpe_equals_library(docs):
     assert got == want
 
 
+def test_ids_without_decoded_texts(docs):
+    """Workers serve tasks with and without decoding in turn; long texts are joined right after short ones."""
+    t = library()
+    want = Counter((r.doc_id, np.asarray(t.encode(r.text or "", add_special_tokens=False).ids, "<u4").tobytes()) for r in docs.collect())
+    for _ in range(2):
+        got = bpe.encode_documents(docs.repartition(6), FILE, long_text=60, leaf=24, decode=False)
+        assert Counter((r.doc_id, bytes(r.ids)) for r in got.collect()) == want
+
+
 def test_halved_texts_equal_library():
     """Texts cut at any place, also within words, characters of several bytes and special tokens, joined in trees."""
     rng, t, held = random.Random(9), library(), bpe.encoder(FILE)
