@@ -16,6 +16,7 @@ long texts one is encoded; columns of other names are ignored; an empty table gi
 from __future__ import annotations
 
 import functools
+import gc
 import re
 from collections.abc import Iterator
 
@@ -40,6 +41,14 @@ EDGE = 4
 #: Bound on the chunks that a worker remembers.
 MEMO = 200_000
 
+#: Marks that end a word, each a token of its own there.
+MARKS = (b",", b".", b";", b":", b"!", b"?", b")")
+#: Lower-case letters of western languages: composed, and without another lower case.
+WESTERN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Byte-level letters: printable bytes stand for themselves, the others for code points from 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+
 _loaded: dict[str, ChunkEncoder] = {}
 
 
@@ -71,17 +80,21 @@ class ChunkEncoder:
             self.memo, new = {}, chunks
         order, ids, others = [], [], []
         if self.plain_words:
-            # a word of lower-case ASCII letters passes the normaliser and pre-tokenizer as it is, a mark after it by itself
+            # a word of lower-case letters passes the normaliser and pre-tokenizer as it is, a mark after it by itself
             word = self.tokenizer.model.tokenize
             for c in new:
-                letters = c[:-1] if c[-1:] in (b",", b".") else c
-                if letters.isalpha() and letters.islower() and letters.isascii():
-                    order.append(c)
-                    ids.append([t.id for t in word(letters.decode())])
-                    if letters is not c:
-                        ids[-1].append(word(c[-1:].decode())[0].id)
+                letters = c[:-1] if c[-1:] in MARKS else c
+                if letters.isalpha() and letters.islower():
+                    got = word(letters.decode())
+                elif not letters.isascii() and WESTERN.fullmatch(letters.decode()):
+                    got = word(letters.decode("latin-1").translate(BYTE_LETTERS))
                 else:
                     others.append(c)
+                    continue
+                order.append(c)
+                ids.append([t.id for t in got])
+                if letters is not c:
+                    ids[-1].append(word(c[-1:].decode())[0].id)
         else:
             others = new
         ids += [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)]
@@ -149,9 +162,11 @@ def forgetful(run):
 
     @functools.wraps(run)
     def wrapped(batches):
+        gc.disable()  # very many small lists are made, and no cycles
         try:
             yield from run(batches)
         finally:
+            gc.enable()
             forget()  # by name: a function sent to a worker takes a copy of the module's dictionaries with it
 
     return tidy(wrapped)
@@ -179,8 +194,26 @@ class TextTree:
         return [*items[:EDGE], (None, b"".join(i for _, i, _ in middle), b" ".join(t for _, i, t in middle if i)), *items[-EDGE:]]
 
     def leaf(self, text: bytes) -> list[tuple]:
-        (chunks,) = self.held.chunks(pa.array([text.decode()], pa.string()), lower=False).to_pylist()
-        return self.pack(self.items([c.encode() for c in chunks]))
+        return self.leaves([text])[0]
+
+    def leaves(self, texts: list[bytes]) -> list[list[tuple]]:
+        """Packed items of each text; the chunks between the edges are encoded together."""
+        lists = self.held.chunks(pa.array([t.decode() for t in texts], pa.string()), lower=False)
+        offsets, flat = np.asarray(lists.offsets).astype(np.int64), lists.values
+        size = np.diff(offsets)
+        packed = size > 2 * EDGE + 1
+        low, high = np.where(packed, offsets[:-1] + EDGE, offsets[1:]), np.where(packed, offsets[1:] - EDGE, offsets[1:])
+        place = np.arange(len(flat))
+        of = np.repeat(np.arange(len(size)), size)
+        inner = (place >= low[of]) & (place < high[of])
+        counts = np.concatenate([[0], np.cumsum(high - low)]).astype(np.int32)
+        ids, decoded = self.held.encode_lists(pa.ListArray.from_arrays(pa.array(counts), flat.filter(pa.array(inner))))
+        edges = [c.encode() for c in flat.filter(pa.array(~inner)).to_pylist()]
+        items, out, at = self.items(edges), [], 0
+        for n, p, i, d in zip((size - (high - low)).tolist(), packed.tolist(), ids.to_pylist(), decoded.to_pylist(), strict=True):
+            own, at = items[at : at + n], at + n
+            out.append([*own[:EDGE], (None, i, d), *own[EDGE:]] if p else own)
+        return out
 
     def join(self, left: list[tuple], right: list[tuple], cut_chunk: bool) -> list[tuple]:
         """cut_chunk: the cut went through a chunk, so the last of the left and the first of the right are one."""
@@ -349,9 +382,11 @@ def encode_long(texts: DataFrame, path: str, leaf: int) -> DataFrame:
         halving = TextTree(held)
         for batch in batches:
             out = []
-            for kind, text in zip(batch.column("kind").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            kinds, texts = batch.column("kind").to_pylist(), batch.column("text").to_pylist()
+            made = iter(halving.leaves([t.encode() for k, t in zip(kinds, texts, strict=True) if k in (HALF, HALF_CUT)]))
+            for kind, text in zip(kinds, texts, strict=True):
                 if kind in (HALF, HALF_CUT):
-                    out.append([dict(zip(("chunk", "ids", "decoded"), x, strict=True)) for x in halving.leaf(text.encode())])
+                    out.append([dict(zip(("chunk", "ids", "decoded"), x, strict=True)) for x in next(made)])
                     continue
                 if kind == SPECIAL:
                     got = [held.tokenizer.token_to_id(text)]
