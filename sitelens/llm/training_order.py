@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import WORK, shared_dir, tidy, written
+from .common import WORK, discard, shared_dir, tidy, written
 from .textblocks import mix
 
-LENGTH = 2048
-PER_SHARD = 4096
+LENGTH = 512
+PER_SHARD = 16_384
 KEY = 20_240_607
 ROUNDS = 4
 #: Buckets that documents are numbered in.
@@ -55,8 +55,8 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.n
     return out.astype(np.int64)
 
 
-def sequences_of(docs: DataFrame, path: str, length: int = LENGTH, key: int = KEY) -> tuple[DataFrame, int]:
-    """(doc_id, sequence, n_tokens, slot, tokens) of documents (doc_id, text), and their number.
+def sequences_of(docs: DataFrame, path: str, length: int = LENGTH, key: int = KEY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sequence, n_tokens, slot, tokens) of documents (doc_id, text), and the table of encoded documents that they come from.
 
     The driver holds a number for each of the BUCKETS buckets.
     """
@@ -88,7 +88,7 @@ def sequences_of(docs: DataFrame, path: str, length: int = LENGTH, key: int = KE
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "sequence", "n_tokens", "slot", "tokens"])
 
     ordered = encoded.select("doc_id", "bucket", "h", "ids").repartition("bucket").sortWithinPartitions("bucket", "doc_id", "h", "ids")
-    return ordered.mapInArrow(tidy(cut), "doc_id long, sequence long, n_tokens long, slot long, tokens binary"), total
+    return ordered.mapInArrow(tidy(cut), "doc_id long, sequence long, n_tokens long, slot long, tokens binary"), encoded
 
 
 def shard_name(shard: int) -> str:
@@ -102,8 +102,9 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: in
     shards: (shard, first_slot, records, n_bytes, sha256), one row for each file, as written.
     """
     folder = f"{shared_dir(docs.sparkSession)}/{WORK}{uuid.uuid4().hex}-shards"
-    sequences, _ = sequences_of(docs, path, length, key)
+    sequences, encoded = sequences_of(docs, path, length, key)
     sequences = written(sequences.withColumn("shard", F.floor(F.col("slot") / per_shard)))
+    discard(encoded)
     names = ["shard", "first_slot", "records", "n_bytes", "sha256"]
 
     def pack(batches):
@@ -137,6 +138,8 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: in
     placed = sequences.select("shard", "slot", "tokens").repartition("shard").sortWithinPartitions("shard", "slot")
     shards = written(placed.select("shard", "tokens").mapInArrow(tidy(pack), "shard long, first_slot long, records long, n_bytes long, sha256 string"))
     index = sequences.select("doc_id", "sequence", "n_tokens", "slot", "shard", (F.pmod("slot", F.lit(per_shard)) * (2 * length)).alias("byte_offset"))
+    index = written(index)
+    discard(sequences)
     return index, shards, folder
 
 
