@@ -36,6 +36,17 @@ def test_bpe_equals_library(docs):
     assert got == want
 
 
+def test_words_that_skip_the_normaliser():
+    """Letters of western languages and marks after a word are what the whole tokenizer makes of them."""
+    t, held = library(), bpe.encoder(FILE)
+    letters = [chr(c) for c in [*range(ord("a"), ord("z") + 1), *range(0xDF, 0x100)]]
+    rng = random.Random(3)
+    for _ in range(400):
+        word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) + rng.choice(["", "", *(m.decode() for m in bpe.MARKS), "'", "-", "..", "÷"])
+        held.learn([word.encode()])
+        assert np.frombuffer(held.memo[word.encode()][0], "<u4").tolist() == t.encode(word, add_special_tokens=False).ids, word
+
+
 def test_ids_without_decoded_texts(docs):
     """Workers serve tasks with and without decoding in turn; long texts are joined right after short ones."""
     t = library()
