@@ -363,8 +363,8 @@ def encode_short(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
     return docs.mapInArrow(forgetful(run), T.StructType([*docs.schema.fields, *added]))
 
 
-def encode_long(texts: DataFrame, path: str, leaf: int) -> DataFrame:
-    """Distinct long texts (key, text) to (key, n_tokens, ids, decoded), by tree concatenation over tasks."""
+def encode_long(texts: DataFrame, path: str, leaf: int, decode: bool = True) -> DataFrame:
+    """Distinct long texts (key, text) to (key, n_tokens, ids, decoded: null if not asked for), by tree concatenation over tasks."""
 
     def split(batches):
         for batch in batches:
@@ -427,7 +427,7 @@ def encode_long(texts: DataFrame, path: str, leaf: int) -> DataFrame:
                 of_word = []
         put(halving.tree(leaves, cuts))
         whole = b"".join(ids)
-        return pd.DataFrame({"key": [rows["key"].iloc[0]], "n_tokens": [len(whole) // 4], "ids": [whole], "decoded": [b" ".join(decoded).decode()]})
+        return pd.DataFrame({"key": [rows["key"].iloc[0]], "n_tokens": [len(whole) // 4], "ids": [whole], "decoded": [b" ".join(decoded).decode() if decode else None]})
 
     pieces = texts.mapInArrow(forgetful(split), "key string, piece int, kind int, text string").repartition("key", "piece")
     encoded = pieces.mapInArrow(forgetful(encode), "key string, piece int, kind int, items array<struct<chunk:binary,ids:binary,decoded:binary>>")
@@ -437,7 +437,7 @@ def encode_long(texts: DataFrame, path: str, leaf: int) -> DataFrame:
 def encode_documents(docs: DataFrame, path: str, long_text: int = LONG_TEXT, leaf: int = LEAF, decode: bool = True) -> DataFrame:
     """Documents (doc_id, text) to (doc_id, n_tokens, ids: little-endian unsigned 32-bit, decoded).
 
-    Without decode the decoded texts of short documents are null.
+    Without decode the decoded texts are null.
 
     Short texts are encoded where they are read.  Of the long ones each distinct text is encoded once, its leaves spread
     over tasks, and joined back to its documents.
@@ -447,5 +447,5 @@ def encode_documents(docs: DataFrame, path: str, long_text: int = LONG_TEXT, lea
     short = encode_short(docs.filter(~is_long), path, decode).drop("text")
     long = docs.filter(is_long).withColumn("key", F.sha2("text", 256))
     # written, so that the join can split the rows of a text with very many copies
-    made = written(encode_long(long.groupBy("key").agg(F.first("text").alias("text")), path, leaf), True)
+    made = written(encode_long(long.groupBy("key").agg(F.first("text").alias("text")), path, leaf, decode), True)
     return short.unionByName(long.select("doc_id", "key").join(made, "key").select("doc_id", "n_tokens", "ids", "decoded"))

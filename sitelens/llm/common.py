@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     return have.rstrip("/")
 
 
-def written(df: DataFrame, compact: bool = False) -> DataFrame:
+def written(df: DataFrame, compact: bool = False, codec: str | None = None) -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read back, so lost executors cost nothing done so far.
 
     The shuffle files of the plan that was written are dropped with it, so a loop doesn't fill the disks.  compact: for
@@ -59,7 +59,7 @@ def written(df: DataFrame, compact: bool = False) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

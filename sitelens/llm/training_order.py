@@ -61,9 +61,21 @@ def sequences_of(docs: DataFrame, path: str, length: int = LENGTH, key: int = KE
     The driver holds a number for each of the BUCKETS buckets.
     """
     ids = bpe.encode_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, decode=False).filter("n_tokens > 0")
+
+    def narrow(batches):
+        for batch in batches:
+            short = []
+            for data in batch.column("ids").to_pylist():
+                tokens = np.frombuffer(data, dtype="<u4")
+                if len(tokens) and tokens.max() >= PAD:
+                    raise ValueError("token ids don't fit 16 bits")
+                short.append(tokens.astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(short, pa.binary())], names=["doc_id", "ids"])
+
+    ids = ids.select("doc_id", "ids").mapInArrow(tidy(narrow), "doc_id long, ids binary")
     content = ids.select("doc_id", "ids", F.xxhash64("ids").alias("h"))
-    own = F.ceil(F.octet_length("ids") / (4 * length)).cast("long")
-    encoded = written(content.select("doc_id", "ids", "h", F.pmod(F.xxhash64(F.lit(key), "doc_id", "h"), F.lit(BUCKETS)).cast("int").alias("bucket"), own.alias("own")))
+    own = F.ceil(F.octet_length("ids") / (2 * length)).cast("long")
+    encoded = written(content.select("doc_id", "ids", "h", F.pmod(F.xxhash64(F.lit(key), "doc_id", "h"), F.lit(BUCKETS)).cast("int").alias("bucket"), own.alias("own")), codec="zstd")
     counts = np.zeros(BUCKETS + 1, dtype=np.int64)
     for r in encoded.groupBy("bucket").agg(F.sum("own").alias("n")).collect():
         counts[r["bucket"] + 1] = r["n"]
@@ -74,10 +86,7 @@ def sequences_of(docs: DataFrame, path: str, length: int = LENGTH, key: int = KE
         for batch in batches:
             out: list[tuple] = []
             for doc_id, bucket, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "bucket", "ids")), strict=True):
-                tokens = np.frombuffer(data, dtype="<u4")
-                if len(tokens) and tokens.max() >= PAD:
-                    raise ValueError("token ids don't fit 16 bits")
-                tokens = tokens.astype("<u2")
+                tokens = np.frombuffer(data, dtype="<u2")
                 number = number if bucket == bucket_now else int(before[bucket])
                 starts = range(0, len(tokens), length)
                 slots = feistel(number + np.arange(len(starts)), total, key)
@@ -103,7 +112,7 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: in
     """
     folder = f"{shared_dir(docs.sparkSession)}/{WORK}{uuid.uuid4().hex}-shards"
     sequences, encoded = sequences_of(docs, path, length, key)
-    sequences = written(sequences.withColumn("shard", F.floor(F.col("slot") / per_shard)))
+    sequences = written(sequences.withColumn("shard", F.floor(F.col("slot") / per_shard)), codec="zstd")
     discard(encoded)
     names = ["shard", "first_slot", "records", "n_bytes", "sha256"]
 
