@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard_join, mixing, nn_descent, quality, secrets, suffix_dedup, toxicity, training_order
+from . import bpe, fingerprints, jaccard_join, lloyd, mixing, nn_descent, periodic_runs, quality, secrets, suffix_dedup, toxicity, training_order
 from .common import fold, table
 
 
@@ -147,6 +148,51 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of one document in ten from a place on repeat a stretch of them; a null id has none."""
+    if doc_id is None or not words:
+        return words
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of every text, some of which repeat a planted stretch, and what is left when runs collapse.
+
+    Null and empty texts have no runs and collapse to an empty text; a null id has nothing planted; repeated rows are rows
+    like any other; of runs with equally many periods the first, then the shortest period is the best; very long texts are
+    appended in parts; other columns are ignored; an empty table gives no rows.
+    """
+    made = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), prepare=planted)
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return made.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every usable vector after five rounds of Lloyd's iteration on whole numbers, and its distances.
+
+    Vectors that are null, of another length or hold null or non-finite components have no row; repeated rows and null ids
+    are rows like any other; with fewer vectors than centroids there are as many centroids as vectors; other columns are
+    ignored; an empty table gives no rows.
+    """
+    made = lloyd.cluster(table(spark, sf_dir, "embeddings"))
+    return made.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -160,6 +206,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mix_sources,
         op9_jaccard_join,
         op10_fingerprints,
+        op11_periodic_runs,
+        op13_sharded_lloyd,
     )
 }
 
@@ -167,6 +215,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 REACH = "r AS (SELECT id, id AS reach FROM n UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reach)"
 
 #: DuckDB SQL where it can express an operator; the others are tested against brute force in tests/llm.
+#: One round of Lloyd's iteration: the centroids after the ones in table c{i}.
+LLOYD_ROUND = """a{i} AS (SELECT vec_id, u, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT vec_id, u, k, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d, v FROM e CROSS JOIN c{i}) GROUP BY vec_id, u),
+m{i} AS (SELECT k, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{i} JOIN e USING (u) CROSS JOIN (SELECT unnest(range(1, 65)) AS i) GROUP BY k, i),
+c{j} AS (SELECT c{i}.k, coalesce(x.c, c{i}.c) AS c FROM c{i} LEFT JOIN (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM m{i} GROUP BY k) x ON x.k = c{i}.k)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_nn_descent": f"""WITH RECURSIVE n AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT * FROM n WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
@@ -180,4 +233,10 @@ p AS (SELECT x.id AS a, y.id AS b, any_value(x.n) + any_value(y.n) AS total, cou
 l AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (total - k)),
 {REACH}, c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
 SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM n JOIN c USING (id)""",
+    "op13_sharded_lloyd": f"""WITH e AS (SELECT vec_id, row_number() OVER () AS u, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT k - 1 AS k, c FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) AS k, v AS c FROM e) WHERE k <= 40),
+{", ".join(LLOYD_ROUND.format(i=i, j=i + 1) for i in range(6))},
+t AS (SELECT k, sum(d)::BIGINT AS cluster_inertia FROM a5 GROUP BY k)
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, cluster_inertia, (SELECT sum(d)::BIGINT FROM a5) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a5 JOIN t USING (k) JOIN c5 USING (k)""",
 }
