@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard_join, lloyd, mixing, nn_descent, periodic_runs, quality, secrets, suffix_dedup, toxicity, training_order
+from . import bpe, fingerprints, jaccard_join, lloyd, mixing, nn_descent, periodic_runs, quality, recompression, secrets, suffix_dedup, toxicity, training_order
 from .common import fold, table
 
 
@@ -182,6 +182,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the passages of 13 words and more that a document of a smaller id also has.
+
+    Null, empty and short texts lose nothing; a null id neither loses words nor takes any from others; rows of one id don't
+    take from each other; other columns are ignored; an empty table gives no rows.
+    """
+    made = recompression.remove_repeats(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every usable vector after five rounds of Lloyd's iteration on whole numbers, and its distances.
 
@@ -207,6 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_jaccard_join,
         op10_fingerprints,
         op11_periodic_runs,
+        op12_recompression,
         op13_sharded_lloyd,
     )
 }
@@ -233,6 +244,13 @@ p AS (SELECT x.id AS a, y.id AS b, any_value(x.n) + any_value(y.n) AS total, cou
 l AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (total - k)),
 {REACH}, c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
 SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM n JOIN c USING (id)""",
+    "op12_recompression": r"""WITH d AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT u, doc_id, i, list_slice(ws, i, i + 12) AS g FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE doc_id IS NOT NULL)),
+f AS (SELECT g, min(doc_id) AS low FROM x GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT u, unnest(range(i, i + 13)) AS i FROM x JOIN f USING (g) WHERE doc_id > low),
+r AS (SELECT u, list(i) AS gone, count(*) AS n FROM c GROUP BY u)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(CASE WHEN n IS NULL THEN array_to_string(ws, ' ') ELSE
+coalesce((SELECT string_agg(w, ' ' ORDER BY i) FROM (SELECT unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i) WHERE NOT list_contains(gone, i)), '') END) AS kept_sha256 FROM d LEFT JOIN r USING (u)""",
     "op13_sharded_lloyd": f"""WITH e AS (SELECT vec_id, row_number() OVER () AS u, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
 WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 c0 AS (SELECT k - 1 AS k, c FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) AS k, v AS c FROM e) WHERE k <= 40),

@@ -9,6 +9,7 @@ Nothing here needs Spark; memory is bounded by ``BLOCK_BYTES`` or one document.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -155,6 +156,15 @@ class Words:
             self._ranges = RangeHash(self.data)
         return self._ranges
 
+    @functools.cached_property
+    def digests(self) -> np.ndarray:
+        """Two columns of 64 bits of each word's BLAKE2b digest; each distinct word of the block is hashed once."""
+        length = np.concatenate([[0], np.cumsum(self.end - self.start)])
+        letters = np.ascontiguousarray(self.data[_WORD[self.data]])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(length), pa.py_buffer(letters)]).dictionary_encode()
+        made = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words.dictionary.to_pylist()])
+        return np.frombuffer(made, dtype="<u8").reshape(-1, 2)[words.indices.to_numpy()]
+
     @property
     def hash(self) -> np.ndarray:
         return word_hashes(self.data, self.start, self.end)
