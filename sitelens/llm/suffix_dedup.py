@@ -9,7 +9,7 @@ windows share wherever they are.  Windows of one anchor form a segment, about si
  3. Segments still unique at that length may share some of their windows with others of their rank.  In small groups their
     surroundings are compared directly; in large ones the window at each position is ranked by itself.
 
-Ranks are 64-bit hashes; those that decide alone (2.) go with the first (1.), 128 bits in all.  A passage that very many
+Ranks that decide alone (2. and 3.) are 64 bits of BLAKE2b and go with the first (1.); that of 1. is a fast hash, which only chooses what is compared.  A passage that very many
 texts have is one rank; each table joined on ranks is written first and has no other work in its stage, so that a join may
 split the rows of such a rank.
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, tidy, written
-from .textblocks import RangeHash, as_long, text_blocks
+from .textblocks import RangeHash, as_long, span_digests, text_blocks
 
 LENGTH = 200
 KGRAM = 64
@@ -53,7 +53,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, kgram: int) ->
     window, doc, anchor = window[whole], doc[whole], where[: n - length + 1][whole]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])) if len(window) else np.zeros(0, dtype=np.int64)
     first, last = window[new], window[np.append(new[1:], len(window)) - 1]
-    return doc[new], first, last, anchor[new], rank[anchor[new]], ranges.of(first, last + length)
+    return doc[new], first, last, anchor[new], rank[anchor[new]], span_digests(data, first, last + length)
 
 
 def _lower(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ def by_position(near: DataFrame, length: int, kgram: int) -> DataFrame:
                 data = np.frombuffer(left + right, dtype=np.uint8)
                 first = len(left) - (packed & 255) + np.arange(((packed >> 8) & 255) + 1)
                 n = len(first)
-                h = RangeHash(data).of(first, first + length)
+                h = span_digests(data, first, first + length)
                 arrays = [np.full(n, v, dtype=np.int64) for v in (k, c, d1, d2)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array((packed >> 16) + np.arange(n)), pa.array(as_long(h))], names=["k", "c", "d1", "d2", "first", "h"])
 

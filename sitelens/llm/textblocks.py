@@ -1,9 +1,10 @@
 """Vectorised text helpers used inside Arrow map functions.
 
 A *block* is a run of whole documents laid end to end as one ``uint8`` array with an
-offsets array.  All hashes are 64-bit.  The hash of a word chains its eight-byte lanes through a mixer; the hash of a byte
-range is a polynomial prefix sum (modulo 2**64, odd base) of mixed eight-byte strings, two look-ups a range.
-Neither is linear in the bytes: words such as Thue and Morse's, on which plain polynomials agree, differ.
+offsets array.  A word stands for 128 bits of its BLAKE2b digest, taken once for each distinct word of a block; the hash of
+a shingle has both halves of its words' digests, in two lanes, and 64 bits.  The hash of a byte range is a polynomial prefix
+sum (modulo 2**64, odd base) of mixed eight-byte strings, two look-ups a range: fast, but texts can be made on which it
+agrees, so it may choose what to compare and must not decide.
 Nothing here needs Spark; memory is bounded by ``BLOCK_BYTES`` or one document.
 """
 
@@ -17,11 +18,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
-#: Words of more bytes are hashed one by one.
-LONG_WORD = 256
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE2 = 0xD6E8FEB86659FD93 | 1
 _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,6 +51,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Factors of the two lanes of a row of words.
+_LANES = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+
+
+def both_lanes(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """One hash of the two lanes of n words; words that agree in one lane only stay apart."""
+    return mix(mix(a + np.uint64(n)) + b)
+
+
 def forget() -> None:
     """Drops the tables of powers."""
     _tables.clear()
@@ -70,28 +77,11 @@ def _first_bytes(lane: np.ndarray, n: np.ndarray) -> np.ndarray:
     return lane & ((np.uint64(1) << (n.astype(np.uint64) << np.uint64(3))) - np.uint64(1))
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of non-overlapping byte ranges: each lane is mixed into what came before."""
-    length, lanes = end - start, lanes_of(data)
-    h = mix(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    for i in np.flatnonzero(length > LONG_WORD):
-        h[i] = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), dtype="<u8")[0]
-    active, done = np.flatnonzero(length <= LONG_WORD), 0
-    while len(active):
-        left = length[active] - done
-        lane = lanes[start[active] + done]
-        part = left < 8
-        lane[part] = _first_bytes(lane[part], left[part])
-        h[active] = mix((h[active] ^ lane) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
-        active, done = active[left > 8], done + 8
-    return h
-
-
 class RangeHash:
     """Hashes of byte ranges of one array."""
 
-    def __init__(self, data: np.ndarray, second: bool = False):
-        base = _BASE2 if second else _BASE
+    def __init__(self, data: np.ndarray):
+        base = _BASE
         power, self._inverse = _powers(base, len(data))
         self._lanes = lanes_of(data)
         self._prefix = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -111,6 +101,13 @@ class RangeHash:
         return mix(raw ^ (length.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
 
 
+def span_digests(data: np.ndarray, first: np.ndarray, end: np.ndarray, size: int = 1) -> np.ndarray:
+    """64 bits of BLAKE2b of each span of a contiguous array, whose items have so many bytes."""
+    view = memoryview(data).cast("B")
+    made = b"".join([hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip((first * size).tolist(), (end * size).tolist(), strict=True)])
+    return np.frombuffer(made, dtype="<u8")
+
+
 def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield (first row, bytes, offsets) of a string column; nulls count as empty texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -165,30 +162,28 @@ class Words:
         made = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words.dictionary.to_pylist()])
         return np.frombuffer(made, dtype="<u8").reshape(-1, 2)[words.indices.to_numpy()]
 
-    @property
-    def hash(self) -> np.ndarray:
-        return word_hashes(self.data, self.start, self.end)
-
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, offsets by document) of all k-word shingles; a shorter text is one shingle."""
-        h, n_docs = self.hash, len(self.count)
+        h, n_docs = self.digests, len(self.count)
         n_out = np.where(self.count >= k, self.count - k + 1, (self.count > 0).astype(np.int64))
         offsets = np.concatenate([[0], np.cumsum(n_out)])
         out = np.empty(int(offsets[-1]), dtype=np.uint64)
         if len(h) >= k:
-            rolled = np.zeros(len(h) - k + 1, dtype=np.uint64)
-            for j in range(k):
-                rolled = rolled * np.uint64(0x9FB21C651E98DF25) + h[j : len(h) - k + 1 + j]
-            rolled = mix(rolled + np.uint64(k))
+            rolled = np.zeros((2, len(h) - k + 1), dtype=np.uint64)
+            for lane, factor in enumerate(_LANES):
+                own = np.ascontiguousarray(h[:, lane])
+                for j in range(k):
+                    rolled[lane] = rolled[lane] * factor + own[j : len(h) - k + 1 + j]
+            rolled = both_lanes(rolled[0], rolled[1], k)
             whole = self.doc[: len(rolled)] == self.doc[k - 1 :]
             doc = self.doc[: len(rolled)][whole]
             at = np.flatnonzero(whole) - self.first[doc] + offsets[doc]
             out[at] = rolled[whole]
         for d in np.flatnonzero((self.count > 0) & (self.count < k)):
-            value = np.zeros(1, dtype=np.uint64)
+            value = np.zeros((2, 1), dtype=np.uint64)
             for w in h[self.first[d] : self.first[d + 1]]:
-                value = value * np.uint64(0x9FB21C651E98DF25) + w
-            out[offsets[d]] = mix(value + np.uint64(self.count[d]))[0]
+                value = value * _LANES[:, None] + w[:, None]
+            out[offsets[d]] = both_lanes(value[0], value[1], int(self.count[d]))[0]
         assert len(offsets) == n_docs + 1
         return out, offsets
 
