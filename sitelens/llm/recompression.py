@@ -1,6 +1,6 @@
 """Removal of repeated passages of words by recompression: runs and pairs of symbols get global names, round after round.
 
-Words are the first symbols.  A round of runs gives each maximal run of one symbol a name of its symbol and length; a round of
+Words are the first symbols.  A round of runs gives what lies inside each maximal run of one symbol a name of that symbol and its number; a round of
 pairs tosses a coin for each symbol, by its name, and gives each pair of a heads and a tails symbol a name.  A name is a digest of
 what it stands for, so equal strings get equal names in every task without being dealt out by a sort, and equal passages get equal
 symbols in their interior: all but the symbols at either end, which what stands around a passage may draw into a run or pair.
@@ -24,15 +24,13 @@ rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, tidy, written
-from .textblocks import Words, as_long, mix, text_blocks
+from .textblocks import Words, as_long, mix, span_digests, text_blocks
 
 WINDOW = 13
 #: Rounds of pairs after the round of runs: symbols of three to five words, of which a window has one inside.
@@ -55,17 +53,23 @@ class Level:
         return Level(name[keep], self.start[keep], self.doc[keep], place[left], place[right])
 
     def runs(self) -> Level:
-        """Maximal runs of one symbol are named; a run at either end of a window may go on outside."""
-        n, name = len(self.name), self.name
+        """What lies between the ends of a maximal run of one symbol is named by its length.
+
+        The ends stay symbols of their own, so at either end of a window a symbol is the same whether or not its run goes on
+        outside; of a run that begins in a window's end only that end is known.
+        """
+        n, name, place = len(self.name), self.name, np.arange(len(self.name))
         again = np.zeros(n, dtype=bool)
         again[1:] = (name[1:] == name[:-1]) & (self.doc[1:] == self.doc[:-1])
-        first = np.flatnonzero(~again)
-        length = np.diff(np.append(first, n))
+        start = np.flatnonzero(~again)
         run = np.cumsum(~again) - 1
-        named, many = name.copy(), length > 1
-        named[first[many]] = mix(name[first[many]] * np.uint64(0x9FB21C651E98DF25) + length[many].astype(np.uint64))
-        edge = np.append(first, n)
-        return self.merged(again, named, edge[run[np.minimum(self.left, n - 1)] + 1], edge[run[np.maximum(self.right - 1, 0)]])
+        first, last = start[run], (np.append(start[1:], n) - 1)[run]
+        inner = last - first - 1
+        head = (place == first + 1) & (inner > 1)
+        named = name.copy()
+        named[head] = mix(name[head] * np.uint64(0x9FB21C651E98DF25) + inner[head].astype(np.uint64))
+        left, right = np.append(last, n)[self.left], np.where(self.right > 0, first[np.maximum(self.right - 1, 0)] + 1, 0)
+        return self.merged((place > first + 1) & (place < last), named, left, right)
 
     def pairs(self, level: int) -> Level:
         """Heads followed by tails are named; tails at the start of a window, or heads at its end, may pair with what is outside."""
@@ -114,13 +118,6 @@ def segments(words: Words, window: int, rounds: int) -> tuple[np.ndarray, ...]:
     return doc[start[new]], start[new], start[last], name[new]
 
 
-def span_digests(digests: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64 bits of BLAKE2b over the words' digests of each span."""
-    view, size = memoryview(np.ascontiguousarray(digests)).cast("B"), digests.itemsize * digests.shape[1]
-    made = b"".join(hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip((first * size).tolist(), (end * size).tolist(), strict=True))
-    return np.frombuffer(made, dtype="<i8")
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc, h, text): h tells rows of one id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -136,7 +133,7 @@ def segment_table(docs: DataFrame, window: int, rounds: int) -> DataFrame:
             for row, data, offsets in text_blocks(batch.column("text")):
                 words = Words(data, offsets, lower=False)
                 doc, first, last, name = segments(words, window, rounds)
-                s = span_digests(words.digests, first, last + window)
+                s = as_long(span_digests(words.digests, first, last + window, 16))
                 at = ((first - words.first[doc]) << 8) | (last - first)
                 yield pa.RecordBatch.from_arrays([pa.array(as_long(name)), pa.array(s), pa.array(ids[row + doc]), pa.array(h[row + doc]), pa.array(at)], names=["k", "s", "doc", "h", "at"])
 
@@ -162,16 +159,16 @@ def windows_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                             first.append(base + p)
                             own.append(row + i)
                 first_ = np.array(first, dtype=np.int64)
-                w = span_digests(words.digests, first_, first_ + window)
+                w = as_long(span_digests(words.digests, first_, first_ + window, 16))
                 place = first_ - words.first[np.array(own, dtype=np.int64) - row]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(k, pa.int64()), pa.array(w), pa.array([ids[i] for i in own], pa.int64()), pa.array([h[i] for i in own], pa.int64()), pa.array(place)], names=["k", "w", "doc", "h", "first"]
                 )
 
     asked = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("k", "at")).alias("asked"))
-    # rows equal in id and text are one document
+    # rows equal in id and text give the same windows again, which changes neither the least id nor what is removed
     joined = docs.join(asked, ["doc", "h"]).select("doc", "h", "text", "asked")
-    return joined.mapInArrow(tidy(run), "k long, w long, doc long, h long, first long").distinct()
+    return joined.mapInArrow(tidy(run), "k long, w long, doc long, h long, first long")
 
 
 def repeated_windows(docs: DataFrame, window: int, rounds: int) -> DataFrame:
@@ -190,7 +187,7 @@ def repeated_windows(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     several = kinds.groupBy("k").agg(F.min("low").alias("least"), F.max("low").alias("most")).filter("least < most").select("k")
     several = written(several, True)
     wanted = placed.filter("doc = low").select("k", "doc", "h", "at").join(several, "k")
-    named = written(windows_of(docs, wanted, window), True)
+    named = written(windows_of(docs, wanted, window))
     least = written(named.groupBy("k", "w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("k", "w", "low"), True)
     parts = named.join(least, ["k", "w"]).filter("doc > low").select("doc", "h", "first", F.col("first").alias("last"))
     starts = written(whole.unionByName(parts).groupBy("doc", "h").agg(F.collect_list(F.struct("first", "last")).alias("starts")), True)
