@@ -348,7 +348,18 @@ def _long_chunk(chunk: str, path: str, leaf: int) -> Iterator[tuple[int, str]]:
             yield WORDS, " ".join(words)
 
 
-def encode_short(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
+def narrowed(ids: pa.Array) -> pa.Array:
+    """Ids of 32 bits as ids of 16 bits; the greatest number stands for padding, so no id may have it."""
+    ids = ids.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1]
+    flat = np.frombuffer(ids.buffers()[2] or b"", dtype="<u4", count=int(offsets[-1]) // 4)[int(offsets[0]) // 4 :] if len(ids) else np.zeros(0, dtype="<u4")
+    if len(flat) and flat.max() >= 65_535:
+        raise ValueError("token ids don't fit 16 bits")
+    small = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer((offsets - offsets[0]) // 2), pa.py_buffer(flat.astype("<u2"))])
+    return small.cast(pa.binary())
+
+
+def encode_short(docs: DataFrame, path: str, decode: bool = True, narrow: bool = False) -> DataFrame:
     """All columns of docs, then n_tokens, ids and decoded (null if not asked for); a map without a shuffle."""
     names, at = [*docs.columns, "n_tokens", "ids", "decoded"], docs.columns.index("text")
 
@@ -357,13 +368,14 @@ def encode_short(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
         for batch in batches:
             ids, decoded = held.encode_texts(batch.column(at).cast(pa.string()).fill_null(""))
             n = pc.divide(pc.binary_length(ids), 4).cast(pa.int64())
+            ids = narrowed(ids) if narrow else ids
             yield pa.RecordBatch.from_arrays([*batch.columns, n, ids, decoded.cast(pa.string())], names=names)
 
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
     return docs.mapInArrow(forgetful(run), T.StructType([*docs.schema.fields, *added]))
 
 
-def encode_long(texts: DataFrame, path: str, leaf: int, decode: bool = True) -> DataFrame:
+def encode_long(texts: DataFrame, path: str, leaf: int, decode: bool = True, narrow: bool = False) -> DataFrame:
     """Distinct long texts (key, text) to (key, n_tokens, ids, decoded: null if not asked for), by tree concatenation over tasks."""
 
     def split(batches):
@@ -427,25 +439,26 @@ def encode_long(texts: DataFrame, path: str, leaf: int, decode: bool = True) ->
                 of_word = []
         put(halving.tree(leaves, cuts))
         whole = b"".join(ids)
-        return pd.DataFrame({"key": [rows["key"].iloc[0]], "n_tokens": [len(whole) // 4], "ids": [whole], "decoded": [b" ".join(decoded).decode() if decode else None]})
+        n_tokens, whole = len(whole) // 4, narrowed(pa.array([whole], pa.binary()))[0].as_py() if narrow else whole
+        return pd.DataFrame({"key": [rows["key"].iloc[0]], "n_tokens": [n_tokens], "ids": [whole], "decoded": [b" ".join(decoded).decode() if decode else None]})
 
     pieces = texts.mapInArrow(forgetful(split), "key string, piece int, kind int, text string").repartition("key", "piece")
     encoded = pieces.mapInArrow(forgetful(encode), "key string, piece int, kind int, items array<struct<chunk:binary,ids:binary,decoded:binary>>")
     return encoded.groupBy("key").applyInPandas(gather, "key string, n_tokens long, ids binary, decoded string")
 
 
-def encode_documents(docs: DataFrame, path: str, long_text: int = LONG_TEXT, leaf: int = LEAF, decode: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, long_text: int = LONG_TEXT, leaf: int = LEAF, decode: bool = True, narrow: bool = False) -> DataFrame:
     """Documents (doc_id, text) to (doc_id, n_tokens, ids: little-endian unsigned 32-bit, decoded).
 
-    Without decode the decoded texts are null.
+    Without decode the decoded texts are null; with narrow the ids have 16 bits.
 
     Short texts are encoded where they are read.  Of the long ones each distinct text is encoded once, its leaves spread
     over tasks, and joined back to its documents.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     is_long = F.coalesce(F.octet_length("text") >= long_text, F.lit(False))
-    short = encode_short(docs.filter(~is_long), path, decode).drop("text")
+    short = encode_short(docs.filter(~is_long), path, decode, narrow).drop("text")
     long = docs.filter(is_long).withColumn("key", F.sha2("text", 256))
     # written, so that the join can split the rows of a text with very many copies
-    made = written(encode_long(long.groupBy("key").agg(F.first("text").alias("text")), path, leaf, decode), True)
+    made = written(encode_long(long.groupBy("key").agg(F.first("text").alias("text")), path, leaf, decode, narrow), True)
     return short.unionByName(long.select("doc_id", "key").join(made, "key").select("doc_id", "n_tokens", "ids", "decoded"))

@@ -5,8 +5,9 @@ Feistel network with cycle-walking maps each number to its own slot of the train
 the number of sequences and the key.  Each range of per_shard slots is one file whose records all have the same
 stride, so slot s is at byte (s mod per_shard) * stride of file s div per_shard and reading can resume anywhere.
 
-The numbering depends on the documents alone: they are dealt into a fixed number of buckets by a hash, numbered in order
-of id and content within each, whatever the number of partitions.  A file is written under a name of its task's own and
+The numbering depends on the documents alone: they are dealt into buckets by a hash, as many as their count asks for, and
+numbered in order of id and content within each, whatever the number of partitions.  Sequences are written once, with their
+number in the bucket; how many come before a bucket is known then, and slots are computed on the way to the files.  A file is written under a name of its task's own and
 then renamed, so a task that runs again leaves the same file.
 
 Edge cases: null and empty texts have no sequence; the last sequence of a text is padded; repeated rows have sequences
@@ -24,6 +25,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bpe
 from .common import WORK, discard, shared_dir, tidy, written
@@ -33,8 +35,8 @@ LENGTH = 512
 PER_SHARD = 16_384
 KEY = 20_240_607
 ROUNDS = 4
-#: Buckets that documents are numbered in.
-BUCKETS = 4096
+#: Documents are numbered in buckets, whose number follows that of the documents.
+DOCS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1024, 64, 65_536
 #: Token ids are little-endian unsigned 16-bit; PAD, which no tokenizer file used here has, fills the end of a text's last sequence.
 PAD = 65_535
 
@@ -55,49 +57,56 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.n
     return out.astype(np.int64)
 
 
-def sequences_of(docs: DataFrame, path: str, length: int = LENGTH, key: int = KEY) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sequence, n_tokens, slot, tokens) of documents (doc_id, text), and the table of encoded documents that they come from.
+def bucket_count(n_docs: int) -> int:
+    """Buckets for so many documents: a power of two with some thousand documents in each, at most MOST_BUCKETS."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, n_docs // DOCS_A_BUCKET - 1).bit_length()))
 
-    The driver holds a number for each of the BUCKETS buckets.
-    """
-    ids = bpe.encode_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, decode=False).filter("n_tokens > 0")
 
-    def narrow(batches):
-        for batch in batches:
-            short = []
-            for data in batch.column("ids").to_pylist():
-                tokens = np.frombuffer(data, dtype="<u4")
-                if len(tokens) and tokens.max() >= PAD:
-                    raise ValueError("token ids don't fit 16 bits")
-                short.append(tokens.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(short, pa.binary())], names=["doc_id", "ids"])
-
-    ids = ids.select("doc_id", "ids").mapInArrow(tidy(narrow), "doc_id long, ids binary")
-    content = ids.select("doc_id", "ids", F.xxhash64("ids").alias("h"))
-    own = F.ceil(F.octet_length("ids") / (2 * length)).cast("long")
-    encoded = written(content.select("doc_id", "ids", "h", F.pmod(F.xxhash64(F.lit(key), "doc_id", "h"), F.lit(BUCKETS)).cast("int").alias("bucket"), own.alias("own")), codec="zstd")
-    counts = np.zeros(BUCKETS + 1, dtype=np.int64)
-    for r in encoded.groupBy("bucket").agg(F.sum("own").alias("n")).collect():
-        counts[r["bucket"] + 1] = r["n"]
-    before, total = np.cumsum(counts)[:-1], int(counts.sum())
+def sequences_of(docs: DataFrame, path: str, length: int = LENGTH, key: int = KEY) -> tuple[DataFrame, np.ndarray]:
+    """(table, before): the written sequences (bucket, number, doc_id, sequence, n_tokens, tokens) of documents (doc_id, text), and how
+    many come before each bucket's, and in all.
+
+    The number counts within the bucket.  The driver holds a number for each bucket, MOST_BUCKETS at most.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    buckets = bucket_count(docs.count())
+    ids = bpe.encode_documents(docs, path, decode=False, narrow=True).filter("n_tokens > 0").select("doc_id", "ids", F.xxhash64("ids").alias("h"))
+    dealt = ids.withColumn("bucket", F.pmod(F.xxhash64(F.lit(key), "doc_id", "h"), F.lit(buckets)).cast("int"))
 
     def cut(batches):
         bucket_now, number = -1, 0  # where the numbering of the last bucket goes on
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             out: list[tuple] = []
             for doc_id, bucket, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "bucket", "ids")), strict=True):
-                tokens = np.frombuffer(data, dtype="<u2")
-                number = number if bucket == bucket_now else int(before[bucket])
-                starts = range(0, len(tokens), length)
-                slots = feistel(number + np.arange(len(starts)), total, key)
-                out += [(doc_id, i, min(length, len(tokens) - a), int(slots[i]), tokens[a : a + length].tobytes()) for i, a in enumerate(starts)]
-                bucket_now, number = bucket, number + len(starts)
+                number = number if bucket == bucket_now else 0
+                bucket_now = bucket
+                for i, a in enumerate(range(0, len(data), 2 * length)):
+                    part = data[a : a + 2 * length]
+                    out.append((bucket, number, doc_id, i, len(part) // 2, part))
+                    number += 1
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "sequence", "n_tokens", "slot", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "number", "doc_id", "sequence", "n_tokens", "tokens"])
+
+    ordered = dealt.select("doc_id", "bucket", "h", "ids").repartition("bucket").sortWithinPartitions("bucket", "doc_id", "h", "ids")
+    made = ordered.select("doc_id", "bucket", "ids").mapInArrow(tidy(cut), "bucket int, number long, doc_id long, sequence long, n_tokens long, tokens binary")
+    sequences = written(made, codec="zstd")
+    before = np.zeros(buckets + 1, dtype=np.int64)
+    for r in sequences.groupBy("bucket").agg(F.max("number").alias("last")).collect():
+        before[r["bucket"] + 1] = r["last"] + 1
+    return sequences, np.cumsum(before)
+
+
+def with_slots(sequences: DataFrame, before: np.ndarray, key: int = KEY) -> DataFrame:
+    """slot, the place in the training order, instead of bucket and number."""
+    total, rest = int(before[-1]), [c for c in sequences.columns if c not in ("bucket", "number")]
+
+    def run(batches):
+        for batch in batches:
+            dense = before[batch.column("bucket").to_numpy()] + batch.column("number").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(feistel(dense, total, key)), *(batch.column(c) for c in rest)], names=["slot", *rest])
 
-    ordered = encoded.select("doc_id", "bucket", "h", "ids").repartition("bucket").sortWithinPartitions("bucket", "doc_id", "h", "ids")
-    return ordered.mapInArrow(tidy(cut), "doc_id long, sequence long, n_tokens long, slot long, tokens binary"), encoded
+    return sequences.mapInArrow(tidy(run), T.StructType([T.StructField("slot", T.LongType()), *(sequences.schema[c] for c in rest)]))
 
 
 def shard_name(shard: int) -> str:
@@ -111,9 +120,8 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: in
     shards: (shard, first_slot, records, n_bytes, sha256), one row for each file, as written.
     """
     folder = f"{shared_dir(docs.sparkSession)}/{WORK}{uuid.uuid4().hex}-shards"
-    sequences, encoded = sequences_of(docs, path, length, key)
-    sequences = written(sequences.withColumn("shard", F.floor(F.col("slot") / per_shard)), codec="zstd")
-    discard(encoded)
+    sequences, before = sequences_of(docs, path, length, key)
+    shard = F.floor(F.col("slot") / per_shard)
     names = ["shard", "first_slot", "records", "n_bytes", "sha256"]
 
     def pack(batches):
@@ -144,9 +152,9 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: in
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=names)
 
-    placed = sequences.select("shard", "slot", "tokens").repartition("shard").sortWithinPartitions("shard", "slot")
+    placed = with_slots(sequences.select("bucket", "number", "tokens"), before, key).withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "slot")
     shards = written(placed.select("shard", "tokens").mapInArrow(tidy(pack), "shard long, first_slot long, records long, n_bytes long, sha256 string"))
-    index = sequences.select("doc_id", "sequence", "n_tokens", "slot", "shard", (F.pmod("slot", F.lit(per_shard)) * (2 * length)).alias("byte_offset"))
+    index = with_slots(sequences.drop("tokens"), before, key).select("doc_id", "sequence", "n_tokens", "slot", shard.alias("shard"), (F.pmod("slot", F.lit(per_shard)) * (2 * length)).alias("byte_offset"))
     index = written(index)
     discard(sequences)
     return index, shards, folder
