@@ -10,12 +10,10 @@ others; without labelled rows of both classes every score is 0.5; a label given
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,9 +21,8 @@ from .common import tidy, written
 
 #: Bound on the labelled documents of a class that are fitted on; half make dictionaries, half calibrate.
 SAMPLE_PER_CLASS = 1500
-#: Bytes of a dictionary, shared among all its sampled texts, and the most of one text that enters it.
-DICTIONARY_BYTES = 256 << 10
-EXCERPT_BYTES = 2048
+#: Bytes of a dictionary: a bound on the texts that enter it, which do so whole.
+DICTIONARY_BYTES = 1 << 20
 BLOCK_BYTES = 512
 LEVEL = 6
 
@@ -53,25 +50,29 @@ class CompressedSizes:
         return (with_bad - with_good) / len(text), (with_bad + with_good) / (2 * len(text))
 
 
-def share(n: int, size: int = DICTIONARY_BYTES) -> int:
-    """Bytes that each of n texts may put into a dictionary, so that all of them fit with the line ends between."""
-    return max(1, min(EXCERPT_BYTES, size // max(1, n) - 1))
+def dictionary(texts: list[bytes]) -> bytes:
+    """Dictionary content: whole texts end to end, which zstandard needs some bytes of."""
+    return b"\n".join(texts).ljust(8, b"\0")
+
+
+def fitting_texts(texts: DataFrame, size: int = DICTIONARY_BYTES) -> DataFrame:
+    """Of labelled texts (doc_id, y, text) those that a dictionary of each class holds: whole ones, in order of a hash, until it is full.
+
+    The window runs over the bounded sample; a text that alone would fill a quarter is left to the calibration.
+    """
+    line = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    bytes_ = F.octet_length("text") + 1
+    return texts.filter(bytes_ <= size // 4).withColumn("end", F.sum(bytes_).over(line)).filter(F.col("end") <= size).drop("end")
 
 
-def excerpt(text: bytes, size: int) -> bytes:
-    """A whole text, or one piece of either half at places seeded by the text, for a dictionary."""
-    if len(text) <= size:
-        return text
-    places = np.random.default_rng(zlib.crc32(text))
-    middle, first = len(text) // 2, size // 2
-    a = int(places.integers(0, middle - first + 1))
-    b = int(places.integers(middle, len(text) - (size - first) + 1))
-    return text[a : a + first] + text[b : b + size - first]
+#: The mean size is taken as so many deviations from the calibration's mean at most: texts that stand in a dictionary compress to nothing.
+MOST_DEVIATIONS = 3.0
 
 
-def dictionary(excerpts: list[bytes]) -> bytes:
-    """Dictionary content: the excerpts of all samples end to end."""
-    return b"\n".join(excerpts).ljust(8, b"\0")
+def standardised(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    z = (x - centre) / scale
+    z[:, 1] = np.clip(z[:, 1], -MOST_DEVIATIONS, MOST_DEVIATIONS)
+    return z
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -105,26 +106,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = SAMPLE_PER_CLASS) -> dict:
     """Dictionaries and calibration from a bounded labelled sample of 2 x per_class whole texts.
 
-    Tasks cut the excerpts and measure the calibration rows; the driver gets the dictionaries' bytes and two numbers a row.
+    The dictionaries hold whole texts until they are full.  Tasks measure the calibration rows; the driver gets the dictionaries'
+    bytes and two numbers a row.
     """
     known = labels.filter(usable & F.col("quality").isin(0, 1)).agg(F.avg("quality").alias("share"), F.count("*").alias("n")).first()
     sample = labelled_sample(docs, labels, "quality", usable, per_class)
     # repeated ids may match several rows: one text for each id keeps the sample bounded
     once = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"), (F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string"))) % 2).alias("half"))
     texts = written(once.filter(F.octet_length("text") > 0), True)
-    counts = {(r["y"], r["half"]): r["count"] for r in texts.groupBy("y", "half").count().collect()}
+    counts = {(r["y"], r["half"]) for r in texts.groupBy("y", "half").count().collect()}
     if len({y for y, _ in counts}) < 2:
         return {"good": b"\0" * 8, "bad": b"\0" * 8, "beta": [0.0, 0.0, 0.0], "centre": [0.0, 0.0], "scale": [1.0, 1.0]}
-    shares = {y: share(counts.get((y, 0), 0)) for y in (0, 1)}
-
-    def cut(batches):
-        for batch in batches:
-            pieces = [excerpt(t, shares[y]) for t, y in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(pieces, pa.binary())], names=["doc_id", "y", "piece"])
-
-    kinds = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, y int"
-    pieces = texts.filter("half = 0").select("doc_id", "y", "text").mapInArrow(tidy(cut), f"{kinds}, piece binary").orderBy("doc_id").collect()
-    good, bad = (dictionary([bytes(r["piece"]) for r in pieces if r["y"] == want]) for want in (1, 0))
+    held = fitting_texts(texts.filter("half = 0").select("doc_id", "y", "text")).orderBy("doc_id").collect()  # two dictionaries' bytes at most
+    good, bad = (dictionary([r["text"].encode("utf-8", "surrogatepass") for r in held if r["y"] == want]) for want in (1, 0))
 
     def measured(batches):
         measure = CompressedSizes(good, bad)
@@ -132,11 +126,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = SAM
             x = np.array([measure(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["doc_id", "y", "apart", "mean"])
 
+    kinds = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, y int"
     unseen = texts.filter("half = 1") if any(half == 1 for _, half in counts) else texts
     held = unseen.select("doc_id", "y", "text").mapInArrow(tidy(measured), f"{kinds}, apart double, mean double").orderBy("doc_id").collect()
     x, y = np.array([(r["apart"], r["mean"]) for r in held]), np.array([r["y"] for r in held])
     centre, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
-    beta = calibrate((x - centre) / scale, y)
+    beta = calibrate(standardised(x, centre, scale), y)
     # the sample is balanced by class: move the intercept to the share of good rows among all labels
     among, drawn = min(max(float(known["share"]), 1e-6), 1 - 1e-6), min(max(float(y.mean()), 1e-6), 1 - 1e-6)
     beta[-1] += float(np.log(among / (1 - among)) - np.log(drawn / (1 - drawn)))
@@ -154,7 +149,7 @@ def score_quality(docs: DataFrame, model: dict, name: str = "score") -> DataFram
         centre, scale = np.array(model["centre"]), np.array(model["scale"])
         for batch in batches:
             x = np.array([measure(t) if t else centre for t in batch.column(at).cast(pa.binary()).to_pylist()]).reshape(-1, 2)
-            score = 1 / (1 + np.exp(-np.clip((x - centre) / scale @ beta[:2] + beta[2], -30, 30)))
+            score = 1 / (1 + np.exp(-np.clip(standardised(x, centre, scale) @ beta[:2] + beta[2], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=names)
 
     return docs.mapInArrow(tidy(run), schema)
