@@ -189,14 +189,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = SAM
 
 
 def score_toxicity(docs: DataFrame, model: dict | None) -> DataFrame:
-    """The columns of docs without text, then `score` (0 to 1, higher: toxic).
+    """The columns of docs without text (and without a score that they have), then `score` (0 to 1, higher: toxic).
 
     The calibrated share carries the score; a hundredth of it is the trees' own probability, which orders equal shares.
     """
+    kept = [c for c in docs.columns if c not in ("text", "score")]
     if model is None:
-        return docs.drop("text").withColumn("score", F.lit(0.0))
-    x = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(docs, model["words"], model["stems"]))
+        return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0.0).alias("score"))
+    own = [f"__own{i}" for i in range(len(kept))]  # no name of a feature or of a model's column
+    x = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(kept, own, strict=True)], "text")
+    x = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(x, model["words"], model["stems"]))
     raw = model["trees"].transform(x).withColumn("raw", vector_to_array("probability")[1])
     share = model["curve"].transform(raw)
     score = F.least(F.greatest(0.99 * F.col("share") + 0.01 * F.col("raw"), F.lit(0.0)), F.lit(1.0))
-    return share.select(*[c for c in docs.columns if c != "text"], score.alias("score"))
+    return share.select(*[F.col(o).alias(c) for c, o in zip(kept, own, strict=True)], score.alias("score"))
