@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 from ..functions import text as T
 from ..sources.materialise import sized
+from .terms import lexicon_hits, with_terms
 
 OTHER = "기타"
 
@@ -22,19 +23,14 @@ def verdict(status: str, confidence: Column | float, matched: Column | str) -> C
     return F.struct(F.lit(status).alias("status"), c.cast("double").alias("confidence"), m.alias("matched"))
 
 
-def lexicon_hits(rows: DataFrame, text: Column, lexicon: DataFrame) -> DataFrame:
-    """rows joined with the lexicon rows whose term the lower-cased text contains."""
-    return rows.withColumn("__lower", F.lower(text)).join(sized(lexicon), F.col("__lower").contains(F.lower("term"))).drop("__lower")
-
-
 def keywords_of(rows: DataFrame, key: str, text: Column, lexicon: DataFrame) -> DataFrame:
     """(key, keywords): the distinct lexicon terms in each text, ascending, comma-joined."""
-    return lexicon_hits(rows.select(key, text.alias("t")), F.col("t"), lexicon).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("keywords"))
+    return lexicon_hits(rows.select(key, text.alias("t")), F.col("t"), lexicon, [key]).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("keywords"))
 
 
 def first_category(rows: DataFrame, key: str, text: Column, lexicon: DataFrame) -> DataFrame:
     """(key, category): the first category, in order, of which the text has a term, else 'other'."""
-    hits = lexicon_hits(rows.select(key, text.alias("t")), F.col("t"), lexicon).groupBy(key).agg(F.min_by("category", "category_rank").alias("category"))
+    hits = lexicon_hits(rows.select(key, text.alias("t")), F.col("t"), lexicon, [key]).groupBy(key).agg(F.min_by("category", "category_rank").alias("category"))
     return rows.select(key).join(hits, key, "left").select(key, F.coalesce("category", F.lit(OTHER)).alias("category"))
 
 
@@ -162,7 +158,7 @@ def two_product_support(corpus: DataFrame, features: DataFrame, left: str, right
 
 def category_features(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
     """For each product and category with a hit: found terms, description, the first three pages with any."""
-    hits = lexicon_hits(pages.select("product", "ord", "url", "content"), F.col("content"), lexicon)
+    hits = lexicon_hits(pages.select("product", "ord", "url", "content"), F.col("content"), lexicon, ["product", "ord", "url"])
     terms = hits.groupBy("product", "category").agg(F.array_join(F.array_sort(F.collect_set("term")), ", ").alias("terms"), F.count_distinct("ord").alias("n_pages"))
     first = hits.select("product", "category", "ord", "url").distinct().withColumn("row_no", F.row_number().over(Window.partitionBy("product", "category").orderBy("ord"))).filter("row_no <= 3")
     sources = first.groupBy("product", "category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda s: s["url"]), " ").alias("sources"))
@@ -190,10 +186,17 @@ def product_profile(pages: DataFrame, mobile: list[str], desktop: list[str], bus
 
 
 def keywords_in_context(rows: DataFrame, key: str, text: str, lexicon: DataFrame, around: int = 50, n: int = 10) -> DataFrame:
-    """First occurrence of each term with its surroundings; the first n terms in lexicon order."""
-    hits = lexicon_hits(rows.select(key, text), F.col(text), lexicon).groupBy(key, text, "term").agg(F.min(F.struct("category_rank", "term_rank")).alias("at"))
-    place = F.expr(f"locate(lower(term), lower(`{text}`))")
-    start = F.greatest(place - around, F.lit(1))
-    context = F.trim(F.substr(F.col(text), start, place + F.length("term") + around - start))
-    ranked = hits.withColumn("row_no", F.row_number().over(Window.partitionBy(key).orderBy("at", "term"))).filter(F.col("row_no") <= n)
-    return ranked.select(key, "term", context.alias("context"), F.col("row_no").cast("long").alias("row_no"))
+    """First occurrence of each term with its surroundings; the first n terms in lexicon order.
+
+    Surroundings are cut out of each text where the terms are found, so that no text goes further.
+    """
+    def context(hit: Column) -> Column:
+        start = F.greatest(hit["at"] - around, F.lit(1)).cast("int")
+        shown = F.trim(F.substr(F.col(text), start, (hit["at"] + F.length(hit["term"]) + around - start).cast("int")))
+        return F.struct(hit["term"].alias("low"), shown.alias("context"))
+
+    found = with_terms(rows.select(key, text), F.col(text), lexicon).select(key, F.explode(F.transform("hits", context)).alias("hit")).select(key, "hit.*")
+    terms = lexicon.groupBy("term").agg(F.min(F.struct("category_rank", "term_rank")).alias("place")).withColumn("low_term", F.lower("term"))
+    hits = found.join(sized(terms), F.col("low") == F.col("low_term"))
+    ranked = hits.withColumn("row_no", F.row_number().over(Window.partitionBy(key).orderBy("place", "term"))).filter(F.col("row_no") <= n)
+    return ranked.select(key, "term", "context", F.col("row_no").cast("long").alias("row_no"))
