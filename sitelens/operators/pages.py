@@ -1,11 +1,16 @@
-"""Page extraction: one parse to a node table, selectors as DataFrame operations; regular expressions where they suffice."""
+"""Page extraction: one parse to a node table, selectors as DataFrame operations; regular expressions where they suffice.
+
+Nodes are numbered as nested sets: a node's subtree is the interval node_id to last_id, so what is below a dropped node is found by
+one running maximum, and ancestors by comparing numbers.  The texts of a page are numbered too, and a subtree's text is a
+slice of them: to assemble texts, the nodes of a page meet once, with each text once, however deep the page is.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,74 +19,97 @@ from ..functions import text as T
 from ..sources.materialise import sized
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-NODE_SCHEMA = "page_id long, node_id int, parent_id int, path string, depth int, sib_ord int, tag string, class string, id string, href string, name string, content string, own_text string"
+#: last_id: the last node of the subtree; first_text, last_text: the texts of the subtree, from the first to before the last; own: the node's own.
+NODE_SCHEMA = (
+    "page_id long, node_id int, last_id int, parent_id int, depth int, sib_ord int, tag string, class string, id string, href string, name string, content string, "
+    "first_text int, last_text int, own array<struct<no:int,text:string>>"
+)
+#: Nodes that a parsing task hands on at a time, about.
+NODES_A_BATCH = 20_000
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 
 class _Nodes(HTMLParser):
-    """Start tags in document order with their own text; unclosed tags end with the nearest ancestor that closes."""
+    """Start tags in document order; unclosed tags end with the nearest ancestor that closes."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
+        self.rows: list[dict] = []
         self.open: list[int] = []
         self.children: dict[int, int] = {}
+        self.texts = 0
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         parent = self.open[-1] if self.open else -1
         node, place = len(self.rows), self.children.get(parent, 0)
         self.children[parent] = place + 1
-        path = (self.rows[parent][2] if parent >= 0 else "/") + f"{node}/"
-        self.rows.append([node, parent, path, len(self.open), place, tag, a.get("class", ""), a.get("id", ""), a.get("href", ""), a.get("name") or a.get("property", ""), a.get("content", ""), ""])
+        self.rows.append({
+            "node_id": node, "last_id": node, "parent_id": parent, "depth": len(self.open), "sib_ord": place, "tag": tag, "class": a.get("class", ""), "id": a.get("id", ""), "href": a.get("href", ""),
+            "name": a.get("name") or a.get("property", ""), "content": a.get("content", ""), "first_text": self.texts, "last_text": self.texts, "own": [],
+        })
         if tag not in VOID:
             self.open.append(node)
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[i]][5] == tag:
-                del self.open[i:]
+            if self.rows[self.open[i]]["tag"] == tag:
+                self.leave(i)
                 return
 
+    def leave(self, i: int) -> None:
+        for node in self.open[i:]:
+            self.rows[node] |= {"last_id": len(self.rows) - 1, "last_text": self.texts}
+        del self.open[i:]
+
     def handle_data(self, data):
         if self.open and data.strip():
-            row = self.rows[self.open[-1]]
-            row[11] = (row[11] + " " + " ".join(data.split())).strip()
+            self.rows[self.open[-1]]["own"].append({"no": self.texts, "text": " ".join(data.split())})
+            self.texts += 1
 
 
 def nodes(pages: DataFrame) -> DataFrame:
     """Pages (page_id, html) to one row for each element; null HTML has no nodes."""
-    names = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
+    kinds = {"page_id": pa.int64(), "own": pa.list_(pa.struct([("no", pa.int32()), ("text", pa.string())]))}
+    columns = [tuple(f.split(" ", 1)) for f in NODE_SCHEMA.split(", ")]
+    schema = pa.schema([(c, kinds.get(c) or (pa.int32() if kind == "int" else pa.string())) for c, kind in columns])
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
+            rows: list[dict] = []
+            for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html"), strict=True):
                 parser = _Nodes()
-                parser.feed(html or "")
-                rows += [[page_id, *r] for r in parser.rows]
-            yield pd.DataFrame(rows, columns=names)
+                parser.feed(html.as_py() or "")
+                parser.leave(0)
+                rows += [{"page_id": page_id, **r} for r in parser.rows]
+                if len(rows) >= NODES_A_BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return pages.select("page_id", "html").mapInPandas(parse, NODE_SCHEMA)
+    return pages.select("page_id", "html").mapInArrow(parse, NODE_SCHEMA)
 
 
-def _ancestors() -> Column:
-    """One row for each node on a node's path, itself included."""
-    return F.explode(F.transform(F.filter(F.split("path", "/"), lambda p: p != ""), lambda p: p.cast("int")))
+def _gone(drop: Column) -> Column:
+    """Whether a node is dropped or below a dropped one: subtrees nest, so the furthest end of those begun so far decides."""
+    begun = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(F.max(F.when(drop, F.col("last_id"))).over(begun) >= F.col("node_id"), F.lit(False))
 
 
 def without_subtrees(dom: DataFrame, drop: Column) -> DataFrame:
-    """Nodes that are not, and are not below, a dropped node: joined on the ancestors in each node's path."""
-    roots = dom.filter(drop).select("page_id", F.col("node_id").alias("ancestor"))
-    at = dom.withColumn("ancestor", _ancestors())
-    gone = at.join(roots, ["page_id", "ancestor"]).select("page_id", "node_id").distinct()
-    return dom.join(gone, ["page_id", "node_id"], "left_anti")
+    """Nodes that are not, and are not below, a dropped node."""
+    return dom.withColumn("__gone", _gone(drop)).filter(~F.col("__gone")).drop("__gone")
 
 
-def without_boilerplate(dom: DataFrame, tags: list[str] = L.REMOVED_TAGS, classes: list[str] = L.REMOVED_CLASSES) -> DataFrame:
-    """Without boilerplate tags and without elements whose class or id has a boilerplate word."""
+def boilerplate(tags: list[str] = L.REMOVED_TAGS, classes: list[str] = L.REMOVED_CLASSES) -> Column:
+    """Boilerplate tags and elements whose class or id has a boilerplate word."""
     pattern = "(?i)" + "|".join(classes)
-    return without_subtrees(dom, F.col("tag").isin(tags) | F.col("class").rlike(pattern) | F.col("id").rlike(pattern))
+    return F.col("tag").isin(tags) | F.col("class").rlike(pattern) | F.col("id").rlike(pattern)
+
+
+def without_boilerplate(dom: DataFrame) -> DataFrame:
+    return without_subtrees(dom, boilerplate())
 
 
 def without_selectors(dom: DataFrame, tags: list[str] = L.REMOVED_SELECTOR_TAGS, classes: list[str] = L.REMOVED_SELECTOR_CLASSES) -> DataFrame:
@@ -89,28 +117,67 @@ def without_selectors(dom: DataFrame, tags: list[str] = L.REMOVED_SELECTOR_TAGS,
     return without_subtrees(dom, F.col("tag").isin(tags) | F.arrays_overlap(F.split("class", r"\s+"), F.array(*map(F.lit, classes))))
 
 
-def subtree_text(dom: DataFrame) -> DataFrame:
-    """(page_id, node_id, tag, class, text): the text of each node with its descendants, in document order."""
-    at = dom.filter(F.length("own_text") > 0).select("page_id", F.col("node_id").alias("from"), "own_text", _ancestors().alias("node_id"))
-    text = at.groupBy("page_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from", "own_text"))), lambda s: s["own_text"]), " ").alias("text"))
-    return dom.select("page_id", "node_id", "parent_id", "sib_ord", "tag", "class").join(text, ["page_id", "node_id"], "left").fillna("", ["text"])
+def page_rows(dom: DataFrame, drop: Column | None = None, wanted: Column | None = None, more: list[str] | None = None) -> DataFrame:
+    """(page_id, pieces, nodes): each page's texts in order, and its nodes that are wanted, in document order.
+
+    dom has all nodes of a page.  Texts of dropped subtrees are empty, so places of texts stay; their nodes are left out.
+    """
+    columns = ["node_id", "last_id", "parent_id", "sib_ord", "tag", "class", "first_text", "last_text", *(more or [])]
+    marked = dom.withColumn("__gone", F.lit(False) if drop is None else _gone(drop))
+    own = F.when(F.col("__gone"), F.transform("own", lambda p: F.struct(p["no"].alias("no"), F.lit("").alias("text")))).otherwise(F.col("own"))
+    asked = ~F.col("__gone") if wanted is None else ~F.col("__gone") & wanted
+    return marked.groupBy("page_id").agg(
+        F.transform(F.array_sort(F.flatten(F.collect_list(own))), lambda p: p["text"]).alias("pieces"),
+        F.array_sort(F.collect_list(F.when(asked, F.struct(*columns)))).alias("nodes"),
+    )
+
+
+def _joined(pieces: Column) -> Column:
+    return F.array_join(F.filter(pieces, lambda x: x != ""), " ")
+
+
+def _text_of(node: Column) -> Column:
+    """The text of a node of page_rows with its descendants, in document order."""
+    return _joined(F.slice("pieces", node["first_text"] + 1, node["last_text"] - node["first_text"]))
+
+
+def subtree_text(dom: DataFrame, drop: Column | None = None, wanted: Column | None = None) -> DataFrame:
+    """(page_id, node_id, last_id, parent_id, sib_ord, tag, class, text): the text of each wanted node with its descendants.
+
+    dom has all nodes of a page; drop: nodes to leave out with all below them.
+    """
+    shown = ["node_id", "last_id", "parent_id", "sib_ord", "tag", "class"]
+    made = F.transform("nodes", lambda n: F.struct(*[n[c].alias(c) for c in shown], _text_of(n).alias("text")))
+    return page_rows(dom, drop, wanted).select("page_id", F.explode(made).alias("n")).select("page_id", "n.*")
 
 
 def non_empty(texts: DataFrame) -> DataFrame:
     return texts.filter(F.length("text") > 0)
 
 
-def main_content(texts: DataFrame, least: int = 100, least_block: int = 200) -> DataFrame:
-    """(page_id, content): the first selector with enough text, else the block with most text, else the root's text."""
-    class_words = F.split("class", " ")
-    priority = F.coalesce(
-        *[F.when(F.col("tag") == t, F.lit(i)) for i, t in enumerate(L.CONTENT_TAGS)], *[F.when(F.array_contains(class_words, c), F.lit(i + len(L.CONTENT_TAGS))) for i, c in enumerate(L.CONTENT_CLASSES)]
-    )
-    size = F.length("text")
-    rank = F.when(priority.isNotNull() & (size > least), F.struct(priority.alias("a"), F.col("node_id").alias("b"))).when(
-        F.col("tag").isin("div", "section", "article", "main") & (size > least_block), F.struct((F.lit(1_000_000) - size).alias("a"), F.col("node_id").alias("b"))
-    ).when(F.col("parent_id") == -1, F.struct(F.lit(2_000_000).alias("a"), F.col("node_id").alias("b")))
-    return texts.withColumn("rank", rank).filter("rank IS NOT NULL").groupBy("page_id").agg(F.min_by("text", "rank").alias("content"))
+def main_content(dom: DataFrame, drop: Column | None = None, least: int = 100, least_block: int = 200, first_present: bool = False) -> DataFrame:
+    """(page_id, content): the first selector whose first element has enough text, else the block with most text, else all text.
+
+    first_present: the first element of the first selector that has any, however short, else the body, else all text.
+    """
+    blocks = ["div", "section", "article", "main"]
+    classes = F.split("class", r"\s+")
+    wanted = F.col("tag").isin([*L.CONTENT_TAGS, *blocks, "body"]) | F.arrays_overlap(classes, F.array(*map(F.lit, L.CONTENT_CLASSES)))
+
+    def first(rule) -> Column:
+        return F.get(F.filter("nodes", lambda n: rule(n)), F.lit(0))
+
+    by_tag = [first(lambda n, t=t: n["tag"] == t) for t in L.CONTENT_TAGS]
+    by_class = [first(lambda n, c=c: F.array_contains(F.split(n["class"], r"\s+"), c)) for c in L.CONTENT_CLASSES]
+    firsts = F.transform(F.filter(F.array(*by_tag, *by_class), lambda n: n.isNotNull()), _text_of)
+    rows, whole = page_rows(dom, drop, wanted), _joined(F.col("pieces"))
+    if first_present:
+        body = F.get(F.transform(F.filter("nodes", lambda n: n["tag"] == "body"), _text_of), F.lit(0))
+        return rows.select("page_id", F.coalesce(F.get(firsts, F.lit(0)), body, whole).alias("content"))
+    chosen = F.get(F.filter(firsts, lambda t: F.length(t) > least), F.lit(0))
+    sized_ = F.transform(F.filter("nodes", lambda n: n["tag"].isin(blocks)), lambda n: F.struct((-F.length(_text_of(n))).alias("size"), n["node_id"].alias("node_id"), _text_of(n).alias("text")))
+    largest = F.array_min(F.filter(sized_, lambda b: b["size"] < -least_block))["text"]
+    return rows.select("page_id", F.coalesce(chosen, largest, whole).alias("content"))
 
 
 def meta(dom: DataFrame) -> DataFrame:
@@ -128,20 +195,24 @@ def page_meta(pages: DataFrame, dom: DataFrame) -> DataFrame:
     return out.select("page_id", F.try_element_at("properties", F.lit("description")).alias("description"), "properties", F.map_filter("properties", lambda k, _: k.startswith("og:")).alias("og"))
 
 
-def sections(dom: DataFrame, texts: DataFrame) -> DataFrame:
+def sections(dom: DataFrame) -> DataFrame:
     """Containers that hold a heading: the first heading's text and the length of all text."""
-    heads = texts.filter(F.col("tag").isin(HEADINGS)).select("page_id", F.col("node_id").alias("head_id"), F.col("text").alias("heading"))
-    inside = dom.filter(F.col("tag").isin(HEADINGS)).select("page_id", F.col("node_id").alias("head_id"), _ancestors().alias("node_id"))
-    first = inside.join(heads, ["page_id", "head_id"]).groupBy("page_id", "node_id").agg(F.min_by("heading", "head_id").alias("heading"))
-    boxes = texts.filter(F.col("tag").isin("section", "article", "main", "div"))
-    return boxes.join(first, ["page_id", "node_id"]).select("page_id", "node_id", "tag", "heading", F.length("text").cast("long").alias("text_length"))
-
-
-def lists(dom: DataFrame, texts: DataFrame) -> DataFrame:
-    """Lists: kind and their non-empty items in order."""
-    items = texts.filter((F.col("tag") == "li") & (F.length("text") > 0)).select("page_id", F.col("parent_id").alias("list_id"), "node_id", "text")
-    kinds = dom.filter(F.col("tag").isin("ul", "ol")).select("page_id", F.col("node_id").alias("list_id"), F.col("tag").alias("kind"))
-    return items.join(kinds, ["page_id", "list_id"]).groupBy("page_id", "list_id", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda s: s["text"]), "\n").alias("items"))
+    after = Window.partitionBy("page_id").orderBy(F.desc("node_id")).rowsBetween(Window.unboundedPreceding, -1)
+    heading = F.when(F.col("tag").isin(HEADINGS), F.struct("node_id", "first_text", "last_text"))
+    marked = dom.withColumn("head", F.last(heading, ignorenulls=True).over(after))  # the next heading; it is inside if its number is
+    boxes = page_rows(marked, None, F.col("tag").isin("section", "article", "main", "div") & (F.col("head.node_id") <= F.col("last_id")), ["head"])
+    made = F.transform("nodes", lambda n: F.struct(n["node_id"].alias("node_id"), n["tag"].alias("tag"), _text_of(n["head"]).alias("heading"), F.length(_text_of(n)).cast("long").alias("text_length")))
+    return boxes.select("page_id", F.explode(made).alias("n")).select("page_id", "n.*")
+
+
+def lists(dom: DataFrame) -> DataFrame:
+    """Lists with any item: kind and the non-empty items at any depth below, in order."""
+    rows = page_rows(dom, None, F.col("tag").isin("ul", "ol", "li"))
+    items = F.filter(F.transform(F.filter("nodes", lambda n: n["tag"] == "li"), lambda n: F.struct(n["node_id"].alias("node_id"), _text_of(n).alias("text"))), lambda i: i["text"] != "")
+    held = rows.select("page_id", F.filter("nodes", lambda n: n["tag"] != "li").alias("lists"), items.alias("items"))
+    own = lambda n: F.filter("items", lambda i: (i["node_id"] > n["node_id"]) & (i["node_id"] <= n["last_id"]))
+    made = F.transform("lists", lambda n: F.struct(n["node_id"].alias("list_id"), n["tag"].alias("kind"), F.array_join(F.transform(own(n), lambda i: i["text"]), "\n").alias("items")))
+    return held.select("page_id", F.explode(made).alias("n")).select("page_id", "n.*").filter(F.length("items") > 0)
 
 
 def with_next_sibling(texts: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def texts(spark, d):
 
 def clean_texts(spark, d):
     """Texts of what is left without boilerplate, written: selectors read them more than once."""
-    return written(P.subtree_text(written(P.without_boilerplate(dom(spark, d)))))
+    return written(P.subtree_text(dom(spark, d), P.boilerplate()))
 
 
 @query("src1_captured_pages", "SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars FROM pages")
@@ -95,7 +95,12 @@ def pg4(spark, d):
 
 @query("pg5_main_content")
 def pg5(spark, d):
-    return P.main_content(clean_texts(spark, d))
+    return P.main_content(dom(spark, d), P.boilerplate())
+
+
+@query("pg5_first_present")
+def pg5_first(spark, d):
+    return P.main_content(dom(spark, d), F.col("tag").isin(TAGS), first_present=True)
 
 
 @query("pg6_kept_lines", r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) > 0), chr(10)) AS content FROM documents")
@@ -138,14 +143,12 @@ def pg11(spark, d):
 
 @query("pg12_sections")
 def pg12(spark, d):
-    nodes = dom(spark, d)
-    return P.sections(nodes, written(P.subtree_text(nodes)))
+    return P.sections(dom(spark, d))
 
 
 @query("pg13_lists")
 def pg13(spark, d):
-    nodes = dom(spark, d)
-    return P.lists(nodes, P.subtree_text(nodes))
+    return P.lists(dom(spark, d))
 
 
 @query("pg14_links", f"SELECT page_id, ord, href, text FROM ({LINKS})")

@@ -45,11 +45,11 @@ def test_dom_selectors(spark):
     html = "<html><head><title>FAQ</title><meta name='a' content='1'><meta name='a' content='2'></head><body><nav>menu</nav><article><h2>How does it work?</h2><p>" + "It works well. " * 10 + "</p><ul><li>one</li><li> </li><li>two</li></ul></article><div class='cookie-bar'>x</div></body></html>"
     page = spark.createDataFrame([(1, "https://a.example.com/x", html), (2, "https://b.example.com/", None)], "page_id long, url string, html string")
     dom = pages.nodes(page)
-    texts = pages.subtree_text(pages.without_boilerplate(dom))
+    texts = pages.subtree_text(dom, pages.boilerplate())
     assert "menu" not in [r.text for r in texts.collect()] and not [r for r in texts.collect() if r["class"] == "cookie-bar"]
-    assert pages.main_content(texts).first().content.startswith("How does it work?")
+    assert pages.main_content(dom, pages.boilerplate()).first().content.startswith("How does it work?")
     assert [(r.key, r.value) for r in pages.meta(dom).collect()] == [("a", "2")]
-    assert pages.lists(dom, pages.subtree_text(dom)).first()["items"] == "one\ntwo"
+    assert pages.lists(dom).first()["items"] == "one\ntwo"
     titles = page.filter("page_id = 1").select("page_id", pages.title(F.col("html")).alias("title"))
     faq = pages.faq_pairs(texts, titles).collect()
     assert len(faq) == 1 and faq[0].question == "How does it work?"
