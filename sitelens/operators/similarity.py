@@ -180,9 +180,9 @@ def candidate_pairs(names: DataFrame, synonyms: dict[str, list[str]], gram: int
 
 
 def block_pairs(left: DataFrame, right: DataFrame, blocks: int = 16) -> DataFrame:
-    """All pairs of two tables of distinct names (a) and (b), dealt into blocks x blocks by hashes and joined block by block.
+    """All pairs of two tables of distinct values (a) and (b), where the pairs are the result, dealt into blocks x blocks by hashes.
 
-    For measures that no key can bound: every pair is looked at, by equal tasks, and neither side is sent whole.
+    Tasks are equal and neither side is sent whole.
     """
     x = left.select("a", F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
     y = right.select("b", F.pmod(F.xxhash64("b"), F.lit(blocks)).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"))
@@ -204,29 +204,153 @@ def name_similarity(a: Column, b: Column, synonyms: dict[str, list[str]], ratio_
     return F.when(a == b, 1.0).when(a.contains(b) | b.contains(a), 0.9).otherwise(F.round(F.least(score, F.lit(1.0)), 6))
 
 
-def support_matrix(catalogue: DataFrame, merged: DataFrame, synonyms: dict[str, list[str]], least: float = 0.05, ratio_weight: float = 0.3) -> DataFrame:
+#: Names of a block, and names that may have a token for it to be used in a lower bound (which changes speed only).
+NAMES_A_BLOCK, MOST_WITH_TOKEN = 1024, 1000
+#: Similarities are rounded, so a bound has to be this much below to rule a pair out.
+ROUNDING = 1e-6
+
+
+class NameBlock:
+    """Distinct names side by side, for upper bounds of their similarity to one other name.
+
+    The sequence ratio is at most twice the number of characters that two names share, counted with repeats, over their total length.
+    """
+
+    def __init__(self, names: list[str], groups: list[list[int]]):
+        self.names, self.length = names, np.array([len(a) for a in names], dtype=np.float64)
+        self.place = {c: i for i, c in enumerate(sorted(set().union(*names)))}
+        self.counts = np.zeros((len(names), len(self.place)), dtype=np.int16)
+        self.n_words = np.zeros(len(names))
+        self.with_word: dict[str, list[int]] = {}
+        self.with_group: dict[int, list[int]] = {}
+        for i, a in enumerate(names):
+            for c in a:
+                self.counts[i, self.place[c]] += 1
+            words = set(a.split())
+            self.n_words[i] = len(words)
+            for w in words:
+                self.with_word.setdefault(w, []).append(i)
+            for g in groups[i]:
+                self.with_group.setdefault(g, []).append(i)
+
+    def bounds(self, b: str, groups: list[int], ratio_weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(most, base, decided) for each name: an upper bound, the similarity without the ratio, and whether the bound is the similarity."""
+        own = np.zeros(len(self.place), dtype=np.int16)
+        for c in b:
+            if c in self.place:
+                own[self.place[c]] += 1
+        shared = np.minimum(self.counts, own).sum(axis=1)
+        both, words = np.zeros(len(self.names)), set(b.split())
+        for w in words:
+            both[self.with_word.get(w, [])] += 1
+        base = 0.7 * both / np.maximum(self.n_words + len(words) - both, 1)
+        bonus = np.zeros(len(self.names))
+        for g in groups:
+            bonus[self.with_group.get(g, [])] = 0.4
+        base = base + bonus
+        most = np.minimum(base + ratio_weight * 2 * shared / np.maximum(self.length + len(b), 1), 1.0)
+        decided = np.zeros(len(self.names), dtype=bool)
+        for i in np.flatnonzero(shared == np.minimum(self.length, len(b))).tolist():  # only such names may contain each other
+            a = self.names[i]
+            if a == b or a in b or b in a:
+                most[i], decided[i] = 1.0 if a == b else 0.9, True
+        return most, base, decided
+
+
+def best_names(left: pa.Table, right: pa.Table, least: float, ratio_weight: float) -> pa.Table:
+    """Of a block of names (a, g, own: products and ords) and one of features (b, g, known: similarities already reached by product)
+    each product's best name for each feature, and how many pairs the sequence ratio was taken of.
+
+    Names are tried from the highest bound down, while any can still change a product's best.
+    """
+    held = NameBlock(left.column("a").to_pylist(), left.column("g").to_pylist())
+    own = [[(p["product"], p["ord"]) for p in ps] for ps in left.column("own").to_pylist()]
+    products = {p for ps in own for p, _ in ps}
+    out: list[tuple] = []
+    for b, groups, known in zip(*(right.column(c).to_pylist() for c in ("b", "g", "known")), strict=True):
+        most, base, decided = held.bounds(b, groups, ratio_weight)
+        reached = {k["product"]: k["least"] for k in known or ()}
+        best: dict[str, tuple[float, int, int]] = {}
+        floor, compared = min(reached.get(p, 0.0) for p in products), 0
+        for i in np.argsort(-most, kind="stable").tolist():
+            bound = most[i] + ROUNDING
+            if bound <= least or bound < floor:
+                break
+            if all(bound < max(reached.get(p, 0.0), best[p][0] if p in best else 0.0) for p, _ in own[i]):
+                continue
+            if decided[i]:
+                value = float(most[i])
+            elif ratio_weight:
+                value, compared = float(base[i]) + ratio_weight * difflib.SequenceMatcher(None, b, held.names[i]).ratio(), compared + 1
+            else:
+                value = float(base[i])
+            value = round(min(value, 1.0), 6)
+            if value <= least:
+                continue
+            changed = False
+            for p, ord_ in own[i]:
+                if p not in best or (value, -ord_) > (best[p][0], -best[p][1]):
+                    best[p], changed = (value, ord_, i), True
+            if changed:
+                floor = min(max(reached.get(p, 0.0), best[p][0] if p in best else 0.0) for p in products)
+        out += [(p, b, value, ord_, held.names[i], 0) for p, (value, ord_, i) in best.items()]
+        if compared:
+            out.append((None, b, None, None, None, compared))
+    kinds = [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.string(), pa.int64()]
+    return pa.Table.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names=["product", "feature", "similarity", "ord", "norm", "compared"])
+
+
+def reached_similarities(own: DataFrame, merged: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame:
+    """(b, known): for each feature the similarity that some name of a product has at least, from names that share a rare token."""
+    words = lambda names, c: names.select(F.col("norm").alias(c), F.explode(F.array_distinct(F.filter(F.split("norm", r"\s+"), lambda w: w != ""))).alias("w"))
+    of_names = words(own.select("norm").distinct(), "a")
+    rare = of_names.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") <= MOST_WITH_TOKEN).select("w")
+    pairs = of_names.join(rare, "w").join(words(merged, "b"), "w").select("a", "b").distinct()
+    scored = pairs.withColumn("s", name_similarity(F.col("a"), F.col("b"), synonyms, 0))
+    cells = scored.join(own.select(F.col("norm").alias("a"), "product"), "a").groupBy("b", "product").agg(F.max("s").alias("least"))
+    return cells.groupBy("b").agg(F.collect_list(F.struct("product", "least")).alias("known"))
+
+
+def best_by_product(own: DataFrame, merged: DataFrame, synonyms: dict[str, list[str]], least: float, ratio_weight: float) -> DataFrame:
+    """(product, feature, similarity, ord, norm) of each product's best name, and rows without a product that count compared pairs.
+
+    Names and features are dealt into blocks; every block meets every other, but a pair reaches the
+    sequence ratio only where its bound can still change what is best.
+    """
+    names = own.groupBy("norm").agg(F.collect_list(F.struct("product", "ord")).alias("own"))
+    blocks_of = lambda n: max(1, -(-n // NAMES_A_BLOCK))
+    n_a, n_b = blocks_of(names.count()), blocks_of(merged.count())
+    known = reached_similarities(own, merged, synonyms) if ratio_weight else merged.select(F.col("norm").alias("b"), F.array().cast("array<struct<product:string,least:double>>").alias("known")).limit(0)
+    block = lambda n: F.pmod(F.xxhash64("norm"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = names.select(F.col("norm").alias("a"), groups_of(F.col("norm"), synonyms).alias("g"), "own", block(n_a).alias("i")).withColumn("j", every(n_b))
+    y = merged.select(F.col("norm").alias("b"), groups_of(F.col("norm"), synonyms).alias("g"), block(n_b).alias("j")).join(known, "b", "left").withColumn("i", every(n_a))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"product": pa.array([], pa.string()), "feature": pa.array([], pa.string()), "similarity": pa.array([], pa.float64()), "ord": pa.array([], pa.int64()), "norm": pa.array([], pa.string()), "compared": pa.array([], pa.int64())})
+        return best_names(left, right, least, ratio_weight)
+
+    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInArrow(run, "product string, feature string, similarity double, ord long, norm string, compared long")
+
+
+def support_matrix(
+    catalogue: DataFrame, merged: DataFrame, synonyms: dict[str, list[str]], keep: Callable[[DataFrame], DataFrame], least: float = 0.05, ratio_weight: float = 0.3
+) -> DataFrame:
     """(product, feature, status, similarity, description, source_url, confidence): each product's best feature for each merged one.
 
     `catalogue` has (product, norm, ord, description, url, confidence), `merged` (norm).  Of features alike the first by ord is
-    best.  Distinct names are scored once, whatever the number of products; without the sequence ratio only candidates are.
+    best.  Distinct names are scored once, whatever the number of products.  keep writes a table that is read several times.
     """
-    own = catalogue.groupBy("product", "norm").agg(F.min_by(F.struct("ord", "description", "url", "confidence"), "ord").alias("row"))
-    names = own.select("norm").distinct()
-    if ratio_weight:
-        scored = block_pairs(names.select(F.col("norm").alias("a")), merged.select(F.col("norm").alias("b")))
-    else:
-        pairs = candidate_pairs(names.unionByName(merged.select("norm")).distinct(), synonyms)
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        both = both.join(names.select(F.col("norm").alias("a")), "a", "left_semi").join(merged.select(F.col("norm").alias("b")), "b", "left_semi")
-        scored = both.select("a", "b").unionByName(names.join(merged, "norm", "left_semi").select(F.col("norm").alias("a"), F.col("norm").alias("b")))
-    scored = scored.withColumn("similarity", name_similarity(F.col("a"), F.col("b"), synonyms, ratio_weight)).filter(F.col("similarity") > least)
-    best = scored.join(own.withColumnRenamed("norm", "a"), "a").groupBy("product", F.col("b").alias("feature")).agg(F.max_by(F.struct("row", "similarity"), F.struct("similarity", F.negative(F.col("row.ord")))).alias("best"))
-    products = catalogue.select("product").distinct()
-    cells = block_pairs(merged.select(F.col("norm").alias("a")), products.select(F.col("product").alias("b"))).select(F.col("a").alias("feature"), F.col("b").alias("product"))
-    found = F.col("best").isNotNull()
+    own = keep(catalogue.groupBy("product", "norm").agg(F.min_by(F.struct("ord", "description", "url", "confidence"), "ord").alias("row")))
+    found = best_by_product(own.select("product", "norm", "row.ord"), keep(merged.select("norm").distinct()), synonyms, least, ratio_weight).filter("product IS NOT NULL")
+    best = found.groupBy("product", "feature").agg(F.max_by(F.struct("norm", "similarity"), F.struct("similarity", F.negative("ord"))).alias("best"))
+    best = best.select("product", "feature", "best.norm", "best.similarity").join(own, ["product", "norm"])
+    cells = block_pairs(merged.select(F.col("norm").alias("a")).distinct(), own.select(F.col("product").alias("b")).distinct()).select(F.col("a").alias("feature"), F.col("b").alias("product"))
+    has = F.col("similarity").isNotNull()
     return cells.join(best, ["product", "feature"], "left").select(
-        "product", "feature", F.when(found, "O").otherwise("X").alias("status"), F.coalesce("best.similarity", F.lit(0.0)).alias("similarity"),
-        F.coalesce("best.row.description", F.lit("")).alias("description"), F.coalesce("best.row.url", F.lit("")).alias("source_url"), F.coalesce("best.row.confidence", F.lit(0.0)).alias("confidence"),
+        "product", "feature", F.when(has, "O").otherwise("X").alias("status"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
+        F.coalesce("row.description", F.lit("")).alias("description"), F.coalesce("row.url", F.lit("")).alias("source_url"), F.coalesce("row.confidence", F.lit(0.0)).alias("confidence"),
     )
 
 

@@ -172,14 +172,14 @@ FROM (SELECT DISTINCT product FROM c) p CROSS JOIN {NAMES} n LEFT JOIN s ON s.pr
 @query("sim9_support_matrix", MATRIX)
 def sim9(spark, d):
     rows = written(catalogue(spark, d))
-    return M.support_matrix(rows, rows.select("norm").distinct(), SYN, ratio_weight=0)
+    return M.support_matrix(rows, rows.select("norm").distinct(), SYN, written, ratio_weight=0)
 
 
 @query("sim9_support_matrix_full")
 def sim9_full(spark, d):
     """With the sequence ratio, which no SQL has: tests hold it against loops over the same names."""
     rows = written(catalogue(spark, d))
-    return M.support_matrix(rows, rows.select("norm").distinct(), SYN)
+    return M.support_matrix(rows, rows.select("norm").distinct(), SYN, written)
 
 
 @query("sim10_shared_names", r"SELECT p_partkey AS id, coalesce(list_sort(list_transform(list_intersect(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]{2,}'), regexp_extract_all(lower(p_type), '[\p{L}\p{N}_]{2,}')), lambda t: struct_pack(n := -length(t), t := t)))[1].t, substr(p_name, 1, 20)) AS shared FROM part")

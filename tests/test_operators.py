@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from sitelens import lexicons as L
 from sitelens.operators import catalog, links, pages, scoring, similarity
@@ -183,7 +184,7 @@ def test_tables_through_jdbc_and_by_project(spark, tmp_path):
     assert {tuple(r) for r in spark.table("kept_keywords").select(*rows.columns).collect()} == {tuple(r) for r in rows.collect()}
 
 
-def sequential_similarity(a, b):
+def sequential_similarity(a, b, weight=0.3):
     if a == b:
         return 1.0
     if a in b or b in a:
@@ -191,7 +192,7 @@ def sequential_similarity(a, b):
     x, y = set(a.split()), set(b.split())
     groups = [[k, *v] for k, v in L.SYNONYMS.items()]
     bonus = 0.4 * any(any(w in a for w in g) and any(w in b for w in g) for g in groups)
-    return min(1.0, 0.7 * len(x & y) / len(x | y) + bonus + 0.3 * difflib.SequenceMatcher(None, a, b).ratio())
+    return min(1.0, 0.7 * len(x & y) / len(x | y) + bonus + weight * difflib.SequenceMatcher(None, a, b).ratio())
 
 
 def test_support_matrix_equals_loops(spark):
@@ -199,14 +200,65 @@ def test_support_matrix_equals_loops(spark):
     rows = [("p" + str(i % 3), n, i, f"about {n}", f"http://x/{i}", i / 10) for i, n in enumerate(names)]
     catalogue = spark.createDataFrame(rows, "product string, norm string, ord int, description string, url string, confidence double")
     merged = spark.createDataFrame([(n,) for n in names], "norm string")
-    got = {(r.product, r.feature): (r.status, r.description, r.source_url, r.confidence) for r in similarity.support_matrix(catalogue, merged, L.SYNONYMS).collect()}
+    got = {(r.product, r.feature): (r.status, r.description, r.source_url, r.confidence) for r in similarity.support_matrix(catalogue, merged, L.SYNONYMS, written).collect()}
     assert len(got) == 24
     for (product, feature), cell in got.items():
-        scored = [(round(sequential_similarity(n, feature), 6), -i, d, u, c) for p, n, i, d, u, c in rows if p == product]
+        scored = [(round(sequential_similarity(feature, n), 6), -i, d, u, c) for p, n, i, d, u, c in rows if p == product]
         s, _, d, u, c = max(x for x in scored)
         assert cell == (("O", d, u, c) if s > 0.05 else ("X", "", "", 0.0))
 
 
+def invented_names(rng, n):
+    """Names of one to four words, some of which are common, misspelt, part of others or of a synonym group."""
+    words = ["".join(rng.choice("aeioubdfglmnprst") for _ in range(rng.randint(2, 8))) for _ in range(300)] + ["chat", "upload", "message", "file", "a"] * 20
+    out = set()
+    while len(out) < n:
+        name = " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
+        if rng.random() < 0.2:
+            at = rng.randrange(len(name))
+            name = " ".join((name[:at] + rng.choice("aexz") + name[at + 1 :]).split())
+        out.add(name)
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("weight", "block"), [(0.3, 1024), (0.3, 17), (0.0, 40)])
+def test_best_names_equal_loops(spark, monkeypatch, weight, block):
+    rng = random.Random(block)
+    monkeypatch.setattr(similarity, "NAMES_A_BLOCK", block)
+    monkeypatch.setattr(similarity, "MOST_WITH_TOKEN", 5)
+    names = invented_names(rng, 130)
+    rows = [(f"p{rng.randint(0, 4)}", n, i) for i, n in enumerate(rng.choices(names, k=170))]
+    features = rng.sample(names, 60) + ["zz", "chat a"]
+    own = spark.createDataFrame(rows, "product string, norm string, ord long").groupBy("product", "norm").agg(F.min("ord").alias("ord"))
+    merged = spark.createDataFrame([(f,) for f in features], "norm string")
+    got = similarity.best_by_product(own, merged, L.SYNONYMS, 0.05, weight).collect()
+    first = {(r.product, r.feature): max((x.similarity, -x.ord) for x in got if (x.product, x.feature) == (r.product, r.feature)) for r in got if r.product}
+    want = {}
+    for p in {p for p, _, _ in rows}:
+        for f in features:
+            scored = []
+            for q, n, i in rows:
+                if q == p:
+                    scored.append((round(sequential_similarity(f, n, weight), 6), -i))
+            if max(scored)[0] > 0.05:
+                want[p, f] = max(scored)
+    assert {k: (round(s, 6), o) for k, (s, o) in first.items()} == {k: (round(s, 6), o) for k, (s, o) in want.items()}
+    compared = sum(r.compared for r in got)
+    assert compared < 0.6 * len({n for _, n, _ in rows}) * len(features) and (compared > 0) == (weight > 0)
+
+
+def test_bounds_are_bounds():
+    rng = random.Random(7)
+    names = invented_names(rng, 120)
+    groups = [[i for i, (w, vs) in enumerate(L.SYNONYMS.items()) if any(x in n for x in [w, *vs])] for n in names]
+    held = similarity.NameBlock(names, groups)
+    for b, g in zip(names, groups, strict=True):
+        most, _, decided = held.bounds(b, g, 0.3)
+        for i, a in enumerate(names):
+            exact = sequential_similarity(b, a)
+            assert most[i] >= exact - 1e-12 and (not decided[i] or most[i] == exact)
+
+
 def test_candidates_lose_no_similar_pair(spark):
     names = ["chat room", "chat", "at", "hat", "message board", "upload", "file upload", "uploads", "zzz", "door z"]
     frame = spark.createDataFrame([(n,) for n in names], "norm string")
