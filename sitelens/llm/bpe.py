@@ -38,8 +38,8 @@ WINDOW = 8
 WINDOW_CHUNKS = 1
 #: Chunks that a joined part keeps apart at either end for later windows.
 EDGE = 4
-#: Bound on the chunks that a worker remembers.
-MEMO = 200_000
+#: Bound on the chunks that a worker remembers while a task runs, some 300 bytes each.
+MEMO = 400_000
 
 #: Marks that end a word, each a token of its own there.
 MARKS = (b",", b".", b";", b":", b"!", b"?", b")")
@@ -77,24 +77,26 @@ class ChunkEncoder:
         if not new:
             return
         if len(self.memo) + len(new) > MEMO:
-            self.memo, new = {}, chunks
+            self.memo = {c: self.memo[c] for c in chunks if c in self.memo}
         order, ids, others = [], [], []
         if self.plain_words:
+            of_mark = {m: self.tokenizer.model.tokenize(m.decode())[0].id for m in MARKS}
             # a word of lower-case letters passes the normaliser and pre-tokenizer as it is, a mark after it by itself
-            word = self.tokenizer.model.tokenize
+            word, held = self.tokenizer.model.tokenize, {}
             for c in new:
                 letters = c[:-1] if c[-1:] in MARKS else c
-                if letters.isalpha() and letters.islower():
-                    got = word(letters.decode())
-                elif not letters.isascii() and WESTERN.fullmatch(letters.decode()):
-                    got = word(letters.decode("latin-1").translate(BYTE_LETTERS))
-                else:
-                    others.append(c)
-                    continue
+                got = held.get(letters)  # a word comes with several marks
+                if got is None:
+                    if letters.isalpha() and letters.islower():
+                        got = [t.id for t in word(letters.decode())]
+                    elif not letters.isascii() and WESTERN.fullmatch(letters.decode()):
+                        got = [t.id for t in word(letters.decode("latin-1").translate(BYTE_LETTERS))]
+                    else:
+                        others.append(c)
+                        continue
+                    held[letters] = got
                 order.append(c)
-                ids.append([t.id for t in got])
-                if letters is not c:
-                    ids[-1].append(word(c[-1:].decode())[0].id)
+                ids.append(got if letters is c else [*got, of_mark[c[-1:]]])
         else:
             others = new
         ids += [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)]
@@ -126,7 +128,7 @@ class ChunkEncoder:
             self.learn(part)
             got = [self.memo[c] for c in part]
             ids += [g[0] for g in got]
-            texts += [g[1] for g in got]
+            texts += [g[1] for g in got] if self.decode else []
         of_ids, of_texts, index = pa.array(ids, pa.binary()), pa.array(texts, pa.binary()), coded.indices
         joined = pc.binary_join(pa.ListArray.from_arrays(chunks.offsets, of_ids.take(index)), b"")
         if not self.decode:

@@ -35,6 +35,8 @@ LENGTH = 512
 PER_SHARD = 16_384
 KEY = 20_240_607
 ROUNDS = 4
+#: Texts of fewer bytes are encoded whole where they are read; without decoded texts they take little room.
+LONG_TEXT = 1 << 20
 #: Documents are numbered in buckets, whose number follows that of the documents.
 DOCS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1024, 64, 65_536
 #: Token ids are little-endian unsigned 16-bit; PAD, which no tokenizer file used here has, fills the end of a text's last sequence.
@@ -70,7 +72,7 @@ def sequences_of(docs: DataFrame, path: str, length: int = LENGTH, key: int = KE
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = bucket_count(docs.count())
-    ids = bpe.encode_documents(docs, path, decode=False, narrow=True).filter("n_tokens > 0").select("doc_id", "ids", F.xxhash64("ids").alias("h"))
+    ids = bpe.encode_documents(docs, path, long_text=LONG_TEXT, decode=False, narrow=True).filter("n_tokens > 0").select("doc_id", "ids", F.xxhash64("ids").alias("h"))
     dealt = ids.withColumn("bucket", F.pmod(F.xxhash64(F.lit(key), "doc_id", "h"), F.lit(buckets)).cast("int"))
 
     def cut(batches):
