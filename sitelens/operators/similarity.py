@@ -34,38 +34,92 @@ def ngrams(words: Column, low: int, high: int) -> Column:
     return F.concat(*parts)
 
 
-def tfidf(docs: DataFrame, key: str, text: str, low: int = 1, high: int = 1, stop: list[str] | None = None, max_features: int | None = None, max_df: float = 1.0) -> DataFrame:
-    """(key, term, w, df): weights tf * (ln((1 + n) / (1 + df)) + 1) of unit length.  With max_features the commonest terms, ties by term."""
+def tfidf(
+    docs: DataFrame, key: str, text: str, low: int = 1, high: int = 1, stop: list[str] | None = None, max_features: int | None = None, max_df: float = 1.0, keep: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """(key, term, w, df): weights tf * (ln((1 + n) / (1 + df)) + 1) of unit length.  With max_features the commonest terms, ties by term.
+
+    keep writes the term counts, which are read twice: for the vocabulary and for the weights.
+    """
     words = tokens(F.col(text))
     if stop:
         words = F.filter(words, lambda w: ~w.isin(stop))
     tf = docs.select(key, words.alias("words")).select(key, F.explode(ngrams(F.col("words"), low, high)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = tf if keep is None else keep(tf)
     vocabulary = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    n = docs.select(key).distinct().count()
+    n = docs.select(key).distinct().count()  # reads no texts
     vocabulary = vocabulary.filter(F.col("df") <= max_df * n)
     if max_features is not None:
         vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(max_features)
     raw = tf.join(vocabulary.select("term", "df"), "term").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("w") / norm).alias("w"), "df")
+    # the terms of a text meet once, for its norm, without being sorted
+    whole = raw.groupBy(key).agg(F.collect_list(F.struct("term", "w", "df")).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x["w"] * x["w"]))
+    return whole.select(key, F.explode(F.transform("v", lambda x: F.struct(x["term"].alias("term"), (x["w"] / norm).alias("w"), x["df"].alias("df")))).alias("x")).select(key, "x.*")
+
+
+#: Postings of a prefix term that meet in one task; a term of more is dealt into parts that meet pair by pair.
+POSTINGS = 2000
+
+
+def prefixes(packed: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, h, w, rest) of the prefix of each packed vector (key, h, w: rarest terms first); rest: the norm of all commoner terms."""
+    kind = dict(packed.dtypes)[key]
+
+    def run(batches):
+        for batch in batches:
+            keys, places, out_h, out_w, out_rest = [], [], [], [], []
+            for i, (h, w) in enumerate(zip(batch.column("h"), batch.column("w"), strict=True)):
+                h, w = h.values.to_numpy(), w.values.to_numpy()
+                from_here = np.sqrt(np.cumsum((w * w)[::-1])[::-1])  # the norm of this term and all commoner ones
+                n = int((from_here >= threshold - 1e-9).sum())
+                places.append(np.full(n, i))
+                out_h.append(h[:n])
+                out_w.append(w[:n])
+                out_rest.append(np.append(from_here[1:], 0.0)[:n])
+            if places:
+                keys = batch.column(key).take(pa.array(np.concatenate(places)))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(np.concatenate(c)) for c in (out_h, out_w, out_rest))], names=[key, "h", "w", "rest"])
+
+    return packed.select(key, "h", "w").mapInArrow(run, f"{key} {kind}, h long, w double, rest double")
+
+
+def in_parts(postings: DataFrame, key: str, most: int) -> DataFrame:
+    """Pairs (a, b) of postings of one term with their columns; a term of more than `most` is dealt into parts, and each pair of parts is a key."""
+    parts = postings.groupBy("h").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    dealt = postings.join(parts, "h").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts").cast("long")).cast("int"))
+    x = dealt.select("h", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), *[F.col(c).alias(f"{c}_a") for c in (key, "w", "rest")])
+    y = dealt.select("h", F.col("part").alias("j"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), *[F.col(c).alias(f"{c}_b") for c in (key, "w", "rest")])
+    one, other = F.col(f"{key}_a"), F.col(f"{key}_b")
+    met = x.join(y, ["h", "i", "j"]).filter((F.col("i") < F.col("j")) | (one < other))
+    return met.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"), "w_a", "w_b", "rest_a", "rest_b")
+
+
+def cosine_candidates(packed: DataFrame, key: str, threshold: float, keep: Callable[[DataFrame], DataFrame], most: int = POSTINGS) -> DataFrame:
+    """(a, b) with a < b that may have a cosine above the threshold.
+
+    A vector's prefix ends where the norm of the rest falls below the threshold, so two vectors above it share a prefix term.
+    Up to the last prefix term that both have, all common terms are in both prefixes; after it their product is at
+    most that of the norms that are left, so the sum of both bounds the cosine.
+    """
+    met = in_parts(keep(prefixes(packed, key, threshold)), key, most)
+    bound = met.groupBy("a", "b").agg((F.sum(F.col("w_a") * F.col("w_b")) + F.min(F.col("rest_a") * F.col("rest_b"))).alias("bound"))
+    return bound.filter(F.col("bound") >= threshold - 1e-9).select("a", "b")
+
+
+def packed_vectors(vectors: DataFrame, key: str) -> DataFrame:
+    """(key, h, w): arrays of hashed terms and weights, the rarest term first."""
+    order = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("term").alias("h"), "w")))
+    return vectors.groupBy(key).agg(order.alias("v")).select(key, F.transform("v", lambda s: s["h"]).alias("h"), F.transform("v", lambda s: s["w"]).alias("w"))
 
 
-def cosine_pairs(vectors: DataFrame, key: str, threshold: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(a, b, cosine) with a < b and cosine above a threshold of some size, by prefix filtering.
+def cosine_pairs(vectors: DataFrame, key: str, threshold: float, keep: Callable[[DataFrame], DataFrame], most: int = POSTINGS) -> DataFrame:
+    """(a, b, cosine) with a < b and cosine above a threshold of some size: candidates of cosine_candidates, verified on whole vectors.
 
-    Terms in ascending order of frequency; a vector's prefix ends where the norm of the rest falls below the threshold.
-    Two vectors above it share a term of both prefixes, so only prefixes are joined; candidates are
-    verified on whole sorted arrays.  Groups of equal vectors should be collapsed first.
+    Groups of equal vectors should be collapsed first.
     """
-    order = Window.partitionBy(key).orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    hashed = vectors.select(key, F.xxhash64("term").alias("h"), "term", "w", "df")
-    # running norm from the commonest term: a term is in the prefix once all commoner ones and it reach the threshold
-    prefix = hashed.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(order))).filter(F.col("rest") >= threshold - 1e-9)
-    prefix = keep(prefix.select(key, "h"))
-    x, y = prefix.select(F.col(key).alias("a"), "h"), prefix.select(F.col(key).alias("b"), "h")
-    pairs = x.join(y, "h").filter("a < b").select("a", "b").distinct()
-    packed = hashed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("v")).select(key, F.transform("v", lambda s: s["h"]).alias("h"), F.transform("v", lambda s: s["w"]).alias("w"))
-    packed = keep(packed)
+    packed = keep(packed_vectors(vectors, key))
+    pairs = cosine_candidates(packed, key, threshold, keep, most)
     of = lambda c: packed.select(F.col(key).alias(c), F.col("h").alias(f"h_{c}"), F.col("w").alias(f"w_{c}"))
 
     def verify(batches):
@@ -86,6 +140,29 @@ def cosine_pairs(vectors: DataFrame, key: str, threshold: float, keep: Callable[
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "h_a", "w_a", "h_b", "w_b").mapInArrow(verify, f"a {kind}, b {kind}, cosine double")
 
 
+def near_texts(docs: DataFrame, key: str, text: str, threshold: float, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs): (key, first, size) of each document whose text has terms, first being the smallest key with its text, and
+    (a, b, cosine) of the firsts above the threshold.
+
+    Weights count every document, but equal texts are one vector, so copies cost no pairs.
+    """
+    rows = docs.filter(F.col(text).isNotNull()).select(key, F.sha2(text, 256).alias("__h"))
+    first = keep(rows.groupBy("__h").agg(F.min(key).alias("first"), F.count("*").alias("size")))
+    weights = tfidf(docs, key, text, keep=keep).join(first.select(F.col("first").alias(key)), key, "left_semi")
+    weights = keep(weights)
+    with_terms_ = first.join(weights.select(F.col(key).alias("first")).distinct(), "first", "left_semi")
+    classes = rows.join(with_terms_, "__h").select(key, "first", "size")
+    return classes, cosine_pairs(weights, key, threshold, keep)
+
+
+def link_counts(classes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """(key, first, n_links): a row for each document, with how many others are near it, copies included."""
+    size = classes.select("first", "size").distinct()
+    both = pairs.select(F.col("a").alias("first"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("first"), F.col("a").alias("other")))
+    others = both.join(size.select(F.col("first").alias("other"), "size"), "other").groupBy("first").agg(F.sum("size").alias("near"))
+    return classes.join(others, "first", "left").select(key, "first", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+
+
 def cross_cosine(left: DataFrame, right: DataFrame, key: str, threshold: float) -> DataFrame:
     """(a, b, cosine) between two small sides (top sections of two products): an exact join on terms."""
     x, y = left.select(F.col(key).alias("a"), "term", F.col("w").alias("w_a")), right.select(F.col(key).alias("b"), "term", F.col("w").alias("w_b"))

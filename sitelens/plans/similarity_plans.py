@@ -22,24 +22,9 @@ def docs(spark, d):
     return S.read(spark, d, "documents").select("doc_id", "text", "source")
 
 
-def edges(spark, d, threshold=0.8):
-    """Pairs above the threshold.  Texts are compared once for each distinct one; copies then share its pairs."""
-    rows = docs(spark, d).withColumn("h", F.sha2("text", 256))
-    first = rows.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text"))
-    # weights count every document, so they come from all of them; each distinct text is then one vector
-    reps = first.select(F.col("rep").alias("doc_id"))
-    vectors = written(M.tfidf(docs(spark, d), "doc_id", "text").join(reps, "doc_id", "left_semi"))
-    near = M.cosine_pairs(vectors, "doc_id", threshold, written)
-    member = rows.join(first.select("h", "rep"), "h").select("doc_id", "rep")
-    own = reps.join(vectors.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("x"), F.col("doc_id").alias("y"), F.lit(1.0).alias("cosine"))
-    all_ = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "cosine").unionByName(own)
-    a, b = member.select(F.col("doc_id").alias("p"), F.col("rep").alias("x")), member.select(F.col("doc_id").alias("q"), F.col("rep").alias("y"))
-    return all_.join(a, "x").join(b, "y").filter((F.col("x") != F.col("y")) | (F.col("p") < F.col("q"))).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.round("cosine", 6).alias("cosine"))
-
-
 @query("sim1_tfidf", f"WITH {VEC} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(max(w), 6) AS top_weight, round(sum(w), 5) AS total FROM w GROUP BY doc_id")
 def sim1(spark, d):
-    v = M.tfidf(docs(spark, d), "doc_id", "text")
+    v = M.tfidf(docs(spark, d), "doc_id", "text", keep=written)
     return v.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("w"), 6).alias("top_weight"), F.round(F.sum("w"), 5).alias("total"))
 
 
@@ -60,15 +45,30 @@ def sim1_stopped(spark, d):
     return v.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("w"), 6).alias("top_weight"))
 
 
-@query("sim2_near_duplicate_edges", EDGES)
+FIRSTS = "firsts AS (SELECT text, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY text)"
+
+
+@query("sim2_near_duplicate_edges", f"WITH {FIRSTS} SELECT e.* FROM ({EDGES}) e JOIN firsts x ON x.first = e.a JOIN firsts y ON y.first = e.b")
 def sim2_edges(spark, d):
-    return edges(spark, d)
+    """Pairs of the first documents of each text; copies are counted in sim2_near_duplicate_links."""
+    return M.near_texts(docs(spark, d), "doc_id", "text", 0.8, written)[1].withColumn("cosine", F.round("cosine", 6))
+
+
+@query("sim2_near_duplicate_links", f"WITH {FIRSTS}, e AS ({EDGES}) SELECT doc_id, first, CAST((SELECT count(*) FROM e WHERE e.a = doc_id OR e.b = doc_id) AS BIGINT) AS n_links FROM documents JOIN firsts USING (text) WHERE len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) > 0")
+def sim2_links(spark, d):
+    """A row for each document: the first one with its text, and how many others are near it."""
+    classes, pairs = M.near_texts(docs(spark, d), "doc_id", "text", 0.8, written)
+    return M.link_counts(written(classes), written(pairs), "doc_id")
 
 
 @query("sim2_near_duplicates_removed")
 def sim2(spark, d):
-    near = written(edges(spark, d).select("a", "b"))
-    return M.keep_first(docs(spark, d).select(F.col("doc_id").alias("id")).distinct(), near, written)
+    """Copies follow their first document, which is near all that they are near: only first documents are decided in rounds."""
+    classes, pairs = M.near_texts(docs(spark, d), "doc_id", "text", 0.8, written)
+    classes = written(classes)
+    kept = M.keep_first(classes.filter("doc_id = first").select(F.col("doc_id").alias("id")), written(pairs.select("a", "b")), written)
+    without_terms = docs(spark, d).select(F.col("doc_id").alias("id")).distinct().join(classes.select(F.col("doc_id").alias("id")), "id", "left_anti")
+    return kept.unionByName(without_terms)
 
 
 def sections(spark, d):
