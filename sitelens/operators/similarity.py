@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..sources.materialise import discard, sized
 from . import scoring
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -169,19 +170,33 @@ def cross_cosine(left: DataFrame, right: DataFrame, key: str, threshold: float)
     return x.join(y, "term").groupBy("a", "b").agg(F.round(F.sum(F.col("w_a") * F.col("w_b")), 12).alias("cosine")).filter(F.col("cosine") > threshold)
 
 
-def greedy_pairs(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One-to-one assignment (a, b, cosine) by rank: similarity descending, then a, then b.
+def greedy_rounds(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """One-to-one assignment (a, b, cosine) by rank, and the rounds it took: similarity descending, then a, then b.
 
-    In each round every edge that is best for both its ends is taken and both ends leave; under a strict total order
-    this equals taking edges one by one.
+    Deferred acceptance: each free left node offers its best edge that its right node would still take, and each right node keeps
+    the best it was offered.  What a right node keeps only gets better, so a refused edge stays refused, and under one
+    strict order of all edges the outcome equals taking edges one by one.  Edges are written once; a round reads those of
+    free nodes and writes only nodes.
     """
-    left, taken = keep(edges), None
-    while left.limit(1).count():
-        best = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(F.desc("cosine"), "a", "b")) == 1
-        now = keep(left.withColumns({"x": best("a"), "y": best("b")}).filter("x and y").select("a", "b", "cosine"))
-        taken = now if taken is None else taken.unionByName(now)
-        left = keep(left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti"))
-    return edges.limit(0) if taken is None else taken
+    order = F.struct((-F.col("cosine")).alias("o"), "a", "b")
+    given = keep(edges.select("a", "b", "cosine"))
+    held, free, rounds = keep(given.limit(0)), keep(given.select("a").distinct()), 0
+    while True:
+        taken = held.select("b", order.alias("held"))
+        open_ = given.join(sized(free), "a").join(taken, "b", "left").filter(F.col("held").isNull() | (order < F.col("held")))
+        offers = keep(open_.groupBy("a").agg(F.min_by(F.struct("b", "cosine"), order).alias("e")).select("a", "e.b", "e.cosine"))
+        if offers.isEmpty():
+            discard(offers, free, given)
+            return held, rounds
+        rounds += 1
+        now = keep(held.unionByName(offers).groupBy("b").agg(F.min_by(F.struct("a", "cosine"), order).alias("e")).select("e.a", "b", "e.cosine"))
+        left = keep(held.select("a").unionByName(offers.select("a")).join(now.select("a"), "a", "left_anti"))
+        discard(held, free, offers)
+        held, free = now, left
+
+
+def greedy_pairs(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return greedy_rounds(edges, keep)[0]
 
 
 def keep_first(nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -194,8 +209,9 @@ def keep_first(nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], D
     newly = kept
     while True:
         dropped = edges.join(newly.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        open_ = keep(open_.join(dropped, "id", "left_anti"))
-        if not open_.limit(1).count():
+        before, open_ = open_, keep(open_.join(dropped, "id", "left_anti"))
+        discard(before)
+        if open_.isEmpty():
             return kept
         waiting = edges.join(open_.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
         newly = keep(open_.join(waiting, "id", "left_anti"))

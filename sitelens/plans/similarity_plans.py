@@ -112,10 +112,11 @@ def sim4(spark, d):
 
 @query("sim5_greedy_assignment")
 def sim5(spark, d):
-    """Customers to suppliers of their nation, by closeness of balance: each supplier and customer once."""
-    c = S.read(spark, d, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("x"))
-    s = S.read(spark, d, "supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("n"), F.col("s_acctbal").alias("y"))
-    return M.greedy_pairs(c.join(s, "n").select("a", "b", F.round(1 / (1 + F.abs(F.col("x") - F.col("y"))), 12).alias("cosine")), written)
+    """Customers to suppliers they bought from, by the amount: each supplier and customer once."""
+    lines = S.read(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("b"), "l_extendedprice")
+    orders = S.read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("a"))
+    bought = lines.join(orders, "l_orderkey").groupBy("a", "b").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("cosine"))
+    return M.greedy_pairs(bought, written)
 
 
 SIDE = r"SELECT p_partkey AS id, list_sort(list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]{2,}'))) AS ts FROM part WHERE p_brand"

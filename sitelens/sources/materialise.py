@@ -33,6 +33,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing will read again."""
+    for df in tables:
+        jvm, hadoop = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/loop-" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(hadoop).delete(path, True)
+
+
 def sized(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     """A side of a join: sent to all executors if it is counted to have few rows, else left to Spark, which then splits the join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

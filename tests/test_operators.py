@@ -67,16 +67,34 @@ def test_reach_on_a_cycle(spark):
     assert got == {"a": 0, "b": 1, "c": 2, "d": 3}
 
 
-def test_greedy_equals_sequential(spark):
-    random.seed(4)
-    edges = [(a, 100 + b, round(random.choice([0.2, 0.5, 0.5, 0.9]) + random.random() / 10, 3)) for a in range(12) for b in range(12) if random.random() < 0.5]
-    used, want = set(), set()
+def taken_one_by_one(edges):
+    want, used_a, used_b = [], set(), set()
     for a, b, c in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
-        if a not in used and b not in used:
-            used |= {a, b}
-            want.add((a, b))
-    got = similarity.greedy_pairs(spark.createDataFrame(edges, "a long, b long, cosine double"), written).collect()
-    assert {(r.a, r.b) for r in got} == want
+        if a not in used_a and b not in used_b:
+            want.append((a, b, c))
+            used_a.add(a)
+            used_b.add(b)
+    return sorted(want)
+
+
+def test_greedy_equals_taking_edges_one_by_one(spark):
+    """Two hundred graphs side by side, with many equal similarities; nodes of different graphs never meet."""
+    rng = random.Random(4)
+    edges = []
+    for g in range(200):
+        n, m, density = rng.randint(1, 9), rng.randint(1, 9), rng.random()
+        edges += [(g * 100 + a, g * 100 + b, rng.choice([0.2, 0.5, 0.5, round(rng.random(), 2)])) for a in range(n) for b in range(m) if rng.random() < density]
+    got, rounds = similarity.greedy_rounds(spark.createDataFrame(edges, "a long, b long, cosine double"), written)
+    assert sorted(map(tuple, got.collect())) == taken_one_by_one(edges) and 1 < rounds < 30
+
+
+def test_greedy_on_a_chain(spark):
+    """Each edge of a chain is better than the one before, so taking the last decides one after the other."""
+    chain = [(i, i + d, (2 * i + d) / 100) for i in range(12) for d in (0, 1)]
+    got, rounds = similarity.greedy_rounds(spark.createDataFrame(chain, "a long, b long, cosine double"), written)
+    assert sorted(map(tuple, got.collect())) == taken_one_by_one(chain) and rounds <= 12
+    none, rounds = similarity.greedy_rounds(spark.createDataFrame([], "a long, b long, cosine double"), written)
+    assert none.count() == rounds == 0
 
 
 def test_keep_first_equals_sequential(spark):
