@@ -25,6 +25,9 @@ _WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bound on the words whose digests a task remembers, some 200 bytes each.
+MOST_DIGESTS = 300_000
+_digests: dict[bytes, bytes] = {}
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +64,22 @@ def both_lanes(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def forget() -> None:
-    """Drops the tables of powers."""
+    """Drops the tables of powers and the digests of words."""
     _tables.clear()
+    _digests.clear()
+
+
+def word_digests(words: list[bytes]) -> list[bytes]:
+    """BLAKE2b digests of distinct words; a task remembers them from block to block."""
+    if len(_digests) > MOST_DIGESTS:
+        _digests.clear()
+    out = []
+    for w in words:
+        d = _digests.get(w)
+        if d is None:
+            d = _digests[w] = hashlib.blake2b(w, digest_size=16).digest()
+        out.append(d)
+    return out
 
 
 def lanes_of(data: np.ndarray) -> np.ndarray:
@@ -159,8 +176,7 @@ class Words:
         length = np.concatenate([[0], np.cumsum(self.end - self.start)])
         letters = np.ascontiguousarray(self.data[_WORD[self.data]])
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(length), pa.py_buffer(letters)]).dictionary_encode()
-        made = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words.dictionary.to_pylist()])
-        return np.frombuffer(made, dtype="<u8").reshape(-1, 2)[words.indices.to_numpy()]
+        return np.frombuffer(b"".join(word_digests(words.dictionary.to_pylist())), dtype="<u8").reshape(-1, 2)[words.indices.to_numpy()]
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, offsets by document) of all k-word shingles; a shorter text is one shingle."""
