@@ -13,7 +13,8 @@ symbols in their interior: all but the symbols at either end, which what stands
  4. Where one symbol has segments of different words, these share some windows at most: those of the first document of each kind
     are read again, each of their windows is named by its words, and equal windows are counted.
 
-Names decide nothing but what is compared: 3. and 4. go by 64 bits of BLAKE2b over the digests of all words besides the name.  A
+Names decide nothing but what is compared: 3. and 4. go by 64 bits of BLAKE2b over the 128 bits of each word, besides the
+name; words are hashed under a key of the run.  A
 passage that very many texts have is one name; each table joined on names is written first and has no other work in its stage, so
 that a join may split the rows of such a name.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, tidy, written
-from .textblocks import Words, as_long, mix, span_digests, text_blocks
+from .textblocks import Words, as_long, mix, secret_key, span_digests, text_blocks
 
 WINDOW = 13
 #: Rounds of pairs after the round of runs: symbols of three to five words, of which a window has one inside.
@@ -124,14 +125,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def segment_table(docs: DataFrame, window: int, rounds: int) -> DataFrame:
+def segment_table(docs: DataFrame, window: int, rounds: int, key: tuple[int, int]) -> DataFrame:
     """(k, s, doc, h, at): name of the symbol, digest of all words of the segment, document, and first << 8 | windows - 1."""
 
     def run(batches):
         for batch in batches:
             ids, h = batch.column("doc").to_numpy(), batch.column("h").to_numpy()
             for row, data, offsets in text_blocks(batch.column("text")):
-                words = Words(data, offsets, lower=False)
+                words = Words(data, offsets, lower=False, key=key)
                 doc, first, last, name = segments(words, window, rounds)
                 s = as_long(span_digests(words.digests, first, last + window, 16))
                 at = ((first - words.first[doc]) << 8) | (last - first)
@@ -141,14 +142,14 @@ def segment_table(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     return long_enough.mapInArrow(tidy(run), "k long, s long, doc long, h long, at long")
 
 
-def windows_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+def windows_of(docs: DataFrame, wanted: DataFrame, window: int, key: tuple[int, int]) -> DataFrame:
     """(k, w, doc, h, first): each window of the wanted segments (k, doc, h, at), named by its words."""
 
     def run(batches):
         for batch in batches:
             ids, h, asked = (batch.column(c).to_pylist() for c in ("doc", "h", "asked"))
             for row, data, offsets in text_blocks(batch.column("text")):
-                words = Words(data, offsets, lower=False)
+                words = Words(data, offsets, lower=False, key=key)
                 k, first, end, own = [], [], [], []
                 for i in range(len(offsets) - 1):
                     base = int(words.first[i])
@@ -173,7 +174,8 @@ def windows_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     """(doc, h, starts): for each text that has any, the runs (first, last) of windows that a document of a smaller id also has."""
-    all_segments = written(segment_table(docs, window, rounds))
+    key = secret_key()
+    all_segments = written(segment_table(docs, window, rounds, key))
     names = all_segments.groupBy("k").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("k")
     names = written(names, True)
     left = written(all_segments.join(names, "k"))
@@ -187,7 +189,7 @@ def repeated_windows(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     several = kinds.groupBy("k").agg(F.min("low").alias("least"), F.max("low").alias("most")).filter("least < most").select("k")
     several = written(several, True)
     wanted = placed.filter("doc = low").select("k", "doc", "h", "at").join(several, "k")
-    named = written(windows_of(docs, wanted, window))
+    named = written(windows_of(docs, wanted, window, key))
     least = written(named.groupBy("k", "w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("k", "w", "low"), True)
     parts = named.join(least, ["k", "w"]).filter("doc > low").select("doc", "h", "first", F.col("first").alias("last"))
     starts = written(whole.unionByName(parts).groupBy("doc", "h").agg(F.collect_list(F.struct("first", "last")).alias("starts")), True)

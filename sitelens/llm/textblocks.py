@@ -1,8 +1,9 @@
 """Vectorised text helpers used inside Arrow map functions.
 
 A *block* is a run of whole documents laid end to end as one ``uint8`` array with an
-offsets array.  A word stands for 128 bits of its BLAKE2b digest, taken once for each distinct word of a block; the hash of
-a shingle has both halves of its words' digests, in two lanes, and 64 bits.  The hash of a byte range is a polynomial prefix
+offsets array.  A word stands for 128 bits: of its BLAKE2b digest, taken once for each distinct word of a block, or, within
+one run, of a fast hash under a secret key, so that no words can be made to collide.  The hash of a shingle has both
+halves of its words' bits, in two lanes, and 64 bits.  The hash of a byte range is a polynomial prefix
 sum (modulo 2**64, odd base) of mixed eight-byte strings, two look-ups a range: fast, but texts can be made on which it
 agrees, so it may choose what to compare and must not decide.
 Nothing here needs Spark; memory is bounded by ``BLOCK_BYTES`` or one document.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +96,38 @@ def _first_bytes(lane: np.ndarray, n: np.ndarray) -> np.ndarray:
     return lane & ((np.uint64(1) << (n.astype(np.uint64) << np.uint64(3))) - np.uint64(1))
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+#: Multipliers of the two halves of a keyed word hash.
+_HALVES = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
+
+
+def secret_key() -> tuple[int, int]:
+    """A key that nobody knows beforehand, for hashes within one run."""
+    return random.SystemRandom().getrandbits(64), random.SystemRandom().getrandbits(64)
+
+
+def keyed_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: tuple[int, int]) -> np.ndarray:
+    """128 bits, in two columns, of non-overlapping byte ranges, under a secret key: each eight bytes are mixed into what came before."""
+    length, lanes = end - start, lanes_of(data)
+    out = np.empty((len(start), 2), dtype=np.uint64)
+    for half in range(2):
+        out[:, half] = mix(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key[half]))
+    for i in np.flatnonzero(length > LONG_WORD):
+        whole = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16, key=b"".join(k.to_bytes(8, "little") for k in key))
+        out[i] = np.frombuffer(whole.digest(), dtype="<u8")
+    active, done = np.flatnonzero(length <= LONG_WORD), 0
+    while len(active):
+        left = length[active] - done
+        lane = lanes[start[active] + done]
+        part = left < 8
+        lane[part] = _first_bytes(lane[part], left[part])
+        for half, factor in enumerate(_HALVES):
+            out[active, half] = mix((out[active, half] ^ lane) * np.uint64(factor) + np.uint64(key[half]))
+        active, done = active[left > 8], done + 8
+    return out
+
+
 class RangeHash:
     """Hashes of byte ranges of one array."""
 
@@ -145,10 +179,13 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tu
 
 
 class Words:
-    """Words (runs without ASCII white space) of a block: byte ranges, document index, hash."""
+    """Words (runs without ASCII white space) of a block: byte ranges, document index, digests.
+
+    key: a secret of one run, under which words are hashed fast; without it their digests are the same in every run.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
-        n_docs = len(offsets) - 1
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, key: tuple[int, int] | None = None):
+        n_docs, self.key = len(offsets) - 1, key
         self.data = data = _LOWER[data] if lower else data
         inside = _WORD[data]
         before, after = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
@@ -172,7 +209,9 @@ class Words:
 
     @functools.cached_property
     def digests(self) -> np.ndarray:
-        """Two columns of 64 bits of each word's BLAKE2b digest; each distinct word of the block is hashed once."""
+        """128 bits of each word in two columns: keyed, or of its BLAKE2b digest, which each distinct word of the block is given once."""
+        if self.key is not None:
+            return keyed_hashes(self.data, self.start, self.end, self.key)
         length = np.concatenate([[0], np.cumsum(self.end - self.start)])
         letters = np.ascontiguousarray(self.data[_WORD[self.data]])
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(length), pa.py_buffer(letters)]).dictionary_encode()
