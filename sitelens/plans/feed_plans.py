@@ -80,7 +80,8 @@ STATE = f"SELECT job_id, status, progress, CASE WHEN progress < 10 THEN 'init' W
 
 @query("str1_job_state", STATE)
 def str1(spark, d):
-    return J.drained(J.job_state(stream(spark, d).withColumn("progress", F.expr(PROGRESS))), "complete")
+    """In update mode: a batch writes the jobs that it changed, and the latest row of each is read."""
+    return J.upserted(J.job_state(stream(spark, d).withColumn("progress", F.expr(PROGRESS))), ["job_id"]).rows()
 
 
 LIFE = "SELECT job_id, event_id, status, before, NOT coalesce(before IN ('completed', 'failed'), false) AS may_cancel, coalesce(before = 'failed', false) AS may_retry FROM (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS before FROM events_v)"
@@ -149,4 +150,4 @@ def str8(spark, d):
 
 @query("str9_discovery_counts", "SELECT status, CAST(count(*) AS BIGINT) AS n FROM events_v GROUP BY status")
 def str9(spark, d):
-    return J.drained(J.discovery_counts(stream(spark, d)), "complete")
+    return J.upserted(J.discovery_counts(stream(spark, d)), ["status"]).rows()

@@ -128,9 +128,11 @@ def test_stream_dedupe_equals_batch(spark, sf_dir):
 
 def test_adaptive_rate():
     rate, lat, errors, good = 1.0, [], 0, 0
-    for _ in range(3):
+    seen = []
+    for _ in range(8):
         rate, lat, errors, good = feeds.adapt(rate, lat, errors, good, 1.0, False)
-    assert round(rate, 6) == 0.8 and errors == 0
+        seen.append((round(rate, 6), errors))
+    assert seen == [(1.0, 1), (1.0, 2), (1.0, 3), (1.0, 4), (0.8, 0), (0.8, 1), (0.8, 2), (0.64, 0)]  # nothing before five requests
 
 
 def test_lexicon_table_drops_repeats(spark):
