@@ -79,20 +79,30 @@ def feature_links(links: DataFrame, has_term: Callable[[Column], Column], least:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, keep: Callable[[DataFrame], DataFrame], max_pages: int | None = None) -> DataFrame:
-    """Breadth-first reach over (src, dst): (url, depth).  Each level joins the frontier and leaves out what is visited.
+    """Breadth-first reach over (src, dst) from seeds (url[, source]): (url, depth, source, parent).
 
-    `keep` materialises a level (a written table or checkpoint), so lineage does not grow with depth.
+    source: the seed's own, of several the smallest, or 'link'; parent: the smallest page of the level before that links there, null
+    for seeds.  Each level joins the frontier and leaves out what is visited.  Of the level that meets the budget max_pages the
+    first by url are kept, and no further level runs.  `keep` materialises a level (a written table or checkpoint), so lineage
+    does not grow with depth.
     """
-    frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    visited = keep(frontier)
-    frontier = visited
-    for depth in range(1, max_depth + 1):
-        found = edges.join(frontier.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
-        frontier = keep(found.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
-        if not frontier.limit(1).count():
-            break
-        visited = keep(visited.unionByName(frontier))
-    return visited if max_pages is None else visited.orderBy("depth", "url").limit(max_pages)
+    kind = dict(edges.dtypes)["src"]
+    given = seeds if "source" in seeds.columns else seeds.withColumn("source", F.lit("initial"))
+    level = given.groupBy("url").agg(F.min("source").alias("source")).select("url", F.lit(0).alias("depth"), "source", F.lit(None).cast(kind).alias("parent"))
+    visited, n = None, 0
+    for depth in range(max_depth + 1):
+        level = keep(level)
+        size = level.count()
+        if max_pages is not None and n + size >= max_pages:
+            level = level.orderBy("url").limit(max_pages - n)
+            return level if visited is None else visited.unionByName(level)
+        n += size
+        visited = level if visited is None else keep(visited.unionByName(level))
+        if not size or depth == max_depth:
+            return visited
+        found = edges.join(level.select(F.col("url").alias("src")), "src").groupBy(F.col("dst").alias("url")).agg(F.min("src").alias("parent"))
+        level = found.join(visited.select("url"), "url", "left_anti").select("url", F.lit(depth + 1).alias("depth"), F.lit("link").alias("source"), "parent")
+    return visited
 
 
 def child_pages(links: DataFrame, titles: DataFrame, parent: Column | None = None, n: int = 10) -> DataFrame:

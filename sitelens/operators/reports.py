@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,15 +42,44 @@ def latest_analyses(analyses: DataFrame, keywords: DataFrame, n: int = 10, missi
     )
 
 
-def page_of(rows: DataFrame, order: list[Column], page: int, per_page: int) -> DataFrame:
-    """One page of a sorted table with the total and the number of pages.
+def page_boundaries(rows: DataFrame, sort: str, key: str, per_page: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(page, sort, key, total): the first row of each page in descending order of (sort, key), made once for jumps to any page.
 
-    Keeps only the rows up to the page by a bounded top-n, so no task sorts the whole table.
+    Only the two columns are sorted: in ranges over tasks, which are then numbered from their counts.
     """
-    total = rows.agg(F.count("*").alias("total"))
-    head = rows.orderBy(*order).limit(page * per_page)
-    numbered = head.withColumn("row_no", F.row_number().over(Window.orderBy(*order)))
-    return numbered.filter(F.col("row_no") > (page - 1) * per_page).crossJoin(F.broadcast(total)).withColumn("n_pages", F.ceil(F.col("total") / per_page))
+    order = [F.desc(sort), F.desc(key)]
+    keys = keep(rows.select(sort, key).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    counts = keys.groupBy("__part").agg(F.count("*").alias("n"))  # a row for each task
+    before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("before") - 1
+    placed = keys.join(F.broadcast(before), "__part").withColumn("place", place)
+    return keep(placed.filter(F.col("place") % per_page == 0).select((F.col("place") / per_page + 1).cast("long").alias("page"), sort, key, "total"))
+
+
+def page_of(rows: DataFrame, sort: str, key: str, boundaries: DataFrame, page: int, per_page: int) -> DataFrame:
+    """One page of a table sorted by (sort, key) descending, with row_no, total and the number of pages.
+
+    The page lies between its boundary and the next one; both reach the scan as filters, so any page reads as much as the first.
+    """
+    ends = {r["page"]: r for r in boundaries.filter(F.col("page").between(page, page + 1)).collect()}
+    if page not in ends:
+        none = rows.limit(0)
+        return none.withColumns({"row_no": F.lit(0).cast("long"), "total": F.lit(0).cast("long"), "n_pages": F.lit(0).cast("long")})
+    first = ends[page]
+    inside = (F.col(sort) < first[sort]) | ((F.col(sort) == first[sort]) & (F.col(key) <= first[key]))
+    inside = inside & (F.col(sort) <= first[sort])
+    if page + 1 in ends:
+        after = ends[page + 1]
+        inside = inside & (F.col(sort) >= after[sort]) & ((F.col(sort) > after[sort]) | (F.col(key) > after[key]))
+    row_no = F.row_number().over(Window.orderBy(F.desc(sort), F.desc(key))) + (page - 1) * per_page  # per_page rows
+    return rows.filter(inside).withColumns({"row_no": row_no.cast("long"), "total": F.lit(first["total"]), "n_pages": F.lit(-(-first["total"] // per_page))})
+
+
+def next_page(rows: DataFrame, sort: str, key: str, after: tuple | None, per_page: int) -> DataFrame:
+    """The page that follows the row (sort, key) of the last one seen, or the first page."""
+    if after is not None:
+        rows = rows.filter((F.col(sort) <= after[0]) & ((F.col(sort) < after[0]) | (F.col(key) < after[1])))
+    return rows.orderBy(F.desc(sort), F.desc(key)).limit(per_page)
 
 
 def category_statistics(features: DataFrame) -> DataFrame:
@@ -89,12 +120,6 @@ def product_cards(products: DataFrame, features: DataFrame) -> DataFrame:
     return out.select("product", F.when(F.col("n_features") > 0, "O").otherwise("X").alias("status"), F.coalesce("n_features", F.lit(0)).alias("n_features"), F.coalesce("categories", F.lit("")).alias("categories"), F.coalesce("names", F.lit("")).alias("names"))
 
 
-def purge(keywords: DataFrame, project_id: int) -> tuple[DataFrame, DataFrame]:
-    """(rows that stay, one row with the deleted count)."""
-    gone = F.col("project_id") == project_id
-    return keywords.filter(~F.coalesce(gone, F.lit(False))), keywords.agg(count_where(gone, "n_deleted"), count_where(~F.coalesce(gone, F.lit(False)), "n_kept"))
-
-
 def report_content(project_rows: DataFrame, analyses: DataFrame, matrix: DataFrame) -> DataFrame:
     """A report's sections as (section, item, value) rows."""
     info = project_rows.select(F.lit("project").alias("section"), F.col("project").alias("item"), F.col("n_keywords").alias("value"))

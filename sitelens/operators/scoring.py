@@ -126,15 +126,21 @@ def by_synonym(low: Column, feature: Column, synonyms: dict[str, list[str]]) ->
     return F.get(F.transform(F.slice(hit, 1, 1), lambda x: verdict("O", 0.85, x["v"])), F.lit(0))
 
 
-def feature_support(text: Column, feature: Column, synonyms: dict[str, list[str]] = L.FEATURE_SYNONYMS, similar: Column | None = None) -> Column:
-    """Six stages, the earliest that decides wins: substring, synonym, context, similarity, negative phrase, basic feature."""
+def support_stages(text: Column, feature: Column, synonyms: dict[str, list[str]] = L.FEATURE_SYNONYMS, similar: Column | None = None) -> list[Column]:
+    """Verdicts of the six stages in order, null where one doesn't decide: substring, synonym, context, similarity, negative phrase,
+    basic feature; then the verdict without any."""
     low, f = F.lower(text), F.lower(feature)
     stages = [F.when(low.contains(f), verdict("O", 0.95, feature)), by_synonym(low, feature, synonyms), in_context(text, f)]
     if similar is not None:
         stages.append(F.when(similar > 0.3, verdict("△", F.least(similar, F.lit(0.7)), "")))
     stages.append(F.when(first_phrase(low, L.NEGATIVE).isNotNull(), verdict("X", 0.9, first_phrase(low, L.NEGATIVE))))
     stages.append(F.when(T.has_any(f, L.BASIC), verdict("O", 0.9, "기본 채팅 기능")))
-    return F.coalesce(*stages, verdict("X", 0.3, ""))
+    return [*stages, verdict("X", 0.3, "")]
+
+
+def feature_support(text: Column, feature: Column, synonyms: dict[str, list[str]] = L.FEATURE_SYNONYMS, similar: Column | None = None) -> Column:
+    """The earliest stage that decides wins."""
+    return F.coalesce(*support_stages(text, feature, synonyms, similar))
 
 
 def word_chunks(text: Column, size: int = 500, longer_than: int = 50) -> Column:
@@ -148,12 +154,19 @@ def requested_features(text: str) -> list[str]:
     return [f.strip() for f in text.split(",") if f.strip()]
 
 
-def two_product_support(corpus: DataFrame, features: DataFrame, left: str, right: str) -> DataFrame:
-    """Each feature's verdict in both products' corpora, side by side."""
-    both = corpus.filter(F.col("product").isin(left, right)).join(sized(features), how="cross")
-    v = both.select("product", "feature", feature_support(F.col("corpus"), F.col("feature")).alias("v"))
+def two_product_support(texts: DataFrame, features: DataFrame, left: str, right: str, synonyms: dict[str, list[str]] = L.FEATURE_SYNONYMS) -> DataFrame:
+    """Each feature's verdict in both products' corpora (product, ord, text), side by side; a product without texts has none.
+
+    A corpus is judged text by text where the texts are: of all texts the earliest stage decides, and of those that it decides
+    in, the first text.  That is the verdict of the texts in a row, and no corpus is put together.
+    """
+    both = texts.filter(F.col("product").isin(left, right) & F.col("text").isNotNull()).join(sized(features.filter(F.trim("feature") != "").distinct()), how="cross")
+    stages = F.array(*[F.struct(F.lit(i).alias("stage"), v.alias("v")) for i, v in enumerate(support_stages(F.col("text"), F.col("feature"), synonyms))])
+    judged = both.select("product", "feature", "ord", F.get(F.filter(stages, lambda s: s["v"].isNotNull()), F.lit(0)).alias("s"))
+    found = judged.groupBy("feature", "product").agg(F.min_by("s.v", F.struct("s.stage", "ord")).alias("v"))
     of = lambda p, n: F.max(F.when(F.col("product") == p, F.col(f"v.{n}")))
-    return v.groupBy("feature").agg(of(left, "status").alias("status_1"), of(right, "status").alias("status_2"), of(left, "confidence").alias("confidence_1"), of(right, "confidence").alias("confidence_2"))
+    sides = [of(p, n).alias(f"{n}_{i}") for i, p in ((1, left), (2, right)) for n in ("status", "confidence", "matched")]
+    return found.groupBy("feature").agg(*sides)
 
 
 def category_features(pages: DataFrame, lexicon: DataFrame) -> DataFrame:

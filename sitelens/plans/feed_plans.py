@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import links as K
+from ..operators import pages as P
 from ..sources import files as X
 from ..sources import tables as S
-from ..sources.materialise import written
+from ..sources.materialise import shared_folder, written
 from ..streaming import feeds as J
+from .page_plans import TITLE
 from .registry import query
 from .scoring_plans import SUPPORT, keywords
 
@@ -23,20 +27,47 @@ def rates(spark):
     return spark.createDataFrame([(f"site{i}", 0.01 * (i + 1)) for i in range(10)], "domain string, rate double")
 
 
-@query("src2_new_keywords", "SELECT project_id, keyword, CAST(ord AS BIGINT) AS ord FROM (SELECT c_nationkey::BIGINT AS project_id, 'k' || (c_custkey % 400) AS keyword, min(c_custkey) AS ord FROM customer WHERE c_custkey % 9 <> 0 GROUP BY 1, 2) WHERE (project_id, keyword) NOT IN (SELECT (c_nationkey::BIGINT, 'k' || (c_custkey % 400)) FROM customer WHERE c_custkey % 9 = 0)")
+def folder(spark):
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("src2_new_keywords", """SELECT project_id, keyword, category FROM (SELECT c_nationkey::BIGINT AS project_id, 'k' || (c_custkey % 400) AS keyword, arg_min(c_mktsegment, c_custkey) AS category FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 11 <> 0 GROUP BY 1, 2)
+WHERE (project_id, keyword) NOT IN (SELECT (c_nationkey::BIGINT, 'k' || (c_custkey % 400)) FROM customer WHERE c_custkey % 9 = 0)""")
 def src2(spark, d):
-    k = S.keywords(spark, d).select("project_id", F.col("keyword_id").alias("ord"), F.concat(F.lit(" k"), F.col("keyword_id") % 400, F.lit(" ")).alias("keyword"), "category")
-    return X.new_keywords(k.filter("ord % 9 <> 0"), k.filter("ord % 9 = 0").withColumn("keyword", F.trim("keyword"))).select("project_id", "keyword", "ord")
+    """Keyword files of all projects, with blanks around and some keywords blank, imported beside what projects have."""
+    k = S.keywords(spark, d).withColumn("keyword", F.when(F.col("keyword_id") % 11 == 0, "  ").otherwise(F.concat(F.lit(" k"), F.col("keyword_id") % 400, F.lit(" "))))
+    given = k.filter("keyword_id % 9 <> 0").repartition("project_id").sortWithinPartitions("project_id", "keyword_id")
+    X.write_csv(given.select("keyword", "category", "project_id"), path := folder(spark), "project_id")
+    return X.import_keywords(spark, path, k.filter("keyword_id % 9 = 0").withColumn("keyword", F.concat(F.lit("k"), F.col("keyword_id") % 400))).withColumn("project_id", F.col("project_id").cast("long"))
 
 
 @query("src3_export_keywords", "SELECT keyword, CASE WHEN keyword_id % 3 = 0 THEN '' ELSE category END AS category FROM keywords_v")
 def src3(spark, d):
-    return X.export_keywords(S.keywords(spark, d).withColumn("category", F.when(F.col("keyword_id") % 3 != 0, F.col("category"))))
+    """The export as a CSV file, read back."""
+    X.write_csv(X.export_keywords(S.keywords(spark, d).withColumn("category", F.when(F.col("keyword_id") % 3 != 0, F.col("category")))), path := folder(spark))
+    return X.read_keywords(spark, path).select("keyword", "category")
 
 
 @query("src4_crawl_statistics", "SELECT CAST(count(*) AS BIGINT) AS total_pages, CAST(count_if(length(html) > 0) AS BIGINT) AS successful_pages, CAST(sum(length(html)) AS BIGINT) AS n_chars FROM pages")
 def src4(spark, d):
-    return X.crawl_document(S.pages(spark, d).select(F.lit("").alias("title"), "url", F.col("html").alias("content")))[1]
+    """The statistics of an exported crawl, read from its JSON form."""
+    return X.read_crawl(spark, exported(spark, d))[1].drop("config")
+
+
+def exported(spark, d):
+    pages = S.pages(spark, d).select(P.title(F.col("html")).alias("title"), "url", F.col("html").alias("content"))
+    X.export_crawl(pages, path := folder(spark), {"max_pages": 100, "max_depth": 3})
+    return path
+
+
+@query("src4_crawl_csv", f"SELECT {TITLE} AS title, url, 0 AS depth, 'initial' AS source, CAST(length(html) AS BIGINT) AS content_length FROM pages")
+def src4_csv(spark, d):
+    return X.read_crawl(spark, exported(spark, d))[2]
+
+
+@query("src4_crawl_json", f"SELECT {TITLE} AS title, url, md5(html) AS digest, CAST(length(html) AS BIGINT) AS content_length FROM pages")
+def src4_json(spark, d):
+    return X.read_crawl(spark, exported(spark, d))[0].select("title", "url", F.md5("content").alias("digest"), "content_length")
 
 
 @query("src5_analysis_report", "SELECT analysis_id, keyword, category, status, confidence, strftime(analyzed_at, '%Y-%m-%d %H:%M:%S') AS analyzed_at FROM analyses_v JOIN keywords_v USING (keyword_id)")

@@ -252,16 +252,33 @@ def url7(spark, d):
     return K.feature_links(links(spark, d), lambda c: T.has_any(c, TERMS)).select("page_id", "ord", "href", "text")
 
 
-@query("url8_reach", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey * 7 % (SELECT max(c_custkey) FROM customer) + 1 AS dst FROM orders),
-s AS (SELECT c_custkey AS url FROM customer WHERE c_acctbal >= (SELECT max(c_acctbal) - 50 FROM customer)), r AS (SELECT url, 0 AS depth FROM s UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 3) SELECT url, min(depth) AS depth FROM r GROUP BY url""")
-def url8(spark, d):
-    """Customers as pages, every order as a link: from the richest customers, three steps far."""
+REACH = """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey * 7 % (SELECT max(c_custkey) FROM customer) + 1 AS dst FROM orders),
+s AS (SELECT c_custkey AS url, CASE WHEN c_mktsegment = 'BUILDING' THEN 'initial' ELSE 'sitemap' END AS source FROM customer WHERE c_acctbal >= (SELECT max(c_acctbal) - 50 FROM customer)),
+r AS (SELECT url, 0 AS depth FROM s UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 3), d AS (SELECT url, min(depth) AS depth FROM r GROUP BY url),
+p AS (SELECT dst AS url, min(src) AS parent FROM e JOIN d x ON x.url = src JOIN d y ON y.url = dst WHERE y.depth = x.depth + 1 GROUP BY dst)
+SELECT url, depth, coalesce(s.source, 'link') AS source, CASE WHEN s.url IS NULL THEN parent END AS parent FROM d LEFT JOIN s USING (url) LEFT JOIN p USING (url)"""
+
+
+def customer_links(spark, d):
+    """(edges, seeds): customers as pages, every order as a link, the richest customers as seeds."""
     c = S.read(spark, d, "customer")
     top = c.agg(F.max("c_custkey").alias("n"), (F.max("c_acctbal") - 50).alias("least"))
     o = S.read(spark, d, "orders").crossJoin(F.broadcast(top))
     edges = o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7 % F.col("n") + 1).alias("dst")).distinct()
-    seeds = c.crossJoin(F.broadcast(top)).filter("c_acctbal >= least").select(F.col("c_custkey").alias("url"))
-    return K.reach(written(edges), seeds, 3, written)
+    source = F.when(F.col("c_mktsegment") == "BUILDING", "initial").otherwise("sitemap")
+    return written(edges), c.crossJoin(F.broadcast(top)).filter("c_acctbal >= least").select(F.col("c_custkey").alias("url"), source.alias("source"))
+
+
+@query("url8_reach", REACH)
+def url8(spark, d):
+    """Three steps far from the seeds."""
+    return K.reach(*customer_links(spark, d), 3, written)
+
+
+@query("url8_reach_within_budget", f"SELECT * FROM ({REACH}) ORDER BY depth, url LIMIT 300")
+def url8_budget(spark, d):
+    """The same until 300 pages are reached; what is beyond is never joined."""
+    return K.reach(*customer_links(spark, d), 3, written, 300)
 
 
 @query("url9_child_pages", f"WITH l AS (SELECT *, {ABSOLUTE} AS child FROM ({LINKS})) SELECT page_id, child, title || ' - ' || text AS title FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS r FROM l WHERE starts_with(child, regexp_extract(url, '^(https?://[^/?#]+)', 1)) AND child <> url) JOIN (SELECT page_id, {TITLE} AS title FROM pages) USING (page_id) WHERE r <= 10")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import reports as R
+from ..sources import files as X
 from ..sources import tables as S
+from ..sources.materialise import shared_folder, written
 from .registry import query
 
 COUNTS = "CAST(count(*) AS BIGINT) AS total, CAST(count_if(status = 'O') AS BIGINT) AS n_supported, CAST(count_if(status = '△') AS BIGINT) AS n_partial, CAST(count_if(status = 'X') AS BIGINT) AS n_unsupported"
@@ -40,7 +44,8 @@ def rep4(spark, d):
 @query("rep5_page_of_analyses", "SELECT analysis_id, status, row_no, total, CAST(ceil(total / 20.0) AS BIGINT) AS n_pages FROM (SELECT analysis_id, status, row_number() OVER (ORDER BY analyzed_at DESC, analysis_id DESC) AS row_no, count(*) OVER () AS total FROM analyses_v WHERE status = 'O') WHERE row_no BETWEEN 41 AND 60")
 def rep5(spark, d):
     rows = S.analyses(spark, d).filter("status = 'O'")
-    return R.page_of(rows, [F.desc("analyzed_at"), F.desc("analysis_id")], 3, 20).select("analysis_id", "status", F.col("row_no").cast("long").alias("row_no"), "total", "n_pages")
+    boundaries = R.page_boundaries(rows, "analyzed_at", "analysis_id", 20, written)
+    return R.page_of(rows, "analyzed_at", "analysis_id", boundaries, 3, 20).select("analysis_id", "status", "row_no", "total", "n_pages")
 
 
 @query("rep6_category_statistics", "SELECT category, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 3) AS avg_confidence FROM features_v GROUP BY category")
@@ -99,9 +104,28 @@ def rep13(spark, d):
     return cards(spark, d).select("product", "status", "n_features")
 
 
+def saved_keywords(spark, d):
+    """(table, folder): the keywords saved by project, under a new name."""
+    name = f"keywords_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}"
+    X.save_by_project(S.keywords(spark, d), name, folder)
+    return name, folder
+
+
 @query("rep14_purge_counts", "SELECT CAST(count_if(project_id = 3) AS BIGINT) AS n_deleted, CAST(count_if(project_id <> 3) AS BIGINT) AS n_kept FROM keywords_v")
 def rep14(spark, d):
-    return R.purge(S.keywords(spark, d), 3)[1]
+    """The keywords as a table by project, of which one project is then deleted; counts are of the table itself."""
+    table, _ = saved_keywords(spark, d)
+    gone = X.purge_project(spark, table, 3)
+    return spark.table(table).agg(F.lit(gone).alias("n_deleted"), F.count("*").alias("n_kept"))
+
+
+@query("rep14_purge_part", "SELECT keyword_id, project_id, keyword, category FROM keywords_v WHERE NOT (project_id = 3 AND category = 'BUILDING')")
+def rep14_part(spark, d):
+    """Part of a project's rows deleted: only that project's folder is written again."""
+    table, _ = saved_keywords(spark, d)
+    X.purge_project(spark, table, 3, F.col("category") == "BUILDING")
+    return spark.table(table).select("keyword_id", "project_id", "keyword", "category")
 
 
 @query("rep15_report_content", f"""SELECT 'project' AS section, project AS item, n_keywords AS value FROM ({LIST}) UNION ALL

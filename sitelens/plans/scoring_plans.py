@@ -152,16 +152,20 @@ def lex15(spark, d):
     return docs(spark, d).select("doc_id", C.first_phrase(F.lower("text"), L.NEGATIVE).alias("negative"), T.has_any(F.lower("text"), L.BASIC).alias("basic"))
 
 
-CORPUS = "SELECT source AS product, string_agg(text, ' ' ORDER BY doc_id) AS corpus FROM documents WHERE doc_id % 50 = 0 GROUP BY source"
+#: The verdict of each text, and the stage that decided it, of the rows in STAGES.
+STAGED = f"""SELECT source, doc_id, feature, CASE WHEN contains(low, feature) THEN 0 WHEN syn IS NOT NULL THEN 1 WHEN ctx IS NOT NULL THEN 2 WHEN neg IS NOT NULL THEN 3 WHEN {ANY('feature', L.BASIC)} THEN 4 ELSE 5 END AS stage,
+CASE WHEN contains(low, feature) OR syn IS NOT NULL THEN 'O' WHEN ctx IS NOT NULL THEN ctx WHEN neg IS NOT NULL THEN 'X' WHEN {ANY('feature', L.BASIC)} THEN 'O' ELSE 'X' END AS status,
+CASE WHEN contains(low, feature) THEN 0.95 WHEN syn IS NOT NULL THEN 0.85 WHEN ctx IS NOT NULL THEN CASE WHEN {ANY('feature', L.ADVANCED)} THEN CASE ctx WHEN 'O' THEN 0.85 WHEN 'X' THEN 0.9 ELSE 0.6 END ELSE CASE ctx WHEN 'O' THEN 0.75 WHEN 'X' THEN 0.8 ELSE 0.6 END END
+WHEN neg IS NOT NULL THEN 0.9 WHEN {ANY('feature', L.BASIC)} THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence FROM ({STAGES}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) WHERE low IS NOT NULL"""
 
 
-@query("lex16_two_product_support", "SELECT feature, max(status) FILTER (source = 'src1') AS status_1, max(status) FILTER (source = 'src2') AS status_2, CAST(max(n) FILTER (source = 'src1') AS BIGINT) AS n_1, CAST(max(n) FILTER (source = 'src2') AS BIGINT) AS n_2 FROM (SELECT source, feature, CASE WHEN bool_or(contains(lower(text), feature)) THEN 'O' ELSE 'X' END AS status, count_if(contains(lower(text), feature)) AS n FROM documents CROSS JOIN " + FEATURE_ROWS + " WHERE source IN ('src1', 'src2') GROUP BY 1, 2) GROUP BY feature")
+@query("lex16_two_product_support", f"""WITH v AS (SELECT source, feature, arg_min(status, (stage, doc_id)) AS status, arg_min(confidence, (stage, doc_id)) AS confidence FROM ({STAGED}) GROUP BY 1, 2)
+SELECT feature, max(status) FILTER (source = 'src1') AS status_1, max(confidence) FILTER (source = 'src1') AS confidence_1, max(status) FILTER (source = 'src2') AS status_2, max(confidence) FILTER (source = 'src2') AS confidence_2 FROM v WHERE source IN ('src1', 'src2') GROUP BY feature""")
 def lex16(spark, d):
-    hit = F.lower("text").contains(F.col("feature"))
-    per = featured(spark, d).filter(F.col("source").isin("src1", "src2")).groupBy("source", "feature").agg(F.bool_or(hit).alias("any"), F.count_if(hit).alias("n"))
-    of = lambda s, c: F.max(F.when(F.col("source") == s, c))
-    status = F.when(F.col("any"), "O").otherwise("X")
-    return per.groupBy("feature").agg(of("src1", status).alias("status_1"), of("src2", status).alias("status_2"), of("src1", F.col("n")).alias("n_1"), of("src2", F.col("n")).alias("n_2"))
+    """Requested features, as a user writes them, in the corpora of two products."""
+    wanted = spark.createDataFrame([(f,) for f in C.requested_features(", ".join([*FEATURES, " "]))], "feature string")
+    texts = docs(spark, d).select(F.col("source").alias("product"), F.col("doc_id").alias("ord"), "text")
+    return C.two_product_support(texts, wanted, "src1", "src2", NAMES).drop("matched_1", "matched_2")
 
 
 CATFEAT = f"SELECT product, category, terms, category || ': ' || terms AS description, 0.7::DOUBLE AS confidence, CAST(n_pages AS BIGINT) AS n_pages, sources FROM (SELECT source AS product, category, string_agg(DISTINCT term, ', ' ORDER BY term) AS terms, count(DISTINCT doc_id) AS n_pages FROM documents JOIN {LEXICON} ON contains(lower(text), term) GROUP BY 1, 2) JOIN (SELECT product, category, string_agg('doc' || doc_id, ' ' ORDER BY doc_id) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY product, category ORDER BY doc_id) AS r FROM (SELECT DISTINCT source AS product, category, doc_id FROM documents JOIN {LEXICON} ON contains(lower(text), term))) WHERE r <= 3 GROUP BY 1, 2) USING (product, category)"
