@@ -282,6 +282,12 @@ def links(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", "ord", F.regexp_extract("a", 'href="([^"]*)"', 1).alias("href"), F.trim(F.regexp_extract("a", ">([^<]*)<", 1)).alias("text")).filter(F.length("text") > 0)
 
 
+def first_links(page_links: DataFrame, n: int = 20, cap: int = 100) -> DataFrame:
+    """The first n links of each page (page_id, ord, href, text), texts cut."""
+    ranked = page_links.withColumn("row_no", F.row_number().over(Window.partitionBy("page_id").orderBy("ord"))).filter(F.col("row_no") <= n)
+    return ranked.select("page_id", "ord", "href", F.substring("text", 1, cap).alias("text"))
+
+
 def list_item_features(pages: DataFrame, terms: list[str]) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit(r"(?is)<(?:li|p)>[^<]*</(?:li|p)>"), F.lit(0))
     rows = pages.select("page_id", F.posexplode(found).alias("ord", "li")).select("page_id", "ord", F.trim(F.regexp_extract("li", ">([^<]*)<", 1)).alias("text"))

@@ -85,15 +85,20 @@ def prefixes(packed: DataFrame, key: str, threshold: float) -> DataFrame:
     return packed.select(key, "h", "w").mapInArrow(run, f"{key} {kind}, h long, w double, rest double")
 
 
-def in_parts(postings: DataFrame, key: str, most: int) -> DataFrame:
-    """Pairs (a, b) of postings of one term with their columns; a term of more than `most` is dealt into parts, and each pair of parts is a key."""
-    parts = postings.groupBy("h").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    dealt = postings.join(parts, "h").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts").cast("long")).cast("int"))
-    x = dealt.select("h", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), *[F.col(c).alias(f"{c}_a") for c in (key, "w", "rest")])
-    y = dealt.select("h", F.col("part").alias("j"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), *[F.col(c).alias(f"{c}_b") for c in (key, "w", "rest")])
+def pairs_in_groups(rows: DataFrame, group: str, key: str, columns: list[str], most: int = POSTINGS) -> DataFrame:
+    """Pairs (a, b), a < b, of rows of one group, with the columns of either as <column>_a and <column>_b.
+
+    A group of more than `most` rows is dealt into parts, and each pair of parts is a join key of its own, so no task meets more
+    than most x most pairs of a group.
+    """
+    parts = rows.groupBy(group).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts"))
+    dealt = rows.join(parts, group).withColumn("__part", F.pmod(F.xxhash64(key), F.col("__parts").cast("long")).cast("int"))
+    own = [key, *columns]
+    x = dealt.select(group, F.col("__part").alias("__i"), F.explode(F.sequence(F.col("__part"), F.col("__parts") - 1)).alias("__j"), *[F.col(c).alias(f"{c}_a") for c in own])
+    y = dealt.select(group, F.col("__part").alias("__j"), F.explode(F.sequence(F.lit(0), F.col("__part"))).alias("__i"), *[F.col(c).alias(f"{c}_b") for c in own])
     one, other = F.col(f"{key}_a"), F.col(f"{key}_b")
-    met = x.join(y, ["h", "i", "j"]).filter((F.col("i") < F.col("j")) | (one < other))
-    return met.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"), "w_a", "w_b", "rest_a", "rest_b")
+    met = x.join(y, [group, "__i", "__j"]).filter(F.when(F.col("__i") < F.col("__j"), one != other).otherwise(one < other))
+    return met.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"), *[f"{c}_{side}" for c in columns for side in "ab"])
 
 
 def cosine_candidates(packed: DataFrame, key: str, threshold: float, keep: Callable[[DataFrame], DataFrame], most: int = POSTINGS) -> DataFrame:
@@ -103,7 +108,7 @@ def cosine_candidates(packed: DataFrame, key: str, threshold: float, keep: Calla
     Up to the last prefix term that both have, all common terms are in both prefixes; after it their product is at
     most that of the norms that are left, so the sum of both bounds the cosine.
     """
-    met = in_parts(keep(prefixes(packed, key, threshold)), key, most)
+    met = pairs_in_groups(keep(prefixes(packed, key, threshold)), "h", key, ["w", "rest"], most)
     bound = met.groupBy("a", "b").agg((F.sum(F.col("w_a") * F.col("w_b")) + F.min(F.col("rest_a") * F.col("rest_b"))).alias("bound"))
     return bound.filter(F.col("bound") >= threshold - 1e-9).select("a", "b")
 
@@ -219,20 +224,20 @@ def keep_first(nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], D
         open_ = keep(open_.join(newly, "id", "left_anti"))
 
 
-def title_matches(left: DataFrame, right: DataFrame, least: float = 0.3, sure: float = 0.5) -> DataFrame:
+def title_matches(left: DataFrame, right: DataFrame, keep: Callable[[DataFrame], DataFrame], least: float = 0.3, sure: float = 0.5) -> DataFrame:
     """For each left title (id, title) the right one of highest token Jaccard: O above 0.5, partial above 0.3, else X.
 
     Distinct sets of tokens are matched once.  Two sets above the threshold share one of their rarest tokens, so only
     these are joined: a token that most titles have brings no pairs.
     """
     words = F.array_sort(F.array_distinct(tokens(F.col("title"))))
-    x = left.select(F.col("id").alias("a"), words.alias("t_a"))
-    y = right.select("id", words.alias("t_b")).groupBy("t_b").agg(F.min("id").alias("b"))
+    x = keep(left.select(F.col("id").alias("a"), words.alias("t_a")))
+    y = keep(right.select("id", words.alias("t_b")).groupBy("t_b").agg(F.min("id").alias("b")))
     sets = x.select(F.col("t_a").alias("t")).unionByName(y.select(F.col("t_b").alias("t"))).distinct().filter(F.size("t") > 0)
     ranked = sets.select("t", F.explode("t").alias("w"))
     ranked = ranked.join(ranked.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("order"))
     # above the threshold more than least * size tokens are shared, so one of the first size - least * size ones is
-    rare = ranked.select("t", F.explode(F.slice("order", 1, F.size("t") - F.floor(least * F.size("t")).cast("int"))).alias("o")).select("t", F.col("o.w").alias("w"))
+    rare = keep(ranked.select("t", F.explode(F.slice("order", 1, F.size("t") - F.floor(least * F.size("t")).cast("int"))).alias("o")).select("t", F.col("o.w").alias("w")))
     near = rare.join(y, rare["t"] == y["t_b"], "left_semi").select(F.col("t").alias("t_b"), "w").join(rare.join(x, rare["t"] == x["t_a"], "left_semi").select(F.col("t").alias("t_a"), "w"), "w")
     near = near.select("t_a", "t_b").distinct().withColumn("similarity", F.round(T.jaccard(F.col("t_a"), F.col("t_b")), 6)).filter(F.col("similarity") > least)
     best = near.join(y, "t_b").groupBy("t_a").agg(F.max_by(F.struct("b", "similarity"), F.struct("similarity", -F.col("b"))).alias("best"))
@@ -251,9 +256,9 @@ def shares_group(a: Column, b: Column, synonyms: dict[str, list[str]]) -> Column
 
 
 def synonym_pairs(names: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame:
-    """(a, b) with a < b of distinct names (norm) that hit the same group: joined on the group."""
+    """(a, b) with a < b of distinct names (norm) that hit the same group; a group of very many names meets in parts."""
     hits = names.select("norm", F.explode(groups_of(F.col("norm"), synonyms)).alias("g"))
-    return hits.select(F.col("norm").alias("a"), "g").join(hits.select(F.col("norm").alias("b"), "g"), "g").filter("a < b").select("a", "b").distinct()
+    return pairs_in_groups(hits, "g", "norm", []).distinct()
 
 
 def candidate_pairs(names: DataFrame, synonyms: dict[str, list[str]], gram: int = 3) -> DataFrame:
@@ -263,7 +268,7 @@ def candidate_pairs(names: DataFrame, synonyms: dict[str, list[str]], gram: int
     no similarity but the sequence ratio's, which is at most its weight.
     """
     words = names.select("norm", F.explode(F.array_distinct(F.filter(F.split("norm", r"\s+"), lambda w: w != ""))).alias("w"))
-    by_word = words.select(F.col("norm").alias("a"), "w").join(words.select(F.col("norm").alias("b"), "w"), "w").select("a", "b")
+    by_word = pairs_in_groups(words, "w", "norm", [])
     begins = names.filter(F.length("norm") > 0).select(F.col("norm").alias("inner"), F.substring("norm", 1, gram).alias("g"))
     places = F.transform(F.sequence(F.lit(1), F.length("norm")), lambda i: F.array(*[F.substr(F.col("norm"), i, F.lit(n)) for n in range(1, gram + 1)]))
     grams = names.filter(F.length("norm") > 0).select(F.col("norm").alias("outer"), F.explode(F.array_distinct(F.flatten(places))).alias("g"))

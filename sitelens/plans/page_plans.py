@@ -156,6 +156,11 @@ def pg14(spark, d):
     return links(spark, d).select("page_id", "ord", "href", "text")
 
 
+@query("pg14_first_links", f"SELECT page_id, ord, href, substr(text, 1, 100) AS text FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS r FROM ({LINKS})) WHERE r <= 20")
+def pg14_first(spark, d):
+    return P.first_links(links(spark, d))
+
+
 @query("pg15_faq_pairs")
 def pg15(spark, d):
     return P.faq_pairs(clean_texts(spark, d), titles(spark, d))

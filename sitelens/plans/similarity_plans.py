@@ -38,6 +38,13 @@ def sim1_capped(spark, d):
 STOPPED = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in L.STOP_WORDS) + "], w))"
 
 
+@query("sim1_tfidf_words", "WITH t AS (SELECT doc_id, " + STOPPED + " AS ws FROM documents), g AS (SELECT doc_id, unnest(ws) AS term FROM t), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 1000), raw AS (SELECT doc_id, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term)) SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(max(w) / sqrt(sum(w * w)), 6) AS top_weight FROM raw GROUP BY doc_id")
+def sim1_words(spark, d):
+    """Single words without stop words: the form that near-duplicate pages were found in."""
+    v = M.tfidf(docs(spark, d), "doc_id", "text", 1, 1, stop=L.STOP_WORDS, max_features=1000, keep=written)
+    return v.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("w"), 6).alias("top_weight"))
+
+
 @query("sim1_tfidf_stopped", "WITH t AS (SELECT doc_id, " + STOPPED + " AS ws FROM documents), g AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM t), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 1000), raw AS (SELECT doc_id, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term)) SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(max(w) / sqrt(sum(w * w)), 6) AS top_weight FROM raw GROUP BY doc_id")
 def sim1_stopped(spark, d):
     """One and two words without stop words: the form that sections of two products are matched in."""
@@ -126,7 +133,7 @@ TITLE_SCORE = "round(len(list_intersect(x.ts, y.ts)) / (len(x.ts) + len(y.ts) -
 @query("sim6_title_matches", f"WITH x AS ({SIDE} < 'Brand#3'), y AS (SELECT ts, min(id) AS id FROM ({SIDE} >= 'Brand#3') GROUP BY ts), s AS (SELECT x.ts, y.id AS b, {TITLE_SCORE} AS similarity FROM (SELECT DISTINCT ts FROM x) x CROSS JOIN y), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY similarity DESC, b) AS r FROM s WHERE similarity > 0.3) WHERE r = 1) SELECT x.id AS a, m.b, coalesce(m.similarity, 0.0) AS similarity, CASE WHEN m.similarity > 0.5 THEN 'O' WHEN m.similarity > 0.3 THEN '△' ELSE 'X' END AS status FROM x LEFT JOIN m ON m.ts = x.ts")
 def sim6(spark, d):
     f = S.features(spark, d).select(F.col("ord").alias("id"), F.col("name").alias("title"), "product")
-    return M.title_matches(f.filter("product < 'Brand#3'"), f.filter("product >= 'Brand#3'"))
+    return M.title_matches(f.filter("product < 'Brand#3'"), f.filter("product >= 'Brand#3'"), written)
 
 
 SYN = L.SYNONYMS | L.SAMPLE_SYNONYMS

@@ -61,7 +61,7 @@ def test_bounds_prune_candidates(spark):
     texts = made_texts(random.Random(5), 200)
     df = spark.createDataFrame(texts, "doc_id long, text string")
     packed = written(M.packed_vectors(M.tfidf(df, "doc_id", "text"), "doc_id"))
-    met = M.in_parts(M.prefixes(packed, "doc_id", 0.8), "doc_id", 2000).select("a", "b").distinct().count()
+    met = M.pairs_in_groups(M.prefixes(packed, "doc_id", 0.8), "h", "doc_id", ["w", "rest"]).select("a", "b").distinct().count()
     left = M.cosine_candidates(packed, "doc_id", 0.8, written).count()
     assert len(near(texts, 0.8)) <= left < 0.8 * met
 
@@ -84,3 +84,11 @@ def test_links_and_kept_documents(spark):
             kept.append(i)
     nodes = classes.filter("doc_id = first").select(F.col("doc_id").alias("id"))
     assert sorted(r.id for r in M.keep_first(nodes, pairs.select("a", "b"), written).collect()) == kept
+
+
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_pairs_of_large_groups(spark, most):
+    rng = random.Random(most)
+    rows = sorted({(rng.choice("ggggggh"), f"n{rng.randint(0, 40)}") for _ in range(120)})
+    got = [tuple(r) for r in M.pairs_in_groups(spark.createDataFrame(rows, "g string, n string"), "g", "n", [], most).select("a", "b").collect()]
+    assert Counter(got) == Counter((a, b) for g, a in rows for h, b in rows if g == h and a < b)

@@ -291,7 +291,7 @@ def test_titles_match_as_in_loops(spark):
     left = [(i, t) for i, t in enumerate(["red steel door", "red door", "blue window", "red red door", "", "one two three four five"])]
     right = [(10 + i, t) for i, t in enumerate(["red door", "steel door", "door red", "window", "one two three", "x y"])]
     frames = [spark.createDataFrame(x, "id long, title string") for x in (left, right)]
-    got = {r.a: (r.b, r.status) for r in similarity.title_matches(*frames).collect()}
+    got = {r.a: (r.b, r.status) for r in similarity.title_matches(*frames, written).collect()}
     tokens = lambda t: {w for w in t.split() if len(w) > 1}
     for i, t in left:
         scored = [(len(tokens(t) & tokens(u)) / len(tokens(t) | tokens(u)), -j) for j, u in right if tokens(t) | tokens(u)]
