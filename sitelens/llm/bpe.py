@@ -38,8 +38,8 @@ WINDOW = 8
 WINDOW_CHUNKS = 1
 #: Chunks that a joined part keeps apart at either end for later windows.
 EDGE = 4
-#: Bound on the chunks that a worker remembers while a task runs, some 300 bytes each.
-MEMO = 400_000
+#: Bound on the chunks that a worker remembers while a task runs, some 300 bytes each; without decoded texts twice as many.
+MEMO = 200_000
 
 #: Marks that end a word, each a token of its own there.
 MARKS = (b",", b".", b";", b":", b"!", b"?", b")")
@@ -76,7 +76,7 @@ class ChunkEncoder:
         new = [c for c in chunks if c not in self.memo]
         if not new:
             return
-        if len(self.memo) + len(new) > MEMO:
+        if len(self.memo) + len(new) > (MEMO if self.decode else 2 * MEMO):
             self.memo = {c: self.memo[c] for c in chunks if c in self.memo}
         order, ids, others = [], [], []
         if self.plain_words:
