@@ -172,8 +172,10 @@ def two_product_support(texts: DataFrame, features: DataFrame, left: str, right:
 def category_features(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
     """For each product and category with a hit: found terms, description, the first three pages with any."""
     hits = lexicon_hits(pages.select("product", "ord", "url", "content"), F.col("content"), lexicon, ["product", "ord", "url"])
-    terms = hits.groupBy("product", "category").agg(F.array_join(F.array_sort(F.collect_set("term")), ", ").alias("terms"), F.count_distinct("ord").alias("n_pages"))
-    first = hits.select("product", "category", "ord", "url").distinct().withColumn("row_no", F.row_number().over(Window.partitionBy("product", "category").orderBy("ord"))).filter("row_no <= 3")
+    # texts are searched once: both sides start from the same small rows of pages and categories
+    pages_of = hits.groupBy("product", "category", "ord", "url").agg(F.collect_set("term").alias("terms"))
+    terms = pages_of.groupBy("product", "category").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))), ", ").alias("terms"), F.count_distinct("ord").alias("n_pages"))
+    first = pages_of.select("product", "category", "ord", "url").withColumn("row_no", F.row_number().over(Window.partitionBy("product", "category").orderBy("ord"))).filter("row_no <= 3")
     sources = first.groupBy("product", "category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda s: s["url"]), " ").alias("sources"))
     return terms.join(sources, ["product", "category"]).select("product", "category", "terms", F.concat("category", F.lit(": "), "terms").alias("description"), F.lit(0.7).alias("confidence"), "n_pages", "sources")
 

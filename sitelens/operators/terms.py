@@ -1,5 +1,8 @@
 """Many terms in many texts: one automaton finds all terms of a lexicon in one pass over each text.
 
+A lexicon of FEW terms compiles to columns instead, which stay in the JVM: for so few the texts' way to Python costs more than a
+search for each term.
+
 The lexicon is a dimension: its distinct terms are counted, and up to PART of them make one automaton, which is sent to the
 executors once and built once by each Python worker.  A larger lexicon makes several automata, each in a map of its own
 behind the last one, so no worker holds more than PART terms; texts are read once all the same, and nothing is shuffled.
@@ -18,8 +21,8 @@ from pyspark.sql import types as T
 
 from ..sources.materialise import sized
 
-#: Terms of one automaton, at most about so many.
-PART = 200_000
+#: Terms of one automaton, at most about so many; up to FEW, none is built.
+PART, FEW = 200_000, 64
 HITS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("at", T.LongType())]))
 
 _built: dict[str, object] = {}
@@ -68,15 +71,25 @@ def _searched(rows: DataFrame, low: str, hits: str, terms: list[str]) -> DataFra
     return rows.mapInArrow(run, rows.schema)
 
 
-def with_terms(rows: DataFrame, text: Column, lexicon: DataFrame, name: str = "hits", part: int = PART) -> DataFrame:
+def _columns(low: Column, terms: list[str], places: bool) -> Column:
+    """The hits of a few terms; a term is searched once more for its place, where it was found and if places are asked for."""
+    found = F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))
+    at = (lambda t: F.call_function("locate", t, low).cast("long")) if places else (lambda _: F.lit(None).cast("long"))
+    hits = F.transform(found, lambda t: F.struct(t.alias("term"), at(t).alias("at")))
+    return F.when(low.isNull(), F.array().cast(HITS)).otherwise(hits)
+
+
+def with_terms(rows: DataFrame, text: Column, lexicon: DataFrame, name: str = "hits", part: int = PART, few: int = FEW, places: bool = True) -> DataFrame:
     """rows with `name`: an array of (term, at), the lexicon's terms that the lower-cased text contains and their first places, from 1.
 
-    Without a hit, and for a null text, the array is empty.  Cost is linear in the text and in the terms found.
+    Without a hit, and for a null text, the array is empty.  Without places they may be null.  Cost is linear in the text and in the terms found.
     """
     terms = lexicon.select(F.lower("term").alias("term")).filter(F.trim("term") != "").distinct()
-    n = terms.count()
+    first, low = [r["term"] for r in terms.limit(few + 1).collect()], f"__low_{name}"
+    if 0 < len(first) <= few:
+        return rows.withColumn(low, F.lower(text)).withColumn(name, _columns(F.col(low), sorted(first), places)).drop(low)
+    n = terms.count() if first else 0
     parts = max(1, -(-n // part))
-    low = f"__low_{name}"
     rows = rows.withColumns({low: F.lower(text), name: F.array().cast(HITS)})
     for i in range(parts if n else 0):
         own = terms if parts == 1 else terms.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == i)
@@ -84,12 +97,12 @@ def with_terms(rows: DataFrame, text: Column, lexicon: DataFrame, name: str = "h
     return rows.drop(low)
 
 
-def lexicon_hits(rows: DataFrame, text: Column, lexicon: DataFrame, keep: list[str] | None = None, part: int = PART) -> DataFrame:
-    """A row for each row of `rows` and lexicon row whose term its lower-cased text contains, with `at`, the term's first place.
+def lexicon_hits(rows: DataFrame, text: Column, lexicon: DataFrame, keep: list[str] | None = None, part: int = PART, few: int = FEW) -> DataFrame:
+    """A row for each row of `rows` and lexicon row whose term its lower-cased text contains.
 
     keep: columns of rows that are wanted further on, so that texts stay behind.
     """
     kept = rows.columns if keep is None else keep
-    found = with_terms(rows, text, lexicon, "__hits", part).select(*[F.col(f"`{c}`") for c in kept], F.explode("__hits").alias("__hit"))
-    found = found.select(*[F.col(f"`{c}`") for c in kept], F.col("__hit.term").alias("__term"), F.col("__hit.at").alias("at"))
+    found = with_terms(rows, text, lexicon, "__hits", part, few, False).select(*[F.col(f"`{c}`") for c in kept], F.explode("__hits").alias("__hit"))
+    found = found.select(*[F.col(f"`{c}`") for c in kept], F.col("__hit.term").alias("__term"))
     return found.join(sized(lexicon.withColumn("__key", F.lower("term"))), F.col("__term") == F.col("__key")).drop("__term", "__key")

@@ -21,12 +21,12 @@ def test_terms_equal_a_loop(spark):
     texts = [(i, "".join(rng.choice("abcAé 지원미") for _ in range(rng.randint(0, 80)))) for i in range(80)] + [(900, None), (901, "")]
     rows = spark.createDataFrame(texts, "id int, text string").repartition(3)
     want = brute(texts, words)
-    for part in (1000, 7):  # one automaton, and several behind each other
-        got = terms.with_terms(rows, F.col("text"), table(spark, words), part=part).collect()
+    for part, few in ((1000, 0), (7, 0), (1000, 200)):  # one automaton, several behind each other, and generated columns
+        got = terms.with_terms(rows, F.col("text"), table(spark, words), part=part, few=few).collect()
         assert {r.id: {(h.term, h.at) for h in r.hits} for r in got} == want
         assert all(len(r.hits) == len({h.term for h in r.hits}) for r in got)
-        joined = terms.lexicon_hits(rows, F.col("text"), table(spark, words), ["id"], part)
-        assert sorted((r.id, r.term, r.at, r.term_rank) for r in joined.collect()) == sorted((i, w, at, k) for i, hits in want.items() for t, at in hits for k, w in enumerate(words) if w.lower() == t)
+        joined = terms.lexicon_hits(rows, F.col("text"), table(spark, words), ["id"], part, few)
+        assert sorted((r.id, r.term, r.term_rank) for r in joined.collect()) == sorted((i, w, k) for i, hits in want.items() for t, _ in hits for k, w in enumerate(words) if w.lower() == t)
 
 
 def test_no_terms_and_no_texts(spark):
