@@ -6,6 +6,8 @@ dimension tables whose size Spark checks.  Verdicts are ordered `when` chains, s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,11 +171,14 @@ def two_product_support(texts: DataFrame, features: DataFrame, left: str, right:
     return found.groupBy("feature").agg(*sides)
 
 
-def category_features(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """For each product and category with a hit: found terms, description, the first three pages with any."""
+def category_features(pages: DataFrame, lexicon: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """For each product and category with a hit: found terms, description, the first three pages with any.
+
+    keep writes the small rows of pages and categories that both sides start from, so that texts are searched once.
+    """
     hits = lexicon_hits(pages.select("product", "ord", "url", "content"), F.col("content"), lexicon, ["product", "ord", "url"])
-    # texts are searched once: both sides start from the same small rows of pages and categories
     pages_of = hits.groupBy("product", "category", "ord", "url").agg(F.collect_set("term").alias("terms"))
+    pages_of = pages_of if keep is None else keep(pages_of)
     terms = pages_of.groupBy("product", "category").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))), ", ").alias("terms"), F.count_distinct("ord").alias("n_pages"))
     first = pages_of.select("product", "category", "ord", "url").withColumn("row_no", F.row_number().over(Window.partitionBy("product", "category").orderBy("ord"))).filter("row_no <= 3")
     sources = first.groupBy("product", "category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda s: s["url"]), " ").alias("sources"))
@@ -210,7 +215,7 @@ def keywords_in_context(rows: DataFrame, key: str, text: str, lexicon: DataFrame
         shown = F.trim(F.substr(F.col(text), start, (hit["at"] + F.length(hit["term"]) + around - start).cast("int")))
         return F.struct(hit["term"].alias("low"), shown.alias("context"))
 
-    found = with_terms(rows.select(key, text), F.col(text), lexicon).select(key, F.explode(F.transform("hits", context)).alias("hit")).select(key, "hit.*")
+    found = with_terms(rows.select(key, text), F.col(text), lexicon).select(key, F.explode_outer(F.transform("hits", context)).alias("hit")).filter(F.col("hit").isNotNull()).select(key, "hit.*")
     terms = lexicon.groupBy("term").agg(F.min(F.struct("category_rank", "term_rank")).alias("place")).withColumn("low_term", F.lower("term"))
     hits = found.join(sized(terms), F.col("low") == F.col("low_term"))
     ranked = hits.withColumn("row_no", F.row_number().over(Window.partitionBy(key).orderBy("place", "term"))).filter(F.col("row_no") <= n)

@@ -103,6 +103,7 @@ def lexicon_hits(rows: DataFrame, text: Column, lexicon: DataFrame, keep: list[s
     keep: columns of rows that are wanted further on, so that texts stay behind.
     """
     kept = rows.columns if keep is None else keep
-    found = with_terms(rows, text, lexicon, "__hits", part, few, False).select(*[F.col(f"`{c}`") for c in kept], F.explode("__hits").alias("__hit"))
-    found = found.select(*[F.col(f"`{c}`") for c in kept], F.col("__hit.term").alias("__term"))
+    found = with_terms(rows, text, lexicon, "__hits", part, few, False).select(*[F.col(f"`{c}`") for c in kept], F.explode_outer("__hits").alias("__hit"))
+    # the outer form, or Spark would search texts once more for a filter on the array's size
+    found = found.filter(F.col("__hit").isNotNull()).select(*[F.col(f"`{c}`") for c in kept], F.col("__hit.term").alias("__term"))
     return found.join(sized(lexicon.withColumn("__key", F.lower("term"))), F.col("__term") == F.col("__key")).drop("__term", "__key")

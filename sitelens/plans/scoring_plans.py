@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 from ..operators import scoring as C
 from ..sources import tables as S
+from ..sources.materialise import written
 from .registry import query
 
 LEX = L.SAMPLE_CATEGORIES
@@ -173,7 +174,7 @@ CATFEAT = f"SELECT product, category, terms, category || ': ' || terms AS descri
 
 @query("lex17_category_features", CATFEAT)
 def lex17(spark, d):
-    return C.category_features(product_pages(spark, d), lexicon(spark))
+    return C.category_features(product_pages(spark, d), lexicon(spark), written)
 
 
 @query("lex18_extraction_summary", f"SELECT product, CAST(count(*) AS BIGINT) AS total_features, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, 'medium' AS quality FROM ({CATFEAT}) GROUP BY product")
