@@ -2,8 +2,8 @@
 
 Documents of equal sets form one class.  A set at the threshold must share a token with its partner among its first
 tokens (the prefix) under any global order of tokens; candidates share prefix tokens under three orders, of which the
-first is joined and the others are intersected before sets are compared.  All orders put tokens that are frequent
-in a sample last, which affects speed only.  A parity sketch of each set (SKETCH_BITS bits, each token flips one) goes
+first is joined and the others are intersected before sets are compared.  All orders put frequent tokens last, by
+counts of all documents in buckets of tokens.  A parity sketch of each set (SKETCH_BITS bits, each token flips one) goes
 with it: sketches that differ in more bits than the sets may differ in tokens prove a pair to be below the threshold.
 
 Only the connection of classes is asked for, so the classes that share a token are first compared with one of them
@@ -34,10 +34,10 @@ from .textblocks import Words, as_long, mix, secret_key, text_blocks
 SHINGLE = 4
 #: Link when DENOMINATOR * intersection >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 85, 100
-#: About so many documents are counted for the token order, and tokens of at least so many of them are put last.
-SAMPLE_DOCS = 16_384
-LEAST_COUNT = 5
-MOST_FREQUENT = 262_144
+#: Tokens are counted in so many buckets by their hash.  Those of a bucket whose count is above the middle one by one of so
+#: many documents, and by at least so much, are put last.
+BUCKETS = 1 << 18
+SHARE_DOCS, LEAST_COUNT = 3_277, 5
 #: About so many members of a group, outside its largest component, meet all others in the first turn: few of them
 #: connect most of what is connected.  Each turn takes so many times more, up to the most.
 HUBS, MORE_HUBS, MOST_HUBS = 64, 8, 2048
@@ -99,24 +99,28 @@ def prefix_length(n: int, numerator: int, denominator: int) -> int:
     return n - -(-n * numerator // denominator) + 1
 
 
-def token_counts(docs: DataFrame, k: Shingling) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent tokens of a bounded sample: (hashes in ascending order, counts)."""
-    n_docs = docs.select("text").count()
-    part = max(1, n_docs // SAMPLE_DOCS)
+def bucket(s: np.ndarray) -> np.ndarray:
+    return (mix(s ^ np.uint64(0x452821E638D01377)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def token_counts(docs: DataFrame, k: Shingling) -> np.ndarray:
+    """For each bucket in how many documents its tokens are, of all documents; 0 where that is not much more than usual."""
 
     def tokens(batches):
+        counts = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             sets = [s for _, s in shingle_sets(batch.column("text"), k)]
             if sets:
-                h, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(n.astype(np.int64))], names=["token", "n"])
+                counts += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
 
-    sample = docs.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(part)) == 0).select("text")
-    counted = sample.mapInArrow(tidy(tokens), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counted.filter(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()
-    h = np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.array([r["n"] for r in rows], dtype=np.int64)[order]
+    n_docs = docs.select("text").count()
+    found = docs.select("text").mapInArrow(tidy(tokens), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    often = counts >= np.median(counts) + max(LEAST_COUNT, n_docs // SHARE_DOCS)
+    return np.where(often, np.minimum(counts, (1 << 24) - 1), 0)  # 24 bits of an order's key
 
 
 def with_digest(docs: DataFrame, k: Shingling, added: tuple[str, str, str] = ("n_shingles", "d1", "d2")) -> DataFrame:
@@ -135,7 +139,7 @@ def with_digest(docs: DataFrame, k: Shingling, added: tuple[str, str, str] = ("n
 
 def classes_of(docs: DataFrame, k: Shingling, numerator: int, denominator: int) -> DataFrame:
     """One row for each distinct non-empty set: node, first_id, n, d1, d2, sketch, prefix (in order 1), second, third (orders 2 and 3)."""
-    known, counts = token_counts(docs, k)
+    counts = token_counts(docs, k).astype(np.uint64)
     longs = ["id", "n", "d1", "d2", *SKETCH]
     schema = ", ".join(f"{c} long" for c in longs) + ", prefix array<long>, second array<int>, third array<int>"
 
@@ -146,10 +150,7 @@ def classes_of(docs: DataFrame, k: Shingling, numerator: int, denominator: int)
             for row, s in shingle_sets(batch.column("text"), k):
                 if not len(s):
                     continue
-                often = np.zeros(len(s), dtype=np.uint64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = np.where(known[at] == s, counts[at], 0).astype(np.uint64)
+                often = counts[bucket(s)]
                 p, firsts = prefix_length(len(s), numerator, denominator), []
                 for seed in _SEEDS:
                     key = (often << np.uint64(40)) | (mix(s ^ np.uint64(seed)) >> np.uint64(24))
