@@ -116,27 +116,27 @@ STAGES = f"""SELECT doc_id, feature, low, syn, hit, CASE WHEN hit IS NULL THEN N
 
 
 def featured(spark, d):
-    return docs(spark, d).join(F.broadcast(spark.createDataFrame([(f,) for f in FEATURES], "feature string")), how="cross")
+    return C.asked_of(docs(spark, d), spark.createDataFrame([(f,) for f in FEATURES], "feature string"))
 
 
 @query("lex9_feature_support", f"SELECT doc_id, feature, CASE WHEN contains(low, feature) OR syn IS NOT NULL THEN 'O' WHEN ctx IS NOT NULL THEN ctx WHEN neg IS NOT NULL THEN 'X' WHEN {ANY('feature', L.BASIC)} THEN 'O' ELSE 'X' END AS status, CASE WHEN contains(low, feature) THEN 0.95 WHEN syn IS NOT NULL THEN 0.85 WHEN ctx IS NOT NULL THEN CASE WHEN {ANY('feature', L.ADVANCED)} THEN CASE ctx WHEN 'O' THEN 0.85 WHEN 'X' THEN 0.9 ELSE 0.6 END ELSE CASE ctx WHEN 'O' THEN 0.75 WHEN 'X' THEN 0.8 ELSE 0.6 END END WHEN neg IS NOT NULL THEN 0.9 WHEN {ANY('feature', L.BASIC)} THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence FROM ({STAGES})")
 def lex9(spark, d):
-    return featured(spark, d).select("doc_id", "feature", C.feature_support(F.col("text"), F.col("feature"), NAMES).alias("v")).select("doc_id", "feature", "v.status", "v.confidence")
+    return featured(spark, d).select("doc_id", "feature", C.feature_support(F.col("text"), F.col("feature"), NAMES, prepared=True).alias("v")).select("doc_id", "feature", "v.status", "v.confidence")
 
 
 @query("lex10_direct_substring", "SELECT doc_id, feature FROM documents CROSS JOIN " + FEATURE_ROWS + " WHERE contains(lower(text), feature)")
 def lex10(spark, d):
-    return featured(spark, d).filter(F.lower("text").contains(F.col("feature"))).select("doc_id", "feature")
+    return featured(spark, d).filter(F.col("__low").contains(F.col("feature"))).select("doc_id", "feature")
 
 
 @query("lex11_synonyms", f"SELECT doc_id, feature, syn AS matched FROM ({STAGES}) WHERE syn IS NOT NULL")
 def lex11(spark, d):
-    return featured(spark, d).select("doc_id", "feature", C.by_synonym(F.lower("text"), F.col("feature"), NAMES)["matched"].alias("matched")).filter("matched IS NOT NULL")
+    return featured(spark, d).select("doc_id", "feature", C.by_synonym(F.col("__low"), F.col("feature"), NAMES)["matched"].alias("matched")).filter("matched IS NOT NULL")
 
 
 @query("lex12_context", f"SELECT doc_id, feature, ctx AS status, CASE WHEN length(hit) > 100 THEN substr(hit, 1, 100) || '...' ELSE hit END AS evidence FROM ({STAGES}) WHERE ctx IS NOT NULL")
 def lex12(spark, d):
-    return featured(spark, d).select("doc_id", "feature", C.in_context(F.col("text"), F.col("feature")).alias("v")).filter("v IS NOT NULL").select("doc_id", "feature", "v.status", F.col("v.matched").alias("evidence"))
+    return featured(spark, d).select("doc_id", "feature", C.in_context(F.col("text"), F.col("feature"), sentences=F.col("__sentences"), parts=F.col("__parts")).alias("v")).filter("v IS NOT NULL").select("doc_id", "feature", "v.status", F.col("v.matched").alias("evidence"))
 
 
 @query("lex14_word_chunks", r"SELECT doc_id, CAST(i AS BIGINT) AS chunk_no, CAST(length(c) AS BIGINT) AS n_chars, md5(c) AS digest FROM (SELECT doc_id, i, array_to_string(w[i * 500 + 1 : i * 500 + 500], ' ') AS c FROM (SELECT doc_id, w, unnest(range(CAST(ceil(len(w) / 500.0) AS BIGINT))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents))) WHERE length(c) > 50 AND i * 500 >= 0")

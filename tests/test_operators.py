@@ -303,3 +303,16 @@ def test_products_are_named_by_place(spark):
     rows = spark.createDataFrame([(i * 7, None if i % 2 else f"n{i}") for i in range(50)], "ord long, product string").repartition(9)
     got = {r.ord: r.product for r in catalog.named_products(rows, written).collect()}
     assert got == {i * 7: f"product{i + 1}" if i % 2 else f"n{i}" for i in range(50)}
+
+
+def test_texts_are_split_once_for_all_features(spark):
+    """Below the join with features texts are split into sentences; above it they aren't."""
+    from sitelens.operators import scoring
+
+    texts = spark.createDataFrame([(1, "One. Two chat here.")], "doc_id long, text string")
+    asked = scoring.asked_of(texts, spark.createDataFrame([("chat",), ("two",)], "feature string"))
+    v = scoring.in_context(F.col("text"), F.col("feature"), sentences=F.col("__sentences"), parts=F.col("__parts"))
+    out = asked.select("feature", v["matched"].alias("m"))
+    assert {r.feature: r.m for r in out.collect()} == {"chat": "two chat here.", "two": "two chat here."}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("Join Cross")
+    assert "regexp_replace" in plan[1] and "regexp_replace" not in plan[0]
