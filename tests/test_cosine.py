@@ -92,3 +92,46 @@ def test_pairs_of_large_groups(spark, most):
     rows = sorted({(rng.choice("ggggggh"), f"n{rng.randint(0, 40)}") for _ in range(120)})
     got = [tuple(r) for r in M.pairs_in_groups(spark.createDataFrame(rows, "g string, n string"), "g", "n", [], most).select("a", "b").collect()]
     assert Counter(got) == Counter((a, b) for g, a in rows for h, b in rows if g == h and a < b)
+
+
+@pytest.mark.parametrize("most_shared", [0, 1000])
+def test_copies_and_repeated_ids_have_rows(spark, most_shared):
+    """Every link follows from the rows: pairs of firsts, and each first with its copies; an id with two texts is one vector."""
+    texts = made_texts(random.Random(17), 90) + [(2000 + i, "many copies of one text stand here") for i in range(9)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    classes, pairs = M.near_texts(df, "doc_id", "text", 0.8, written, most_shared)
+    got = {(r.a, r.b): r.cosine for r in M.with_members(classes, pairs, "doc_id").collect()}
+    first = {}
+    for i, t in texts:
+        first.setdefault(t, i)
+    text = dict(texts)
+    want = {k: c for k, c in near(texts, 0.8).items() if first[text[k[0]]] == k[0] and first[text[k[1]]] in k}
+    assert set(got) == set(want) and all(abs(got[k] - c) < 1e-9 for k, c in want.items())
+    assert sum(a == 2000 for a, b in got) >= 8
+    twice = spark.createDataFrame([(1, "aa bb cc"), (1, "dd ee"), (2, "aa bb cc dd ee"), (3, "zz")], "doc_id long, text string")
+    assert [(r.a, r.b, round(r.cosine, 9)) for r in M.near_texts(twice, "doc_id", "text", 0.8, written, most_shared)[1].collect()] == [(1, 2, 1.0)]
+
+
+def test_blocks_shuffle_no_pairs(spark):
+    """Pairs and vectors meet where blocks are read: nothing that grows with the pairs is on a disk."""
+    df = spark.createDataFrame(made_texts(random.Random(3), 60), "doc_id long, text string")
+    plan = M.near_texts(df, "doc_id", "text", 0.8, written)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_commonest_terms_are_found_before_counts_by_document(spark):
+    """Counts by document are shuffled for the commonest terms only: what is written holds no other term, and weights are those of all terms' ranks."""
+    texts = made_texts(random.Random(21), 80)
+    df, kept = spark.createDataFrame(texts, "doc_id long, text string"), []
+
+    def keep(table):
+        kept.append(written(table))
+        return kept[-1]
+
+    got = {(r.doc_id, r.term): (r.w, r.df) for r in M.raw_tfidf(df, "doc_id", "text", max_features=10, keep=keep).collect()}
+    tf = {i: Counter(re.findall(r"\w{2,}", (t or "").lower())) for i, t in texts}
+    total, count = sum(tf.values(), Counter()), Counter(w for c in tf.values() for w in c)
+    best = sorted(total, key=lambda w: (-total[w], w))[:10]
+    want = {(i, w): (n * (math.log((1 + len(texts)) / (1 + count[w])) + 1), count[w]) for i, c in tf.items() for w, n in c.items() if w in best}
+    assert {k: (round(w, 9), d) for k, (w, d) in got.items()} == {k: (round(w, 9), d) for k, (w, d) in want.items()}
+    assert [t.select("term").distinct().count() for t in kept] == [10, 10, 10]
