@@ -34,13 +34,15 @@ from .textblocks import Words, as_long, mix, secret_key, text_blocks
 SHINGLE = 4
 #: Link when DENOMINATOR * intersection >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 85, 100
-#: Tokens are counted in so many buckets by their hash.  Those of a bucket whose count is above the middle one by one of so
-#: many documents, and by at least so much, are put last.
-BUCKETS = 1 << 18
-SHARE_DOCS, LEAST_COUNT = 3_277, 5
+#: Tokens are counted in so many buckets by their hash, which tasks send in blocks.  Those of a bucket whose count is above the
+#: middle one by at least so much, and by so many times what chance makes of it, are put last.
+BUCKETS, BLOCK = 1 << 21, 1 << 14
+LEAST_COUNT, DEVIATIONS = 5, 3
 #: About so many members of a group, outside its largest component, meet all others in the first turn: few of them
 #: connect most of what is connected.  Each turn takes so many times more, up to the most.
 HUBS, MORE_HUBS, MOST_HUBS = 64, 8, 2048
+#: Groups of so few members meet without their sketches, which are compared once for each pair instead.
+FEW = 16
 SKETCH_BITS = 512
 #: First tokens of a prefix, among those of more classes, that go with each posting: a pair that has one of them in common is met
 #: there, not at later tokens.
@@ -89,10 +91,15 @@ def parities(s: np.ndarray) -> list[int]:
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 
 
+def near_size(numerator: int, denominator: int):
+    """Whether sizes n_a and n_b of a pair allow a link."""
+    return denominator * F.least("n_a", "n_b") >= numerator * F.greatest("n_a", "n_b")
+
+
 def may_link(numerator: int, denominator: int):
     """Whether sizes n_a, n_b and sketches of a pair allow a link (sets that link differ in few tokens)."""
     total, differ = F.col("n_a") + F.col("n_b"), sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH), F.lit(0))
-    return (denominator * F.least("n_a", "n_b") >= numerator * F.greatest("n_a", "n_b")) & ((denominator + numerator) * differ <= (denominator - numerator) * total)
+    return near_size(numerator, denominator) & ((denominator + numerator) * differ <= (denominator - numerator) * total)
 
 
 def prefix_length(n: int, numerator: int, denominator: int) -> int:
@@ -104,23 +111,34 @@ def bucket(s: np.ndarray) -> np.ndarray:
 
 
 def token_counts(docs: DataFrame, k: Shingling) -> np.ndarray:
-    """For each bucket in how many documents its tokens are, of all documents; 0 where that is not much more than usual."""
+    """For each bucket in how many documents its tokens are, of all documents; 0 where that is not much more than usual.
+
+    A task sends its counts in blocks, which are added by block; the driver holds a number for each bucket.
+    """
 
     def tokens(batches):
-        counts = np.zeros(BUCKETS, dtype=np.int64)
+        counts = np.zeros(BUCKETS, dtype="<u4")
+        for batch in batches:
+            for _, s in shingle_sets(batch.column("text"), k):
+                np.add.at(counts, bucket(s), np.uint32(1))
+        blocks = counts.reshape(-1, BLOCK)
+        at = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([blocks[i].tobytes() for i in at], pa.binary())], names=["block", "n"])
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            sets = [s for _, s in shingle_sets(batch.column("text"), k)]
-            if sets:
-                counts += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
+            for block, n in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                held[block] = held.get(block, 0) + np.frombuffer(n, dtype="<u4").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.minimum(n, (1 << 32) - 1).astype("<u4").tobytes() for n in held.values()], pa.binary())], names=["block", "n"])
 
-    n_docs = docs.select("text").count()
-    found = docs.select("text").mapInArrow(tidy(tokens), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    often = counts >= np.median(counts) + max(LEAST_COUNT, n_docs // SHARE_DOCS)
-    return np.where(often, np.minimum(counts, (1 << 24) - 1), 0)  # 24 bits of an order's key
+    found = docs.select("text").mapInArrow(tidy(tokens), "block long, n binary").repartition("block").mapInArrow(tidy(add), "block long, n binary").collect()
+    counts = np.zeros(BUCKETS, dtype=np.uint32)
+    for r in found:
+        counts[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["n"], dtype="<u4")
+    usual = float(np.median(counts))
+    often = counts >= usual + LEAST_COUNT + DEVIATIONS * math.sqrt(usual)
+    return np.where(often, np.minimum(counts, (1 << 24) - 1), 0).astype(np.uint32)  # 24 bits of an order's key
 
 
 def with_digest(docs: DataFrame, k: Shingling, added: tuple[str, str, str] = ("n_shingles", "d1", "d2")) -> DataFrame:
@@ -139,7 +157,7 @@ def with_digest(docs: DataFrame, k: Shingling, added: tuple[str, str, str] = ("n
 
 def classes_of(docs: DataFrame, k: Shingling, numerator: int, denominator: int) -> DataFrame:
     """One row for each distinct non-empty set: node, first_id, n, d1, d2, sketch, prefix (in order 1), second, third (orders 2 and 3)."""
-    counts = token_counts(docs, k).astype(np.uint64)
+    counts = token_counts(docs, k)
     longs = ["id", "n", "d1", "d2", *SKETCH]
     schema = ", ".join(f"{c} long" for c in longs) + ", prefix array<long>, second array<int>, third array<int>"
 
@@ -150,7 +168,7 @@ def classes_of(docs: DataFrame, k: Shingling, numerator: int, denominator: int)
             for row, s in shingle_sets(batch.column("text"), k):
                 if not len(s):
                     continue
-                often = counts[bucket(s)]
+                often = counts[bucket(s)].astype(np.uint64)
                 p, firsts = prefix_length(len(s), numerator, denominator), []
                 for seed in _SEEDS:
                     key = (often << np.uint64(40)) | (mix(s ^ np.uint64(seed)) >> np.uint64(24))
@@ -230,46 +248,54 @@ def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
 def join_classes(docs: DataFrame, k: Shingling, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
     """(classes, labels): labels (id = node, component = smallest node) of the classes that have a link."""
     classes = classes_of(docs, k, numerator, denominator)
-    postings = classes.select("node", F.posexplode("prefix").alias("at", "token"))
+    postings = classes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
     hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last").select("token", "hub")
-    of_node = postings.join(hubs, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "token", "hub"))).alias("s"))
+    of_node = postings.join(hubs, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("at", "token", "hub"))).alias("s"))
     head = F.transform(F.slice("s", 1, HEAD), lambda x: x["token"])
-    shared = written(of_node.select("node", head.alias("head"), F.posexplode("s").alias("place", "x")).select("x.token", "node", "x.at", "x.hub", "place", "head"), True)
+    shared = written(of_node.select("node", "n", head.alias("head"), F.posexplode("s").alias("place", "x")).select("x.token", "node", "n", "x.at", "x.hub", "place", "head"), True)
     of_a, of_b = sides(classes, ["n", *SKETCH])
     possible = may_link(numerator, denominator)
     pairs = shared.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    # the side of fewer rows is read first; the condition is part of the second join
-    pairs = pairs.join(of_a, "a").join(of_b, (pairs["b"] == of_b["b"]) & possible).select("a", pairs["b"])
-    labels = components(linked(pairs, docs, classes, k, numerator, denominator))
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        # the side of fewer rows is read first; the condition is part of the second join
+        return pairs.join(of_a, "a").join(of_b, (pairs["b"] == of_b["b"]) & possible).select("a", pairs["b"])
+
+    labels = components(linked(sketched(pairs), docs, classes, k, numerator, denominator))
 
     # sizes of a linked pair are in the same or the next size class (a little wider than the threshold, for rounding)
     size_class = F.floor(F.log("n") / (math.log(denominator / numerator) * (1 + 1e-6)))
-    about = classes.select("node", "n", *SKETCH, size_class.alias("size"))
-    rest, before = shared.select("token", "node", "at", "place", "head"), shared
+    about = classes.select("node", *SKETCH, size_class.alias("size"))
+    own = ["token", "node", "n", "at", "place", "head"]
+    rest, before = shared.select(*own), shared
     for turn in itertools.count():
-        labelled = rest.join(labels.withColumnRenamed("id", "node"), "node", "left").select("token", "node", "at", "place", "head", F.coalesce("component", "node").alias("label"))
+        labelled = rest.join(labels.withColumnRenamed("id", "node"), "node", "left").select(*own, F.coalesce("component", "node").alias("label"))
         by_label = labelled.groupBy("token", "label").agg(F.count("*").alias("m"))
-        mixed = by_label.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("major"), (F.sum("m") - F.max("m")).alias("others")).filter("others > 0")
+        mixed = by_label.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("major"), (F.sum("m") - F.max("m")).alias("others"), (F.sum("m") <= FEW).alias("few")).filter("others > 0")
         # pairs of different components have at least one member outside the group's largest component: a hub
         is_hub = (F.col("label") != F.col("major")) & (F.pmod(F.xxhash64(F.lit(turn), "label"), F.ceil(F.col("others") / min(HUBS * MORE_HUBS ** min(turn, 9), MOST_HUBS))) == 0)
-        marked = written(labelled.join(mixed, "token").select("token", "node", "at", "place", "head", "label", is_hub.alias("hub")), True)
+        marked = written(labelled.join(mixed, "token").select(*own, "label", "few", is_hub.alias("hub")), True)
         discard(before)
         before = marked
         if marked.isEmpty():
             return classes, labels
-        x, y = (marked.join(about, "node").select("token", "size", *[F.col(v).alias(f"{v}_{c}") for v in ("node", "n", "at", "place", "head", "label", "hub", *SKETCH)]) for c in "ab")
-        x = x.filter("hub_a").withColumn("size_a", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).withColumnRenamed("token", "token_a").drop("size")
         # at their first common token too little may be left of either set; other common tokens come later
         left = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
         enough = (denominator + numerator) * left >= numerator * (F.col("n_a") + F.col("n_b"))
         once = ~F.col("hub_b") | (F.col("node_a") < F.col("node_b"))
         first = ~F.arrays_overlap(F.slice("head_a", F.lit(1), F.col("place_a")), F.slice("head_b", F.lit(1), F.col("place_b")))
-        same = (F.col("token_a") == F.col("token")) & (F.col("size_a") == F.col("size"))
-        pairs = x.join(y, same & (F.col("label_a") != F.col("label_b")) & once & enough & possible & first).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        meet = (F.col("token_a") == F.col("token")) & (F.col("label_a") != F.col("label_b")) & once & enough & first
+        pair, parts = [F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")], ["node", *own[2:], "label", "hub"]
+        x, y = (marked.filter("few").select("token", *[F.col(v).alias(f"{v}_{c}") for v in parts]) for c in "ab")
+        x = x.filter("hub_a").withColumnRenamed("token", "token_a")
+        pairs = sketched(x.join(y, meet & near_size(numerator, denominator)).select(*pair).distinct())
+        x, y = (marked.filter("not few").join(about, "node").select("token", "size", *[F.col(v).alias(f"{v}_{c}") for v in (*parts, *SKETCH)]) for c in "ab")
+        x = x.filter("hub_a").withColumn("size_a", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).withColumnRenamed("token", "token_a").drop("size")
+        pairs = pairs.unionByName(x.join(y, meet & (F.col("size_a") == F.col("size")) & possible).select(*pair))
         new = linked(pairs, docs, classes, k, numerator, denominator)
         if not new.isEmpty():
             labels = joined_labels(labels, new)
-        rest = marked.filter(~F.col("hub")).select("token", "node", "at", "place", "head")
+        rest = marked.filter(~F.col("hub")).select(*own)
 
 
 def component_table(docs: DataFrame, k: Shingling, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
