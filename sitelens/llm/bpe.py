@@ -38,6 +38,8 @@ WINDOW = 8
 WINDOW_CHUNKS = 1
 #: Chunks that a joined part keeps apart at either end for later windows.
 EDGE = 4
+#: Pieces that a task encodes and hands on at once.
+PIECES = 128
 #: Bound on the chunks that a worker remembers while a task runs, some 300 bytes each; without decoded texts twice as many.
 MEMO = 200_000
 
@@ -286,6 +288,7 @@ _trees: dict[str, TreeConcatenation] = {}
 
 
 def tree_of(path: str) -> TreeConcatenation:
+    """Held by a worker from its first very long chunk on, since the models of all merges take some 20 to 30 MB."""
     if path not in _trees:
         _trees[path] = TreeConcatenation(path)
     return _trees[path]
@@ -377,6 +380,13 @@ def encode_short(docs: DataFrame, path: str, decode: bool = True, narrow: bool =
     return docs.mapInArrow(forgetful(run), T.StructType([*docs.schema.fields, *added]))
 
 
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, PIECES at most at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECES):
+            yield batch.slice(at, PIECES)
+
+
 def encode_long(texts: DataFrame, path: str, leaf: int, decode: bool = True, narrow: bool = False) -> DataFrame:
     """Distinct long texts (key, text) to (key, n_tokens, ids, decoded: null if not asked for), by tree concatenation over tasks."""
 
@@ -392,9 +402,8 @@ def encode_long(texts: DataFrame, path: str, leaf: int, decode: bool = True, nar
     item = pa.struct([("chunk", pa.binary()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
     def encode(batches):
-        held, tree = encoder(path), tree_of(path)
-        halving = TextTree(held)
-        for batch in batches:
+        held, halving = encoder(path), TextTree(encoder(path))
+        for batch in in_parts(batches):
             out = []
             kinds, texts = batch.column("kind").to_pylist(), batch.column("text").to_pylist()
             made = iter(halving.leaves([t.encode() for k, t in zip(kinds, texts, strict=True) if k in (HALF, HALF_CUT)]))
@@ -405,17 +414,16 @@ def encode_long(texts: DataFrame, path: str, leaf: int, decode: bool = True, nar
                 if kind == SPECIAL:
                     got = [held.tokenizer.token_to_id(text)]
                 elif kind == WORDS:
-                    got = [i for word in text.split(" ") for i in tree.leaf(word, True)]
+                    got = [i for word in text.split(" ") for i in tree_of(path).leaf(word, True)]
                 else:
-                    got = tree.leaf(text, kind == LAST_LEAF)
+                    got = tree_of(path).leaf(text, kind == LAST_LEAF)
                 done = kind in (SPECIAL, WORDS)
                 decoded = held.tokenizer.decode(got, skip_special_tokens=False).encode() if done else b""
                 out.append([{"chunk": None, "ids": np.asarray(got, dtype="<u4").tobytes(), "decoded": decoded}])
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("piece"), batch.column("kind"), pa.array(out, pa.list_(item))], names=["key", "piece", "kind", "items"])
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        held, tree = encoder(path), tree_of(path)
-        halving = TextTree(held)
+        held, halving = encoder(path), TextTree(encoder(path))
         ids, decoded, leaves, cuts, of_word = [], [], [], [], []
 
         def put(items):
@@ -436,7 +444,7 @@ def encode_long(texts: DataFrame, path: str, leaf: int, decode: bool = True, nar
                 continue
             of_word.append(np.frombuffer(items[0][1], dtype="<u4").tolist())
             if kind == LAST_LEAF:
-                got = tree.tree(of_word)
+                got = tree_of(path).tree(of_word)
                 put([(None, np.asarray(got, dtype="<u4").tobytes(), held.tokenizer.decode(got, skip_special_tokens=False).encode())])
                 of_word = []
         put(halving.tree(leaves, cuts))
