@@ -16,6 +16,7 @@ of their own; ids may be null; other columns are ignored; an empty table gives n
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ LENGTH = 512
 PER_SHARD = 16_384
 KEY = 20_240_607
 ROUNDS = 4
+#: Files are written in so many turns, so that the sequences of one turn only are in a shuffle while the files fill the disk.
+TURNS = 2
 #: Texts of fewer bytes are encoded whole where they are read; without decoded texts they take little room.
 LONG_TEXT = 1 << 20
 #: Documents are numbered in buckets, whose number follows that of the documents.
@@ -99,14 +102,17 @@ def sequences_of(docs: DataFrame, path: str, length: int = LENGTH, key: int = KE
     return sequences, np.cumsum(before)
 
 
-def with_slots(sequences: DataFrame, before: np.ndarray, key: int = KEY) -> DataFrame:
-    """slot, the place in the training order, instead of bucket and number."""
+def with_slots(sequences: DataFrame, before: np.ndarray, key: int = KEY, first: int = 0, end: int | None = None) -> DataFrame:
+    """slot, the place in the training order, instead of bucket and number; of slots from first to before end only."""
     total, rest = int(before[-1]), [c for c in sequences.columns if c not in ("bucket", "number")]
+    end = total if end is None else end
 
     def run(batches):
         for batch in batches:
             dense = before[batch.column("bucket").to_numpy()] + batch.column("number").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(feistel(dense, total, key)), *(batch.column(c) for c in rest)], names=["slot", *rest])
+            slots = feistel(dense, total, key)
+            made = pa.RecordBatch.from_arrays([pa.array(slots), *(batch.column(c) for c in rest)], names=["slot", *rest])
+            yield made if first <= 0 and end >= total else made.filter(pa.array((slots >= first) & (slots < end)))
 
     return sequences.mapInArrow(tidy(run), T.StructType([T.StructField("slot", T.LongType()), *(sequences.schema[c] for c in rest)]))
 
@@ -154,8 +160,12 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, per_shard: in
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=names)
 
-    placed = with_slots(sequences.select("bucket", "number", "tokens"), before, key).withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "slot")
-    shards = written(placed.select("shard", "tokens").mapInArrow(tidy(pack), "shard long, first_slot long, records long, n_bytes long, sha256 string"))
+    turns = []
+    step = max(1, -(-int(before[-1]) // (TURNS * per_shard))) * per_shard
+    for at in range(0, max(1, int(before[-1])), step):
+        placed = with_slots(sequences.select("bucket", "number", "tokens"), before, key, at, at + step).withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "slot")
+        turns.append(written(placed.select("shard", "tokens").mapInArrow(tidy(pack), "shard long, first_slot long, records long, n_bytes long, sha256 string")))
+    shards = functools.reduce(DataFrame.unionByName, turns)
     index = with_slots(sequences.drop("tokens"), before, key).select("doc_id", "sequence", "n_tokens", "slot", shard.alias("shard"), (F.pmod("slot", F.lit(per_shard)) * (2 * length)).alias("byte_offset"))
     index = written(index)
     discard(sequences)
