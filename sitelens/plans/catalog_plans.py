@@ -217,12 +217,19 @@ def cat24(spark, d):
     return C.with_placeholders(products, S.features(spark, d).withColumn("product", where), S.pages(spark, d))
 
 
+#: Part numbers that the features of one reply are taken from.
+KEYS_A_REPLY = 10_000
+
+
 @query("cat25_parents_and_children", "SELECT product AS analysis, CAST(count(*) AS BIGINT) AS n_features, min(name) AS first_name, max(confidence) AS best FROM features_v GROUP BY product")
 def cat25(spark, d):
-    """A reply of each product with its features, parsed and kept as a parent row and children that its key links."""
+    """Replies of each product with its features, of a range of part numbers each so that no reply grows with the table; each is parsed
+    and kept as a parent row and children that its key links."""
     item = F.struct("name", "category", "description", "confidence", "product")
     text = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.collect_list(item).alias("extracted_features"))), F.lit("\n```"))
-    replies = S.features(spark, d).groupBy("product").agg(text.alias("text")).withColumnRenamed("product", "reply_id")
+    replies = S.features(spark, d).groupBy("product", F.floor(F.col("ord") / KEYS_A_REPLY).alias("range")).agg(text.alias("text")).select(F.col("product").alias("reply_id"), "text")
     parents, children = X.persisted(written(X.parse_replies(replies)[0]))
     first = children.groupBy("analysis_id").agg(F.min("name").alias("first_name"), F.max("confidence").alias("best"))
-    return parents.join(first, "analysis_id").select(F.col("reply_id").alias("analysis"), F.col("n_features").cast("long").alias("n_features"), "first_name", "best")
+    # replies of equal features have one key: each is a parent row, and what is first or best is the same for both
+    whole = parents.join(first, "analysis_id").groupBy(F.col("reply_id").alias("analysis"))
+    return whole.agg(F.sum("n_features").cast("long").alias("n_features"), F.min("first_name").alias("first_name"), F.max("best").alias("best"))

@@ -80,3 +80,18 @@ def test_page_matches(spark, sf_dir):
     for a, b, c in want:
         cosine, one, other, shown = got[a, b]
         assert abs(cosine - c) < 6e-4 and (one, other, shown) == (polarity(text[a]), polarity(text[b]), cut(text[a]))
+
+
+def test_replies_of_a_product_are_bounded(spark, tmp_path, monkeypatch):
+    """Many small replies of a product, equal ones among them, give the rows that one large reply gives."""
+    from sitelens.plans import catalog_plans as plan
+
+    rows = [(i + 1_000 * k, f"name {i % 7}", "type", f"brand {i % 2}", 900.0 + i) for i in range(100) for k in range(3)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    seen, parse = [], plan.X.parse_replies
+    monkeypatch.setattr(plan.X, "parse_replies", lambda replies: seen.append(replies.count()) or parse(replies))
+    found = []
+    for keys in (1_000_000, 10):
+        monkeypatch.setattr(plan, "KEYS_A_REPLY", keys)
+        found.append(sorted(map(tuple, plan.cat25(spark, str(tmp_path)).collect())))
+    assert seen == [2, 60] and found[0] == found[1] == [("brand 0", 150, "name 0", 0.98), ("brand 1", 150, "name 0", 0.99)]
