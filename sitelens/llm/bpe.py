@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -40,22 +41,37 @@ WINDOW_CHUNKS = 1
 EDGE = 4
 #: Pieces that a task encodes and hands on at once.
 PIECES = 128
-#: Bound on the chunks that a worker remembers while a task runs, some 300 bytes each; without decoded texts twice as many.
+#: Bound on the chunks that a worker remembers while a task runs, some 40 bytes each; without decoded texts twice as many.
 MEMO = 200_000
+#: Bound on those that it remembers for the seams of joins, some 300 bytes each.
+SEAMS = 20_000
+#: Chunks that are encoded at once, which bounds the lists of their ids.
+CODED = 16_384
 
 #: Marks that end a word, each a token of its own there.
 MARKS = (b",", b".", b";", b":", b"!", b"?", b")")
 #: Lower-case letters of western languages: composed, and without another lower case.
-WESTERN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+WESTERN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 #: Byte-level letters: printable bytes stand for themselves, the others for code points from 256 on.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+BYTE_LETTERS_BUT_LINES = {b: c for b, c in BYTE_LETTERS.items() if b != 10}
 
 _loaded: dict[str, ChunkEncoder] = {}
 
 
+def packed_ids(lists: list[list[int]]) -> pa.Array:
+    """Lists of ids as a binary array of little-endian unsigned 32-bit numbers."""
+    ends = np.cumsum(np.fromiter((len(one) for one in lists), dtype=np.int32, count=len(lists)), dtype=np.int32)
+    flat = np.fromiter(itertools.chain.from_iterable(lists), dtype="<u4", count=int(ends[-1]) if len(lists) else 0)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.concatenate([np.zeros(1, np.int32), 4 * ends])), pa.py_buffer(flat)])
+
+
 class ChunkEncoder:
-    """A tokenizer with a bounded memo from chunk to (ids as little-endian unsigned 32-bit, decoded bytes)."""
+    """A tokenizer with bounded memos of chunks: an Arrow table for batches, a small dictionary for the seams of joins.
+
+    The dictionary has (ids as little-endian unsigned 32-bit, decoded bytes) by chunk.
+    """
 
     def __init__(self, path: str):
         import os
@@ -66,48 +82,92 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, tuple[bytes, bytes]] = {}
         self.decode = True
+        self.forget()
         trial = ["thing", "thing.", "Thing,", "q"]
         direct = [[t.id for w in pair for t in self.tokenizer.model.tokenize(w)] for pair in (["thing"], ["thing", "."], ["thing", ","], ["q"])]
         #: Whether the file lower-cases and keeps letters apart from marks, so both steps may be skipped for plain words.
         self.plain_words = [e.ids for e in self.tokenizer.encode_batch(trial, add_special_tokens=False)] == direct
+        of_mark = [self.tokenizer.model.tokenize(m.decode()) for m in MARKS] if self.plain_words else []
+        self.of_mark = pa.array([np.asarray([t.id for t in m[:1]], dtype="<u4").tobytes() for m in of_mark] + [b""], pa.binary())
+
+    def forget(self) -> None:
+        self.memo: dict[bytes, tuple[bytes, bytes]] = {}
+        self.known = (pa.array([], pa.string()), pa.array([], pa.binary()), pa.array([], pa.binary()))
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Puts distinct chunks into the memo."""
+        """Puts distinct chunks into the dictionary."""
         new = [c for c in chunks if c not in self.memo]
         if not new:
             return
-        if len(self.memo) + len(new) > (MEMO if self.decode else 2 * MEMO):
+        if len(self.memo) + len(new) > SEAMS:
             self.memo = {c: self.memo[c] for c in chunks if c in self.memo}
-        order, ids, others = [], [], []
-        if self.plain_words:
-            of_mark = {m: self.tokenizer.model.tokenize(m.decode())[0].id for m in MARKS}
-            # a word of lower-case letters passes the normaliser and pre-tokenizer as it is, a mark after it by itself
-            word, held = self.tokenizer.model.tokenize, {}
-            for c in new:
-                letters = c[:-1] if c[-1:] in MARKS else c
-                got = held.get(letters)  # a word comes with several marks
-                if got is None:
-                    if letters.isalpha() and letters.islower():
-                        got = [t.id for t in word(letters.decode())]
-                    elif not letters.isascii() and WESTERN.fullmatch(letters.decode()):
-                        got = [t.id for t in word(letters.decode("latin-1").translate(BYTE_LETTERS))]
-                    else:
-                        others.append(c)
-                        continue
-                    held[letters] = got
-                order.append(c)
-                ids.append(got if letters is c else [*got, of_mark[c[-1:]]])
-        else:
-            others = new
-        ids += [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)]
-        flat = np.fromiter((i for one in ids for i in one), dtype="<u4").tobytes()
-        at = 0
-        texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False) if self.decode else [""] * len(ids)
-        for c, one, text in zip(order + others, ids, texts, strict=True):
-            self.memo[c] = (flat[at : at + 4 * len(one)], text.encode())
-            at += 4 * len(one)
+        ids, texts = self.coded(pa.array([c.decode() for c in new], pa.string()))
+        self.memo.update(zip(new, zip(ids.to_pylist(), texts.to_pylist(), strict=True), strict=True))
+
+    def word_ids(self, words: pa.Array, western: pa.Array) -> pa.Array:
+        """Ids of words of lower-case letters, which pass the normaliser and pre-tokenizer as they are, in byte letters."""
+        tokenize = self.tokenizer.model.tokenize
+        plain = [[t.id for t in tokenize(w)] for w in words.to_pylist()]
+        # one text of all words, since its letters are replaced in one go
+        spelt = "\n".join(western.to_pylist()).encode().decode("latin-1").translate(BYTE_LETTERS_BUT_LINES).split("\n") if len(western) else []
+        return packed_ids(plain + [[t.id for t in tokenize(w)] for w in spelt])
+
+    def split_words(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """(ids, place): ids of the chunks that are a word of lower-case letters, with or without a mark, and which these are."""
+        data = chunks.cast(pa.binary())
+        last = pc.index_in(pc.binary_slice(data, -1), value_set=pa.array(MARKS, pa.binary()))
+        letters = pc.if_else(pc.is_valid(last), pc.binary_slice(data, 0, -1), data).cast(pa.string())
+        simple = pc.and_(pc.ascii_is_alpha(letters), pc.ascii_is_lower(letters))
+        western = simple.to_numpy(zero_copy_only=False).copy()
+        rest = pc.indices_nonzero(pc.invert(pc.string_is_ascii(letters)))
+        western[rest.to_numpy()] = pc.match_substring_regex(letters.take(rest), WESTERN).to_numpy(zero_copy_only=False)
+        place = pa.array(np.flatnonzero(western))
+        coded = letters.take(place).dictionary_encode()  # a word comes with several marks
+        ascii_only = pc.take(simple, place)
+        of_word = np.zeros(len(coded.dictionary), dtype=bool)
+        of_word[coded.indices.to_numpy()] = ascii_only.to_numpy(zero_copy_only=False)
+        made = self.word_ids(coded.dictionary.filter(pa.array(of_word)), coded.dictionary.filter(pa.array(~of_word)))
+        at = np.where(of_word, np.cumsum(of_word) - 1, of_word.sum() + np.cumsum(~of_word) - 1)
+        marks = self.of_mark.take(last.take(place).fill_null(len(MARKS)))
+        return pc.binary_join_element_wise(made.take(pa.array(at[coded.indices.to_numpy()])), marks, b""), place
+
+    def coded(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Binary arrays: the ids and the decoded text, empty if not asked for, of each of distinct chunks."""
+        ids, texts = [pa.array([], pa.binary())], [pa.array([], pa.binary())]
+        for at in range(0, len(chunks), CODED):
+            part = chunks.slice(at, CODED)
+            own, place = self.split_words(part) if self.plain_words else (pa.array([], pa.binary()), pa.array([], pa.int64()))
+            is_word = np.zeros(len(part), dtype=bool)
+            is_word[place.to_numpy()] = True
+            others = self.tokenizer.encode_batch_fast(part.filter(pa.array(~is_word)).to_pylist(), add_special_tokens=False)
+            both = pa.concat_arrays([own, packed_ids([e.ids for e in others])])
+            found = both.take(pa.array(np.where(is_word, np.cumsum(is_word) - 1, len(own) + np.cumsum(~is_word) - 1)))
+            ids.append(found)
+            if not self.decode:
+                texts.append(pa.array([b""], pa.binary()).take(pa.array(np.zeros(len(part), dtype=np.int64))))
+                continue
+            lists = [np.frombuffer(i, dtype="<u4").tolist() for i in found.to_pylist()]
+            texts.append(pa.array([t.encode() for t in self.tokenizer.decode_batch(lists, skip_special_tokens=False)], pa.binary()))
+        return pa.concat_arrays(ids), pa.concat_arrays(texts)
+
+    def look_up(self, distinct: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The ids and decoded texts of distinct chunks, from the table or else made and put there."""
+        keys, *held = self.known
+        at = pc.index_in(distinct, value_set=keys)
+        missing = pc.is_null(at)
+        new = distinct.filter(missing)
+        made = self.coded(new)
+        full = [pa.concat_arrays(both) for both in zip(held, made, strict=True)]
+        where = missing.to_numpy(zero_copy_only=False)
+        place = pa.array(np.where(where, len(keys) + np.cumsum(where) - 1, at.fill_null(0).to_numpy()))
+        ids, texts = (f.take(place) for f in full)
+        most = MEMO if self.decode else 2 * MEMO
+        if len(keys) + len(new) <= most:
+            self.known = (pa.concat_arrays([keys, new]), *full)
+        else:  # copies, as a slice would keep what the batch has besides
+            self.known = tuple(pa.concat_arrays([x.slice(0, most), x.slice(0, 0)]) for x in (distinct, ids, texts))
+        return ids, texts
 
     def chunks(self, texts: pa.Array, lower: bool = True) -> pa.ListArray:
         """The chunks of each text.  Lower case makes more of them equal; not where a special token may be written."""
@@ -123,19 +183,12 @@ class ChunkEncoder:
     def encode_lists(self, chunks: pa.ListArray) -> tuple[pa.Array, pa.Array]:
         """Binary arrays: the ids and the decoded text of each list of chunks."""
         coded = chunks.values.dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-        ids, texts = [], []
-        for a in range(0, len(distinct), MEMO // 2):
-            part = distinct[a : a + MEMO // 2]
-            self.learn(part)
-            got = [self.memo[c] for c in part]
-            ids += [g[0] for g in got]
-            texts += [g[1] for g in got] if self.decode else []
-        of_ids, of_texts, index = pa.array(ids, pa.binary()), pa.array(texts, pa.binary()), coded.indices
+        of_ids, of_texts = self.look_up(coded.dictionary)
+        index = coded.indices
         joined = pc.binary_join(pa.ListArray.from_arrays(chunks.offsets, of_ids.take(index)), b"")
         if not self.decode:
             return joined, pa.nulls(len(joined), pa.binary())
-        if any(not i for i in ids):  # a chunk without tokens leaves no space
+        if pc.any(pc.equal(pc.binary_length(of_ids), 0)).as_py():  # a chunk without tokens leaves no space
             full = pc.not_equal(pc.binary_length(of_ids.take(index)), 0)
             before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
             return joined, pc.binary_join(pa.ListArray.from_arrays(pa.array(before[np.asarray(chunks.offsets)], pa.int32()), of_texts.take(index.filter(full))), b" ")
@@ -151,14 +204,15 @@ def encoder(path: str, decode: bool = True) -> ChunkEncoder:
         _loaded[path] = ChunkEncoder(path)
     held = _loaded[path]
     if held.decode != decode:
-        held.memo, held.decode = {}, decode
+        held.forget()
+        held.decode = decode
     return held
 
 
 def forget() -> None:
     """Drops what the encoders of this process remember."""
     for held in _loaded.values():
-        held.memo = {}
+        held.forget()
 
 
 def forgetful(run):
@@ -375,6 +429,8 @@ def encode_short(docs: DataFrame, path: str, decode: bool = True, narrow: bool =
             n = pc.divide(pc.binary_length(ids), 4).cast(pa.int64())
             ids = narrowed(ids) if narrow else ids
             yield pa.RecordBatch.from_arrays([*batch.columns, n, ids, decoded.cast(pa.string())], names=names)
+            ids = decoded = None
+            pa.default_memory_pool().release_unused()  # the allocator would keep some 100 MB for the next batch
 
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
     return docs.mapInArrow(forgetful(run), T.StructType([*docs.schema.fields, *added]))
@@ -421,6 +477,7 @@ def encode_long(texts: DataFrame, path: str, leaf: int, decode: bool = True, nar
                 decoded = held.tokenizer.decode(got, skip_special_tokens=False).encode() if done else b""
                 out.append([{"chunk": None, "ids": np.asarray(got, dtype="<u4").tobytes(), "decoded": decoded}])
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("piece"), batch.column("kind"), pa.array(out, pa.list_(item))], names=["key", "piece", "kind", "items"])
+            pa.default_memory_pool().release_unused()
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
         held, halving = encoder(path), TextTree(encoder(path))
