@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from sitelens.streaming import feeds
@@ -162,3 +163,61 @@ def test_a_hot_domain_is_spread(spark):
     per = feeds.sliced(spark.createDataFrame(events, SCHEMA), 20).filter("domain = 'hot'").groupBy("slice").agg(F.count("*").alias("n")).collect()
     assert len(per) >= 15 and max(r.n for r in per) < 60
     assert feeds.sliced(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hourly_dedupe_asks_for_state_by_bucket(feed, monkeypatch):
+    """State is read and written for a bucket, not for each key, and the result doesn't depend on the buckets."""
+    rows = made_events(random.Random(6), 300)
+    feed.add(rows)
+    stream = feed.stream()
+    found = []
+    for buckets in (1, 3, 2048):
+        got = feeds.drained(feeds.dedupe_hour_stream(stream, buckets=buckets), "append", base=f"{feed.path}/base{buckets}")
+        found.append(sorted(map(tuple, got.collect())))
+    assert found[0] == found[1] == found[2] == sorted(map(tuple, feeds.dedupe_hour(feed.spark.createDataFrame(rows, SCHEMA)).collect()))
+
+
+def test_hourly_dedupe_drops_what_refuses_nothing():
+    class State:
+        def __init__(self):
+            self.value, self.calls, self.timers, self.now = None, 0, [], 0
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.value, self.calls = value, self.calls + 1
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.now
+
+    state, hour = State(), 3600 * 10**6
+    run = feeds.DedupeHour(3600)
+    run.init(state)
+    keys = [f"{i:030x}00" for i in range(50)]
+
+    def batch(micros, first):
+        rows = pd.DataFrame({"key": keys, "event_id": range(first, first + 50), "micros": micros})
+        return [e for out in run.handleInputRows((0,), iter([rows]), state) for e in out["event_id"]]
+
+    assert len(batch(0, 0)) == 50 and state.calls == 1 and state.timers == [hour // 1000]
+    assert batch(hour - 1, 100) == [] and state.calls == 3
+    state.now = hour // 1000 - 1
+    assert len(batch(hour, 200)) == 50 and len(state.timers) == 1 and len(state.value[0]) == 24 * 50
+    state.now = hour // 1000
+    assert list(run.handleExpiredTimer((0,), state, None)) == [] and state.timers == [hour // 1000, 2 * hour // 1000]
+    state.now = 2 * hour // 1000
+    assert list(run.handleExpiredTimer((0,), state, None)) == [] and state.value is None
