@@ -38,7 +38,11 @@ def first_category(rows: DataFrame, key: str, text: Column, lexicon: DataFrame)
 
 def feature_score(text: Column, lexicon: dict[str, list[str]], positive: list[str] = L.POSITIVE, negative: list[str] = L.NEGATIVE) -> Column:
     """0.1 for each (category, term) hit, 0.2 for each positive phrase, -0.1 for each negative one, at least 0."""
-    low = F.lower(text)
+    return lowered_score(F.lower(text), lexicon, positive, negative)
+
+
+def lowered_score(low: Column, lexicon: dict[str, list[str]], positive: list[str] = L.POSITIVE, negative: list[str] = L.NEGATIVE) -> Column:
+    """feature_score of a text that is in lower case already."""
     terms = F.lit(0)
     for words in lexicon.values():
         terms = terms + T.count_terms(low, [w.lower() for w in dict.fromkeys(words)])
@@ -46,9 +50,15 @@ def feature_score(text: Column, lexicon: dict[str, list[str]], positive: list[st
 
 
 def feature_sections(docs: DataFrame, lexicon: dict[str, list[str]], least: float = 0.3, n: int = 50) -> DataFrame:
-    """(doc_id, pos, sentence, score): the best-scored sentences of each document, ties in order of place."""
-    rows = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).filter(F.length("sentence") >= 10)
-    scored = rows.withColumn("score", feature_score(F.col("sentence"), lexicon)).filter(F.col("score") > least)
+    """(doc_id, pos, sentence, score): the best-scored sentences of each document, ties in order of place.
+
+    Sentences are lower-cased before they become rows and scores are exploded, since a filter on a plain column would have
+    Spark lower each sentence for each term, and score it again for the output.
+    """
+    pairs = F.transform(T.sentences(F.col("text")), lambda s: F.struct(s.alias("sentence"), F.lower(s).alias("low")))
+    rows = docs.select("doc_id", F.posexplode(pairs).alias("pos", "x")).filter(F.length("x.sentence") >= 10)
+    scores = F.explode(F.array(lowered_score(F.col("x.low"), lexicon))).alias("score")
+    scored = rows.select("doc_id", "pos", F.col("x.sentence").alias("sentence"), scores).filter(F.col("score") > least)
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= n)
 
