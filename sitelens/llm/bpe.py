@@ -41,7 +41,7 @@ WINDOW_CHUNKS = 1
 EDGE = 4
 #: Pieces that a task encodes and hands on at once.
 PIECES = 128
-#: Bound on the chunks that a worker remembers while a task runs, some 40 bytes each; without decoded texts twice as many.
+#: Bound on the chunks that a worker remembers while a task runs, some 50 bytes each; without decoded texts twice as many, of some 35.
 MEMO = 200_000
 #: Bound on those that it remembers for the seams of joins, some 300 bytes each.
 SEAMS = 20_000
