@@ -18,7 +18,9 @@ from __future__ import annotations
 import functools
 import gc
 import itertools
+import json
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,14 +50,19 @@ SEAMS = 20_000
 #: Chunks that are encoded at once, which bounds the lists of their ids.
 CODED = 16_384
 
-#: Marks that end a word, each a token of its own there.
-MARKS = (b",", b".", b";", b":", b"!", b"?", b")")
-#: Lower-case letters of western languages: composed, and without another lower case.
-WESTERN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+#: Characters of one piece of a row of words.
+ROW = 1024
+
+#: Marks; a run of them at the end of a word is a word of its own there.
+MARKS = string.punctuation
+#: Letters of western languages: composed, and with one letter as lower case.
+WESTERN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 #: Byte-level letters: printable bytes stand for themselves, the others for code points from 256 on.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
-BYTE_LETTERS_BUT_LINES = {b: c for b, c in BYTE_LETTERS.items() if b != 10}
+LETTERS = [BYTE_LETTERS.get(b, chr(b)) for b in range(256)]
+#: From this code point on, a byte's letter at the end of a word.
+LAST = 0xE000
 
 _loaded: dict[str, ChunkEncoder] = {}
 
@@ -67,8 +74,66 @@ def packed_ids(lists: list[list[int]]) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.concatenate([np.zeros(1, np.int32), 4 * ends])), pa.py_buffer(flat)])
 
 
+def spans(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a string or binary array."""
+    if not len(values):  # it may have no buffers
+        return np.zeros(1, dtype=np.int32), np.zeros(0, dtype=np.uint8)
+    _, offsets, data = values.buffers()
+    return np.frombuffer(offsets, dtype=np.int32)[values.offset : values.offset + len(values) + 1], np.frombuffer(data or b"", dtype=np.uint8)
+
+
+class WordRows:
+    """Encodes rows of words at once.  The last letter of a word has a sign of its own instead of the end-of-word suffix.
+
+    No merge starts with such a letter, so none reaches over the end of a word, and words may stand in one text without a gap.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+
+        model = json.load(open(path))["model"]  # the tokenizer's own file, present on every executor
+        suffix, vocab = model.get("end_of_word_suffix"), model["vocab"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        #: Whether the file is of the kind that rows work for.
+        self.fits = (
+            bool(suffix)
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+            and all(c in vocab and c + suffix in vocab for c in LETTERS)
+            and not any(a.endswith(suffix) for a, _ in merges)
+        )
+        if not self.fits:
+            return
+        cut, sign = len(suffix) + 1, {c: chr(LAST + b) for b, c in enumerate(LETTERS)}
+
+        def signed(token: str) -> str:
+            return token[:-cut] + sign[token[-cut]] if token.endswith(suffix) else token
+
+        self.tokenizer = Tokenizer(BPE({signed(t): i for t, i in vocab.items()}, [(a, signed(b)) for a, b in merges]))
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.letters = np.array([ord(c) for c in LETTERS], dtype="<u2")
+
+    def encode(self, words: pa.Array) -> pa.Array:
+        """The ids of words (none of them empty) of letters that pass the normaliser and pre-tokenizer as they are, as packed_ids has them."""
+        if not len(words):
+            return pa.array([], pa.binary())
+        offsets, data = spans(words)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        row, last = self.letters[data], offsets[1:] - 1
+        row[last] = LAST + data[last].astype("<u2")
+        text = row.tobytes().decode("utf-16-le")
+        cuts = np.unique(offsets[np.searchsorted(offsets, np.arange(0, len(text) + ROW, ROW)).clip(max=len(words))]).tolist()
+        made = self.tokenizer.encode_batch_fast([text[a:b] for a, b in itertools.pairwise(cuts)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in made])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            raise RuntimeError("a row of words has other ends than its words")
+        return pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32)), pa.py_buffer(ids)])
+
+
 class ChunkEncoder:
-    """A tokenizer with bounded memos of chunks: an Arrow table for batches, a small dictionary for the seams of joins.
+    """A tokenizer with bounded memos of chunks, words without the marks at their end: an Arrow table for batches, a small dictionary for the seams of joins.
 
     The dictionary has (ids as little-endian unsigned 32-bit, decoded bytes) by chunk.
     """
@@ -84,12 +149,13 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.decode = True
         self.forget()
-        trial = ["thing", "thing.", "Thing,", "q"]
-        direct = [[t.id for w in pair for t in self.tokenizer.model.tokenize(w)] for pair in (["thing"], ["thing", "."], ["thing", ","], ["q"])]
+        self.rows = WordRows(path)
+        runs = [*MARKS, ".,", MARKS]
+        trial = ["thing", "Thing,", "q", "\u00c9a!$", *("thing" + m for m in runs)]
+        words = [["thing"], ["thing", ","], ["q"], ["\u00c3\u00a9a", "!$"], *(["thing", m] for m in runs)]
+        direct = [[t.id for w in pair for t in self.tokenizer.model.tokenize(w)] for pair in words]
         #: Whether the file lower-cases and keeps letters apart from marks, so both steps may be skipped for plain words.
-        self.plain_words = [e.ids for e in self.tokenizer.encode_batch(trial, add_special_tokens=False)] == direct
-        of_mark = [self.tokenizer.model.tokenize(m.decode()) for m in MARKS] if self.plain_words else []
-        self.of_mark = pa.array([np.asarray([t.id for t in m[:1]], dtype="<u4").tobytes() for m in of_mark] + [b""], pa.binary())
+        self.plain_words = self.rows.fits and [e.ids for e in self.tokenizer.encode_batch(trial, add_special_tokens=False)] == direct
 
     def forget(self) -> None:
         self.memo: dict[bytes, tuple[bytes, bytes]] = {}
@@ -102,47 +168,48 @@ class ChunkEncoder:
             return
         if len(self.memo) + len(new) > SEAMS:
             self.memo = {c: self.memo[c] for c in chunks if c in self.memo}
-        ids, texts = self.coded(pa.array([c.decode() for c in new], pa.string()))
+        ids, texts = self.of_chunks(pa.array([c.decode() for c in new], pa.string()), self.coded)
         self.memo.update(zip(new, zip(ids.to_pylist(), texts.to_pylist(), strict=True), strict=True))
 
-    def word_ids(self, words: pa.Array, western: pa.Array) -> pa.Array:
-        """Ids of words of lower-case letters, which pass the normaliser and pre-tokenizer as they are, in byte letters."""
-        tokenize = self.tokenizer.model.tokenize
-        plain = [[t.id for t in tokenize(w)] for w in words.to_pylist()]
-        # one text of all words, since its letters are replaced in one go
-        spelt = "\n".join(western.to_pylist()).encode().decode("latin-1").translate(BYTE_LETTERS_BUT_LINES).split("\n") if len(western) else []
-        return packed_ids(plain + [[t.id for t in tokenize(w)] for w in spelt])
-
-    def split_words(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
-        """(ids, place): ids of the chunks that are a word of lower-case letters, with or without a mark, and which these are."""
-        data = chunks.cast(pa.binary())
-        last = pc.index_in(pc.binary_slice(data, -1), value_set=pa.array(MARKS, pa.binary()))
-        letters = pc.if_else(pc.is_valid(last), pc.binary_slice(data, 0, -1), data).cast(pa.string())
-        simple = pc.and_(pc.ascii_is_alpha(letters), pc.ascii_is_lower(letters))
-        western = simple.to_numpy(zero_copy_only=False).copy()
+    def split_marks(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """(keys, is_word, marks): chunks of letters with or without marks at their end are a word in lower case and the marks, others a key as they are."""
+        if not self.plain_words:
+            return chunks, np.zeros(len(chunks), dtype=bool), pa.array([b""], pa.binary()).take(pa.array(np.zeros(len(chunks), dtype=np.int64)))
+        letters = pc.ascii_rtrim(chunks, characters=MARKS)
+        is_word = pc.ascii_is_alpha(letters).to_numpy(zero_copy_only=False).copy()
         rest = pc.indices_nonzero(pc.invert(pc.string_is_ascii(letters)))
-        western[rest.to_numpy()] = pc.match_substring_regex(letters.take(rest), WESTERN).to_numpy(zero_copy_only=False)
-        place = pa.array(np.flatnonzero(western))
-        coded = letters.take(place).dictionary_encode()  # a word comes with several marks
-        ascii_only = pc.take(simple, place)
-        of_word = np.zeros(len(coded.dictionary), dtype=bool)
-        of_word[coded.indices.to_numpy()] = ascii_only.to_numpy(zero_copy_only=False)
-        made = self.word_ids(coded.dictionary.filter(pa.array(of_word)), coded.dictionary.filter(pa.array(~of_word)))
-        at = np.where(of_word, np.cumsum(of_word) - 1, of_word.sum() + np.cumsum(~of_word) - 1)
-        marks = self.of_mark.take(last.take(place).fill_null(len(MARKS)))
-        return pc.binary_join_element_wise(made.take(pa.array(at[coded.indices.to_numpy()])), marks, b""), place
-
-    def coded(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
-        """Binary arrays: the ids and the decoded text, empty if not asked for, of each of distinct chunks."""
+        is_word[rest.to_numpy()] = pc.match_substring_regex(letters.take(rest), WESTERN).to_numpy(zero_copy_only=False)
+        offsets, data = spans(chunks)
+        size = np.where(is_word, np.diff(offsets) - pc.binary_length(letters).to_numpy(), 0)
+        before = np.concatenate([[0], np.cumsum(size)])
+        flat = data[np.repeat(offsets[1:] - before[1:], size) + np.arange(before[-1])]
+        marks = pa.BinaryArray.from_buffers(pa.binary(), len(chunks), [None, pa.py_buffer(before.astype(np.int32)), pa.py_buffer(flat)])
+        return pc.if_else(pa.array(is_word), pc.utf8_lower(letters), chunks), is_word, marks
+
+    def of_chunks(self, chunks: pa.Array, made) -> tuple[pa.Array, pa.Array]:
+        """Binary arrays: the ids and the decoded text, empty if not asked for, of distinct chunks; made gives those of keys."""
+        keys, is_word, marks = self.split_marks(chunks)
+        keys, marks = keys.dictionary_encode(), marks.dictionary_encode()
+        of_word = np.zeros(len(keys.dictionary), dtype=bool)
+        of_word[keys.indices.to_numpy()] = is_word
+        ids, texts = (x.take(keys.indices) for x in made(keys.dictionary, of_word))
+        if len(marks.dictionary) == 1 and not marks.dictionary[0].as_py():
+            return ids, texts
+        mark_ids, mark_texts = (x.take(marks.indices) for x in self.coded(marks.dictionary.cast(pa.string()), np.zeros(len(marks.dictionary), dtype=bool)))
+        ids = pc.binary_join_element_wise(ids, mark_ids, b"")
+        if self.decode:
+            texts = pc.if_else(pc.equal(pc.binary_length(mark_ids), 0), texts, pc.binary_join_element_wise(texts, mark_texts, b" "))
+        return ids, texts
+
+    def coded(self, keys: pa.Array, is_word: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Binary arrays: the ids and the decoded text, empty if not asked for, of each of distinct keys."""
         ids, texts = [pa.array([], pa.binary())], [pa.array([], pa.binary())]
-        for at in range(0, len(chunks), CODED):
-            part = chunks.slice(at, CODED)
-            own, place = self.split_words(part) if self.plain_words else (pa.array([], pa.binary()), pa.array([], pa.int64()))
-            is_word = np.zeros(len(part), dtype=bool)
-            is_word[place.to_numpy()] = True
-            others = self.tokenizer.encode_batch_fast(part.filter(pa.array(~is_word)).to_pylist(), add_special_tokens=False)
+        for at in range(0, len(keys), CODED):
+            part, word = keys.slice(at, CODED), is_word[at : at + CODED]
+            own = self.rows.encode(part.filter(pa.array(word))) if word.any() else pa.array([], pa.binary())
+            others = self.tokenizer.encode_batch_fast(part.filter(pa.array(~word)).to_pylist(), add_special_tokens=False)
             both = pa.concat_arrays([own, packed_ids([e.ids for e in others])])
-            found = both.take(pa.array(np.where(is_word, np.cumsum(is_word) - 1, len(own) + np.cumsum(~is_word) - 1)))
+            found = both.take(pa.array(np.where(word, np.cumsum(word) - 1, len(own) + np.cumsum(~word) - 1)))
             ids.append(found)
             if not self.decode:
                 texts.append(pa.array([b""], pa.binary()).take(pa.array(np.zeros(len(part), dtype=np.int64))))
@@ -151,15 +218,15 @@ class ChunkEncoder:
             texts.append(pa.array([t.encode() for t in self.tokenizer.decode_batch(lists, skip_special_tokens=False)], pa.binary()))
         return pa.concat_arrays(ids), pa.concat_arrays(texts)
 
-    def look_up(self, distinct: pa.Array) -> tuple[pa.Array, pa.Array]:
-        """The ids and decoded texts of distinct chunks, from the table or else made and put there."""
+    def look_up(self, distinct: pa.Array, is_word: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """The ids and decoded texts of distinct keys, from the table or else made and put there."""
         keys, *held = self.known
         at = pc.index_in(distinct, value_set=keys)
         missing = pc.is_null(at)
+        where = missing.to_numpy(zero_copy_only=False)
         new = distinct.filter(missing)
-        made = self.coded(new)
+        made = self.coded(new, is_word[where])
         full = [pa.concat_arrays(both) for both in zip(held, made, strict=True)]
-        where = missing.to_numpy(zero_copy_only=False)
         place = pa.array(np.where(where, len(keys) + np.cumsum(where) - 1, at.fill_null(0).to_numpy()))
         ids, texts = (f.take(place) for f in full)
         most = MEMO if self.decode else 2 * MEMO
@@ -183,7 +250,7 @@ class ChunkEncoder:
     def encode_lists(self, chunks: pa.ListArray) -> tuple[pa.Array, pa.Array]:
         """Binary arrays: the ids and the decoded text of each list of chunks."""
         coded = chunks.values.dictionary_encode()
-        of_ids, of_texts = self.look_up(coded.dictionary)
+        of_ids, of_texts = self.of_chunks(coded.dictionary, self.look_up)
         index = coded.indices
         joined = pc.binary_join(pa.ListArray.from_arrays(chunks.offsets, of_ids.take(index)), b"")
         if not self.decode:
@@ -301,8 +368,6 @@ class TreeConcatenation:
     """Joins the encodings of adjacent parts of one word.  Parts and tokens are strings over the byte alphabet."""
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers.models import BPE
 
         model = json.load(open(path))["model"]  # the tokenizer's own file, present on every executor
