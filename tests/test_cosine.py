@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from sitelens.operators import similarity as M
@@ -135,3 +137,30 @@ def test_commonest_terms_are_found_before_counts_by_document(spark):
     want = {(i, w): (n * (math.log((1 + len(texts)) / (1 + count[w])) + 1), count[w]) for i, c in tf.items() for w, n in c.items() if w in best}
     assert {k: (round(w, 9), d) for k, (w, d) in got.items()} == {k: (round(w, 9), d) for k, (w, d) in want.items()}
     assert [t.select("term").distinct().count() for t in kept] == [10, 10, 10]
+
+
+def test_long_texts_of_a_block_are_bounded_in_memory(spark):
+    """Blocks end by their terms too, and a pair of blocks of long texts, whose common terms would be tens of millions of postings, is done in little memory."""
+    rng = random.Random(31)
+    long = [(i, sorted(rng.sample(range(5000), 2000))) for i in range(300)]
+    rows = spark.createDataFrame([(i, h, [1 / math.sqrt(2000)] * len(h)) for i, h in [*long, (900, [])]], "id long, h array<long>, w array<double>").coalesce(1)
+    blocks = M.vector_blocks(rows, "id", 4096, terms=100_000).collect()
+    assert [len(b["keys"]) for b in blocks] == [50] * 6 and sorted(k for b in blocks for k in b["keys"]) == list(range(300))
+    h = np.concatenate([h for _, h in long])
+    vocabulary, ids = np.unique(h, return_inverse=True)
+    block = M.VectorBlock(np.arange(1, 301) * 2000, vocabulary, ids, np.full(len(h), 1 / math.sqrt(2000)), np.arange(100))
+    tracemalloc.start()
+    got = {(int(i), int(j)): c for a, b, cosines in block.near(block, 0.42025) for i, j, c in zip(a, b, cosines, strict=True)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sets = [set(h) for _, h in long]
+    want = {(i, j): len(sets[i] & sets[j]) / 2000 for i in range(300) for j in range(i + 1, 300) if len(sets[i] & sets[j]) > 840}
+    assert set(got) == set(want) and all(abs(got[k] - c) < 1e-9 for k, c in want.items()) and 0 < len(want) < 5000
+    assert peak < 100e6
+
+
+def test_small_files_make_few_tasks(spark):
+    """The number of tasks that blocks meet in follows from the blocks, not from the files."""
+    vectors = written(M.tfidf(spark.createDataFrame(made_texts(random.Random(4), 60), "doc_id long, text string"), "doc_id", "text", keep=written))
+    pairs = M.cosine_pairs(vectors.repartition(8, "doc_id"), "doc_id", 0.8, lambda t: written(t.repartition(8)))
+    assert pairs.rdd.getNumPartitions() <= 16
