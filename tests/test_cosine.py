@@ -164,3 +164,13 @@ def test_small_files_make_few_tasks(spark):
     vectors = written(M.tfidf(spark.createDataFrame(made_texts(random.Random(4), 60), "doc_id long, text string"), "doc_id", "text", keep=written))
     pairs = M.cosine_pairs(vectors.repartition(8, "doc_id"), "doc_id", 0.8, lambda t: written(t.repartition(8)))
     assert pairs.rdd.getNumPartitions() <= 16
+
+
+def test_links_join_copies_only(spark):
+    """Pairs are counted before they are shuffled: only those with a text that has copies meet its size."""
+    classes = spark.createDataFrame([(1, 1, 2), (5, 1, 2), (2, 2, 1), (3, 3, 3), (6, 3, 3), (7, 3, 3), (4, 4, 1)], "doc_id long, first long, size long")
+    pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.9), (2, 4, 0.9)], "a long, b long, cosine double")
+    got = M.link_counts(classes, pairs, "doc_id")
+    assert {r.doc_id: r.n_links for r in got.collect()} == {1: 5, 5: 5, 2: 3, 3: 4, 6: 4, 7: 4, 4: 1}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" in plan and re.search(r"size#\d+L > 1", plan)
