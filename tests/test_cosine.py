@@ -174,3 +174,19 @@ def test_links_join_copies_only(spark):
     assert {r.doc_id: r.n_links for r in got.collect()} == {1: 5, 5: 5, 2: 3, 3: 4, 6: 4, 7: 4, 4: 1}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "count(1)" in plan and re.search(r"size#\d+L > 1", plan)
+
+
+def test_edges_shrink_with_the_rounds(spark):
+    """Each round's edges are those of nodes that are still open; without later copies of decided ones."""
+    kept, nodes = [], spark.range(12).select("id")
+
+    def keep(table):
+        kept.append(written(table))
+        if table.columns == ["a", "b"]:
+            sizes.append(kept[-1].count())
+        return kept[-1]
+
+    sizes = []
+    chain = spark.createDataFrame([(i, i + 1) for i in range(11)], "a long, b long")
+    assert sorted(r.id for r in M.keep_first(nodes, chain, keep).collect()) == list(range(0, 12, 2))
+    assert len(sizes) > 1 and sizes[0] == 11 and all(x > y for x, y in zip(sizes, sizes[1:]))
