@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from sitelens.operators import similarity as M
-from sitelens.sources.materialise import written
+from sitelens.sources.materialise import sized, written
 
 
 def weights(texts):
@@ -190,3 +190,23 @@ def test_edges_shrink_with_the_rounds(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(11)], "a long, b long")
     assert sorted(r.id for r in M.keep_first(nodes, chain, keep).collect()) == list(range(0, 12, 2))
     assert len(sizes) > 1 and sizes[0] == 11 and all(x > y for x, y in zip(sizes, sizes[1:]))
+
+
+def test_terms_of_texts_stay_where_they_are(spark, monkeypatch):
+    """More first documents than are sent don't make the terms of all texts be shuffled: the fewer copies are taken out."""
+    monkeypatch.setattr(sized, "__defaults__", (20,))
+    plans, texts = [], made_texts(random.Random(12), 60)
+
+    def keep(table):
+        if "vocabulary" in table.columns:
+            plans.append(table._jdf.queryExecution().optimizedPlan().toString())
+        return written(table)
+
+    df = spark.createDataFrame([*texts, (950, texts[0][1]), (951, texts[1][1])], "doc_id long, text string")
+    classes, pairs = M.near_texts(df.filter("doc_id < 20 OR doc_id >= 900"), "doc_id", "text", 0.8, keep)
+    kept = [t for t in texts if t[0] < 20 or t[0] >= 900] + [(950, texts[0][1]), (951, texts[1][1])]
+    first = {}
+    for i, t in kept:
+        first.setdefault(t, i)
+    assert {(r.a, r.b) for r in pairs.collect()} == {k for k in near(kept, 0.8) if set(k) <= set(first.values())}
+    assert len(plans) == 1 and "LeftAnti" in plans[0] and "broadcast" in plans[0] and "LeftSemi" not in plans[0].split("Relation")[0]
